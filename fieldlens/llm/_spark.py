@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +34,21 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts can hold."""
+    """Bound what one Arrow batch of texts can hold, and send this package to the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="fieldlens-")) / "fieldlens.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in package.rglob("*.py"):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
 
 
 def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
@@ -56,9 +70,7 @@ def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataF
     for row in words:
         dense[row.w] = row.bits
     bitmap = spark.createDataFrame([(dense,)], "__bits array<bigint>")
-    spot = F.pmod(F.xxhash64(key), F.lit(bits))
-    hit = F.get(F.col("__bits"), F.shiftright(spot, 6).cast("int"))
-    probe = df.withColumn("__spot", spot).where(key.isNotNull())
+    probe = df.withColumn("__spot", F.pmod(F.xxhash64(key), F.lit(bits))).where(key.isNotNull())
     hit = F.expr("shiftright(get(__bits, cast(shiftright(__spot, 6) as int)), cast(__spot % 64 as int)) & 1L = 1L")
     return probe.join(F.broadcast(bitmap), hit, "left_semi").drop("__spot")
 

@@ -1,3 +1,104 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+OP5 = """
+WITH v AS (
+  SELECT vec_id, [cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), q AS (SELECT vec_id AS query_id, c AS qc FROM v WHERE vec_id % 50 = 0),
+parts AS (SELECT query_id, unnest(qc) AS a, unnest(range(len(qc))) AS i FROM q),
+cand AS (SELECT vec_id, unnest(c) AS b, unnest(range(len(c))) AS i FROM v),
+s AS (SELECT query_id, vec_id, sum(a * b) AS score FROM parts JOIN cand USING (i) WHERE query_id <> vec_id GROUP BY ALL),
+r AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id,
+      cast(score AS BIGINT) AS score FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+"""
+
+_ASSIGN = (
+    "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_PATTERNS = {"assign": (_ASSIGN, 2), "access": ("AKIA[A-Z0-9]{14,}", 0), "hex": ("[0-9a-f]{16,}", 0), "key": ("[A-Za-z0-9/+]{40,}", 0), "endpoint": ("https?://[A-Za-z0-9.-]+", 0)}
+
+
+def _matches(kind: str, k: int) -> str:
+    rx, group = _PATTERNS[kind]
+    return f"""
+m_{kind} AS (
+  SELECT r, i, {k} AS k, m, g, p FROM (
+    SELECT r, unnest(regexp_extract_all(text, '{rx}')) AS m, unnest(regexp_extract_all(text, '{rx}', {group})) AS g,
+           unnest(string_split_regex(text, '{rx}')[:-2]) AS p, unnest(range(len(regexp_extract_all(text, '{rx}')))) AS i
+    FROM d WHERE regexp_matches(text, '{rx}'))
+), s_{kind} AS (
+  SELECT r, k, m, g, sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS s, sum(length(p)) OVER w + sum(length(m)) OVER w AS e
+  FROM m_{kind} WINDOW w AS (PARTITION BY r ORDER BY i)
+)"""
+
+
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{','.join(_matches(kind, k) for kind, k in (("assign", 0), ("access", 1), ("hex", 2), ("key", 4), ("endpoint", 5)))},
+strong AS (
+  SELECT r, k, s, e FROM s_assign WHERE length(g) >= 12 UNION ALL SELECT r, k, s, e FROM s_access UNION ALL SELECT r, k, s, e FROM s_hex
+), weak AS (
+  SELECT r, 3 AS k, s, e FROM s_assign WHERE length(g) BETWEEN 8 AND 11
+  UNION ALL SELECT r, k, s, e FROM s_key WHERE length(m) = 40 AND NOT regexp_matches(m, '^[0-9a-f]+$')
+  UNION ALL SELECT r, k, s, e FROM s_endpoint
+), parts AS (SELECT * FROM strong UNION ALL SELECT * FROM weak),
+linked AS (
+  SELECT w.r, w.k, w.s, w.e,
+    bool_or(p.k = 1) AS i, bool_or(p.k NOT IN (1, 5)) AS t, bool_or(p.k = 5) AS u
+  FROM weak w JOIN parts p ON p.r = w.r AND abs(p.s - w.s) <= 256 GROUP BY ALL
+), spans AS (
+  SELECT * FROM strong UNION ALL
+  SELECT r, k, s, e FROM linked WHERE CASE WHEN k = 5 THEN i AND t ELSE i OR u END
+), named AS (
+  SELECT r, k, s, e, ['assign', 'access', 'hex', 'weak', 'key', 'endpoint'][k + 1] || ':' || cast(s AS BIGINT) || ':' || cast(e AS BIGINT) AS x FROM spans
+), listed AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    count(*) FILTER (k > 2) AS n_weak,
+    coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (k <= 2), '') AS base, string_agg(x, ',' ORDER BY s, k) AS spans
+  FROM named GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(n_weak, 0) AS n_weak, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)
+"""
+
+OP7 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    (cast(cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 13) AS UBIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight,
+       source_size * 2.0::DOUBLE AS cap FROM s0),
+s2 AS (
+  SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s1
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, place) FROM s2 WHERE level <= ratio) * weight), cap) AS target FROM s2
+), t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+o AS (
+  SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
+    CASE WHEN size > 0 THEN (u / (1 - u)) / sqrt(size::DOUBLE) END AS q
+  FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source
+), f AS (
+  SELECT *, size > 0 AND rest > 0 AND sum(size) OVER (PARTITION BY source, size > 0 ORDER BY q, doc_id, size, rid) <= rest AS fits FROM o
+), g AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM f),
+h AS (
+  SELECT *, CASE WHEN NOT fits AND size > 0 AND abs(size - gap) < gap
+    THEN row_number() OVER (PARTITION BY source, (NOT fits AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), q, doc_id, size, rid) END AS nth FROM g
+)
+SELECT doc_id, source, size, source_size, target,
+  CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE 0 END::INTEGER AS copies,
+  (CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE 0 END * size)::BIGINT AS taken
+FROM h
+"""
+
+ORACLES: dict[str, str] = {"op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}
