@@ -137,11 +137,16 @@ def shingles(words: np.ndarray, at: np.ndarray, n: int, short: bool = True) -> t
     return out, out_at
 
 
-def minhash(values: np.ndarray, at: np.ndarray, functions: int, seed: int = 7) -> np.ndarray:
-    """[texts, functions] least values of ``functions`` hash functions; texts without values hold the largest."""
+def hash_family(functions: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors of hash functions x -> (x ^ mask) * factor on well-mixed x."""
     rng = np.random.Generator(np.random.Philox(seed))
     mask, odd = rng.integers(0, 2**63, functions, dtype=np.uint64), rng.integers(1, 2**63, functions, dtype=np.uint64) | U64(1)
-    odd = odd | (rng.integers(0, 2, functions, dtype=np.uint64) << U64(63))
+    return mask, odd | (rng.integers(0, 2, functions, dtype=np.uint64) << U64(63))
+
+
+def minhash(values: np.ndarray, at: np.ndarray, functions: int, seed: int = 7) -> np.ndarray:
+    """[texts, functions] least values of ``functions`` hash functions; texts without values hold the largest."""
+    mask, odd = hash_family(functions, seed)
     out = np.full((len(at) - 1, functions), 2**64 - 1, U64)
     full = np.flatnonzero(np.diff(at))
     if len(full):
@@ -161,3 +166,40 @@ def minhash(values: np.ndarray, at: np.ndarray, functions: int, seed: int = 7) -
 def long_list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """list<int64> column from 64-bit values and the number in each row."""
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.view(np.int64) if values.dtype == U64 else values))
+
+
+def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of n characters (A-Z as a-z) inside each byte range, with the offsets by range; a range of
+    fewer characters has itself as its one shingle. Ranges are in order and hold whole characters."""
+    sums = prefix(data, lower=True)
+    edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first, last = np.searchsorted(edges, starts), np.searchsorted(edges, ends)
+    size = np.where(last > first, np.maximum(last - first - n + 1, 1), 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    of = np.repeat(np.arange(len(starts)), size)
+    lo = first[of] + np.arange(at[-1]) - at[of]
+    hi = np.minimum(lo + n, last[of])
+    return span_hash(sums, edges[lo], edges[hi]), at
+
+
+def fixed_bitmap(keys, column: str, bits: int = 22) -> np.ndarray:
+    """2**bits bits, those set at the top bits of ``keys[column]``: of fixed size however many keys there are."""
+    from pyspark.sql import functions as F
+
+    spot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    rows = (
+        keys.select(F.shiftright(spot, 6).alias("w"), (spot % 64).cast("int").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+        .collect()  # 2**(bits - 6) rows at most
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in rows:
+        out[r.w] = r.bits
+    return out.view(U64)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = 6 + int(len(bitmap)).bit_length() - 1
+    spot = keys >> U64(64 - bits)
+    return ((bitmap[(spot >> U64(6)).astype(np.int64)] >> (spot & U64(63))) & U64(1)).astype(bool)

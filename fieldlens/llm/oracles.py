@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP1 = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS g FROM iw),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS g FROM dw),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM s JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, [cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
@@ -101,4 +113,20 @@ SELECT doc_id, source, size, source_size, target,
 FROM h
 """
 
-ORACLES: dict[str, str] = {"op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}
+OP10 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[k : k + 3], ' ') FOR k IN range(1, len(w) - 2)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.doc_id WHERE r.root < e.b
+), c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op10_near_dedup": OP10, "op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}

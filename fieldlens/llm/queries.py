@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import mixing, near_dedup, secret_scan, topk
+from fieldlens.llm import decontaminate, langid, line_dedup, mixing, near_dedup, secret_scan, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return done.select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"),
+        F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect_language(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -33,4 +54,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_topk, op6_secret_scan, op7_source_mix, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_line_dedup, op4_language, op5_topk, op6_secret_scan, op7_source_mix, op10_near_dedup)}
