@@ -42,41 +42,47 @@ def similarity_components(
     plausible: Callable[[str, str], Column],
     carried: list[str],
     verify: Callable[[DataFrame], DataFrame],
+    centre: Callable[[DataFrame], DataFrame] | None = None,
+    sweep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of members that meet in candidate nodes.
 
-    ``members``: ``id`` long, ``paths`` array<array<long>> (for each tree the node keys by level) and the
-    ``carried`` columns, from which ``plausible(prefix_a, prefix_b)`` makes a cheap necessary condition.
-    ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links.
+    ``members``: ``id`` long, ``rank`` (the least one of a node is its pivot), ``paths`` array<array<long>> (for
+    each tree the node keys by level) and the ``carried`` columns, from which ``plausible(prefix_a, prefix_b)``
+    makes a cheap necessary condition. ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that
+    are links. ``centre`` maps the rows of large nodes (node, id and carried columns) to one central member of
+    each, as ``(node, c_id, c_<carried>)``. ``sweep`` maps rows (node, id, comp) to candidate pairs of different
+    components within a node; by default a join under ``plausible``.
 
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
-    links to its least member (as many pairs as members); once those are verified and joined to components,
-    every node that still holds several components is compared exhaustively across components. So a group
-    of k copies costs about k verifications, not k squared, and no pair of different components is lost.
-    Returns ``(links(a, b), components(id, comp))``; members without link are in neither.
+    links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
+    and joined to components, every node that still holds several components is compared exhaustively across
+    them. So a group of k copies costs about k verifications, not k squared, and no pair of different
+    components is lost. Returns ``(links(a, b), components(id, comp))``; members without link are in neither.
     """
-    spark = members.sparkSession
     keys = [f"k{i}" for i in range(levels)]
-    rows = members.select("id", *carried, F.explode("paths").alias("p")).select(
-        "id", *carried, *[F.get("p", F.lit(i)).alias(k) for i, k in enumerate(keys)]
+    rows = members.select("id", "rank", *carried, F.explode("paths").alias("p")).select(
+        "id", "rank", *carried, *[F.get("p", F.lit(i)).alias(k) for i, k in enumerate(keys)]
     )
     final: list[DataFrame] = []
-    stars: list[DataFrame] = []
+    pairs: DataFrame | None = None
     for level, key in enumerate(keys):
         rest = keys[level + 1 :]
-        nodes = rows.groupBy(key).agg(F.count("*").alias("node_n"), F.min(F.struct("id", *carried)).alias("p")).where("node_n > 1")
+        nodes = rows.groupBy(key).agg(F.count("*").alias("node_n"), F.min(F.struct("rank", "id", *carried)).alias("p")).where("node_n > 1")
         nodes = nodes.select(key, "node_n", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ["id", *carried]])
         met = rows.join(nodes, key)
         hit = (F.col("id") != F.col("p_id")) & plausible("", "p_")
-        met = cut(met.select(F.col(key).alias("node"), "node_n", "id", *carried, *rest, F.when(hit, F.col("p_id")).alias("star")), "nodes")
-        stars.append(met.where("star is not null").select(F.col("star").alias("a"), F.col("id").alias("b")))
+        met = cut(met.select(F.col(key).alias("node"), "node_n", "id", "rank", *carried, *rest, F.when(hit, F.col("p_id")).alias("star")), "nodes")
+        stars = met.where("star is not null").select(F.col("star").alias("a"), F.col("id").alias("b"))
+        pairs = stars if pairs is None else pairs.union(stars)
+        big = met.where(F.col("node_n") > SMALL_NODE)
+        if centre is not None:
+            middle = big.join(centre(big.select("node", "id", *carried)), "node")
+            pairs = pairs.union(middle.where((F.col("id") != F.col("c_id")) & plausible("", "c_")).select(F.col("c_id").alias("a"), F.col("id").alias("b")))
         here = met if level == levels - 1 else met.where(F.col("node_n") <= SMALL_NODE)
         final.append(here.select("node", "id", *carried))
-        rows = met.where(F.col("node_n") > SMALL_NODE).select("id", *carried, *rest)
-    pairs = stars[0]
-    for s in stars[1:]:
-        pairs = pairs.union(s)
-    tried = cut(pairs.distinct(), "pairs")
+        rows = big.select("id", "rank", *carried, *rest)
+    tried = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = cut(verify(tried), "links")
     comps = cut(connected_components(links), "comps")
 
@@ -86,10 +92,14 @@ def similarity_components(
     leaves = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = leaves.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
     leaves = cut(leaves.join(mixed, "node").dropDuplicates(["node", "id"]), "leaves")
-    left = leaves.select("node", *[F.col(c).alias(f"l_{c}") for c in ["id", "comp", *carried]])
-    right = leaves.select("node", *[F.col(c).alias(f"r_{c}") for c in ["id", "comp", *carried]])
-    across = left.join(right, (left["node"] == right["node"]) & (F.col("l_comp") < F.col("r_comp")) & plausible("l_", "r_"))
-    across = across.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+    if sweep is not None:
+        across = sweep(leaves.select("node", "id", "comp"))
+    else:
+        left = leaves.select("node", *[F.col(c).alias(f"l_{c}") for c in ["id", "comp", *carried]])
+        right = leaves.select("node", *[F.col(c).alias(f"r_{c}") for c in ["id", "comp", *carried]])
+        across = left.join(right, (left["node"] == right["node"]) & (F.col("l_comp") < F.col("r_comp")) & plausible("l_", "r_"))
+        across = across.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")), "links")
     if more.isEmpty():
         return links, comps
