@@ -52,6 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def salt(i: int, place: int) -> np.uint64:
+    return U64(i * int(_PLACE[place]) & 0xFFFFFFFFFFFFFFFF)
+
+
 def fold(values: np.ndarray, place: int) -> np.uint64:
     """Hash of a multiset of hashes and its size."""
     return mix(values.sum(dtype=U64, keepdims=True) + np.full(1, len(values), U64) * _PLACE[place])[0]

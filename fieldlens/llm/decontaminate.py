@@ -35,7 +35,7 @@ def _item_shingles(words: int):
 
 def _token(least: np.ndarray, i: int, size: int) -> np.ndarray:
     """Band key of the i-th MinHash value in the partition of windows of one size."""
-    return tx.mix(least + np.uint64(i + 1) * tx._PLACE[57] + np.uint64(size) * tx._PLACE[56])
+    return tx.mix((least + tx.salt(i + 1, 57)) ^ tx.salt(size, 56))
 
 
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

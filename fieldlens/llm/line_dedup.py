@@ -40,7 +40,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.empty((len(starts), BANDS), np.uint64)
             for i in range(BANDS):
                 part = signature[:, i * ROWS : (i + 1) * ROWS]
-                bands[:, i] = tx.mix((part * tx._PLACE[:ROWS]).sum(axis=1, dtype=np.uint64) + np.uint64(i + 1) * tx._PLACE[58])
+                bands[:, i] = tx.mix((part * tx._PLACE[:ROWS]).sum(axis=1, dtype=np.uint64) + tx.salt(i + 1, 58))
             inner = pa.ListArray.from_arrays(np.arange(bands.size + 1, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64)))
             paths = pa.ListArray.from_arrays(np.arange(len(starts) + 1, dtype=np.int32) * BANDS, inner)
             lines = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts, ends, strict=True)]

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm import _text as tx
 from fieldlens.llm._spark import cut, held_out, small_batches
@@ -18,7 +19,7 @@ STEMS = (4, 5)
 #: Terms that a model holds at most: by strength of association, and by frequency (these can interact).
 STRONG, FREQUENT = 4096, 2048
 #: Documents a term must occur in.
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 FACTORS = 8
 
 
@@ -50,8 +51,9 @@ def _forward(weights, factors, bias, index, at):
     return bias + _sums(weights[index][:, None], at)[:, 0] + pairs, v, s, n
 
 
-def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray, epochs: int = 12, seed: int = 5) -> Model:
-    """Logistic loss, AdaGrad over mini-batches of 256 documents."""
+def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray, linear: np.ndarray, epochs: int = 30, seed: int = 5) -> Model:
+    """Logistic loss, AdaGrad over mini-batches of 256 documents. Terms outside ``linear`` have no weight of their
+    own and only act in pairs: they are frequent, and thousands of small weights would outvote a few strong ones."""
     rng = np.random.Generator(np.random.Philox(seed))
     size = len(terms)
     w, v, bias = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)), 0.0
@@ -66,7 +68,7 @@ def train(index: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray, e
             z, vi, s, n = _forward(w, v, bias, idx, local)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
             each = np.repeat(g, count)
-            dw = np.bincount(idx, each, size) + 1e-6 * w
+            dw = (np.bincount(idx, each, size) + 1e-6 * w) * linear
             scaled = each[:, None] * (np.repeat(s, count, axis=0) - vi) / np.repeat(n, count, axis=0)
             dv = np.stack([np.bincount(idx, scaled[:, f], size) for f in range(FACTORS)], axis=1) + 1e-6 * v
             gw += dw**2
@@ -151,9 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> Mod
     rate = bad / total
     counts = counts.where(F.col("docs") >= LEAST_DOCS).withColumn("z", F.abs(F.col("toxic") - F.col("docs") * rate) / F.sqrt(F.col("docs") * (rate * (1 - rate))))
     counts = cut(counts, "terms")
-    strong = counts.where("z >= 4").orderBy(F.desc("z"), "term").limit(STRONG)
-    frequent = counts.orderBy(F.desc("docs"), "term").limit(FREQUENT)
-    terms = np.unique(np.array([r.term for r in strong.union(frequent).select("term").collect()], np.int64).view(np.uint64))
+    strong = counts.where("z >= 4").orderBy(F.desc("z"), "term").limit(STRONG).withColumn("own", F.lit(True))
+    frequent = counts.where("z < 4").orderBy(F.desc("docs"), "term").limit(FREQUENT).withColumn("own", F.lit(False))
+    chosen = strong.union(frequent).select("term", "own").collect()
+    terms = np.array([r.term for r in chosen], np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    terms, linear = terms[order], np.array([r.own for r in chosen], bool)[order]
     bitmap = _bitmap_of(terms)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> Mod
     table = sample.mapInArrow(indexed, "known array<int>, toxic long").toArrow()
     known = table.column("known").combine_chunks()
     at = np.concatenate([[0], np.cumsum(np.asarray(known.value_lengths()))])
-    return train(np.asarray(known.flatten(), dtype=np.int64), at, np.asarray(table.column("toxic"), dtype=np.float64), terms)
+    return train(np.asarray(known.flatten(), dtype=np.int64), at, np.asarray(table.column("toxic"), dtype=np.float64), terms, linear)
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -183,8 +188,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                 out[first:last] = model.score(index, at)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "__score"])
 
-    schema = docs.schema.add("__score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> DataFrame:
