@@ -113,6 +113,21 @@ SELECT doc_id, source, size, source_size, target,
 FROM h
 """
 
+OP8 = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, strlen(html) AS payload_bytes, sha1(html) AS x FROM p),
+d AS (
+  SELECT page_id, r, payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(x, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)
+      FOR i IN range(32)], '') AS payload_digest FROM h
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, r) AS nth,
+    first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, r) AS last_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN last_id END AS refers_to FROM f
+"""
+
 OP10 = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -129,4 +144,4 @@ reach(doc_id, root) AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op10_near_dedup": OP10, "op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op10_near_dedup": OP10, "op8_warc": OP8, "op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}
