@@ -1,19 +1,55 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents;
+the last adds how often the mix takes each. Each stage sees all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldlens.llm import near_dedup
+from fieldlens.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from fieldlens.llm._spark import cut
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores 0.5 or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar lines the first stays. A document that loses every line it had goes, as its
+    whole text is elsewhere; one that was blank before stays. n_chars follows the text."""
+    done = line_dedup.dedup_lines(docs)
+    emptied = (F.col("__dropped") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
+    left = done.where(~F.coalesce(emptied, F.lit(False)))
+    chars = F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", chars).select(docs.columns)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
     return near_dedup.keep_one(docs, words=5, percent=80)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 % of a benchmark item's five-word shingles go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: the documents with ``copies`` (1 to 3 times) and ``taken`` (words, repeats counted)."""
+    return mixing.take_mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 
 #: SQL can't express the learned toxicity stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -43,7 +43,7 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, seed: str = "mix:", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0
+    docs: DataFrame, seed: str = "mix:", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, row: Column | None = None
 ) -> DataFrame:
     """How often a mix takes each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -57,14 +57,14 @@ def mix_sources(
     The order is cut into SLICES ranges whose sizes are pre-aggregated, so a source with most of the rows is
     neither sorted nor summed in one task; only the range that holds the target's end is.
 
-    Null or empty texts have size 0 and are taken 0 times. A null source is a source of its own, last in
+    Null or empty texts have size 0: they get their source's whole copies and count no word. A null source is a source of its own, last in
     order. A null doc_id draws the number of the empty text. Repeated rows count and are taken each on its
     own. An empty table gives an empty result. Other columns of docs are not read.
     """
     id_, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     sized = docs.select(
         id_.alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if row is None else row).alias("rid"),
     )
     u = uniform(F.col("doc_id"), seed)
     q = F.when(F.col("size") > 0, (u / (1 - u)) / F.sqrt(F.col("size").cast("double")))
@@ -103,6 +103,16 @@ def mix_sources(
     filler = loose.where(away < F.col("gap")).groupBy("g_source").agg(F.min(F.struct(away.alias("away"), "q", "doc_id", "size", "rid")).alias("f"))
     filler = cut(filler.select(F.col("f.rid").alias("rid"), F.lit(1).alias("fill")), "fillers")
     out = drawn.join(filler, "rid", "left")
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("fits").cast("int") + F.coalesce("fill", F.lit(0))).otherwise(0).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("fits").cast("int") + F.coalesce("fill", F.lit(0))).otherwise(F.col("whole")).cast("int")
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rid")
+
+
+def take_mix(docs: DataFrame, seed: str = "mix:", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes at least once, with all columns, ``copies`` and ``taken``; see
+    mix_sources(). Rows are numbered in a written table, so repeated rows are told apart."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    mix = mix_sources(rows, seed, weights, share, most, F.col("__row")).where("copies > 0")
+    mix = mix.select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies"), F.col("taken").alias("__taken"))
+    out = rows.join(mix, F.col("__row") == F.col("__rid"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")], F.col("__copies").alias("copies"), F.col("__taken").alias("taken"))

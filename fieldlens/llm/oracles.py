@@ -108,7 +108,7 @@ h AS (
     THEN row_number() OVER (PARTITION BY source, (NOT fits AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), q, doc_id, size, rid) END AS nth FROM g
 )
 SELECT doc_id, source, size, source_size, target,
-  CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE 0 END::INTEGER AS copies,
+  CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE whole END::INTEGER AS copies,
   (CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE 0 END * size)::BIGINT AS taken
 FROM h
 """
