@@ -43,7 +43,7 @@ def similarity_components(
     carried: list[str],
     verify: Callable[[DataFrame], DataFrame],
     centre: Callable[[DataFrame], DataFrame] | None = None,
-    sweep: Callable[[DataFrame], DataFrame] | None = None,
+    sweep: Callable[[DataFrame, int | None], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of members that meet in candidate nodes.
 
@@ -52,7 +52,7 @@ def similarity_components(
     makes a cheap necessary condition. ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that
     are links. ``centre`` maps the rows of large nodes (node, id and carried columns) to one central member of
     each, as ``(node, c_id, c_<carried>)``. ``sweep`` maps rows (node, id, comp) to candidate pairs of different
-    components within a node; by default a join under ``plausible``.
+    components within a node, the best few of each member or all; by default all, by a join under ``plausible``.
 
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
     links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
@@ -89,19 +89,23 @@ def similarity_components(
     leaves = final[0]
     for f in final[1:]:
         leaves = leaves.union(f)
-    leaves = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = leaves.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-    leaves = cut(leaves.join(mixed, "node").dropDuplicates(["node", "id"]), "leaves")
-    if sweep is not None:
-        across = sweep(leaves.select("node", "id", "comp"))
-    else:
-        left = leaves.select("node", *[F.col(c).alias(f"l_{c}") for c in ["id", "comp", *carried]])
-        right = leaves.select("node", *[F.col(c).alias(f"r_{c}") for c in ["id", "comp", *carried]])
-        across = left.join(right, (left["node"] == right["node"]) & (F.col("l_comp") < F.col("r_comp")) & plausible("l_", "r_"))
-        across = across.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")), "links")
-    if more.isEmpty():
-        return links, comps
-    links = links.union(more)
-    return links, cut(connected_components(links), "comps")
+    # First the likeliest partners of each member, then, where that left components apart, all others.
+    for best in (4, None) if sweep is not None else (None,):
+        held = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+        held = cut(held.join(mixed, "node").dropDuplicates(["node", "id"]), "leaves")
+        if sweep is not None:
+            across = sweep(held.select("node", "id", "comp"), best)
+        else:
+            left = held.select("node", *[F.col(c).alias(f"l_{c}") for c in ["id", "comp", *carried]])
+            right = held.select("node", *[F.col(c).alias(f"r_{c}") for c in ["id", "comp", *carried]])
+            across = left.join(right, (left["node"] == right["node"]) & (F.col("l_comp") < F.col("r_comp")) & plausible("l_", "r_"))
+            across = across.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = cut(verify(across), "links")
+        tried = tried.union(across)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = cut(connected_components(links), "comps")
+    return links, comps

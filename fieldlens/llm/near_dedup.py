@@ -14,13 +14,13 @@ from fieldlens.llm._graph import similarity_components
 from fieldlens.llm._spark import cut, may_be_in, small_batches
 
 #: MinHash functions; the first 128 also give a sketch of one bit each.
-TOKENS = 256
+TOKENS = 512
 TREES = 16
 LEVELS = 3
 #: Differing sketch bits beyond which a pair can't reach the threshold (5.4 standard deviations at 0.8).
 MAX_BITS = 32
-#: Agreeing tokens (of 256, by one byte each) below which a pair can't reach it (4.5 standard deviations).
-LEAST_AGREE = 176
+#: Agreeing tokens (of 512, by one byte each) below which a pair can't reach it (4.5 standard deviations).
+LEAST_AGREE = 368
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[list[np.ndarray], int]]:
@@ -123,36 +123,52 @@ def _centres(rows: DataFrame) -> DataFrame:
     return best.select("node", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "sk0", "sk1")])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a node whose tokens agree often enough. Rows come sorted by node."""
+def _across(best: int | None):
+    """mapInArrow function: pairs of different components in a node whose tokens agree often enough; with ``best``
+    at most so many for each member, else each pair in the least of the nodes that it shares. Rows come sorted by
+    node with all nodes of their member."""
 
-    def pairs(ids: np.ndarray, comps: np.ndarray, fine: np.ndarray) -> pa.RecordBatch:
+    def pairs(node: int, ids: np.ndarray, comps: np.ndarray, fine: np.ndarray, nodes: list[np.ndarray]) -> pa.RecordBatch:
         names, comp, size = np.unique(comps, return_inverse=True, return_counts=True)
         order = np.lexsort((comp, size[comp]))  # rows of the largest component are never the probing side
-        ids, comp, fine = ids[order], comp[order], fine[order]
+        ids, comp, fine, nodes = ids[order], comp[order], fine[order], [nodes[k] for k in order]
+        lower = [x[x < node] for x in nodes]
         a, b = [], []
-        for i in range(len(ids) - (size.max() if len(names) else 0)):
+        for i in range(len(ids) - size.max()):
             later = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            good = later[(fine[later] == fine[i]).sum(axis=1) >= LEAST_AGREE]
-            a.append(np.full(len(good), ids[i]))
-            b.append(ids[good])
+            agree = (fine[later] == fine[i]).sum(axis=1)
+            good = agree >= LEAST_AGREE
+            later, agree = later[good], agree[good]
+            if best is not None:
+                later = later[np.argsort(-agree, kind="stable")[:best]]
+            elif len(lower[i]):
+                later = np.array([k for k in later if not np.isin(lower[k], lower[i]).any()], np.int64)
+            a.append(np.full(len(later), ids[i]))
+            b.append(ids[later])
         none = np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
-    held: list[tuple[np.ndarray, ...]] = []
-    for b in batches:
-        node, ids, comps = (np.asarray(b.column(i)) for i in range(3))
-        fine = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, TOKENS)
-        edges = [0, *(np.flatnonzero(np.diff(node)) + 1), len(node)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi == lo:
-                continue
-            if held and held[0][0][0] != node[lo]:
-                yield pairs(*[np.concatenate(x) for x in list(zip(*held, strict=True))[1:]])
-                held = []
-            held.append((node[lo:hi], ids[lo:hi], comps[lo:hi], fine[lo:hi]))
-    if held:
-        yield pairs(*[np.concatenate(x) for x in list(zip(*held, strict=True))[1:]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            _, ids, comps, fine, nodes = zip(*held, strict=True)
+            return pairs(held[0][0], np.concatenate(ids), np.concatenate(comps), np.concatenate(fine), [n for part in nodes for n in part])
+
+        for b in batches:
+            node, ids, comps = (np.asarray(b.column(i)) for i in range(3))
+            fine = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, TOKENS)
+            nodes = [np.asarray(x.values) for x in b.column(4)]
+            edges = np.unique([0, *(np.flatnonzero(np.diff(node)) + 1), len(node)])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0][0] != node[lo]:
+                    yield flush()
+                    held = []
+                held.append((node[lo], ids[lo:hi], comps[lo:hi], fine[lo:hi], nodes[lo:hi]))
+        if held:
+            yield flush()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -199,9 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
         return sized.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct()
 
-    def sweep(leaves: DataFrame) -> DataFrame:
-        rows = leaves.join(classes.select("id", "fine").dropDuplicates(["id"]), "id").select("node", "id", "comp", "fine")
-        return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_across, "a long, b long")
+    def sweep(leaves: DataFrame, best: int | None) -> DataFrame:
+        own = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # one for each tree and level at most
+        rows = leaves.join(classes.select("id", "fine").dropDuplicates(["id"]), "id").join(own, "id").select("node", "id", "comp", "fine", "nodes")
+        return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_across(best), "a long, b long")
 
     _, comps = similarity_components(classes.drop("set_id", "fine"), LEVELS, plausible, ["n", "sk0", "sk1"], verify, _centres, sweep)
     root = classes.select("set_id", "id").join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("root"))
