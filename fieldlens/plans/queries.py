@@ -334,3 +334,548 @@ def agg14_pair_grid(spark, sf):
     t = b.tracking(spark, sf)
     p = geometry.pairs(t, ["play", "frame"], "obj", F.col("offense"), ~F.col("offense"), ["x", "y"])
     return rounded(geometry.pair_grid_summary(p, "play", ["distance"]))
+
+
+# -- geometry and features -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.TRACKING} SELECT play, frame, obj, {r("CASE WHEN left THEN 120 - x ELSE x END", "nx")}, {r("CASE WHEN left THEN 160.0::DOUBLE / 3 - y ELSE y END", "ny")},
+  {r("sin(radians((90 - dir + 360) % 360)) * CASE WHEN left THEN -1 ELSE 1 END", "dir_sin")}, {r("cos(radians((90 - dir + 360) % 360)) * CASE WHEN left THEN -1 ELSE 1 END", "dir_cos")} FROM tracking""".replace("WHEN left", 'WHEN "left"'))
+def geo1_half_turn(spark, sf):
+    x, y = geometry.rotate_left(F.col("x"), F.col("y"), F.col("left"))
+    sin, cos = fn.angle_components(F.col("dir"), F.col("left"))
+    return rounded(b.tracking(spark, sf).select("play", "frame", "obj", x.alias("nx"), y.alias("ny"), sin.alias("dir_sin"), cos.alias("dir_cos")))
+
+
+@query(f"""WITH {b.TRACKING}, d AS (SELECT *, (90 - dir + 360) % 360 AS m FROM tracking), e AS (SELECT *, CASE WHEN "left" THEN (180 - m + 360) % 360 ELSE m END AS nd FROM d)
+  SELECT play, frame, obj, {r('CASE WHEN "left" THEN 120 - x ELSE x END', 'nx')}, {r('nd', 'nd')}, {r('s * cos(radians(nd))', 'vx')}, {r('s * sin(radians(nd))', 'vy')} FROM e""")
+def geo2_reflection(spark, sf):
+    g = geometry.reflect_left(F.col("x"), F.col("dir"), F.col("s"), F.col("left"))
+    return rounded(b.tracking(spark, sf).select("play", "frame", "obj", g["x"].alias("nx"), g["dir"].alias("nd"), g["vx"].alias("vx"), g["vy"].alias("vy")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_extendedprice / 64, 2) + 0.0 AS q FROM lineitem")
+def geo3_quantize(spark, sf):
+    l_ = b.table(spark, sf, "lineitem")
+    return l_.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (geometry.quantize(F.col("l_extendedprice") / 64, 2) + 0.0).alias("q"))
+
+
+@query(f"""WITH {b.TRACKING}, w AS (SELECT *, min(CASE WHEN offense THEN x END) OVER f AS ax, min(CASE WHEN offense THEN y END) OVER f AS ay FROM tracking WINDOW f AS (PARTITION BY play, frame))
+  SELECT play, frame, obj, {r('x - ax', 'x_rel')}, {r('y - ay', 'y_rel')} FROM w""")
+def geo6_centred(spark, sf):
+    c = geometry.centred(b.tracking(spark, sf), ["play", "frame"], F.col("offense"), "x", "y")
+    return rounded(c.select("play", "frame", "obj", "x_rel", "y_rel"))
+
+
+@query(f"WITH {b.TRACKING} SELECT play, frame, obj, min(CASE WHEN offense THEN obj END) OVER (PARTITION BY play, frame) AS focal FROM tracking")
+def geo7_inferred_focal(spark, sf):
+    return geometry.inferred_focal(b.tracking(spark, sf), ["play", "frame"], F.col("offense"), "obj").select("play", "frame", "obj", "focal")
+
+
+@query(f"""WITH {b.TRACKING}, l AS (SELECT play, obj, arg_max(x, frame) AS x, arg_max(y, frame) AS y, arg_max(s, frame) AS s FROM tracking GROUP BY ALL)
+  SELECT play, obj, cast(t AS INTEGER) AS t, {r('x + t / 10.0::DOUBLE * s', 'px')}, {r('y + t / 10.0::DOUBLE * (0 - s)', 'py')} FROM l, range(1, 6) AS h(t)""")
+def geo10_constant_velocity(spark, sf):
+    last = frames.final_state(b.tracking(spark, sf), ["play", "obj"], "frame", ["x", "y", "s"]).withColumn("vy", -F.col("s"))
+    return rounded(geometry.constant_velocity(last, ["play", "obj"], 5, 10.0, "x", "y", "s", "vy"))
+
+
+@query(f"""WITH {b.TRACKING} SELECT play::VARCHAR AS play, frame, obj, {r('y', 'y')}, {r('dir', 'dir')} FROM tracking
+  UNION ALL SELECT play || '_aug', frame, obj, {r('160.0::DOUBLE / 3 - y', 'y')}, {r('2 * pi() - dir', 'dir')} FROM tracking WHERE play % 10 = 0""")
+def geo14_mirrored(spark, sf):
+    t = b.tracking(spark, sf).select("play", "frame", "obj", "y", "dir")
+    return rounded(geometry.mirrored(t, t.where("play % 10 = 0"), "play", "y", "dir"))
+
+
+@query(f"""WITH {b.TRACKING}, t AS (SELECT *, frame = max(frame) OVER (PARTITION BY play) AS z FROM tracking)
+  SELECT play, count_if(z AND offense) AS off_count, {r('avg(x) FILTER (z AND offense)', 'off_x_mean')}, {r('stddev_pop(x) FILTER (z AND offense)', 'off_x_sd')}, {r('min(x) FILTER (z AND offense)', 'off_x_min')},
+    {r('max(x) FILTER (z AND offense)', 'off_x_max')}, count_if(z AND NOT offense) AS def_count, {r('avg(x) FILTER (z AND NOT offense)', 'def_x_mean')}, {r('stddev_pop(x) FILTER (z AND NOT offense)', 'def_x_sd')},
+    {r('min(x) FILTER (z AND NOT offense)', 'def_x_min')}, {r('max(x) FILTER (z AND NOT offense)', 'def_x_max')}, {r('avg(x)', 'all_x_mean')}, {r('stddev_pop(x)', 'all_x_sd')} FROM t GROUP BY play""")
+def feat1_token_summary(spark, sf):
+    return rounded(geometry.token_summary(b.tracking(spark, sf), "play", "frame", {"off": F.col("offense"), "def": ~F.col("offense")}, ["x"]))
+
+
+@query(f"""WITH {b.TRACKING}, k AS (SELECT play, obj, row_number() OVER (PARTITION BY play ORDER BY o, obj) - 1 AS slot FROM (SELECT play, obj, min(CASE WHEN offense THEN 0 ELSE 1 END) AS o FROM tracking GROUP BY ALL)),
+  z AS (SELECT play, obj, x FROM (SELECT *, max(frame) OVER (PARTITION BY play) AS mf FROM tracking) WHERE frame = mf)
+  SELECT play, {r('max(x) FILTER (slot = 0)', 's0_x')}, {r('max(x) FILTER (slot = 1)', 's1_x')}, {r('max(x) FILTER (slot = 2)', 's2_x')} FROM z JOIN k USING (play, obj) GROUP BY play""")
+def feat3_slot_columns(spark, sf):
+    t = b.tracking(spark, sf)
+    slots = frames.stable_slots(t, "play", "obj", [F.when(F.col("offense"), 0).otherwise(1)], 8)
+    last = t.withColumn("mf", F.max("frame").over(Window.partitionBy("play"))).where("frame = mf")
+    return rounded(geometry.slot_columns(last.join(slots, ["play", "obj"]), "play", "slot", 3, ["x"]))
+
+
+@query(f"""WITH {b.TRACKING}, p AS (SELECT a.x - c.x AS dx, a.y - c.y AS dy FROM tracking a JOIN tracking c USING (play, frame) WHERE a.obj <> c.obj)
+  SELECT CASE WHEN abs(dy) < 5 THEN 'lateral' WHEN sqrt(dx ** 2 + dy ** 2) < 20 THEN 'near' ELSE 'other' END AS edge, count(*) AS n FROM p GROUP BY ALL""")
+def feat6_edge_types(spark, sf):
+    t = b.tracking(spark, sf)
+    p = geometry.pairs(t, ["play", "frame"], "obj", F.lit(True), F.lit(True), ["x", "y"])
+    typed = geometry.edge_types(p, [("near", F.col("distance") < 20), ("lateral", F.abs("d_y") < 5)])
+    return typed.groupBy("edge").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {b.TRACKING}, c AS (SELECT *, cast(least(greatest(floor(x / 4), 0), 29) AS INTEGER) AS xbin, cast(least(greatest(floor(y / 4), 0), 13) AS INTEGER) AS ybin FROM tracking)
+  SELECT play, frame, xbin, ybin, count(*) AS occupancy, count_if(offense) AS off, {r('avg(s)', 'mean_s')} FROM c GROUP BY ALL""")
+def feat8_raster(spark, sf):
+    return rounded(geometry.raster(b.tracking(spark, sf), ["play", "frame"], "x", "y", {"off": F.col("offense")}, ["s"], (30, 14), 4.0))
+
+
+@query(f"""WITH {b.TRACKING}, p AS (SELECT a.play, a.frame, a.obj, c.x - a.x AS dx, c.y - a.y AS dy, a.s, radians(a.dir) AS h FROM tracking a JOIN tracking c USING (play, frame) WHERE a.obj <> c.obj),
+  q AS (SELECT *, dx - 0.5::DOUBLE * s * cos(h) AS cx, dy - 0.5::DOUBLE * s * sin(h) AS cy, 3 * (1 + s / 18) / 2 AS al, 3 * (1 - s / 18) / 2 AS ac FROM p)
+  SELECT play, frame, obj, {r('sum(exp(-0.5::DOUBLE * (((cx * cos(h) + cy * sin(h)) / al) ** 2 + ((cy * cos(h) - cx * sin(h)) / ac) ** 2)) / (2 * pi() * al * ac))', 'influence')} FROM q GROUP BY ALL""")
+def feat11_influence(spark, sf):
+    t = b.tracking(spark, sf)
+    p = geometry.pairs(t.withColumn("h", F.radians("dir")), ["play", "frame"], "obj", F.lit(True), F.lit(True), ["x", "y"])
+    own = t.select("play", "frame", F.col("obj").alias("a"), "s", F.radians("dir").alias("h"))
+    value = geometry.influence(-F.col("d_x"), -F.col("d_y"), F.col("s"), F.col("h"))
+    return rounded(p.join(own, ["play", "frame", "a"]).groupBy("play", "frame", F.col("a").alias("obj")).agg(F.sum(value).alias("influence")))
+
+
+@query()
+def feat12_cell_area(spark, sf):
+    t = b.tracking(spark, sf)
+    site = F.struct("obj", F.struct("x", "y").alias("at"))
+    per = t.groupBy("play", "frame").agg(F.collect_list(site).alias("sites"))
+    j = t.join(per, ["play", "frame"])
+    others = F.transform(F.filter("sites", lambda s: s["obj"] != F.col("obj")), lambda s: s["at"])
+    return rounded(j.select("play", "frame", "obj", geometry.carrier_area(F.col("x"), F.col("y"), others).alias("area")), 6)
+
+
+# -- scores --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.BINARY}, c AS (SELECT *, greatest(least(p, 1 - 1e-12), 1e-12) AS q, 0.4::DOUBLE AS np FROM bin WHERE NOT is_cal),
+  v AS (SELECT cell, game, y - p AS bias, (p - y) ** 2 AS brier, -(y * ln(q) + (1 - y) * ln(1 - q)) AS log_loss, (np - y) ** 2 AS null_brier, -(q * ln(q) + (1 - q) * ln(1 - q)) AS entropy FROM c),
+  pl AS (SELECT cell, count(*) AS n, avg(brier) AS pb, avg(log_loss) AS pll, avg(null_brier) AS pn, avg(bias) AS pbi, avg(entropy) AS pe FROM v GROUP BY cell),
+  g AS (SELECT cell, game, avg(brier) AS b, avg(log_loss) AS l, avg(null_brier) AS n, avg(bias) AS bi, avg(entropy) AS e FROM v GROUP BY ALL),
+  gm AS (SELECT cell, avg(b) AS gb, avg(l) AS gl, avg(n) AS gn, avg(bi) AS gbi, avg(e) AS ge FROM g GROUP BY cell)
+  SELECT cell, n, {r('pb', 'play_brier')}, {r('pll', 'play_log_loss')}, {r('pn', 'play_null_brier')}, {r('pbi', 'play_bias')}, {r('pe', 'play_entropy')}, {r('gb', 'game_brier')}, {r('gl', 'game_log_loss')},
+    {r('gn', 'game_null_brier')}, {r('gbi', 'game_bias')}, {r('ge', 'game_entropy')}, {r('1 - pb / pn', 'play_skill')}, {r('1 - gb / gn', 'game_skill')} FROM pl JOIN gm USING (cell)""")
+def met11_binary_row(spark, sf):
+    t = b.binary(spark, sf).where("not is_cal").withColumn("np", F.lit(0.4))
+    return rounded(scores.binary_row(t, ["cell"], "game", "p", "y", "np"))
+
+
+_CRPS = f"""{b.PMFS}, c AS (SELECT "row", any_value(game) AS game, any_value(cell) AS cell, sum((cdf - CASE WHEN k >= y THEN 1 ELSE 0 END) ** 2) AS ss, count(*) AS kk, sum(p * k) AS m,
+  sum(p * k * k) AS m2, -sum(p * ln(p)) AS ent FROM pmf GROUP BY "row")"""
+
+
+@query(f'WITH {_CRPS} SELECT "row", {r("ss / kk", "crps")}, {r("ss / 199", "crps_199")}, {r("m", "mean")}, {r("sqrt(m2 - m * m)", "sd", 5)}, {r("ent", "entropy")} FROM c')
+def met3_crps(spark, sf):
+    p = b.pmfs(spark, sf)
+    out = p.select("row", scores.crps(F.col("pmf"), F.col("y")).alias("crps"), (scores.crps_sum(F.col("pmf"), F.col("y")) / 199).alias("crps_199"), fn.pmf_mean(F.col("pmf")).alias("mean"),
+                   fn.pmf_sd(F.col("pmf")).alias("sd"), fn.pmf_entropy(F.col("pmf")).alias("entropy"))
+    return rounded(out).withColumn("sd", F.round("sd", 5) + 0.0)
+
+
+@query(f"WITH {_CRPS}, g AS (SELECT cell, game, avg(ss / kk) AS v FROM c GROUP BY ALL) SELECT cell, {r('avg(v)', 'crps')} FROM g GROUP BY cell")
+def agg9_game_equal(spark, sf):
+    p = b.pmfs(spark, sf)
+    return rounded(scores.game_equal(p, ["cell"], "game", {"crps": scores.crps(F.col("pmf"), F.col("y"))}))
+
+
+@query(f"WITH {b.BINARY}, g AS (SELECT cell, game, quantile_cont(abs(y - p), 0.9) AS v FROM bin GROUP BY ALL) SELECT cell, {r('avg(v)', 'quantile')} FROM g GROUP BY cell")
+def agg11_game_equal_quantile(spark, sf):
+    return rounded(scores.game_equal_quantile(b.binary(spark, sf), ["cell"], "game", F.abs(F.col("y") - F.col("p")), 0.9))
+
+
+@query(f"WITH {b.BINARY}, g AS (SELECT cell, game, avg((p - y) ** 2) AS v FROM bin WHERE y = 1 GROUP BY ALL) SELECT cell, {r('avg(v)', 'positive_brier')} FROM g GROUP BY cell")
+def agg10_game_equal_label(spark, sf):
+    t = b.binary(spark, sf)
+    value = F.when(F.col("y") == 1, scores.brier(F.col("p"), F.col("y")))
+    return rounded(scores.game_equal(t, ["cell"], "game", {"positive_brier": value}))
+
+
+@query(f"""WITH {b.BINARY}, q AS (SELECT cell, list_distinct([quantile_cont(p, k / 10.0::DOUBLE) FOR k IN [1]]) AS c FROM bin WHERE is_cal GROUP BY cell),
+  cuts AS (SELECT DISTINCT cell, unnest(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS c FROM bin WHERE is_cal GROUP BY cell),
+  t AS (SELECT b."row", b.cell, any_value(y) AS y, any_value(p) AS p, count(c) AS k FROM bin b LEFT JOIN cuts ON cuts.cell = b.cell AND c <= p WHERE NOT is_cal GROUP BY ALL),
+  n AS (SELECT cell, k, count(*) AS n, avg(y) - avg(p) AS gap FROM t GROUP BY ALL)
+  SELECT cell, {r('sqrt(sum(n * gap * gap) / sum(n))', 'reliability')}, count(*) AS n_bins FROM n GROUP BY cell""".replace("q AS (SELECT cell, list_distinct([quantile_cont(p, k / 10.0::DOUBLE) FOR k IN [1]]) AS c FROM bin WHERE is_cal GROUP BY cell),\n  ", ""))
+def met8_reliability(spark, sf):
+    t = b.binary(spark, sf)
+    return rounded(scores.reliability(t.where("is_cal"), t.where("not is_cal"), ["cell"], "p", "y"))
+
+
+_PATH = f"{b.TRACKING}, e AS (SELECT play, sum((x - 50) ** 2 + (y - 25) ** 2) AS sse, count(*) AS n_points FROM tracking GROUP BY play)"
+
+
+@query(f"WITH {_PATH} SELECT play, {r('sse', 'sse', 5)}, n_points, {r('sse / (2 * n_points)', 'mse', 5)} FROM e")
+def met5_path_errors(spark, sf):
+    return rounded(scores.path_errors(b.tracking(spark, sf), "play", F.col("x") - 50, F.col("y") - 25), 5)
+
+
+@query(f"WITH {_PATH} SELECT play % 10 AS cell, {r('sqrt(sum(sse) / (2 * sum(n_points)))', 'rmse')} FROM e GROUP BY ALL")
+def met6_pooled_rmse(spark, sf):
+    e = scores.path_errors(b.tracking(spark, sf), "play", F.col("x") - 50, F.col("y") - 25)
+    return rounded(scores.pooled_rmse(e.withColumn("cell", F.col("play") % 10), ["cell"]))
+
+
+@query(f"""WITH {b.PMFS}, t AS (SELECT DISTINCT "row", cell, y FROM pmf WHERE is_cal), n AS (SELECT cell, y AS k, count(*) AS n FROM t GROUP BY ALL),
+  s AS (SELECT cell, cast(k AS INTEGER) AS k FROM (SELECT DISTINCT cell FROM t), range(64) AS x(k)), f AS (SELECT cell, k, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (cell, k))
+  SELECT cell, k, {r('n / sum(n) OVER (PARTITION BY cell)', 'p')}, {r('sum(n) OVER (PARTITION BY cell ORDER BY k) / sum(n) OVER (PARTITION BY cell)', 'cdf')} FROM f""")
+def enc6_empirical_null(spark, sf):
+    return rounded(scores.empirical_null(b.pmfs(spark, sf).where("is_cal"), ["cell"], "y", 64))
+
+
+@query(f"WITH {b.BINARY} SELECT cell, {r('(sum(y) + 0.5::DOUBLE) / (count(*) + 1)', 'prevalence')} FROM bin WHERE is_cal GROUP BY cell")
+def enc7_prevalence(spark, sf):
+    return rounded(scores.prevalence(b.binary(spark, sf).where("is_cal"), ["cell"], "y"))
+
+
+# -- conformal -----------------------------------------------------------------------------------------------
+
+_PICK = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}game ORDER BY "row") - 1 AS i, count(*) OVER (PARTITION BY {by}game) AS n FROM {src})
+  WHERE i = cast('0x' || substr(sha256('rows|{seed}|' || game), 1, 16) AS UBIGINT) % n)"""
+_ITV = f"""{b.PMFS}, itv AS (SELECT "row", any_value(game) AS game, any_value(cell) AS cell, any_value(y) AS y, any_value(is_cal) AS is_cal, min(k) FILTER (cdf >= 0.05 - 1e-12) AS lo, min(k) FILTER (cdf >= 0.95 - 1e-12) AS hi FROM pmf GROUP BY "row")"""
+
+
+def _intervals(spark, sf):
+    p = b.pmfs(spark, sf)
+    lo, hi = conformal.central_interval(F.col("pmf"), 0.1)
+    return p.select("row", "game", "cell", "y", "is_cal", lo.alias("lo"), hi.alias("hi"))
+
+
+@query(f'WITH {_ITV} SELECT "row", cast(lo AS INTEGER) AS lo, cast(hi AS INTEGER) AS hi, cast(greatest(lo - y, y - hi, 0) AS INTEGER) AS score FROM itv')
+def cal1_central_interval(spark, sf):
+    i = _intervals(spark, sf)
+    return i.select("row", "lo", "hi", conformal.interval_score(F.col("lo"), F.col("hi"), F.col("y")).alias("score"))
+
+
+@query(f"""WITH {_ITV}, s AS (SELECT cell, greatest(lo - y, y - hi, 0) AS v FROM itv WHERE is_cal),
+  k AS (SELECT cell, v, row_number() OVER (PARTITION BY cell ORDER BY v) AS i, count(*) OVER (PARTITION BY cell) AS n FROM s)
+  SELECT cell, max(n) AS n_cal, cast(ceil((max(n) + 1) * 0.9::DOUBLE - 1e-9) AS BIGINT) AS rank,
+    cast(coalesce(max(v) FILTER (i = cast(ceil((n + 1) * 0.9::DOUBLE - 1e-9) AS BIGINT)), 64) AS DOUBLE) AS quantile FROM k GROUP BY cell""")
+def cal3_split_quantile(spark, sf):
+    i = _intervals(spark, sf).where("is_cal").withColumn("s", conformal.interval_score(F.col("lo"), F.col("hi"), F.col("y")))
+    return conformal.split_quantile(i, ["cell"], "s", 0.1, 64.0)
+
+
+@query(f"""WITH {_ITV}, cal AS {_PICK.format(by='cell, ', src='itv WHERE is_cal', seed=9)}, s AS (SELECT cell, greatest(lo - y, y - hi, 0) AS v FROM cal),
+  k AS (SELECT cell, v, row_number() OVER (PARTITION BY cell ORDER BY v) AS i, count(*) OVER (PARTITION BY cell) AS n FROM s),
+  q AS (SELECT cell, coalesce(max(v) FILTER (i = ceil((n + 1) * 0.9::DOUBLE - 1e-9)), 64) AS q FROM k GROUP BY cell),
+  t AS (SELECT "row", cell, y, greatest(0, lo - q) AS lower, least(63, hi + q) AS upper FROM itv JOIN q USING (cell) WHERE NOT is_cal)
+  SELECT "row", cast(lower AS BIGINT) AS lower, cast(upper AS BIGINT) AS upper, cast(upper - lower AS BIGINT) AS width, y BETWEEN lower AND upper AS hit FROM t""")
+def cal5_clustered_intervals(spark, sf):
+    i = _intervals(spark, sf)
+    out = conformal.clustered_intervals(i.where("is_cal"), i.where("not is_cal"), ["cell"], "game", "row", "lo", "hi", "y", 64, 0.1, 9)
+    return out.select("row", "lower", "upper", "width", "hit")
+
+
+def _label_quantile(label: int) -> str:
+    return f"""c{label} AS {_PICK.format(by='cell, ', src=f'bin WHERE is_cal AND y = {label}', seed=5 + label)},
+  k{label} AS (SELECT cell, {'1 - p' if label else 'p'} AS v, row_number() OVER (PARTITION BY cell ORDER BY {'1 - p' if label else 'p'}) AS i, count(*) OVER (PARTITION BY cell) AS n FROM c{label}),
+  q{label} AS (SELECT cell, coalesce(max(v) FILTER (i = ceil((n + 1) * 0.9::DOUBLE - 1e-9)), 1) AS q{label} FROM k{label} GROUP BY cell)"""
+
+
+@query(f"""WITH {b.BINARY}, {_label_quantile(0)}, {_label_quantile(1)},
+  t AS (SELECT "row", p <= coalesce(q0, 1) + 1e-12 AS in0, 1 - p <= coalesce(q1, 1) + 1e-12 AS in1 FROM bin LEFT JOIN q0 USING (cell) LEFT JOIN q1 USING (cell) WHERE NOT is_cal)
+  SELECT "row", in0, in1, in0::INTEGER + in1::INTEGER AS set_size FROM t""")
+def cal7_label_sets(spark, sf):
+    t = b.binary(spark, sf)
+    out = conformal.label_sets(t.where("is_cal"), t.where("not is_cal"), ["cell"], "game", "row", "p", "y", 0.1, 5)
+    return out.select("row", "in0", "in1", "set_size")
+
+
+@query(f"""WITH {b.BINARY} SELECT cell, game, "row", y FROM (SELECT *, row_number() OVER (PARTITION BY cell, game ORDER BY sha256(concat_ws('|', '3', cell, game, "row")), "row") AS i FROM bin) WHERE i = 1""")
+def win19_smallest_digest(spark, sf):
+    return conformal.smallest_digest(b.binary(spark, sf), ["cell"], "game", "row", 3).select("cell", "game", "row", "y")
+
+
+@query(f"""WITH {b.BINARY} SELECT game, "row", y FROM {_PICK.format(by='', src='bin', seed=17)}""")
+def win18_one_per_game(spark, sf):
+    return conformal.one_per_game(b.binary(spark, sf), [], "game", "row", 17).select("game", "row", "y")
+
+
+def _points(spark, sf):
+    t = b.binary(spark, sf)
+    return t.select("cell", F.round("p", 1).alias("x"), F.col("y").cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+_ISO = f"""{b.BINARY}, g AS (SELECT cell, round(p, 1) AS x, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS wy FROM bin GROUP BY ALL),
+  seg AS (SELECT a.cell, a.x AS xa, c.x AS xb, sum(m.wy) / sum(m.w) AS mean FROM g a JOIN g c ON a.cell = c.cell AND a.x <= c.x JOIN g m ON m.cell = a.cell AND m.x BETWEEN a.x AND c.x GROUP BY ALL),
+  lo AS (SELECT g.cell, g.x, xa, min(mean) AS v FROM g JOIN seg ON seg.cell = g.cell AND xa <= g.x AND xb >= g.x GROUP BY ALL)"""
+
+
+@query(f"WITH {_ISO} SELECT lo.cell, {r('lo.x', 'x')}, any_value(g.w) AS weight, {r('max(v)', 'fitted')} FROM lo JOIN g USING (cell, x) GROUP BY lo.cell, lo.x")
+def cal11_isotonic(spark, sf):
+    return rounded(conformal.isotonic(_points(spark, sf), ["cell"], "x", "y", "w"))
+
+
+@query(f"""WITH {b.BINARY}, g AS (SELECT cell, round(p, 1) AS x, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS wy FROM bin WHERE is_cal GROUP BY ALL),
+  t AS (SELECT DISTINCT cell, round(p, 1) AS t FROM bin WHERE NOT is_cal), lab AS (SELECT unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS lab),
+  u AS (SELECT cell, t, lab, x, w + CASE WHEN x = t THEN 1 ELSE 0 END AS w, wy + CASE WHEN x = t THEN lab ELSE 0 END AS wy FROM t JOIN g USING (cell), lab
+    UNION ALL SELECT cell, t, lab, t, 1, lab FROM t, lab WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.cell = t.cell AND g.x = t.t)),
+  seg AS (SELECT a.cell, a.t, a.lab, a.x AS xa, c.x AS xb, sum(m.wy) / sum(m.w) AS mean FROM u a JOIN u c ON a.cell = c.cell AND a.t = c.t AND a.lab = c.lab AND a.x <= a.t AND c.x >= c.t
+    JOIN u m ON m.cell = a.cell AND m.t = a.t AND m.lab = a.lab AND m.x BETWEEN a.x AND c.x GROUP BY ALL),
+  lo AS (SELECT cell, t, lab, xa, min(mean) AS v FROM seg GROUP BY ALL), f AS (SELECT cell, t, max(v) FILTER (lab = 0) AS p0, max(v) FILTER (lab = 1) AS p1 FROM (SELECT cell, t, lab, max(v) AS v FROM lo GROUP BY ALL) GROUP BY ALL)
+  SELECT "row", {r('p0', 'p0')}, {r('p1', 'p1')}, {r('p1 / (1 - p0 + p1)', 'point')}, {r('p1 - p0', 'imprecision')} FROM bin JOIN f ON f.cell = bin.cell AND f.t = round(bin.p, 1) WHERE NOT is_cal""")
+def cal8_venn_abers(spark, sf):
+    t = b.binary(spark, sf)
+    out = conformal.venn_abers(t.where("is_cal"), t.where("not is_cal"), ["cell"], "p", "y", 1)
+    return rounded(out.select("row", "p0", "p1", "point", "imprecision"))
+
+
+@query()
+def cal4_local_padding(spark, sf):
+    p = b.pmfs(spark, sf)
+    lo, hi = conformal.central_interval(F.col("pmf"), 0.1)
+    f = p.select("row", "cell", "is_cal", fn.pmf_mean(F.col("pmf")).alias("m"), fn.pmf_sd(F.col("pmf")).alias("s"), fn.pmf_entropy(F.col("pmf")).alias("h"), conformal.interval_score(lo, hi, F.col("y")).alias("score"))
+    return conformal.local_padding(f.where("is_cal"), f.where("not is_cal"), ["cell"], ["m", "s", "h"], "score", 0.1, 20).select("row", F.col("padding").cast("long").alias("padding"))
+
+
+def _paths(spark, sf):
+    l_ = b.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.abs(F.col("l_quantity") - 25)).alias("radial"))
+    o = b.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("game"))
+    return l_.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("row"), "game", F.col("l_linenumber").alias("h"), "radial")
+
+
+_PATHS = """paths AS (SELECT l_orderkey AS "row", o_custkey % 200 AS game, l_linenumber AS h, max(abs(l_quantity - 25)) AS radial FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PATHS}, sc AS (SELECT h, max(radial) / 2 AS scale FROM paths GROUP BY h), s AS (SELECT "row", game, max(radial / scale) AS score, avg(scale) AS m FROM paths JOIN sc USING (h) GROUP BY ALL),
+  c AS {_PICK.format(by='', src='s WHERE "row" % 2 = 0', seed=4)}, k AS (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM c),
+  q AS (SELECT coalesce(max(score) FILTER (i = ceil((n + 1) * 0.9::DOUBLE - 1e-9)), 1e6) AS q FROM k)
+  SELECT "row", game, {r('score', 'score')}, score <= q + 1e-12 AS covered, {r('2 * q * m', 'diameter')} FROM s, q WHERE "row" % 2 = 1""")
+def cal9_path_tube(spark, sf):
+    p = _paths(spark, sf)
+    scale = p.groupBy("h").agg((F.max("radial") / 2).alias("scale"))
+    return rounded(conformal.path_tube(p.where("row % 2 = 0"), p.where("row % 2 = 1"), scale, "row", "game", "h", "radial", 0.1, 4))
+
+
+@query()
+def cal10_horizon_scale(spark, sf):
+    m = _paths(spark, sf).groupBy("h", (F.col("game") % 5).alias("fold")).agg(F.percentile("radial", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    return rounded(conformal.horizon_scale(m, "h", "median", "n"))
+
+
+# -- split design --------------------------------------------------------------------------------------------
+
+_CAPS = f"{b.GAMES}, caps AS (SELECT stratum, count(*) AS capacity FROM games GROUP BY stratum)"
+
+
+def _alloc(name: str, total: str) -> str:
+    return f"""{name}0 AS (SELECT *, ({total}) * capacity // s AS base, ({total}) * capacity % s AS rem FROM (SELECT *, sum(capacity) OVER ()::BIGINT AS s FROM caps)),
+  {name} AS (SELECT stratum, capacity, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, stratum) <= ({total}) - sum(base) OVER () THEN 1 ELSE 0 END AS allocation FROM {name}0)"""
+
+
+@query(f"WITH {_CAPS}, {_alloc('al', '137')} SELECT stratum, capacity, cast(allocation AS BIGINT) AS allocation FROM al")
+def des4_largest_remainder(spark, sf):
+    caps = b.games(spark, sf).groupBy("stratum").agg(F.count("*").alias("capacity"))
+    return design.largest_remainder(caps, [], "stratum", "capacity", F.lit(137))
+
+
+@query(f"""WITH {_CAPS}, {_alloc('al', '200')}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat_ws('|', game, 'development', 7)), game) AS place FROM games)
+  SELECT game, stratum, place <= allocation AS held_out FROM k JOIN al USING (stratum)""")
+def des5_hold_out(spark, sf):
+    return design.hold_out(b.games(spark, sf), "game", "stratum", 200, 7).select("game", "stratum", "held_out")
+
+
+_ROLES = {"train": 120, "calibration": 60, "test": 80}
+_SPLITS = f"""{_CAPS}, {_alloc('tr', '120')}, {_alloc('ca', '60')}, {_alloc('te', '80')},
+  k AS (SELECT r.r AS repeat, game, stratum, row_number() OVER (PARTITION BY r.r, stratum ORDER BY sha256(concat_ws('|', game, 'outer', r.r + 11)), game) AS place FROM games, range(1, 11) AS r(r)),
+  splits AS (SELECT repeat, game, k.stratum, CASE WHEN place <= tr.allocation THEN 'train' WHEN place <= tr.allocation + ca.allocation THEN 'calibration'
+    WHEN place <= tr.allocation + ca.allocation + te.allocation THEN 'test' END AS role, place FROM k JOIN tr USING (stratum) JOIN ca USING (stratum) JOIN te USING (stratum))"""
+
+
+def _splits(spark, sf):
+    return design.outer_splits(b.games(spark, sf), "game", "stratum", 10, _ROLES, 11)
+
+
+@query(f"WITH {_SPLITS} SELECT cast(repeat AS INTEGER) AS repeat, game, stratum, role FROM splits")
+def des7_outer_splits(spark, sf):
+    return _splits(spark, sf).select("repeat", "game", "stratum", "role")
+
+
+_ORDER = """ord AS (SELECT repeat, game, stratum, row_number() OVER (PARTITION BY repeat ORDER BY (2 * i - 1) / (2 * c), stratum) AS train_order FROM (
+  SELECT *, count(*) OVER (PARTITION BY repeat, stratum) AS c, row_number() OVER (PARTITION BY repeat, stratum ORDER BY place) AS i FROM splits WHERE role = 'train'))"""
+
+
+@query(f"WITH {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, game, cast(train_order AS INTEGER) AS train_order FROM ord")
+def des8_balanced_order(spark, sf):
+    t = _splits(spark, sf).where("role = 'train'")
+    return design.balanced_order(t, ["repeat"], "game", "stratum", "place").select("repeat", "game", "train_order")
+
+
+@query(f"WITH {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, n_train, count(*) AS games, min(game) AS first_game FROM ord, (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL")
+def des9_nested_anchors(spark, sf):
+    t = design.balanced_order(_splits(spark, sf).where("role = 'train'"), ["repeat"], "game", "stratum", "place")
+    return design.nested_anchors(t, [20, 40, 80, 120]).groupBy("repeat", "n_train").agg(F.count("*").alias("games"), F.min("game").alias("first_game"))
+
+
+@query(f"""WITH {_CAPS}, a AS (SELECT unnest([20, 40, 80, 120]) AS n_train), z AS (SELECT *, n_train * capacity // s AS base, n_train * capacity % s AS rem FROM a, (SELECT *, sum(capacity) OVER ()::BIGINT AS s FROM caps)),
+  al AS (SELECT stratum, capacity, n_train, base + CASE WHEN row_number() OVER (PARTITION BY n_train ORDER BY rem DESC, stratum) <= n_train - sum(base) OVER (PARTITION BY n_train) THEN 1 ELSE 0 END AS allocation FROM z)
+  SELECT stratum, capacity, n_train, cast(allocation AS BIGINT) AS allocation, coalesce(allocation < lag(allocation) OVER (PARTITION BY stratum ORDER BY n_train), false) AS shrinks FROM al""")
+def des10_proportional_anchors(spark, sf):
+    caps = b.games(spark, sf).groupBy("stratum").agg(F.count("*").alias("capacity"))
+    return design.proportional_anchors(caps, "stratum", "capacity", [20, 40, 80, 120])
+
+
+@query(f"""WITH {_CAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat_ws('|', game, 'folds', 3)), game) AS place FROM games),
+  s AS (SELECT stratum, coalesce(sum(capacity) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM caps)
+  SELECT game, stratum, cast((start + place - 1) % 5 AS INTEGER) AS fold FROM k JOIN s USING (stratum)""")
+def des6_folds(spark, sf):
+    return design.folds(b.games(spark, sf), "game", "stratum", 5, 3).select("game", "stratum", "fold")
+
+
+@query(f"WITH {_SPLITS} SELECT cast(repeat AS INTEGER) AS repeat, role, sha256(string_agg(game::VARCHAR, ',' ORDER BY game::VARCHAR)) AS fingerprint, count(*) AS n_games FROM splits WHERE role IS NOT NULL GROUP BY ALL")
+def des14_fingerprint(spark, sf):
+    return design.fingerprint(_splits(spark, sf).where("role is not null"), ["repeat", "role"], "game")
+
+
+@query(f"WITH {_SPLITS}, m AS (SELECT repeat, game, role FROM splits UNION ALL SELECT 1, game, 'test' FROM games WHERE game % 7 = 0) SELECT cast(repeat AS INTEGER) AS repeat, game, count(DISTINCT role) AS n_roles FROM m WHERE role IS NOT NULL GROUP BY ALL HAVING count(DISTINCT role) > 1")
+def set5_split_violations(spark, sf):
+    s = _splits(spark, sf).select("repeat", "game", "role")
+    more = b.games(spark, sf).where("game % 7 = 0").select(F.lit(1).alias("repeat"), "game", F.lit("test").alias("role"))
+    return design.split_violations(s.unionByName(more), "game")
+
+
+# -- inference and decisions ---------------------------------------------------------------------------------
+
+_DRAWS = """draws AS (SELECT d.d AS draw, i.i AS i, cast('0x' || substr(md5(concat_ws('|', '42', d.d, i.i)), 1, 8) AS BIGINT) % 20 AS k FROM range(1, 201) AS d(d), range(20) AS i(i))"""
+_EPS = repr(inference.EPS)
+
+
+def _max_t(source: str, ids: str, value: str, level: float, two_sided: bool) -> str:
+    """CTE ci: simultaneous intervals of the mean of ``value`` over the 20 repeats of every estimand."""
+    least = repr(fn.t_critical(level, 19, two_sided))
+    se = lambda m, s, n: f"greatest({s} / sqrt({n}), {_EPS} * greatest(abs({m}), 1.0::DOUBLE), 1e-15)"
+    return f"""{_DRAWS},
+  est AS (SELECT {ids}, avg({value}) AS m, stddev_samp({value}) AS s, count(*) AS n FROM {source} GROUP BY ALL),
+  boot AS (SELECT {ids}, draw, avg({value}) AS bm, stddev_samp({value}) AS bs FROM {source} JOIN draws ON k = repeat - 1 GROUP BY ALL),
+  mt AS (SELECT draw, max({'abs' if two_sided else ''}((bm - m) / {se('bm', 'bs', '20')})) AS t FROM boot JOIN est USING ({ids}) GROUP BY draw),
+  crit AS (SELECT greatest(max(t) FILTER (i = ceil({level} * (c - 1) - 1e-9) + 1), {least}) AS critical FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS c FROM mt)),
+  ci AS (SELECT {ids}, m AS mean, {se('m', 's', 'n')} AS se, critical, m - critical * {se('m', 's', 'n')} AS lower, m + critical * {se('m', 's', 'n')} AS upper FROM est, crit)"""
+
+
+_LOSS_DIFFS = f'{b.PANEL}, {_PAIRS}, ds AS (SELECT repeat, n_train, "left", "right", v AS difference FROM diffs)'
+_CI = f"""{_LOSS_DIFFS}, {_max_t('ds', 'n_train, "left", "right"', 'difference', 0.95, True)}"""
+
+
+def _ci(spark, sf, metric="loss", level=0.95):
+    d = panel.paired_models(b.panel(spark, sf), metric)
+    return inference.max_t_intervals(d, ["n_train", "left", "right"], 20, 200, 42, level)
+
+
+@query(f'WITH {_CI} SELECT n_train, "left", "right", {r("mean", "mean", 8)}, {r("se", "se", 8)}, {r("critical", "critical", 6)}, {r("lower", "lower", 7)}, {r("upper", "upper", 7)} FROM ci')
+def inf2_max_t(spark, sf):
+    i = _ci(spark, sf)
+    digits = {"mean": 8, "se": 8, "critical": 6, "lower": 7, "upper": 7}
+    return i.select("n_train", "left", "right", *[(F.round(c, k) + 0.0).alias(c) for c, k in digits.items()])
+
+
+@query(f"""WITH {b.PANEL}, {_max_t('panel', 'model, n_train', 'coverage', 0.95, False)}
+  SELECT model, n_train, {r('mean', 'mean', 8)}, {r('greatest(0, lower)', 'lower', 7)}, greatest(0, lower) >= 0.88 AS reaches FROM ci""")
+def inf3_lower_bounds(spark, sf):
+    i = inference.lower_bounds(b.panel(spark, sf), "coverage", ["model", "n_train"], 20, 200, 42, 0.88)
+    return i.select("model", "n_train", (F.round("mean", 8) + 0.0).alias("mean"), (F.round("lower", 7) + 0.0).alias("lower"), "reaches")
+
+
+@query()
+def inf5_bca_sd(spark, sf):
+    return rounded(inference.bca_sd(b.panel(spark, sf), "loss", ["model", "n_train"], 20, 200, 42), 6)
+
+
+_ORIENTED = """o AS (SELECT n_train, "left" AS model, "right" AS other, lower, upper FROM ci UNION ALL SELECT n_train, "right", "left", -upper, -lower FROM ci)"""
+
+
+@query(f"""WITH {_CI}, {_ORIENTED}, c AS (SELECT n_train, model, count_if(upper < 0) AS beats, count(*) AS others FROM o GROUP BY ALL)
+  SELECT n_train, max(model) FILTER (beats = others) AS supported_best, count_if(beats = others) AS n_best FROM c GROUP BY n_train""")
+def dec1_supported_best(spark, sf):
+    return inference.supported_best(_ci(spark, sf), ["n_train"])
+
+
+@query(f"""WITH {_CI}, {_ORIENTED} SELECT n_train, model, count_if(lower > 0) = 0 AS in_best_set FROM o GROUP BY ALL""")
+def inf8_best_set(spark, sf):
+    d = panel.paired_models(b.panel(spark, sf), "loss")
+    return inference.best_set(d, ["n_train"], 20, 200, 42)
+
+
+@query(f"""WITH {b.PANEL}, wd AS (SELECT repeat, n_train, a.model AS "left", c.model AS "right", a.width - c.width AS difference FROM panel a JOIN panel c USING (repeat, n_train) WHERE a.model < c.model),
+  {_max_t('wd', 'n_train, "left", "right"', 'difference', 0.95, True).replace('est AS', 'est AS').replace(' ci AS', ' wci AS')},
+  {_max_t('panel', 'model, n_train', 'coverage', 0.95, False).replace(_DRAWS + ',', '').replace(' est ', ' est2 ').replace('est AS', 'est2 AS').replace('JOIN est ', 'JOIN est2 ').replace('FROM est,', 'FROM est2,').replace('boot', 'boot2').replace('mt AS', 'mt2 AS').replace('FROM mt', 'FROM mt2').replace('crit AS', 'crit2 AS').replace('est2, crit)', 'est2, crit2)')},
+  bo AS (SELECT model, n_train, greatest(0, lower) >= 0.88 AS reaches FROM ci)
+  SELECT n_train, "left", "right", CASE WHEN NOT (x.reaches AND y.reaches) THEN 'not_qualified' WHEN upper < 0 THEN 'left_sharper' WHEN lower > 0 THEN 'right_sharper' ELSE 'inconclusive' END AS verdict
+  FROM wci JOIN bo x USING (n_train) JOIN bo y USING (n_train) WHERE x.model = "left" AND y.model = "right" """)
+def dec2_controlled_sharpness(spark, sf):
+    bounds = inference.lower_bounds(b.panel(spark, sf), "coverage", ["model", "n_train"], 20, 200, 42, 0.88)
+    return inference.controlled_sharpness(_ci(spark, sf, "width"), bounds, ["n_train"]).select("n_train", "left", "right", "verdict")
+
+
+@query(f"""WITH {_CI} SELECT CASE WHEN upper < 0 THEN 'supported' WHEN lower > 0 THEN 'opposite' ELSE 'inconclusive' END AS conclusion, count(*) AS n FROM ci GROUP BY ALL""")
+def dec3_conclusions(spark, sf):
+    return inference.classify(_ci(spark, sf)).groupBy("conclusion").agg(F.count("*").alias("n"))
+
+
+@query()
+def stat15_level_comparison(spark, sf):
+    return rounded(inference.level_comparison(_ci(spark, sf), _ci(spark, sf, level=0.9), ["n_train", "left", "right"]), 6)
+
+
+@query(f"""WITH {b.PANEL}, {_MEANS}, rk AS (SELECT n_train, {_RANK.format('mean')} <> {_RANK.format('other')} AS changed, max(mean) > 0.06 AS large FROM m GROUP BY n_train)
+  SELECT array_to_string(list_filter([CASE WHEN bool_or(changed) THEN 'ranking' END, CASE WHEN bool_or(large) THEN 'large_loss' END], lambda x: x IS NOT NULL), ',') AS reasons, bool_or(changed) OR bool_or(large) AS extend FROM rk""")
+def dec4_extension_trigger(spark, sf):
+    ch = panel.ranking_changes(_means(spark, sf), _means(spark, sf, "null_loss"), ["n_train"])
+    top = _means(spark, sf).groupBy("n_train").agg((F.max("mean") > 0.06).alias("large"))
+    out = inference.extension_trigger(ch.join(top, "n_train"), {"ranking": F.col("changed"), "large_loss": F.col("large")})
+    return out.select(F.array_join("reasons", ",").alias("reasons"), "extend")
+
+
+# -- encodings and fits --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH t AS (SELECT c_custkey, c_mktsegment AS cell, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS v FROM customer),
+  m AS (SELECT cell, quantile_cont(v, 0.5) AS md FROM t WHERE c_custkey % 3 > 0 GROUP BY cell), f AS (SELECT c_custkey, cell, coalesce(v, md) AS x FROM t JOIN m USING (cell)),
+  s AS (SELECT cell, avg(x) AS a, stddev_pop(x) AS d FROM f WHERE c_custkey % 3 > 0 GROUP BY cell) SELECT c_custkey, {r('(x - a) / CASE WHEN d > 1e-8 THEN d ELSE 1 END', 'z_v')} FROM f JOIN s USING (cell)""")
+def enc1_standardize(spark, sf):
+    t = b.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("cell"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal")).alias("v"))
+    return rounded(encode.standardize(t, ["cell"], F.col("c_custkey") % 3 > 0, ["v"]).select("c_custkey", "z_v"))
+
+
+_CAT = "t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS c, o_orderkey % 3 > 0 AND o_orderpriority <> '5-LOW' AS tr FROM orders)"
+
+
+@query(f"""WITH {_CAT}, n AS (SELECT c, count(*) AS n FROM t WHERE tr AND c IS NOT NULL GROUP BY c), fill AS (SELECT c FROM n ORDER BY n DESC, c LIMIT 1), k AS (SELECT DISTINCT c FROM t WHERE tr AND c IS NOT NULL)
+  SELECT o_orderkey, coalesce(t.c, fill.c) AS level, 1 AS indicator FROM t, fill WHERE coalesce(t.c, fill.c) IN (SELECT c FROM k)""")
+def enc2_one_hot(spark, sf):
+    t = b.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).alias("c"), ((F.col("o_orderkey") % 3 > 0) & (F.col("o_orderpriority") != "5-LOW")).alias("tr"))
+    return encode.one_hot(t, "o_orderkey", F.col("tr"), "c")
+
+
+@query("""SELECT c_custkey, 'c_name' AS "column", cast(cast('0x' || substr(sha256(CAST('c_name' AS BLOB) || '\\x00'::BLOB || CAST(c_name AS BLOB)), 1, 16) AS UBIGINT) % 8 AS BIGINT) AS bucket FROM customer
+  UNION ALL SELECT c_custkey, 'c_mktsegment', cast(cast('0x' || substr(sha256(CAST('c_mktsegment' AS BLOB) || '\\x00'::BLOB || CAST(c_mktsegment AS BLOB)), 1, 16) AS UBIGINT) % 8 AS BIGINT) FROM customer""")
+def enc3_hashed_context(spark, sf):
+    return encode.hashed_context(b.table(spark, sf, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query(f"""WITH {b.TRACKING} SELECT play % 4 AS cell, count(*) AS n, {r('avg(x)', 'x_mean', 8)}, {r('stddev_pop(x)', 'x_sd', 8)}, {r('avg(s)', 's_mean', 8)}, {r('stddev_pop(s)', 's_sd', 8)} FROM tracking WHERE offense GROUP BY ALL""")
+def enc4_masked_scaler(spark, sf):
+    t = b.tracking(spark, sf).withColumn("cell", F.col("play") % 4)
+    return rounded(encode.masked_scaler(t, ["cell"], F.col("offense"), ["x", "s"]), 8)
+
+
+@query(f"""WITH {b.PMFS} SELECT "row", cast(k AS INTEGER) AS k, {r('k / 63.0::DOUBLE', 't')}, {r('sqrt(k / 63.0::DOUBLE)', 'root')}, {r('(k / 63.0::DOUBLE) ** 2', 'square')}, {r('cdf', 'base')} FROM pmf WHERE k < 63""")
+def enc8_threshold_rows(spark, sf):
+    p = b.pmfs(spark, sf).select("row", fn.cumulative(F.col("pmf")).alias("cdf"))
+    return rounded(encode.threshold_rows(p, "row", "cdf", 64))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, cast(h AS INTEGER) AS h, {r('h / 10.0::DOUBLE', 't')}, {r('sqrt(h / 10.0::DOUBLE)', 'root')}, {r('(h / 10.0::DOUBLE) ** 2', 'square')}
+  FROM lineitem, range(1, 11) AS r(h) WHERE h <= l_linenumber""".replace("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, ", "l_orderkey, "))
+def enc9_horizon_rows(spark, sf):
+    return rounded(encode.horizon_rows(b.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", 10))
+
+
+def _ridge_rows(spark, sf):
+    l_ = b.table(spark, sf, "lineitem")
+    return l_.select((F.col("l_orderkey") % 7).alias("cell"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_tax") * 100).alias("t"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@query()
+def ml2_ridge(spark, sf):
+    m = encode.ridge_moments(_ridge_rows(spark, sf), ["cell"], ["q", "t"], "y")
+    beta = encode.ridge_fit(m, ["cell"], 3, 1.0)
+    return beta.select("cell", *[(F.round(F.get("beta", F.lit(i)), 6) + 0.0).alias(f"b{i}") for i in range(3)])
+
+
+@query(f"""WITH {b.TRACKING} SELECT 'x' AS channel, count(*) AS n, {r('sum(x)', 'total', 4)} FROM tracking""")
+def snk1_token_totals(spark, sf):
+    return rounded(b.tracking(spark, sf).agg(F.lit("x").alias("channel"), F.count("*").alias("n"), F.sum("x").alias("total")), 4)
