@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm._spark import cut
+from fieldlens.llm._spark import cut, may_be_in
 
 #: Nodes of more rows than this are branched further (or swept once components are known).
 SMALL_NODE = 64
@@ -44,6 +44,7 @@ def similarity_components(
     verify: Callable[[DataFrame], DataFrame],
     centre: Callable[[DataFrame], DataFrame] | None = None,
     sweep: Callable[[DataFrame, int | None], DataFrame] | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of members that meet in candidate nodes.
 
@@ -52,7 +53,8 @@ def similarity_components(
     makes a cheap necessary condition. ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that
     are links. ``centre`` maps the rows of large nodes (node, id and carried columns) to one central member of
     each, as ``(node, c_id, c_<carried>)``. ``sweep`` maps rows (node, id, comp) to candidate pairs of different
-    components within a node, the best few of each member or all; by default all, by a join under ``plausible``.
+    components within a node, the best few of each member or all. ``settle``, where given instead, maps them to
+    links that it has verified itself, enough of them to join what is linked.
 
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
     links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
@@ -68,6 +70,9 @@ def similarity_components(
     pairs: DataFrame | None = None
     for level, key in enumerate(keys):
         rest = keys[level + 1 :]
+        if level == 0:  # most rows are alone in their node and go before anything heavier than a count
+            repeated = rows.groupBy(key).agg(F.count("*").alias("node_n")).where("node_n > 1").select(key)
+            rows = may_be_in(rows, F.col(key), repeated, key)
         nodes = rows.groupBy(key).agg(F.count("*").alias("node_n"), F.min(F.struct("rank", "id", *carried)).alias("p")).where("node_n > 1")
         nodes = nodes.select(key, "node_n", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ["id", *carried]])
         met = rows.join(nodes, key)
@@ -90,21 +95,17 @@ def similarity_components(
     for f in final[1:]:
         leaves = leaves.union(f)
     # First the likeliest partners of each member, then, where that left components apart, all others.
-    for best in (4, None) if sweep is not None else (None,):
+    for best in (4, None) if settle is None else (None,):
         held = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        held = cut(held.join(mixed, "node").dropDuplicates(["node", "id"]), "leaves")
-        if sweep is not None:
-            across = sweep(held.select("node", "id", "comp"), best)
+        held = cut(held.join(mixed, "node").select("node", "id", "comp").dropDuplicates(["node", "id"]), "leaves")
+        if settle is not None:
+            more = cut(settle(held).distinct(), "links")
         else:
-            left = held.select("node", *[F.col(c).alias(f"l_{c}") for c in ["id", "comp", *carried]])
-            right = held.select("node", *[F.col(c).alias(f"r_{c}") for c in ["id", "comp", *carried]])
-            across = left.join(right, (left["node"] == right["node"]) & (F.col("l_comp") < F.col("r_comp")) & plausible("l_", "r_"))
-            across = across.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = cut(verify(across), "links")
-        tried = tried.union(across)
+            across = sweep(held, best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = cut(verify(across), "links")
+            tried = tried.union(across)
         if not more.isEmpty():
             links = links.union(more)
             comps = cut(connected_components(links), "comps")

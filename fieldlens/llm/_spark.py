@@ -30,7 +30,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     outlives the executor that wrote it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -57,20 +57,21 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINES = "key long, doc_id long, line_no int, id long, n int, paths array<array<long>>, line string"
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    out = []
+    for first, last, data, offsets in tx.slices(texts):
+        values, at = tx.char_shingles(data, offsets[:-1], offsets[1:], CHARS)
+        out += [np.unique(values[at[i] : at[i + 1]]) for i in range(last - first)]
+    return out
+
+
 def _similar(percent: int):
     """mapInArrow function that keeps pairs of lines whose shingle sets reach the similarity."""
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        out = []
-        for first, last, data, offsets in tx.slices(texts):
-            values, at = tx.char_shingles(data, offsets[:-1], offsets[1:], CHARS)
-            out += [np.unique(values[at[i] : at[i + 1]]) for i in range(last - first)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(sets(b.column(2)), sets(b.column(3)), strict=True)):
+            for i, (x, y) in enumerate(zip(_sets(b.column(2)), _sets(b.column(3)), strict=True)):
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 good[i] = both * 100 >= (len(x) + len(y) - both) * percent
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in b.columns[:2]], ["a", "b"])
@@ -78,6 +79,61 @@ def _similar(percent: int):
     return run
 
 
+def spanning_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of one node, as few as join all that exact similarities
+    join. Shared shingles are counted for 512 members against all at a time."""
+    m = len(ids)
+    size = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(m), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    rows, column = rows[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    label, out = np.unique(comps, return_inverse=True)[1], []
+    for lo in range(0, m, 512):
+        hi = min(lo + 512, m)
+        common = np.zeros((hi - lo, m), np.float32)
+        for c in range(0, width, 2048):
+            part = slice(*np.searchsorted(column, [c, c + 2048]))
+            dense = np.zeros((m, min(2048, width - c)), np.float32)
+            dense[rows[part], column[part] - c] = 1
+            common += dense[lo:hi] @ dense.T
+        near = common * 100 >= (size[lo:hi, None] + size[None, :] - common) * percent
+        for i in range(lo, hi):
+            while len(other := np.flatnonzero(near[i - lo] & (label != label[i]))):
+                out.append((int(ids[i]), int(ids[other[0]])))
+                label[label == label[other[0]]] = label[i]
+    return out
+
+
+def _settled(percent: int):
+    """mapInArrow function: verified links across the components of each node; rows come sorted by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            _, ids, comps, sets = zip(*held, strict=True)
+            found = spanning_links(np.concatenate(ids), np.concatenate(comps), [s for part in sets for s in part], percent)
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            node, ids, comps, sets = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), _sets(b.column(3))
+            edges = np.unique([0, *(np.flatnonzero(np.diff(node)) + 1), len(node)])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0][0] != node[lo]:
+                    yield flush()
+                    held = []
+                held.append((node[lo], ids[lo:hi], comps[lo:hi], sets[lo:hi]))
+        if held:
+            yield flush()
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``(key, drops)``: for each document row that loses lines the sorted numbers (from 0) of those lines."""
     small_batches(docs.sparkSession)
@@ -85,22 +141,29 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = docs.select(_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text")).mapInArrow(_line_rows, _LINES)
     lines = cut(lines, "lines")
     spot = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "line_no")
-    classes = lines.groupBy("id").agg(F.min(spot).alias("spot"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"))
-    classes = cut(classes.withColumn("rank", -F.col("copies")), "classes")  # the commonest line is a node's pivot
+    # The commonest line is a node's pivot.
+    members = lines.groupBy("id").agg((-F.count("*")).alias("rank"), F.first("n").alias("n"), F.first("paths").alias("paths"))
 
     def plausible(a: str, b: str) -> Column:
         return F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return may_be_in(lines.select("id", "line"), F.col("id"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = may_be_in(lines.select("id", "line"), F.col("id"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return both.mapInArrow(_similar(percent), "a long, b long")
 
-    _, comps = similarity_components(classes.select("id", "rank", "n", "paths"), 1, plausible, ["n"], verify)
-    known = classes.select("id", "spot", "copies").join(comps, "id", "left").withColumn("root", F.coalesce("comp", "id"))
-    several = known.where("copies > 1 or comp is not null")
+    def settle(leaves: DataFrame) -> DataFrame:
+        rows = leaves.join(texts_of(leaves.select("id").distinct()), "id").select("node", "id", "comp", "line")
+        return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_settled(percent), "a long, b long")
+
+    _, comps = similarity_components(members, 1, plausible, ["n"], verify, settle=settle)
+    classes = lines.groupBy("id").agg(F.min(spot).alias("spot"), F.count("*").alias("copies"))
+    known = classes.join(comps, "id", "left").withColumn("root", F.coalesce("comp", "id"))
+    several = cut(known.where("copies > 1 or comp is not null").select("id", "root", "spot"), "several")
     first = several.groupBy("root").agg(F.min("spot").alias("keep")).select("root", F.col("keep.key").alias("keep_key"), F.col("keep.line_no").alias("keep_line"))
     keep = cut(several.join(first, "root").select("id", "keep_key", "keep_line"), "keep")
     drops = lines.select("key", "line_no", "id").join(keep, "id").where("not (key = keep_key and line_no = keep_line)")
@@ -115,7 +178,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     that comes first (least doc_id, null last, then least line number) stays, all others go, wherever they
     are. Candidates meet in BANDS bands of ROWS MinHash values (at similarity 0.8 a pair is found with
     probability 0.997, at 0.9 with 0.9999, and components join what single pairs miss); each is verified on
-    the full sets. Equal lines are one class from the start, so a line in a third of all documents costs one
+    the full sets: first with the commonest line of its band, then, where a band still holds several components,
+    among all of its lines, of which only as many links go on as join what is linked. Equal lines are one class from the start, so a line in a third of all documents costs one
     entry; only its positions are joined to the decision, and a hot line's join can be split.
 
     Blank lines never go. Null text stays null with 0 lines. Rows with equal doc_id and text count as one
