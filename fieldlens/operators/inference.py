@@ -12,6 +12,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.functions import scalars as fn
 
@@ -100,16 +101,16 @@ def jackknife_sd(values: Column) -> Column:
     return F.transform(values, lambda x: F.sqrt(F.greatest(F.lit(0.0), (s2 - x * x - (s1 - x) * (s1 - x) / (n - 1)) / (n - 2))))
 
 
-@F.pandas_udf("double")
-def _normal_cdf(x: pd.Series) -> pd.Series:
-    nd = NormalDist()
-    return x.map(lambda v: None if v is None or v != v else nd.cdf(v))
+def _normal(inverse: bool):
+    """Standard normal quantile or distribution function, for reduced tables. Built in a call, so that workers get
+    the function itself and need not import this package."""
 
+    def apply(x: pd.Series) -> pd.Series:
+        nd = NormalDist()
+        f = (lambda v: nd.inv_cdf(min(max(v, 1e-12), 1 - 1e-12))) if inverse else nd.cdf
+        return x.map(lambda v: None if v is None or v != v else f(v))
 
-@F.pandas_udf("double")
-def _normal_ppf(x: pd.Series) -> pd.Series:
-    nd = NormalDist()
-    return x.map(lambda v: None if v is None or v != v else nd.inv_cdf(min(max(v, 1e-12), 1 - 1e-12)))
+    return F.pandas_udf(apply, T.DoubleType())
 
 
 def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
@@ -122,13 +123,13 @@ def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_co
     share = F.size(F.filter("boot", lambda x: x < F.col("sd"))) / F.lit(float(draws_count))
     share = F.least(F.greatest(share, F.lit(0.5 / draws_count)), F.lit(1 - 0.5 / draws_count))
     jack = jackknife_sd(F.col("values"))
-    boot = boot.withColumn("jack", jack).withColumn("z0", _normal_ppf(share))
+    boot = boot.withColumn("jack", jack).withColumn("z0", _normal(True)(share))
     m = _mean("jack")
     d2, d3 = fn.total(F.transform("jack", lambda x: (m - x) * (m - x))), fn.total(F.transform("jack", lambda x: (m - x) * (m - x) * (m - x)))
     down = 6 * F.pow(d2, F.lit(1.5))
     boot = boot.withColumn("a", F.when(down > 2.220446049250313e-16, d3 / down).otherwise(0.0))
     for name, z in (("lo", fn.normal_quantile((1 - level) / 2)), ("hi", fn.normal_quantile(1 - (1 - level) / 2))):
-        boot = boot.withColumn(f"p_{name}", _normal_cdf(F.col("z0") + (F.col("z0") + z) / (1 - F.col("a") * (F.col("z0") + z))))
+        boot = boot.withColumn(f"p_{name}", _normal(False)(F.col("z0") + (F.col("z0") + z) / (1 - F.col("a") * (F.col("z0") + z))))
 
     def linear(p: str) -> Column:
         at = F.col(p) * (F.size("boot") - 1)
