@@ -113,17 +113,12 @@ def _normal(inverse: bool):
     return F.pandas_udf(apply, T.DoubleType())
 
 
-def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
-    """BCa intervals of the standard deviation over repeats (INF-5): ``sd, lower, upper``."""
-    e = estimands(panel, ids, metric)
-    b = _with_draws(e.select(*ids, "values", "sd"), draws(panel.sparkSession, repeats, draws_count, seed))
-    boot = b.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(_sd(F.transform("idx", lambda i: F.get("values", i))))).alias("boot"), F.first("sd").alias("sd"), F.first("values").alias("values")
-    )
-    share = F.size(F.filter("boot", lambda x: x < F.col("sd"))) / F.lit(float(draws_count))
+def _bca(boot: DataFrame, ids: list[str], draws_count: int, level: float) -> DataFrame:
+    """``observed, lower, upper`` from ``observed``, ``boot`` (sorted) and ``jack`` arrays: strict-less share clipped to half a
+    draw, zero acceleration where its denominator vanishes, linear quantiles, the pair in order."""
+    share = F.size(F.filter("boot", lambda x: x < F.col("observed"))) / F.lit(float(draws_count))
     share = F.least(F.greatest(share, F.lit(0.5 / draws_count)), F.lit(1 - 0.5 / draws_count))
-    jack = jackknife_sd(F.col("values"))
-    boot = boot.withColumn("jack", jack).withColumn("z0", _normal(True)(share))
+    boot = boot.withColumn("z0", _normal(True)(share))
     m = _mean("jack")
     d2, d3 = fn.total(F.transform("jack", lambda x: (m - x) * (m - x))), fn.total(F.transform("jack", lambda x: (m - x) * (m - x) * (m - x)))
     down = 6 * F.pow(d2, F.lit(1.5))
@@ -137,8 +132,39 @@ def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_co
         high = F.least(low + 1, F.size("boot") - 1)
         return F.get("boot", low) + (at - low) * (F.get("boot", high) - F.get("boot", low))
 
-    out = boot.select(*ids, "sd", linear("p_lo").alias("x"), linear("p_hi").alias("y"))
-    return out.select(*ids, "sd", F.least("x", "y").alias("lower"), F.greatest("x", "y").alias("upper"))
+    out = boot.select(*ids, "observed", linear("p_lo").alias("x"), linear("p_hi").alias("y"))
+    return out.select(*ids, "observed", F.least("x", "y").alias("lower"), F.greatest("x", "y").alias("upper"))
+
+
+def _drawn(values: str) -> Column:
+    return F.transform("idx", lambda i: F.get(values, i))
+
+
+def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
+    """BCa intervals of the standard deviation over repeats (INF-5): ``sd, lower, upper``."""
+    e = estimands(panel, ids, metric)
+    b = _with_draws(e.select(*ids, "values", "sd"), draws(panel.sparkSession, repeats, draws_count, seed))
+    boot = b.groupBy(*ids).agg(F.array_sort(F.collect_list(_sd(_drawn("values")))).alias("boot"), F.first("sd").alias("observed"), F.first("values").alias("values"))
+    return _bca(boot.withColumn("jack", jackknife_sd(F.col("values"))), ids, draws_count, level).withColumnRenamed("observed", "sd")
+
+
+def bca_log_ratio(panel: DataFrame, metric: str, by: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95, floor: float = 1e-12) -> DataFrame:
+    """BCa intervals of the ratio of two models' deviations, on the log scale with floored deviations (INF-6):
+    ``left, right, ratio, lower, upper``, left < right. Both models use the same draws."""
+    e = estimands(panel, [*by, "model"], metric).select(*by, "model", "values", "sd")
+    left = e.select(*by, F.col("model").alias("left"), F.col("values").alias("lv"), F.col("sd").alias("ls"))
+    right = e.select(*by, F.col("model").alias("right"), F.col("values").alias("rv"), F.col("sd").alias("rs"))
+    both = left.join(right, by).where("left < right")
+    log_ratio = lambda a, b: F.log(F.greatest(a, F.lit(floor)) / F.greatest(b, F.lit(floor)))
+    ids = [*by, "left", "right"]
+    b = _with_draws(both, draws(panel.sparkSession, repeats, draws_count, seed))
+    boot = b.groupBy(*ids).agg(
+        F.array_sort(F.collect_list(log_ratio(_sd(_drawn("lv")), _sd(_drawn("rv"))))).alias("boot"), F.first(log_ratio(F.col("ls"), F.col("rs"))).alias("observed"),
+        F.first("lv").alias("lv"), F.first("rv").alias("rv"),
+    )
+    boot = boot.withColumn("jack", F.zip_with(jackknife_sd(F.col("lv")), jackknife_sd(F.col("rv")), log_ratio))
+    out = _bca(boot, ids, draws_count, level)
+    return out.select(*ids, F.exp("observed").alias("ratio"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
 
 
 # -- decisions -----------------------------------------------------------------------------------------------

@@ -879,3 +879,141 @@ def ml2_ridge(spark, sf):
 @query(f"""WITH {b.TRACKING} SELECT 'x' AS channel, count(*) AS n, {r('sum(x)', 'total', 4)} FROM tracking""")
 def snk1_token_totals(spark, sf):
     return rounded(b.tracking(spark, sf).agg(F.lit("x").alias("channel"), F.count("*").alias("n"), F.sum("x").alias("total")), 4)
+
+
+# -- scalar functions, labels, joins of predictions ----------------------------------------------------------
+
+
+@query("""SELECT c_custkey, cast(c_custkey % 15 AS DOUBLE) * 60 + c_custkey % 60 AS clock, cast(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS first_id,
+  CASE upper(c_mktsegment) WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE 'other' END AS grp, 12 * (c_custkey % 3 + 5) + c_custkey % 12 AS inches,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS amount, c_custkey % 4 = 1 AS flag FROM customer""")
+def fn1_scalars(spark, sf):
+    c = b.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    clock = F.concat_ws(":", (k % 15).cast("string"), F.lpad((k % 60).cast("string"), 2, "0"))
+    height = F.concat_ws("-", (k % 3 + 5).cast("string"), (k % 12).cast("string"))
+    return c.select(
+        "c_custkey", fn.clock_seconds(clock).alias("clock"), fn.first_integer(F.col("c_name")).alias("first_id"), fn.lookup(F.col("c_mktsegment"), {"BUILDING": "B", "MACHINERY": "M"}, "other").alias("grp"),
+        fn.feet_inches(height).cast("long").alias("inches"), fn.sentinel_number(F.when(k % 5 == 0, "NA").otherwise(F.col("c_acctbal").cast("string"))).alias("amount"),
+        fn.loose_boolean(F.when(k % 4 == 1, "1.0").otherwise("no")).alias("flag"),
+    )
+
+
+@query("""SELECT c_custkey, cast(('0x' || substr(sha256('k' || c_custkey), 1, 16))::UBIGINT % 97 AS BIGINT) AS h, sha256('{"id":' || c_custkey || ',"seg":"' || c_mktsegment || '"}') AS j FROM customer""")
+def fn15_hashes(spark, sf):
+    c = b.table(spark, sf, "customer")
+    j = fn.canonical_json(seg=F.col("c_mktsegment"), id=F.col("c_custkey"))
+    return c.select("c_custkey", fn.sha_number(F.concat(F.lit("k"), F.col("c_custkey").cast("string")), 97).alias("h"), F.sha2(j.cast("binary"), 256).alias("j"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' THEN 0 END AS label FROM orders
+  WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT')""")
+def prj4_candidate_labels(spark, sf):
+    from fieldlens.operators import cohort
+
+    o = b.table(spark, sf, "orders")
+    return cohort.made_missed(o, F.col("o_orderstatus") == "F", (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") != "1-URGENT")).select("o_orderkey", "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(least(cast(l_quantity AS INTEGER), 45), 5) - 5 AS y FROM lineitem")
+def prj9_clipped_label(spark, sf):
+    from fieldlens.operators import cohort
+
+    l_ = b.table(spark, sf, "lineitem")
+    return l_.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cohort.support_index(F.col("l_quantity").cast("int"), 5, 45).alias("y"))
+
+
+@query(f"""WITH {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders)
+  SELECT cast(o.repeat AS INTEGER) AS repeat, n_train, count(*) AS n, {r('(sum(y) + 0.5::DOUBLE) / (count(*) + 1)', 'prevalence')} FROM bn JOIN ord o USING (game), (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL""")
+def jn14_training_cells(spark, sf):
+    t = design.nested_anchors(design.balanced_order(_splits(spark, sf).where("role = 'train'"), ["repeat"], "game", "stratum", "place"), [20, 40, 80, 120])
+    rows = b.binary(spark, sf).select("row", "game", "y").join(t.select("repeat", "n_train", "game"), "game")
+    return rounded(rows.groupBy("repeat", "n_train").agg(F.count("*").alias("n"), ((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("prevalence")))
+
+
+@query(f"""WITH {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+  prv AS (SELECT o.repeat, n_train, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS pv FROM bn JOIN ord o USING (game), (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL),
+  te AS (SELECT repeat, game, avg((pv - y) ** 2) AS v, n_train FROM bn JOIN splits USING (game) JOIN prv USING (repeat) WHERE role = 'test' GROUP BY ALL)
+  SELECT cast(repeat AS INTEGER) AS repeat, n_train, {r('avg(v)', 'null_loss')} FROM te GROUP BY ALL""")
+def pipe16_null_losses(spark, sf):
+    """Train-only prevalence by cell, scored game-equally on the repeat's test games."""
+    s = _splits(spark, sf)
+    t = design.nested_anchors(design.balanced_order(s.where("role = 'train'"), ["repeat"], "game", "stratum", "place"), [20, 40, 80, 120])
+    rows = b.binary(spark, sf).select("row", "game", "y")
+    null = scores.prevalence(rows.join(t.select("repeat", "n_train", "game"), "game"), ["repeat", "n_train"], "y")
+    test = rows.join(s.where("role = 'test'").select("repeat", "game"), "game").join(null, "repeat")
+    return rounded(scores.game_equal(test, ["repeat", "n_train"], "game", {"null_loss": scores.brier(F.col("prevalence"), F.col("y"))}))
+
+
+@query(f"""WITH {b.BINARY}, rec AS (SELECT cell, avg((p - y) ** 2) + CASE WHEN cell LIKE '1%' THEN 0.01 ELSE 0 END AS recorded FROM bin GROUP BY cell), now AS (SELECT cell, avg((p - y) ** 2) AS again FROM bin GROUP BY cell)
+  SELECT cell, abs(recorded - again) > 1e-9 AS deviates FROM rec JOIN now USING (cell)""")
+def set7_metric_replay(spark, sf):
+    t = b.binary(spark, sf)
+    again = t.groupBy("cell").agg(F.avg(scores.brier(F.col("p"), F.col("y"))).alias("again"))
+    recorded = again.select("cell", (F.col("again") + F.when(F.col("cell").like("1%"), 0.01).otherwise(0.0)).alias("recorded"))
+    return recorded.join(again, "cell").select("cell", (F.abs(F.col("recorded") - F.col("again")) > 1e-9).alias("deviates"))
+
+
+@query(f"""WITH {b.TRACKING}, f AS (SELECT play, min(frame) AS lo, max(frame) AS hi, count(DISTINCT frame) AS n FROM tracking GROUP BY play)
+  SELECT CASE WHEN n = 7 THEN 'all' WHEN hi - lo + 1 <> n THEN 'gaps' WHEN hi = 7 THEN 'right' WHEN lo = 1 THEN 'left' ELSE 'inside' END AS layout, count(*) AS plays FROM f GROUP BY ALL""")
+def set8_mask_layout(spark, sf):
+    from fieldlens.operators import cohort
+
+    return cohort.mask_layout(b.tracking(spark, sf), "play", "frame", 1, 7).groupBy("layout").agg(F.count("*").alias("plays"))
+
+
+@query(f"""WITH {b.PANEL}, {_MELT}, t AS (SELECT metric, n_train, model, avg(v) AS m FROM long GROUP BY ALL)
+  SELECT metric, {r('median(m)', 'median')}, {r('min(m)', 'low')}, {r('max(m)', 'high')}, count(*) AS n FROM t GROUP BY metric""")
+def agg19_release_ranges(spark, sf):
+    long = panel.melt(b.panel(spark, sf), ["model", "n_train", "repeat"], _METRICS).groupBy("metric", "n_train", "model").agg(F.avg("value").alias("m"))
+    return rounded(long.groupBy("metric").agg(F.percentile("m", F.lit(0.5)).alias("median"), F.min("m").alias("low"), F.max("m").alias("high"), F.count("*").alias("n")))
+
+
+@query(f"""WITH {b.PANEL}, w AS (SELECT repeat, n_train, arg_min(model, struct_pack(a := loss, b := model)) AS configuration FROM panel GROUP BY ALL)
+  SELECT n_train, configuration, count(*) AS n, {r('count(*) / 20.0::DOUBLE', 'fraction')} FROM w GROUP BY ALL""")
+def agg15_configuration_frequency(spark, sf):
+    won = panel.leaders(b.panel(spark, sf).withColumnRenamed("loss", "mean"), ["repeat", "n_train"])
+    return rounded(won.groupBy("n_train", F.col("leader").alias("configuration")).agg(F.count("*").alias("n"), (F.count("*") / 20.0).alias("fraction")))
+
+
+@query(f"""WITH {_CI}, {_ORIENTED}, {_MEANS}, c AS (SELECT n_train, model, count_if(upper < 0) = count(*) AS best FROM o GROUP BY ALL), l AS (SELECT n_train, arg_min(model, struct_pack(a := mean, b := model)) AS leader FROM m GROUP BY n_train)
+  SELECT n_train, leader, coalesce(best, false) AS supported FROM l LEFT JOIN c ON c.n_train = l.n_train AND c.model = leader""".replace("SELECT n_train, leader, coalesce", "SELECT l.n_train, leader, coalesce"))
+def stat14_leader_matrix(spark, sf):
+    lead = panel.leaders(_means(spark, sf), ["n_train"]).select("n_train", "leader")
+    best = inference.supported_best(_ci(spark, sf), ["n_train"])
+    return lead.join(best, "n_train", "left").select("n_train", "leader", F.coalesce(F.col("leader") == F.col("supported_best"), F.lit(False)).alias("supported"))
+
+
+@query(f"""WITH {b.PANEL}, cv AS (SELECT model AS candidate, repeat % 5 AS fold, avg(loss) AS loss FROM panel GROUP BY ALL), m AS (SELECT candidate, avg(loss) AS mean, stddev_samp(loss) AS sd FROM cv GROUP BY candidate)
+  SELECT candidate, {r('mean', 'mean')}, {r('sd', 'sd')}, candidate = (SELECT arg_min(candidate, struct_pack(a := mean, b := candidate)) FROM m) AS chosen FROM m""")
+def ml6_candidate_choice(spark, sf):
+    from fieldlens.operators import models
+
+    cv = b.panel(spark, sf).groupBy(F.col("model").alias("candidate"), (F.col("repeat") % 5).alias("fold")).agg(F.avg("loss").alias("loss"))
+    return rounded(models.choose(cv, 5))
+
+
+@query(f"""WITH {b.PANEL}, s AS (SELECT n_train AS target, substr(model, 1, 1) AS family, model AS candidate, avg(loss) AS loss FROM panel GROUP BY ALL), f AS (SELECT target, family, min(loss) AS l FROM s GROUP BY ALL), t AS (SELECT target, avg(l) AS score FROM f GROUP BY target)
+  SELECT target, {r('score', 'score')} FROM t ORDER BY t.score, target LIMIT 1""")
+def ml7_target_choice(spark, sf):
+    from fieldlens.operators import models
+
+    s = b.panel(spark, sf).groupBy(F.col("n_train").alias("target"), F.substring("model", 1, 1).alias("family"), F.col("model").alias("candidate")).agg(F.avg("loss").alias("loss"))
+    return rounded(models.choose_target(s))
+
+
+@query()
+def ml1_logistic(spark, sf):
+    """Held-out Brier score of a logistic model of the label by price and priority."""
+    from fieldlens.operators import models
+
+    l_ = b.table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_quantity", "l_discount", "l_tax", (F.col("l_orderkey") % 3 == 0).alias("test"))
+    x = ["l_quantity", "l_discount", "l_tax"]
+    out = models.probability(models.logistic(l_.where("not test"), x, "y"), l_.where("test"), x)
+    return rounded(out.groupBy("y").agg(F.count("*").alias("n"), F.avg(scores.brier(F.col("p"), F.col("y"))).alias("brier")), 4)
+
+
+@query()
+def inf6_bca_ratio(spark, sf):
+    p = b.panel(spark, sf)
+    return rounded(inference.bca_log_ratio(p, "loss", ["n_train"], 20, 200, 42), 6)
