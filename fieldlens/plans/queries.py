@@ -933,8 +933,8 @@ def jn14_training_cells(spark, sf):
 
 @query(f"""WITH {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
   prv AS (SELECT o.repeat, n_train, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS pv FROM bn JOIN ord o USING (game), (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL),
-  te AS (SELECT repeat, game, avg((pv - y) ** 2) AS v, n_train FROM bn JOIN splits USING (game) JOIN prv USING (repeat) WHERE role = 'test' GROUP BY ALL)
-  SELECT cast(repeat AS INTEGER) AS repeat, n_train, {r('avg(v)', 'null_loss')} FROM te GROUP BY ALL""")
+  tst AS (SELECT repeat, game, avg((pv - y) ** 2) AS v, n_train FROM bn JOIN splits USING (game) JOIN prv USING (repeat) WHERE role = 'test' GROUP BY ALL)
+  SELECT cast(repeat AS INTEGER) AS repeat, n_train, {r('avg(v)', 'null_loss')} FROM tst GROUP BY ALL""")
 def pipe16_null_losses(spark, sf):
     """Train-only prevalence by cell, scored game-equally on the repeat's test games."""
     s = _splits(spark, sf)
