@@ -1017,3 +1017,53 @@ def ml1_logistic(spark, sf):
 def inf6_bca_ratio(spark, sf):
     p = b.panel(spark, sf)
     return rounded(inference.bca_log_ratio(p, "loss", ["n_train"], 20, 200, 42), 6)
+
+
+# -- composed jobs -------------------------------------------------------------------------------------------
+
+
+def _cohort(spark, sf):
+    from fieldlens.plans import pipelines
+
+    m = b.marks(spark, sf)
+    plays = m.select("play").distinct()
+    return pipelines.marker_cohort(plays, m, "play", "frame", "marker", F.col("play") % 5 != 0, (F.col("play") % 2).cast("int"), ["purchase"], 10, valid=m.where("value > 5"))
+
+
+_COHORT = f"""{b.MARKS}, hits AS (SELECT play, min(frame) AS cutoff FROM marks WHERE marker = 'purchase' AND play % 5 <> 0 GROUP BY play),
+  kept AS (SELECT play, cutoff FROM hits h WHERE EXISTS (SELECT 1 FROM marks m WHERE m.play = h.play AND m.frame = h.cutoff AND value > 5))"""
+
+
+@query(f"WITH {_COHORT} SELECT m.play, m.frame, cast(9 - (cutoff - m.frame) AS INTEGER) AS time_index, marker FROM marks m JOIN kept USING (play) WHERE m.frame BETWEEN cutoff - 9 AND cutoff")
+def pipe2_cohort_tokens(spark, sf):
+    return _cohort(spark, sf)["tokens"].select("play", "frame", "time_index", "marker")
+
+
+@query(f"WITH {_COHORT} SELECT play, cast(play % 2 AS INTEGER) AS label, cutoff, 'purchase' AS events, cast(least(cutoff, 10) AS BIGINT) AS history, cast(10 - least(cutoff, 10) AS BIGINT) AS padding FROM kept")
+def pipe2_cohort_examples(spark, sf):
+    return _cohort(spark, sf)["examples"].select("play", "label", "cutoff", "events", "history", "padding")
+
+
+@query(f"""WITH {_COHORT} SELECT CASE WHEN p.play % 5 = 0 THEN 'not_eligible' WHEN h.play IS NULL THEN 'no_marker' WHEN k.play IS NULL THEN 'invalid_frame' ELSE 'kept' END AS status, count(*) AS plays
+  FROM (SELECT DISTINCT play FROM marks) p LEFT JOIN hits h USING (play) LEFT JOIN kept k USING (play) GROUP BY ALL""")
+def pipe2_cohort_audit(spark, sf):
+    return _cohort(spark, sf)["audit"]
+
+
+@query()
+def pipe8_framewise_scoring(spark, sf):
+    from fieldlens.plans import pipelines
+
+    m = b.marks(spark, sf).withColumn("y", (F.col("marker") == "click").cast("double")).withColumn("v", F.sin("frame"))
+    out = pipelines.framewise_scoring(m, F.col("play") % 2 == 0, ["play"], "frame", ["v", "p"], "y", 1.0, 0.3, 2)
+    return out.select("play", "n_frames", "opportunities", "misses")
+
+
+@query(f"""WITH {b.PANEL}, td AS (SELECT repeat, model, n_train, null_loss - loss AS difference FROM panel), {_max_t('td', 'model, n_train', 'difference', 0.95, True)}
+  SELECT model, n_train, {r('mean', 'mean', 8)}, CASE WHEN upper < 0 THEN 'supported' WHEN lower > 0 THEN 'opposite' ELSE 'inconclusive' END AS conclusion FROM ci""")
+def pipe12_tuning_study(spark, sf):
+    from fieldlens.plans import pipelines
+
+    p = b.panel(spark, sf)
+    out = pipelines.tuning_study(p, p.withColumn("loss", F.col("null_loss")), "loss", 20, 200, 42)
+    return out.select("model", "n_train", (F.round("mean", 8) + 0.0).alias("mean"), "conclusion")
