@@ -1067,3 +1067,116 @@ def pipe12_tuning_study(spark, sf):
     p = b.panel(spark, sf)
     out = pipelines.tuning_study(p, p.withColumn("loss", F.col("null_loss")), "loss", 20, 200, 42)
     return out.select("model", "n_train", (F.round("mean", 8) + 0.0).alias("mean"), "conclusion")
+
+
+# -- further cohort rules, joins and checks ------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, cast(o_orderstatus = 'F' AS INTEGER) AS label FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def prj1_outcome_label(spark, sf):
+    from fieldlens.operators import cohort
+
+    return cohort.outcome_label(b.table(spark, sf, "orders"), "o_orderstatus", ["F", "O"], "F").select("o_orderkey", "label")
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END IN ('', 'NA'), true) AND o_orderstatus <> 'P' AS clean,
+  o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 AS run FROM orders""")
+def prj5_penalty_and_run(spark, sf):
+    from fieldlens.operators import cohort
+
+    o, k = b.table(spark, sf, "orders"), F.col("o_orderkey")
+    foul = F.when(k % 3 != 0, F.substring("o_orderpriority", 1, 1))
+    nullified = F.when(F.col("o_orderstatus") == "P", " y ")
+    result = F.when(k % 3 != 0, F.when(k % 7 == 0, "r").otherwise("C"))
+    return o.select("o_orderkey", cohort.no_penalty(foul, nullified).alias("clean"), cohort.is_run(result).alias("run"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49), c AS (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0)
+  SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT k, 'right' FROM c WHERE k NOT IN (SELECT k FROM a)""")
+def prj8_key_mismatches(spark, sf):
+    from fieldlens.operators import cohort
+
+    a = b.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("k"))
+    return cohort.key_mismatches(a, b.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), ["k"])
+
+
+@query("""WITH s AS (SELECT l_orderkey AS play, count(*) AS n, count(DISTINCT l_suppkey) AS objects, count_if(l_returnflag = 'R') AS focal,
+    count(DISTINCT CASE WHEN l_linestatus = 'F' THEN 'home' ELSE 'away' END) AS sides, count_if(l_linestatus = 'F') AS home, count(DISTINCT l_tax) AS taxes FROM lineitem GROUP BY ALL),
+  v AS (SELECT play, list_filter([CASE WHEN n <> 4 THEN 'rows' END, CASE WHEN objects <> 4 THEN 'objects' END, CASE WHEN focal <> 1 THEN 'focal' END, CASE WHEN sides <> 2 OR home * 2 <> 4 THEN 'sides' END,
+    CASE WHEN taxes > 1 THEN 'constant_l_tax' END], lambda x: x IS NOT NULL) AS p FROM s)
+  SELECT play, array_to_string(p, ',') AS problems FROM v WHERE len(p) > 0""")
+def prj16_snapshot_violations(spark, sf):
+    from fieldlens.operators import cohort
+
+    l_ = b.table(spark, sf, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "F", "home").otherwise("away")).withColumnRenamed("l_orderkey", "play")
+    out = cohort.snapshot_violations(l_, "play", "l_suppkey", "side", F.col("l_returnflag") == "R", 4, ["l_tax"])
+    return out.select("play", F.array_join("problems", ",").alias("problems"))
+
+
+@query("""WITH g AS (SELECT o_orderkey % 4 < 3 AS band, o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT band, label, n + CASE WHEN label = 'P' THEN 1 ELSE 0 END AS expected FROM g WHERE label <> 'O')
+  SELECT coalesce(g.band, e.band) AS band, coalesce(g.label, e.label) AS label, n, expected, coalesce(n = expected, false) AS agrees FROM g FULL JOIN e ON g.band = e.band AND g.label = e.label""")
+def prj17_band_counts(spark, sf):
+    from fieldlens.operators import cohort
+
+    o = b.table(spark, sf, "orders")
+    band = F.col("o_orderkey") % 4 < 3
+    n = o.groupBy(band.alias("band"), F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"))
+    expected = n.where("label <> 'O'").select("band", "label", (F.col("n") + (F.col("label") == "P").cast("int")).alias("expected"))
+    return cohort.band_counts(o, band, "o_orderstatus", expected)
+
+
+@query("SELECT l_suppkey AS game, count(DISTINCT (l_returnflag, l_linestatus)) AS n_records FROM lineitem GROUP BY ALL")
+def src11_game_table(spark, sf):
+    from fieldlens.sources import tables
+
+    return tables.game_table(b.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "game"), "game", ["l_returnflag", "l_linestatus"]).select("game", "n_records")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def src7_game_scoped_scan(spark, sf):
+    from fieldlens.sources import tables
+
+    wanted = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.only_games(b.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), wanted, "o_custkey")
+
+
+@query(f"""WITH {_CUT} SELECT m.play, m.frame, m.value FROM marks m JOIN cut USING (play) WHERE m.frame = cutoff - 10 AND m.frame > 0""")
+def win7_state_before_event(spark, sf):
+    m, c = _cutoffs(spark, sf)
+    at = c.where("cutoff > 10").select("play", (F.col("cutoff") - 10).alias("frame"))
+    return frames.rows_at(m, at, "play", "frame").select("play", "frame", "value")
+
+
+@query(f"""WITH {_CRPS}, {_ITV.replace(b.PMFS + ', ', '')}, n AS (SELECT cell, any_value(0) AS z, avg(ss / kk) AS crps, avg(hi - lo) AS width, avg(CASE WHEN i.y BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END) AS coverage
+    FROM c JOIN itv i USING ("row", cell) GROUP BY cell) SELECT cell, {r('crps', 'play_crps')}, {r('width', 'play_width')}, {r('coverage', 'play_coverage')} FROM n""")
+def met12_distribution_row(spark, sf):
+    p = b.pmfs(spark, sf)
+    lo, hi = conformal.central_interval(F.col("pmf"), 0.1)
+    rows = p.select("cell", "y", scores.crps(F.col("pmf"), F.col("y")).alias("crps"), lo.alias("lo"), hi.alias("hi"))
+    hit = F.col("y").between(F.col("lo"), F.col("hi")).cast("double")
+    return rounded(rows.groupBy("cell").agg(F.avg("crps").alias("play_crps"), F.avg(F.col("hi") - F.col("lo")).alias("play_width"), F.avg(hit).alias("play_coverage")))
+
+
+@query(f"""WITH {b.PANEL}, f AS (SELECT model, n_train, avg(coverage) >= 0.9 AS fixed, avg(coverage) + avg(loss) >= 0.95 AS tuned FROM panel GROUP BY ALL) SELECT model, n_train, fixed, tuned, fixed <> tuned AS changed FROM f""")
+def dec5_qualification_changes(spark, sf):
+    p = b.panel(spark, sf).groupBy("model", "n_train").agg(F.avg("coverage").alias("c"), F.avg("loss").alias("l"))
+    fixed = p.select("model", "n_train", (F.col("c") >= 0.9).alias("reaches"))
+    return inference.qualification_changes(fixed, p.select("model", "n_train", (F.col("c") + F.col("l") >= 0.95).alias("reaches")), ["model", "n_train"])
+
+
+@query(f"""WITH {b.PANEL}, s AS (SELECT n_train, model AS candidate, avg(loss) AS loss FROM panel GROUP BY ALL)
+  SELECT n_train, arg_min(candidate, struct_pack(a := loss, b := CASE WHEN candidate = 'NO' THEN 0 ELSE 1 END, c := candidate)) AS candidate, {r('min(loss)', 'loss')} FROM s GROUP BY n_train""")
+def ml8_frozen_first(spark, sf):
+    from fieldlens.operators import models
+
+    s = b.panel(spark, sf).groupBy("n_train", F.col("model").alias("candidate")).agg(F.avg("loss").alias("loss"))
+    return rounded(models.frozen_first(s, ["n_train"], F.col("candidate") == "NO"))
+
+
+@query(f"""WITH {_SPLITS}, ex AS (SELECT repeat, game, role FROM splits WHERE role IN ('test', 'calibration')), pr AS (SELECT repeat, game, CASE WHEN game % 50 = 3 THEN 'test' ELSE role END AS role FROM ex WHERE game % 40 <> 1)
+  SELECT cast(e.repeat AS INTEGER) AS repeat, count(*) AS expected, count(p.game) AS present, count_if(p.game IS NOT NULL AND p.role <> e.role) AS misplaced FROM ex e LEFT JOIN pr p ON p.repeat = e.repeat AND p.game = e.game GROUP BY e.repeat""")
+def set9_prediction_registry(spark, sf):
+    ex = _splits(spark, sf).where("role in ('test', 'calibration')").select("repeat", "game", "role")
+    pr = ex.where("game % 40 <> 1").select("repeat", "game", F.when(F.col("game") % 50 == 3, "test").otherwise(F.col("role")).alias("got"))
+    both = ex.join(pr, ["repeat", "game"], "left")
+    return both.groupBy("repeat").agg(F.count("*").alias("expected"), F.count("got").alias("present"), F.count_if(F.col("got") != F.col("role")).alias("misplaced"))
