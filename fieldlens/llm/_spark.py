@@ -16,12 +16,16 @@ ARROW_ROWS = "512"
 BITMAP_WORDS = 1 << 16
 
 
+#: Temporary folders of sessions without spark.checkpoint.dir, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fieldlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fieldlens-")
+        _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
