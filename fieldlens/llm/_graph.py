@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm._spark import cut, may_be_in
+from fieldlens.llm._spark import cut, discard, may_be_in
 
 #: Nodes of more rows than this are branched further (or swept once components are known).
 SMALL_NODE = 64
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(least.select("u", F.col("m").alias("v")).union(small).distinct(), "edges")
+        last, e = e, cut(least.select("u", F.col("m").alias("v")).union(small).distinct(), "edges")
+        discard(last)
         now = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(now) == before:
             break
@@ -67,6 +68,7 @@ def similarity_components(
         "id", "rank", *carried, *[F.get("p", F.lit(i)).alias(k) for i, k in enumerate(keys)]
     )
     final: list[DataFrame] = []
+    written: list[DataFrame] = []
     pairs: DataFrame | None = None
     for level, key in enumerate(keys):
         rest = keys[level + 1 :]
@@ -78,6 +80,7 @@ def similarity_components(
         met = rows.join(nodes, key)
         hit = (F.col("id") != F.col("p_id")) & plausible("", "p_")
         met = cut(met.select(F.col(key).alias("node"), "node_n", "id", "rank", *carried, *rest, F.when(hit, F.col("p_id")).alias("star")), "nodes")
+        written.append(met)
         stars = met.where("star is not null").select(F.col("star").alias("a"), F.col("id").alias("b"))
         pairs = stars if pairs is None else pairs.union(stars)
         big = met.where(F.col("node_n") > SMALL_NODE)
@@ -88,6 +91,7 @@ def similarity_components(
         final.append(here.select("node", "id", *carried))
         rows = big.select("id", "rank", *carried, *rest)
     tried = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    written.append(tried)
     links = cut(verify(tried), "links")
     comps = cut(connected_components(links), "comps")
 
@@ -101,12 +105,16 @@ def similarity_components(
         held = cut(held.join(mixed, "node").select("node", "id", "comp").dropDuplicates(["node", "id"]), "leaves")
         if settle is not None:
             more = cut(settle(held).distinct(), "links")
+            discard(held)
         else:
             across = sweep(held, best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
             more = cut(verify(across), "links")
             tried = tried.union(across)
+            discard(held)
+            written.append(across)
         if not more.isEmpty():
             links = links.union(more)
             comps = cut(connected_components(links), "comps")
+    discard(*written)
     return links, comps

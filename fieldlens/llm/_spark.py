@@ -7,13 +7,14 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python: texts are long, so fewer than Spark's 10,000.
 ARROW_ROWS = "512"
-#: 64-bit words of the fixed-size bitmap that thins a table before a shuffle (512 KB).
-BITMAP_WORDS = 1 << 16
+#: 64-bit words of the fixed-size bitmap that thins a table before a shuffle (2 MB).
+BITMAP_WORDS = 1 << 18
 
 
 #: Temporary folders of sessions without spark.checkpoint.dir, by application.
@@ -35,7 +36,17 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldlens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fieldlens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once all that was made from them is itself written."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._fieldlens_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 _shipped: set[str] = set()
@@ -68,12 +79,11 @@ def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataF
         .select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-        .collect()  # BITMAP_WORDS rows at most
+        .toArrow()  # BITMAP_WORDS rows at most
     )
-    dense = [0] * BITMAP_WORDS
-    for row in words:
-        dense[row.w] = row.bits
-    bitmap = spark.createDataFrame([(dense,)], "__bits array<bigint>")
+    dense = np.zeros(BITMAP_WORDS, np.int64)
+    dense[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
+    bitmap = spark.createDataFrame([(dense.tolist(),)], "__bits array<bigint>")
     probe = df.withColumn("__spot", F.pmod(F.xxhash64(key), F.lit(bits))).where(key.isNotNull())
     hit = F.expr("shiftright(get(__bits, cast(shiftright(__spot, 6) as int)), cast(__spot % 64 as int)) & 1L = 1L")
     return probe.join(F.broadcast(bitmap), hit, "left_semi").drop("__spot")

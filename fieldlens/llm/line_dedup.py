@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import _text as tx
 from fieldlens.llm._graph import similarity_components
-from fieldlens.llm._spark import cut, may_be_in, small_batches
+from fieldlens.llm._spark import cut, discard, may_be_in, small_batches
 
 #: Characters in a shingle; bands of so many MinHash values.
 CHARS = 8
@@ -167,7 +167,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = several.groupBy("root").agg(F.min("spot").alias("keep")).select("root", F.col("keep.key").alias("keep_key"), F.col("keep.line_no").alias("keep_line"))
     keep = cut(several.join(first, "root").select("id", "keep_key", "keep_line"), "keep")
     drops = lines.select("key", "line_no", "id").join(keep, "id").where("not (key = keep_key and line_no = keep_line)")
-    return drops.groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
+    drops = cut(drops.groupBy("key").agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
+    discard(lines, several, keep)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -185,7 +187,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Blank lines never go. Null text stays null with 0 lines. Rows with equal doc_id and text count as one
     document and lose the same lines. An empty table gives an empty result. Every other column is kept as it is.
     """
-    drops = cut(repeated_lines(docs, percent), "drops").withColumnsRenamed({"key": "__key", "drops": "__drops"})
+    drops = repeated_lines(docs, percent).withColumnsRenamed({"key": "__key", "drops": "__drops"})
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     out = docs.withColumn("__at", _key(doc_id, text)).join(drops, F.col("__at") == F.col("__key"), "left")
     parts = F.split(F.col("text"), "\n", -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import _text as tx
 from fieldlens.llm._graph import similarity_components
-from fieldlens.llm._spark import cut, may_be_in, small_batches
+from fieldlens.llm._spark import cut, discard, may_be_in, small_batches
 
 #: MinHash functions; the first 128 also give a sketch of one bit each.
 TOKENS = 512
@@ -213,7 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-        return sized.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct()
+        links = cut(sized.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b").distinct(), "links")
+        discard(sets)
+        return links
 
     def sweep(leaves: DataFrame, best: int | None) -> DataFrame:
         own = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # one for each tree and level at most
@@ -224,7 +226,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     root = classes.select("set_id", "id").join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("root"))
     out = table.select("doc_id", "set_id", "n_shingles").join(root, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "components")
+    discard(table, classes)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

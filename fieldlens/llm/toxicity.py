@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens.llm import _text as tx
-from fieldlens.llm._spark import cut, held_out, small_batches
+from fieldlens.llm._spark import cut, discard, held_out, may_be_in, small_batches
 
 #: Bytes of a word's first part that form a term of their own beside the whole word.
 STEMS = (4, 5)
@@ -145,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> Mod
     n = y.count()
     y = y.where(F.pmod(F.xxhash64("label_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_rows / max(n, 1))))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    y = cut(y, "labels")
+    text = may_be_in(text, F.col("doc_id"), y, "label_id")
     sample = cut(text.join(y, F.col("doc_id") == F.col("label_id")).select("text", "toxic"), "labelled")
     total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if bad == 0 or bad == total:
@@ -168,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> Mod
                 yield pa.RecordBatch.from_arrays([lists, b.column(1).slice(first, last - first)], ["known", "toxic"])
 
     table = sample.mapInArrow(indexed, "known array<int>, toxic long").toArrow()
+    discard(y, sample, counts)
     known = table.column("known").combine_chunks()
     at = np.concatenate([[0], np.cumsum(np.asarray(known.value_lengths()))])
     return train(np.asarray(known.flatten(), dtype=np.int64), at, np.asarray(table.column("toxic"), dtype=np.float64), terms, linear)
