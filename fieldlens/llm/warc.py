@@ -23,8 +23,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
-#: Records in one archive file, and bytes of rows in one batch on the way.
-FILE_RECORDS = 2000
+#: Records at most in one archive file and after one ARC version block; bytes of rows in one batch on the way.
+FILE_RECORDS, ARC_RECORDS = 2000, 500
 BATCH_BYTES = 4 << 20
 
 
@@ -46,16 +46,29 @@ def _plain(url: str | None) -> str:
 
 def _arc_records(date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(batches):
+        number, held, total = 0, [], 0
+
+        def archive() -> pa.RecordBatch:
+            """One row: a version block and the records held, whole, so that files can be split between rows."""
             version = 1 + number % 2
             about = f"{version} 0 fieldlens\n{ARC_FIELDS[version]}\n"
             out = [f"filedesc://pages.arc 0.0.0.0 {date} text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(about)}\n{about}"]
+            for url, head, html, digest, size in held:
+                more = f"200 {digest} - 0 pages.arc " if version == 2 else ""
+                out.append(f"{url} 0.0.0.0 {date} text/html {more}{len(head) + size}\n{head}{html}")
+            return pa.RecordBatch.from_arrays([pa.array(["\n".join(out)])], ["value"])
+
+        for b in batches:
             for page, url, html in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 body = (html or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
-                more = f"200 {base32_sha1(body)} - 0 pages.arc " if version == 2 else ""
-                out.append(f"{_plain(url)} 0.0.0.0 {date} text/html {more}{len(head) + len(body)}\n{head}{html or ''}")
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+                held.append((_plain(url), head, html or "", base32_sha1(body), len(body)))
+                total += len(body)
+                if total > BATCH_BYTES or len(held) == ARC_RECORDS:
+                    yield archive()
+                    number, held, total = number + 1, [], 0
+        if held:
+            yield archive()
 
     return run
 
@@ -64,7 +77,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20250101000000") -> None
     """Gzipped ARC files under ``path``: a version block of version 1 or 2, then a record for every page."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(_arc_records(date), "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.mapInArrow(_arc_records(date), "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS // ARC_RECORDS).text(path)
 
 
 def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int]]:

@@ -88,3 +88,9 @@ def test_windows_read_back(spark):
 def test_escape_is_reversible():
     for text in ("", "\\", "<|", "\\<|", "<\\|", "\\n", "a\\\\n<|<|", FORGED):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+
+
+def test_files_split_between_version_blocks(spark):
+    df = spark.range(5300).selectExpr("id as page_id", "concat('http://x/', id) as url", "concat('page ', id % 5000) as html").coalesce(1)
+    got = warc.archive_round_trip(df)
+    assert got.count() == 5300 and got.where("record_type = 'revisit' and refers_to = page_id + 5000").count() == 300
