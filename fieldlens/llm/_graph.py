@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,51 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
+def block_pairs(held: DataFrame, size: int, payload: DataFrame) -> DataFrame:
+    """The comparisons of mixed nodes, dealt out as pairs of blocks of about ``size`` members.
+
+    ``held``: (node, id, comp), distinct in node and id; ``payload``: (id, ...), one row an id. Members outside the
+    largest component of a node ask, in blocks p; all members answer, in blocks q. Returns (node, p, q, id, comp,
+    asks, also, answers, ...), sorted by (node, p, q) with all rows of these in one task: every member that asks
+    meets every member of the node in exactly one (p, q). ``also`` is true for members that ask in some pair.
+    """
+    parts = held.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"))
+    blocks = lambda n: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    nodes = nodes.select("node", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("ps"), blocks(F.col("n")).alias("qs"))
+    at = held.join(nodes, "node").withColumn("also", F.col("comp") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    at = at.withColumn("op", F.when(F.col("also"), own("ps"))).withColumn("oq", own("qs")).join(payload, "id")
+    last = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda p, q, asks, answers: F.struct(p.alias("p"), q.alias("q"), asks.alias("asks"), answers.alias("answers"))
+    asking = F.when(F.col("also"), F.transform(last("qs"), lambda q: spot(F.col("op"), q, F.lit(True), q == F.col("oq"))))
+    answering = F.transform(F.filter(last("ps"), lambda p: ~F.col("also") | (p != F.col("op"))), lambda p: spot(p, F.col("oq"), F.lit(False), F.lit(True)))
+    at = at.withColumn("spot", F.explode(F.concat(F.coalesce(asking, F.filter(answering, lambda x: F.lit(False))), answering)))
+    rest = [c for c in payload.columns if c != "id"]
+    out = at.select("node", "spot.p", "spot.q", "id", "comp", "spot.asks", "also", "spot.answers", *rest)
+    return out.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id")
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each pair of blocks, from batches sorted by (node, p, q)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(keys[lo])
+            if held and now != last:
+                yield held
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield held
+
+
 def similarity_components(
     members: DataFrame,
     levels: int,
@@ -60,7 +107,7 @@ def similarity_components(
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
     links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
     and joined to components, every node that still holds several components is compared exhaustively across
-    them. So a group of k copies costs about k verifications, not k squared, and no pair of different
+    them, in pairs of blocks (block_pairs()), so that no task holds a node. So a group of k copies costs about k verifications, not k squared, and no pair of different
     components is lost. Returns ``(links(a, b), components(id, comp))``; members without link are in neither.
     """
     keys = [f"k{i}" for i in range(levels)]

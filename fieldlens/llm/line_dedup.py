@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm import _text as tx
-from fieldlens.llm._graph import similarity_components
+from fieldlens.llm._graph import block_pairs, by_block, similarity_components
 from fieldlens.llm._spark import cut, discard, may_be_in, small_batches
 
 #: Characters in a shingle; bands of so many MinHash values.
 CHARS = 8
 BANDS, ROWS = 8, 3
+#: Lines in a block of a band that is compared exhaustively.
+BLOCK = 1024
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -80,7 +82,7 @@ def _similar(percent: int):
 
 
 def spanning_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components of one node, as few as join all that exact similarities
+    """Links between members of different components of a pair of blocks, as few as join all that exact similarities
     join. Shared shingles are counted for 512 members against all at a time."""
     m = len(ids)
     size = np.array([len(s) for s in sets])
@@ -110,26 +112,13 @@ def spanning_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], p
 
 
 def _settled(percent: int):
-    """mapInArrow function: verified links across the components of each node; rows come sorted by node."""
+    """mapInArrow function over the rows of block_pairs(): verified links across the components of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            _, ids, comps, sets = zip(*held, strict=True)
-            found = spanning_links(np.concatenate(ids), np.concatenate(comps), [s for part in sets for s in part], percent)
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            node, ids, comps, sets = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), _sets(b.column(3))
-            edges = np.unique([0, *(np.flatnonzero(np.diff(node)) + 1), len(node)])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0][0] != node[lo]:
-                    yield flush()
-                    held = []
-                held.append((node[lo], ids[lo:hi], comps[lo:hi], sets[lo:hi]))
-        if held:
-            yield flush()
+        for held in by_block(batches):
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            found = spanning_links(np.asarray(rows.column(3)), np.asarray(rows.column(4)), _sets(rows.column(8)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -157,8 +146,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return both.mapInArrow(_similar(percent), "a long, b long")
 
     def settle(leaves: DataFrame) -> DataFrame:
-        rows = leaves.join(texts_of(leaves.select("id").distinct()), "id").select("node", "id", "comp", "line")
-        return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_settled(percent), "a long, b long")
+        rows = block_pairs(leaves, BLOCK, texts_of(leaves.select("id").distinct()))
+        return rows.mapInArrow(_settled(percent), "a long, b long")
 
     _, comps = similarity_components(members, 1, plausible, ["n"], verify, settle=settle)
     classes = lines.groupBy("id").agg(F.min(spot).alias("spot"), F.count("*").alias("copies"))
@@ -181,7 +170,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     are. Candidates meet in BANDS bands of ROWS MinHash values (at similarity 0.8 a pair is found with
     probability 0.997, at 0.9 with 0.9999, and components join what single pairs miss); each is verified on
     the full sets: first with the commonest line of its band, then, where a band still holds several components,
-    among all of its lines, of which only as many links go on as join what is linked. Equal lines are one class from the start, so a line in a third of all documents costs one
+    among all of its lines, block by block, of which only as many links go on as join what is linked. Equal lines are one class from the start, so a line in a third of all documents costs one
     entry; only its positions are joined to the decision, and a hot line's join can be split.
 
     Blank lines never go. Null text stays null with 0 lines. Rows with equal doc_id and text count as one

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm import _text as tx
-from fieldlens.llm._graph import similarity_components
+from fieldlens.llm._graph import block_pairs, by_block, similarity_components
 from fieldlens.llm._spark import cut, discard, may_be_in, small_batches
 
 #: MinHash functions; the first 128 also give a sketch of one bit each.
@@ -21,6 +21,8 @@ LEVELS = 3
 MAX_BITS = 32
 #: Agreeing tokens (of 512, by one byte each) below which a pair can't reach it (4.5 standard deviations).
 LEAST_AGREE = 368
+#: Members in a block of a node that is compared exhaustively, and about so many pairs in a batch of results.
+BLOCK, PAIRS = 1024, 1 << 16
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[list[np.ndarray], int]]:
@@ -124,49 +126,50 @@ def _centres(rows: DataFrame) -> DataFrame:
 
 
 def _across(best: int | None):
-    """mapInArrow function: pairs of different components in a node whose tokens agree often enough; with ``best``
-    at most so many for each member, else each pair in the least of the nodes that it shares. Rows come sorted by
-    node with all nodes of their member."""
-
-    def pairs(node: int, ids: np.ndarray, comps: np.ndarray, fine: np.ndarray, nodes: list[np.ndarray]) -> pa.RecordBatch:
-        names, comp, size = np.unique(comps, return_inverse=True, return_counts=True)
-        order = np.lexsort((comp, size[comp]))  # rows of the largest component are never the probing side
-        ids, comp, fine, nodes = ids[order], comp[order], fine[order], [nodes[k] for k in order]
-        lower = [x[x < node] for x in nodes]
-        a, b = [], []
-        for i in range(len(ids) - size.max()):
-            later = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            agree = (fine[later] == fine[i]).sum(axis=1)
+    """mapInArrow function over the rows of block_pairs(): pairs of different components whose tokens agree often
+    enough, in batches of about PAIRS; with ``best`` the likeliest of each member that asks, else each pair in the
+    least of the nodes that it shares."""
+
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        node, (ids, comp), (asks, also, answers) = rows.column(0)[0].as_py(), (np.asarray(rows.column(i)) for i in (3, 4)), (np.asarray(c.cast(pa.int8())) > 0 for c in rows.columns[5:8])
+        fine = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, TOKENS)
+        lists = [np.asarray(x.values) for x in rows.column(9)]
+        lists = [x[x < node] for x in lists]
+        lower = np.zeros((len(ids), max(map(len, lists))), np.int64)
+        for i, x in enumerate(lists):
+            lower[i, : len(x)] = x
+        filled = np.arange(lower.shape[1]) < np.array([len(x) for x in lists])[:, None]
+        a, b, level, waiting = [], [], [], 0
+        for i in np.flatnonzero(asks):
+            # of two that both ask only the lesser id does, unless each looks for its best
+            other = np.flatnonzero(answers & (comp != comp[i]) & (~also | (ids > ids[i]) | (best is not None)))
+            agree = (fine[other] == fine[i]).sum(axis=1)
             good = agree >= LEAST_AGREE
-            later, agree = later[good], agree[good]
+            other, agree = other[good], agree[good]
             if best is not None:
-                later = later[np.argsort(-agree, kind="stable")[:best]]
-            elif len(lower[i]):
-                later = np.array([k for k in later if not np.isin(lower[k], lower[i]).any()], np.int64)
-            a.append(np.full(len(later), ids[i]))
-            b.append(ids[later])
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+                order = np.argsort(-agree, kind="stable")[:best]
+                other, agree = other[order], agree[order]
+            elif len(lists[i]):
+                earlier = ((lower[other][:, :, None] == lists[i]) & filled[other][:, :, None]).any(axis=(1, 2))
+                other, agree = other[~earlier], agree[~earlier]
+            a.append(np.full(len(other), ids[i]))
+            b.append(ids[other])
+            level.append(agree)
+            waiting += len(other)
+            if waiting >= PAIRS:
+                yield out(node, a, b, level)
+                a, b, level, waiting = [], [], [], 0
+        if waiting:
+            yield out(node, a, b, level)
+
+    def out(node: int, a: list[np.ndarray], b: list[np.ndarray], level: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, level = (np.concatenate(x).astype(np.int64) for x in (a, b, level))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), node, np.int64)), pa.array(a), pa.array(b), pa.array(level)], ["node", "a", "b", "agree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            _, ids, comps, fine, nodes = zip(*held, strict=True)
-            return pairs(held[0][0], np.concatenate(ids), np.concatenate(comps), np.concatenate(fine), [n for part in nodes for n in part])
-
-        for b in batches:
-            node, ids, comps = (np.asarray(b.column(i)) for i in range(3))
-            fine = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, TOKENS)
-            nodes = [np.asarray(x.values) for x in b.column(4)]
-            edges = np.unique([0, *(np.flatnonzero(np.diff(node)) + 1), len(node)])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0][0] != node[lo]:
-                    yield flush()
-                    held = []
-                held.append((node[lo], ids[lo:hi], comps[lo:hi], fine[lo:hi], nodes[lo:hi]))
-        if held:
-            yield flush()
+        for held in by_block(batches):
+            yield from pairs(held)
 
     return run
 
@@ -180,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents with equal sets form a class, which the least doc_id stands for. Each class walks TREES
     independent trees: a node's path chooses the minwise token on which its members branch. Nodes of up to
     64 members are compared exhaustively, larger ones branch again (LEVELS times), and what then still holds
-    several components is compared across them. Sketches of the tokens discard pairs that can't reach the
+    several components is compared across them, block by block. Sketches of the tokens discard pairs that can't reach the
     threshold; the rest is confirmed on the full sets. Large nodes first try their central member, so the edited
     copies of one text are linked to it without comparing them with one another. At similarity 0.8 one tree of three levels brings a
     pair together with probability 0.51, sixteen trees miss it in 1 of 90,000 cases; at 0.9 never in practice.
@@ -219,8 +222,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def sweep(leaves: DataFrame, best: int | None) -> DataFrame:
         own = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # one for each tree and level at most
-        rows = leaves.join(classes.select("id", "fine").dropDuplicates(["id"]), "id").join(own, "id").select("node", "id", "comp", "fine", "nodes")
-        return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_across(best), "a long, b long")
+        rows = block_pairs(leaves, BLOCK, classes.select("id", "fine").dropDuplicates(["id"]).join(own, "id"))
+        found = rows.mapInArrow(_across(best), "node long, a long, b long, agree long")
+        if best is not None:  # of those of each block
+            place = F.row_number().over(Window.partitionBy("node", "a").orderBy(F.desc("agree"), "b"))
+            found = found.withColumn("place", place).where(F.col("place") <= best)
+        return found.select("a", "b")
 
     _, comps = similarity_components(classes.drop("set_id", "fine"), LEVELS, plausible, ["n", "sk0", "sk1"], verify, _centres, sweep)
     root = classes.select("set_id", "id").join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("root"))

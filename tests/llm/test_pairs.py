@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlens.llm import decontaminate, line_dedup, near_dedup
-from fieldlens.llm._graph import connected_components
+from fieldlens.llm._graph import block_pairs, connected_components
 
 WORDS = [f"w{i}" for i in range(4000)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,6 +64,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_block_pairs_bound_a_hot_node_and_lose_no_pair(spark):
+    held = [(1, i, 0 if i % 3 else i) for i in range(300)] + [(2, i, 0 if i < 299 else 5) for i in range(300)] + [(3, i, i) for i in range(2)]
+    df = spark.createDataFrame(held, "node long, id long, comp long")
+    groups = {}
+    for r in block_pairs(df, 20, spark.range(300)).collect():
+        groups.setdefault((r.node, r.p, r.q), []).append(r)
+    assert max(map(len, groups.values())) < 90  # before, a node was one group of 300
+    met = [(k[0], a.id, b.id) for k, g in groups.items() for a in g if a.asks for b in g if b.answers and a.id != b.id]
+    assert len(met) == len(set(met))
+    assert {(n, frozenset(x)) for n, *x in met} >= {(n, frozenset((i, j))) for n, i, c in held for m, j, d in held if n == m and c != d}
+    assert len([k for k in groups if k[0] == 2]) == 15  # one member that asks, not all against all
+
+
+def test_small_blocks_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    test_near_duplicates_match_brute_force(spark)
+    test_line_dedup_matches_brute_force(spark)
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A B C D E F"), (7, "x " * 50_000)]
     got = sorted(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), key=str)
