@@ -135,6 +135,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(r.key == "x" and r.drops == 1 for r in got)
 
 
+def test_line_dedup_finds_isolated_pairs_at_the_threshold(spark):
+    rng = random.Random(6)
+    pairs = []
+    while len(pairs) < 3000:
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80))
+        at = rng.randrange(66, 70)
+        y = x[:at] + "#" + x[at + 1 :]
+        a, b = line_set(x), line_set(y)
+        if 80 * len(a | b) <= 100 * len(a & b) < 81 * len(a | b):
+            pairs.append((x, y))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df).where("__dropped > 0").collect()}
+    assert gone == set(range(1, 6000, 2))  # eight bands miss one pair in 300
+
+
 def test_line_dedup_of_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "same line here\nsame line here"), (1, "same line here\nsame line here"), (2, "same line here")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == [(1, "same line here"), (1, "same line here"), (2, "")]
