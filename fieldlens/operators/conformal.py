@@ -6,13 +6,19 @@ Cells are groups of rows (``by``); calibration scores of a cell meet its test ro
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
 
+#: Ranges of scores in a cell at most, and the distinct scores from which there are several.
+RANGES, RANGE_SCORES = 256, 4096
+
 
 def central_interval(pmf: Column, alpha: float) -> tuple[Column, Column]:
     """First index whose cdf reaches alpha / 2, and 1 - alpha / 2 (CAL-1)."""
@@ -121,31 +127,115 @@ def isotonic(points: DataFrame, by: list[str], x: str, y: str, weight: str) -> D
     return arrays.select(*by, F.posexplode(F.zip_with("p", fit, lambda p, f: F.struct(p["x"].alias(x), p["w"].alias("weight"), f.alias("fitted")))).alias("i", "r")).select(*by, f"r.{x}", "r.weight", "r.fitted")
 
 
-def venn_abers(calibration: DataFrame, test: DataFrame, by: list[str], p: str, y: str, precision: int = 2) -> DataFrame:
+def venn_abers(calibration: DataFrame, test: DataFrame, by: list[str], p: str, y: str, precision: int | None = None) -> DataFrame:
     """Test rows with ``p0, p1, point, imprecision`` (CAL-8): p1 is the isotonic fit at the row's score once the
-    row is appended with label 1, p0 with 0; point = p1 / (1 - p0 + p1). Scores are rounded to ``precision`` digits,
-    so a cell has at most 10**precision + 1 bins."""
-    bins = calibration.groupBy(*by, F.round(p, precision).alias("__b")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
-    arrays = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__b", "n", "s"))).alias("cal"))
-    marks = test.withColumn("__t", F.round(p, precision))
-    at = marks.select(*by, "__t").distinct().join(arrays, by)  # each distinct score of a cell once
-    below, above = F.filter("cal", lambda c: c["__b"] < F.col("__t")), F.filter("cal", lambda c: c["__b"] > F.col("__t"))
-    own = F.filter("cal", lambda c: c["__b"] == F.col("__t"))
-    count = lambda arr, field: F.aggregate(arr, F.lit(0.0), lambda a, c: a + c[field])
-    suffix = lambda arr, field: F.transform(F.sequence(F.lit(0), F.size(arr)), lambda i: count(F.slice(arr, F.size(arr) - i + 1, i), field))
-    prefix = lambda arr, field: F.transform(F.sequence(F.lit(0), F.size(arr)), lambda i: count(F.slice(arr, F.lit(1), i), field))
-    at = at.select(
-        *by, "__t", suffix(below, "n").alias("bn"), suffix(below, "s").alias("bs"), prefix(above, "n").alias("an"), prefix(above, "s").alias("as_"),
-        (count(own, "n") + 1).alias("on"), count(own, "s").alias("os"),
-    )
-
-    def fit(label: float) -> Column:
-        inner = lambda i: F.array_min(
-            F.transform(F.sequence(F.lit(0), F.size("an") - 1), lambda j: (F.get("bs", i) + F.col("os") + label + F.get("as_", j)) / (F.get("bn", i) + F.col("on") + F.get("an", j)))
-        )
-        return F.array_max(F.transform(F.sequence(F.lit(0), F.size("bn") - 1), inner))
-
-    fitted = at.select(*by, "__t", fit(0.0).alias("p0"), fit(1.0).alias("p1"))
+    row is appended with label 1, p0 with 0; point = p1 / (1 - p0 + p1). Scores are taken as they are, or rounded to
+    ``precision`` digits.
+
+    The fit at a score is the slope at which the lower hulls of the running counts on both sides of it meet. Counts
+    are summed by cell and score first; ranges of scores give their hulls, those of a cell are merged to what lies on
+    either side of each range, and within a range only its own scores are walked."""
+    score = (F.col(p) if precision is None else F.round(p, precision)).cast("double").alias("__t")
+    bins = calibration.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("s"))
+    marks = test.withColumn("__t", score)
+    both = bins.withColumn("asked", F.lit(0)).unionByName(marks.select(*by, "__t").distinct().select(*by, "__t", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(1).alias("asked")))
+    levels = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    stride = F.greatest(F.floor(F.lit(RANGES * RANGE_SCORES) / F.count("*")), F.lit(1))
+    cuts = bins.groupBy(*by).agg(F.array_distinct(F.percentile_approx("__t", levels, 10_000)).alias("cuts"), stride.alias("stride"))
+    at = both.groupBy(*by, "__t").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("asked").alias("asked")).join(cuts, by)
+    below = F.size(F.filter("cuts", lambda x: x < F.col("__t")))
+    at = at.withColumn("__g", F.floor(below / F.col("stride")).cast("int")).drop("cuts", "stride")
+    types = {f.name: f.dataType.simpleString() for f in at.schema}
+    named = "".join(f"`{c}` {types[c]}, " for c in by)
+
+    def push(points: list, slopes: list, x: int, z: int, sign: int) -> list:
+        """Add a point to a lower hull walked to the right (sign 1) or the left (-1); the points that it removes."""
+        gone = []
+        while len(points) > 1 and sign * ((z - points[-1][1]) * (points[-1][0] - points[-2][0]) - (points[-1][1] - points[-2][1]) * (x - points[-1][0])) <= 0:
+            gone.append(points.pop())
+            slopes.pop()
+        if points:
+            slopes.append(sign * (z - points[-1][1]) / (x - points[-1][0]))
+        points.append((x, z))
+        return gone
+
+    def key(t: pa.Table, rows: int) -> list:
+        return [pa.chunked_array([pa.repeat(t.column(c)[0], rows)]) for c in by]
+
+    def hull(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__t")
+        points, slopes, x, z = [(0, 0)], [], 0, 0
+        for n, v in zip(t.column("n").to_pylist(), t.column("s").to_pylist(), strict=True):
+            if n:
+                x, z = x + n, z + v
+                push(points, slopes, x, z, 1)
+        return pa.Table.from_arrays([*key(t, 1), pa.array([t.column("__g")[0].as_py()], pa.int32()), pa.array([[a for a, _ in points]], pa.list_(pa.int64())), pa.array([[b for _, b in points]], pa.list_(pa.int64()))], [*by, "__g", "hn", "hs"])
+
+    def sides(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__g")
+        hulls = {g: list(zip(a, b, strict=True)) for g, a, b in zip(*[t.column(c).to_pylist() for c in ("__g", "hn", "hs")], strict=True)}
+        groups, start, x, z = range(max(hulls) + 2), {}, 0, 0
+        left, slopes, lefts, rights = [(0, 0)], [], {}, {}
+        for g in groups:
+            start[g], lefts[g] = (x, z), list(left)
+            for a, b in hulls.get(g, [])[1:]:
+                push(left, slopes, x + a, z + b, 1)
+            if g in hulls:
+                x, z = x + hulls[g][-1][0], z + hulls[g][-1][1]
+        right, slopes = [(x, z)], []
+        for g in reversed(groups):
+            rights[g] = list(right)
+            for a, b in hulls.get(g, [])[-2::-1]:
+                push(right, slopes, start[g][0] + a, start[g][1] + b, -1)
+        columns = [pa.array([[q[i] for q in side[g]] for g in groups], pa.list_(pa.int64())) for side in (lefts, rights) for i in (0, 1)]
+        return pa.Table.from_arrays([*key(t, len(groups)), pa.array(list(groups), pa.int32()), *columns], [*by, "__g", "ln", "ls", "rn", "rs"])
+
+    def meet(left: list, up: list, right: list, down: list, label: int) -> float:
+        lo, hi, v, last = -1.0, 2.0, 0.5, None
+        for _ in range(200):
+            a, b = left[bisect.bisect_left(up, v)], right[bisect.bisect_right(down, -v)]
+            if (a, b) == last:
+                break
+            last, rise, run = (a, b), b[1] + label - a[1], b[0] + 1 - a[0]
+            lo, hi = (v, hi) if rise > v * run else (lo, v)
+            v = rise / run if lo <= rise / run <= hi else (lo + hi) / 2
+        return v
+
+    def walk(t: pa.Table, around: pa.Table) -> pa.Table:
+        if not t.num_rows or not around.num_rows:
+            return pa.Table.from_arrays([*[t.column(c).slice(0, 0) for c in by], *[pa.array([], pa.float64())] * 3], [*by, "__t", "p0", "p1"])
+        t = t.sort_by("__t")
+        n, s, asked, at_ = (t.column(c).to_pylist() for c in ("n", "s", "asked", "__t"))
+        left, right = (list(zip(around.column(a)[0].as_py(), around.column(b)[0].as_py(), strict=True)) for a, b in (("ln", "ls"), ("rn", "rs")))
+        up = [(d - b) / (c - a) for (a, b), (c, d) in itertools.pairwise(left)]
+        down = [-(d - b) / (c - a) for (a, b), (c, d) in itertools.pairwise(right)]
+        x, z = right[-1]
+        removed = []
+        for k in reversed(range(len(n))):
+            if n[k]:
+                x, z = x - n[k], z - s[k]
+                removed.append(push(right, down, x, z, -1))
+        out = []
+        for k in range(len(n)):
+            if n[k]:
+                right.pop()
+                if down:
+                    down.pop()
+                for a, b in reversed(removed.pop()):
+                    if right:
+                        down.append(-(b - right[-1][1]) / (a - right[-1][0]))
+                    right.append((a, b))
+            if asked[k]:
+                out.append((at_[k], meet(left, up, right, down, 0), meet(left, up, right, down, 1)))
+            if n[k]:
+                x, z = x + n[k], z + s[k]
+                push(left, up, x, z, 1)
+        return pa.Table.from_arrays([*key(t, len(out)), *[pa.array([r[i] for r in out], pa.float64()) for i in range(3)]], [*by, "__t", "p0", "p1"])
+
+    place = [*by, "__g"]
+    hulls = at.where("n > 0").groupBy(*place).applyInArrow(hull, f"{named}__g int, hn array<long>, hs array<long>")
+    around = hulls.groupBy(*by).applyInArrow(sides, f"{named}__g int, ln array<long>, ls array<long>, rn array<long>, rs array<long>")
+    fitted = at.groupBy(*place).cogroup(around.groupBy(*place)).applyInArrow(walk, f"{named}__t double, p0 double, p1 double")
     out = marks.join(fitted, [*by, "__t"]).drop("__t")
     return out.withColumn("point", F.col("p1") / (1 - F.col("p0") + F.col("p1"))).withColumn("imprecision", F.col("p1") - F.col("p0"))
 

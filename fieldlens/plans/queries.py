@@ -614,6 +614,13 @@ def cal8_venn_abers(spark, sf):
     return rounded(out.select("row", "p0", "p1", "point", "imprecision"))
 
 
+@query()
+def cal8_venn_abers_exact(spark, sf):
+    t = b.binary(spark, sf)
+    out = conformal.venn_abers(t.where("is_cal"), t.where("not is_cal"), ["cell"], "p", "y")
+    return rounded(out.select("row", "p0", "p1", "point", "imprecision"))
+
+
 @query()
 def cal4_local_padding(spark, sf):
     p = b.pmfs(spark, sf)

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import math
+import random
 
 import numpy as np
 import pytest
@@ -118,6 +119,30 @@ def test_isotonic_equals_pool_adjacent_violators(spark):
     assert got == pytest.approx(want)
 
 
+def test_venn_abers_is_exact_over_unrounded_scores(spark, monkeypatch):
+    monkeypatch.setattr(conformal, "RANGE_SCORES", 8)
+    rng = random.Random(2)
+    rows = []
+    for k in range(700):
+        p = round(rng.random(), rng.choice([2, 6]))
+        rows.append((k, "ab"[k % 2], p, int(rng.random() < 0.2 + 0.6 * p), k % 5 > 0))
+    df = spark.createDataFrame(rows, "row int, cell string, p double, y int, is_cal boolean")
+    got = conformal.venn_abers(df.where("is_cal"), df.where("not is_cal"), ["cell"], "p", "y").collect()
+    assert len(got) == 140
+    for r in got:
+        for label, fit in ((0, r.p0), (1, r.p1)):
+            points = {}
+            for _, cell, p, y, is_cal in [*rows, (0, r.cell, r.p, label, True)]:
+                if is_cal and cell == r.cell:
+                    n, s = points.get(p, (0, 0))
+                    points[p] = (n + 1, s + y)
+            at = sorted(points)
+            n, s = (np.concatenate([[0], np.cumsum([points[x][i] for x in at])]) for i in (0, 1))
+            k = at.index(r.p)
+            means = (s[None, k + 1 :] - s[: k + 1, None]) / (n[None, k + 1 :] - n[: k + 1, None])
+            assert abs(means.min(axis=1).max() - fit) < 1e-12
+
+
 def test_split_quantile_falls_back_beyond_n(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(5)] + [(2, float(i)) for i in range(99)], "c int, s double")
     got = {r.c: r["quantile"] for r in conformal.split_quantile(df, ["c"], "s", 0.1, 1e6).collect()}
