@@ -10,6 +10,7 @@ import bisect
 import itertools
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from fieldlens.functions import scalars as fn
 
 #: Ranges of scores in a cell at most, and the distinct scores from which there are several.
 RANGES, RANGE_SCORES = 256, 4096
+#: Calibration rows, and test points, in a block of local_padding().
+PADDING_BLOCK = 512
 
 
 def central_interval(pmf: Column, alpha: float) -> tuple[Column, Column]:
@@ -91,22 +94,73 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
     """Test rows with ``padding``: the weighted quantile of a cell's calibration scores, weighted by a Gaussian of the
     scaled feature distance whose bandwidth is the distance of the k-th neighbour (CAL-4, JN-18, FN-19).
 
-    A cell's calibration rows become one array sorted by score; every test row works on its cell's array, so
-    no pair of rows is ever a row."""
-    scale = calibration.groupBy(*by).agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in features])
+    Calibration rows and test points, each counted once, meet in pairs of bounded blocks: first the k nearest
+    distances of each block are merged to the bandwidth, then weights are summed by score."""
+    scale = calibration.groupBy(*by).agg(F.count("*").alias("__n"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
     unit = lambda f: F.when(F.col(f"s_{f}") > 1e-12, F.col(f"s_{f}")).otherwise(1.0)
-    cal = calibration.join(scale, by)
-    item = F.struct(F.col(score).cast("double").alias("value"), F.array(*[F.col(f) / unit(f) for f in features]).alias("x"))
-    arrays = cal.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("cal"))
-    at = test.join(scale, by).withColumn("__x", F.array(*[F.col(f) / unit(f) for f in features])).drop(*[f"s_{f}" for f in features]).join(arrays, by)
-    d2 = F.transform("cal", lambda c: fn.total(F.zip_with(c["x"], F.col("__x"), lambda a, b: (a - b) * (a - b))))
-    at = at.withColumn("__d2", d2)
-    band = F.greatest(F.element_at(F.array_sort("__d2"), F.least(F.lit(k), F.size("__d2"))), F.lit(1e-12))
-    at = at.withColumn("__band", band)
-    pairs = F.zip_with("cal", "__d2", lambda c, d: F.struct(c["value"].alias("value"), F.exp(-d / (2 * F.col("__band"))).alias("weight")))
-    n = F.size("cal")
-    level = F.least(F.lit(1.0), (1 - alpha) * (n + 1) / n)
-    return at.withColumn("padding", F.ceil(fn.weighted_quantile(pairs, level))).drop("cal", "__d2", "__x", "__band")
+    x = F.array(*[F.col(f).cast("double") / unit(f) for f in features])
+    spent = [f"s_{f}" for f in features]
+    cal = calibration.join(scale, by).groupBy(*by, F.col(score).cast("double").alias("v"), x.alias("x")).agg(F.count("*").alias("m"))
+    at = test.join(scale, by).withColumn("__x", x).drop(*spent)
+    points = at.select(*by, F.col("__x").alias("x")).distinct()
+
+    def blocks(rows: DataFrame, item: list[str]) -> DataFrame:
+        parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / PADDING_BLOCK).alias("parts"))
+        dealt = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64(*item), F.col("parts")))
+        return dealt.groupBy(*by, "part").agg(F.collect_list(F.struct(*item)).alias("rows"), F.first("parts").alias("parts"))
+
+    there = blocks(cal, ["v", "x", "m"]).withColumnRenamed("rows", "cal")
+    lanes = there.groupBy(*by).agg(F.first("parts").alias("lanes"))
+
+    def met(rows: DataFrame, item: list[str]) -> DataFrame:
+        """Each block of points with each block of the cell's calibration rows."""
+        asked = blocks(rows, item).drop("part", "parts").join(lanes, by).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
+        return there.drop("parts").join(asked.drop("lanes"), [*by, "part"]).select(*by, "cal", "rows")
+
+    n_by = len(by)
+
+    def sides(batch: pa.RecordBatch, k: int) -> tuple:
+        cal_, rows = batch.column(n_by)[k].values, batch.column(n_by + 1)[k].values
+        a, b = (np.asarray(t.field("x").flatten(), np.float64).reshape(len(t), -1) for t in (rows, cal_))
+        d2 = np.zeros((len(a), len(b)))
+        for f in range(a.shape[1]):
+            d2 += (b[None, :, f] - a[:, f, None]) ** 2
+        return rows, cal_, d2
+
+    def table(batch: pa.RecordBatch, k: int, rows: pa.Array, of: np.ndarray, more: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+        own = [batch.column(c).take(pa.array(np.full(len(of), k))) for c in range(n_by)]
+        return pa.RecordBatch.from_arrays([*own, rows.field("x").take(pa.array(of)), *[pa.array(y) for y in more]], [*by, "x", *names])
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, cal_, d2 = sides(batch, i)
+                d2 = np.repeat(d2, np.minimum(np.asarray(cal_.field("m")), k), axis=1)
+                d2 = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, :k]
+                yield table(batch, i, rows, np.repeat(np.arange(len(d2)), d2.shape[1]), [d2.reshape(-1)], ["d2"])
+
+    def weights(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, cal_, d2 = sides(batch, i)
+                w = np.exp(-d2 / (2 * np.asarray(rows.field("band"))[:, None])) * np.asarray(cal_.field("m"))
+                values, which = np.unique(np.asarray(cal_.field("v")), return_inverse=True)
+                sums = np.zeros((len(values), len(w)))
+                np.add.at(sums, which, w.T)
+                yield table(batch, i, rows, np.repeat(np.arange(len(w)), len(values)), [np.tile(values, len(w)), sums.T.reshape(-1)], ["v", "w"])
+
+    types = {f.name: f.dataType.simpleString() for f in calibration.schema}
+    named = "".join(f"`{c}` {types[c]}, " for c in by) + "x array<double>, "
+    near = met(points, ["x"]).mapInArrow(nearest, f"{named}d2 double")
+    place = F.row_number().over(Window.partitionBy(*by, "x").orderBy("d2"))
+    band = near.withColumn("place", place).where(F.col("place") <= k).groupBy(*by, "x").agg(F.greatest(F.max("d2"), F.lit(1e-12)).alias("band"))
+    sums = met(band, ["x", "band"]).mapInArrow(weights, f"{named}v double, w double").groupBy(*by, "x", "v").agg(F.sum("w").alias("w"))
+    own = Window.partitionBy(*by, "x")
+    level = F.least(F.lit(1.0), (1 - alpha) * (F.col("__n") + 1) / F.col("__n"))
+    run = sums.join(scale.select(*by, "__n"), by).withColumn("cum", F.sum("w").over(own.orderBy("v"))).withColumn("total", F.sum("w").over(own))
+    reached = F.min(F.when(F.col("cum") >= F.col("total") * level - 1e-12, F.col("v")))
+    found = run.groupBy(*by, "x").agg(F.ceil(F.coalesce(reached, F.max("v"))).alias("padding")).withColumnRenamed("x", "__x")
+    return at.drop("__n").join(found, [*by, "__x"]).drop("__x")
 
 
 def isotonic(points: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:

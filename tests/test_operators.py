@@ -143,6 +143,26 @@ def test_venn_abers_is_exact_over_unrounded_scores(spark, monkeypatch):
             assert abs(means.min(axis=1).max() - fit) < 1e-12
 
 
+def test_local_padding_in_blocks_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(conformal, "PADDING_BLOCK", 16)  # before, a cell was one array
+    rng = random.Random(4)
+    rows = [(i, i % 2, rng.randrange(40) / 8, rng.random(), rng.randrange(12), i % 3 > 0) for i in range(240)]
+    df = spark.createDataFrame(rows + [(900 + i, *rows[1][1:]) for i in range(30)], "row int, cell int, a double, b double, score int, is_cal boolean")
+    rows = [tuple(r) for r in df.collect()]
+    got = {r.row: r.padding for r in conformal.local_padding(df.where("is_cal"), df.where("not is_cal"), ["cell"], ["a", "b"], "score", 0.1, 20).collect()}
+    want = {}
+    for i, cell, a, b, _, is_cal in rows:
+        if not is_cal:
+            cal = [r for r in rows if r[5] and r[1] == cell]
+            x = np.array([r[2:4] for r in cal])
+            d2 = (((x - [a, b]) / x.std(axis=0)) ** 2).sum(axis=1)
+            w, v = np.exp(-d2 / (2 * max(np.sort(d2)[19], 1e-12))), np.array([r[4] for r in cal])
+            order = np.argsort(v, kind="stable")
+            goal = w.sum() * min(1, 0.9 * (len(cal) + 1) / len(cal))
+            want[i] = v[order][np.argmax(np.cumsum(w[order]) >= goal - 1e-12)]
+    assert got == want
+
+
 def test_split_quantile_falls_back_beyond_n(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(5)] + [(2, float(i)) for i in range(99)], "c int, s double")
     got = {r.c: r["quantile"] for r in conformal.split_quantile(df, ["c"], "s", 0.1, 1e6).collect()}
