@@ -15,38 +15,45 @@ from fieldlens.llm._spark import small_batches
 BLOCK, QUERY_BLOCK = 2048, 256
 #: Segments by resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
-#: Beyond this a product of components may not fit a long.
+#: Vectors with a component beyond this are compared in integers of any size.
 LARGEST = float(1 << 26)
-_BLOCKS = "dim int, ids binary, vectors binary"
+_BLOCKS = "dim int, wide boolean, ids binary, vectors binary"
 
 
-def quantised(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, floor(256 x)) of the usable vectors of a batch of (id, vector)."""
+def quantised(batch: pa.RecordBatch) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(dimension, wide, ids, values) of the usable vectors of a batch of (id, vector). Values are floor(256 x), of
+    wide vectors floor(256 x) / 256 as float64, which is exact."""
     ids, vectors = batch.column(0), batch.column(1)
     lengths = np.asarray(vectors.value_lengths().fill_null(0))
     flat = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
     with np.errstate(invalid="ignore", over="ignore"):
-        flat = np.floor(flat * 256)
-        usable_part = np.abs(flat) < LARGEST  # false for NaN
+        finite, raw, flat = np.isfinite(flat), flat, np.floor(flat * 256)
+        exact = np.where(np.abs(raw) < 2.0**52, flat / 256, raw)
+        large = ~(np.abs(flat) < LARGEST)
     at = np.concatenate([[0], np.cumsum(lengths)])
     usable = (lengths > 0) & np.asarray(ids.is_valid()) & np.asarray(vectors.is_valid())
-    wrong = np.concatenate([[0], np.cumsum(~usable_part)])
+    wrong = np.concatenate([[0], np.cumsum(~finite)])
     usable &= wrong[at[1:]] == wrong[at[:-1]]
+    beyond = np.concatenate([[0], np.cumsum(large)])
+    wide = beyond[at[1:]] > beyond[at[:-1]]
     id_ = np.asarray(ids.fill_null(0))
     out = []
     for dim in np.unique(lengths[usable]):
-        rows = np.flatnonzero(usable & (lengths == dim))
-        out.append((int(dim), id_[rows].astype(np.int64), flat[at[rows][:, None] + np.arange(dim)].astype(np.int32)))
+        for kind in (False, True):
+            rows = np.flatnonzero(usable & (lengths == dim) & (wide == kind))
+            spots = at[rows][:, None] + np.arange(dim)
+            if len(rows):
+                out.append((int(dim), kind, id_[rows].astype(np.int64), exact[spots] if kind else flat[spots].astype(np.int32)))
     return out
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, ids, v in quantised(b):
+            for dim, wide, ids, v in quantised(b):
                 for k in range(0, len(ids), size):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.array([ids[k : k + size].tobytes()]), pa.array([v[k : k + size].tobytes()])], ["dim", "ids", "vectors"]
+                        [pa.array([dim], pa.int32()), pa.array([wide]), pa.array([ids[k : k + size].tobytes()]), pa.array([v[k : k + size].tobytes()])], ["dim", "wide", "ids", "vectors"]
                     )
 
     return rows.mapInArrow(run, _BLOCKS)
@@ -89,6 +96,30 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
+def beyond_long(score: int) -> bytes:
+    """Bytes in the order of scores: one value for all that fit a long."""
+    if -(1 << 63) <= score < 1 << 63:
+        return b"\x80\x00"
+    size = (abs(score).bit_length() + 7) // 8
+    return (0x8000 + size).to_bytes(2) + score.to_bytes(size) if score > 0 else (0x8000 - size).to_bytes(2) + (256**size - 1 + score).to_bytes(size)
+
+
+def search_wide(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """As search_block(), in Python's integers; rows of (query, candidate, score)."""
+    out = []
+    for i in range(len(qid)):
+        score, other = c @ q[i], np.flatnonzero(cid != qid[i])
+        best = sorted(other, key=lambda j: (-score[j], cid[j]))[:k]  # noqa: B023
+        out += [(int(qid[i]), int(cid[j]), int(score[j])) for j in best]
+    return out
+
+
+def _integers(v: bytes, wide: bool, dim: int) -> np.ndarray:
+    if not wide:
+        return np.frombuffer(v, np.int32).reshape(-1, dim).astype(object)
+    return np.array([int(x) * 256 if abs(x) >= 2.0**52 else int(x * 256) for x in np.frombuffer(v).tolist()], object).reshape(-1, dim)
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` highest integer inner products for each row whose id is divisible by ``every``.
 
@@ -96,29 +127,34 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     with the query's own id; ties go to the smaller id. Queries and candidates meet block by block: the query
     set is a stated share of the table, blocks are of bounded size, and each block pair returns k rows a query.
 
-    Vectors that are null or empty or hold a null, a non-finite component or one beyond +-2**18 (whose products
-    don't fit a long) take no part, nor do rows with a null id. Vectors of different lengths are never compared.
+    Vectors that are null or empty or hold a null or a non-finite component take no part, nor do rows with a null id. A score that doesn't fit a long ranks exactly and is given as null. Vectors of different lengths are never compared.
     Repeated rows are candidates each on their own; where rows share a query's id, the least vector asks. A query without candidates gives no row; an empty table gives
     an empty result. Other columns are not read.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = _blocks(asked, QUERY_BLOCK).select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = _blocks(asked, QUERY_BLOCK).select(F.col("dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # Each block of queries goes once to each of so many lanes, each block of candidates to one of them.
     lanes = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     there = _blocks(rows, BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    pairs = there.join(asked, ["dim", "lane"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
+    pairs = there.join(asked, ["dim", "lane"]).select("dim", "wide", "q_wide", "ids", "vectors", "q_ids", "q_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, ids, v, q_ids, qv in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for dim, wide, q_wide, ids, v, q_ids, qv in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if wide or q_wide:
+                    rows = search_wide(np.frombuffer(q_ids, np.int64), _integers(qv, q_wide, dim), np.frombuffer(ids, np.int64), _integers(v, wide, dim), k)
+                    keys = [beyond_long(r[2]) for r in rows]
+                    scores = pa.array([r[2] if key == b"\x80\x00" else None for r, key in zip(rows, keys, strict=True)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], scores, pa.array(keys, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
+                    continue
                 got = search_block(
                     np.frombuffer(q_ids, np.int64), np.frombuffer(qv, np.int32).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(v, np.int32).reshape(-1, dim), k
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in got], pa.array([b"\x80\x00"] * len(got[0]), pa.binary())], ["query_id", "vec_id", "score", "beyond"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,8 @@
 """Toxicity, language identification and exact search."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 
@@ -99,6 +101,17 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float(i), -1.0]) for i in range(8)] + [(50, [3e5, 1.0]), (51, [1e30, 2.0]), (52, [-1e30, 0.0]), (53, [2.0**20, 5e-3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in whole.items() if j != i)[:5]
+        want += [(i, r, j, -s if s > -(1 << 63) else None) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(4)
     q, c = rng.integers(-200, 200, (20, 50)), rng.integers(-200, 200, (300, 50))
