@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm._spark import cut, discard, may_be_in
 
 #: Nodes of more rows than this are branched further (or swept once components are known).
 SMALL_NODE = 64
+#: Blocks of up to so many rows are compared many at a time; about so many pairs are in a batch of results.
+VECTOR, PAIRS = 128, 1 << 16
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -64,24 +66,118 @@ def block_pairs(held: DataFrame, size: int, payload: DataFrame) -> DataFrame:
     return out.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id")
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """The rows of each pair of blocks, from batches sorted by (node, p, q)."""
+def whole_blocks(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of whole pairs of blocks, of about ``rows`` rows, from batches sorted by (node, p, q), with the offsets of each pair."""
     held: list[pa.RecordBatch] = []
-    last = None
+    waiting = 0
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        run = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = [np.asarray(run.column(i)) for i in range(3)]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return run, np.concatenate([[0], np.flatnonzero(new) + 1, [run.num_rows]])
+
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], axis=1)
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), b.num_rows]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            now = tuple(keys[lo])
-            if held and now != last:
-                yield held
-                held = []
-            held.append(b.slice(lo, hi - lo))
-            last = now
+        held.append(b)
+        waiting += b.num_rows
+        if waiting >= rows:
+            run, at = joined()
+            if len(at) > 2:
+                yield run.slice(0, at[-2]), at[:-1]
+                run = run.slice(at[-2])
+            held, waiting = [run], run.num_rows
     if held:
-        yield held
+        yield joined()
+
+
+def likely_pairs(tokens: int, least: int, best: int | None):
+    """mapInArrow function over the rows of block_pairs() with a payload ``fine`` (one byte of each of ``tokens`` MinHash
+    values) and perhaps ``nodes`` (all nodes of the member): pairs of different components of which ``least`` bytes
+    agree, in batches of about PAIRS. With ``best`` only the likeliest of each member that asks; with ``nodes``, in
+    large blocks, each pair in the least node that it shares. Returns (node, a, b, agree)."""
+
+    def emit(node, a, b, agree) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(a), PAIRS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[lo : lo + PAIRS]).astype(np.int64)) for x in (node, a, b, agree)], ["node", "a", "b", "agree"])
+
+    def small(node, ids, comp, asks, answers, fine, sizes) -> Iterator[pa.RecordBatch]:
+        """All groups of few rows at once; ``sizes`` are the groups' numbers of rows."""
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        after = ends - np.arange(len(ids)) - 1
+        i = np.repeat(np.arange(len(ids)), after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        forth, back = asks[i] & answers[j], asks[j] & answers[i]
+        far = (comp[i] != comp[j]) & (forth | back)
+        i, j, forth, back = i[far], j[far], forth[far], back[far]
+        agree = np.zeros(len(i), np.int64)
+        for lo in range(0, len(i), 1 << 14):
+            agree[lo : lo + (1 << 14)] = (fine[i[lo : lo + (1 << 14)]] == fine[j[lo : lo + (1 << 14)]]).sum(axis=1)
+        good = agree >= least
+        i, j, forth, back, agree = i[good], j[good], forth[good], back[good], agree[good]
+        if best is not None:
+            a, b, agree = np.concatenate([i[forth], j[back]]), np.concatenate([j[forth], i[back]]), np.concatenate([agree[forth], agree[back]])
+            order = np.lexsort((ids[b], -agree, a))
+            a, b, agree = a[order], b[order], agree[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            i, j, agree = a[place < best], b[place < best], agree[place < best]
+        yield from emit(node[i], ids[i], ids[j], agree)
+
+    def large(node, ids, comp, asks, also, answers, fine, lists) -> Iterator[pa.RecordBatch]:
+        if lists is not None:
+            lists = [x[x < node] for x in lists]
+            lower = np.zeros((len(ids), max(map(len, lists))), np.int64)
+            for i, x in enumerate(lists):
+                lower[i, : len(x)] = x
+            filled = np.arange(lower.shape[1]) < np.array([len(x) for x in lists])[:, None]
+        a, b, level, waiting = [], [], [], 0
+        for i in np.flatnonzero(asks):
+            # of two that both ask only the lesser id does, unless each looks for its best
+            other = np.flatnonzero(answers & (comp != comp[i]) & (~also | (ids > ids[i]) | (best is not None)))
+            agree = (fine[other] == fine[i]).sum(axis=1)
+            good = agree >= least
+            other, agree = other[good], agree[good]
+            if best is not None:
+                order = np.argsort(-agree, kind="stable")[:best]
+                other, agree = other[order], agree[order]
+            elif lists is not None and len(lists[i]):
+                earlier = ((lower[other][:, :, None] == lists[i]) & filled[other][:, :, None]).any(axis=(1, 2))
+                other, agree = other[~earlier], agree[~earlier]
+            a.append(np.full(len(other), ids[i]))
+            b.append(ids[other])
+            level.append(agree)
+            waiting += len(other)
+            if waiting >= PAIRS:
+                yield from emit(np.full(waiting, node), np.concatenate(a), np.concatenate(b), np.concatenate(level))
+                a, b, level, waiting = [], [], [], 0
+        if waiting:
+            yield from emit(np.full(waiting, node), np.concatenate(a), np.concatenate(b), np.concatenate(level))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in whole_blocks(batches):
+            node, ids, comp = (np.asarray(rows.column(i)) for i in (0, 3, 4))
+            asks, also, answers = (np.asarray(c.cast(pa.int8())) > 0 for c in rows.columns[5:8])
+            fine = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, tokens)
+            size = np.diff(at)
+            few = np.repeat(size <= VECTOR, size)
+            if few.any():
+                yield from small(node[few], ids[few], comp[few], asks[few], answers[few], fine[few], size[size <= VECTOR])
+            for g in np.flatnonzero(size > VECTOR):
+                s = slice(at[g], at[g + 1])
+                lists = [np.asarray(x.values) for x in rows.column(9)[s]] if rows.num_columns > 9 else None
+                yield from large(node[at[g]], ids[s], comp[s], asks[s], also[s], answers[s], fine[s], lists)
+
+    return run
+
+
+def sweep_pairs(rows: DataFrame, tokens: int, least: int, best: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of the rows of block_pairs(): all likely ones, or the ``best`` of each member and node."""
+    found = rows.mapInArrow(likely_pairs(tokens, least, best), "node long, a long, b long, agree long")
+    if best is not None:  # of those of each block
+        place = F.row_number().over(Window.partitionBy("node", "a").orderBy(F.desc("agree"), "b"))
+        found = found.withColumn("place", place).where(F.col("place") <= best)
+    return found.select("a", "b")
 
 
 def similarity_components(
@@ -90,9 +186,9 @@ def similarity_components(
     plausible: Callable[[str, str], Column],
     carried: list[str],
     verify: Callable[[DataFrame], DataFrame],
+    sweep: Callable[[DataFrame, int | None], DataFrame],
     centre: Callable[[DataFrame], DataFrame] | None = None,
-    sweep: Callable[[DataFrame, int | None], DataFrame] | None = None,
-    settle: Callable[[DataFrame], DataFrame] | None = None,
+    thin: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links and components of members that meet in candidate nodes.
 
@@ -101,8 +197,8 @@ def similarity_components(
     makes a cheap necessary condition. ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that
     are links. ``centre`` maps the rows of large nodes (node, id and carried columns) to one central member of
     each, as ``(node, c_id, c_<carried>)``. ``sweep`` maps rows (node, id, comp) to candidate pairs of different
-    components within a node, the best few of each member or all. ``settle``, where given instead, maps them to
-    links that it has verified itself, enough of them to join what is linked.
+    components within a node, the best few of each member or all. Without ``thin`` the members' nodes are known
+    to be shared, so that no count goes before.
 
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
     links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
@@ -119,7 +215,7 @@ def similarity_components(
     pairs: DataFrame | None = None
     for level, key in enumerate(keys):
         rest = keys[level + 1 :]
-        if level == 0:  # most rows are alone in their node and go before anything heavier than a count
+        if level == 0 and thin:  # most rows are alone in their node and go before anything heavier than a count
             repeated = rows.groupBy(key).agg(F.count("*").alias("node_n")).where("node_n > 1").select(key)
             rows = may_be_in(rows, F.col(key), repeated, key)
         nodes = rows.groupBy(key).agg(F.count("*").alias("node_n"), F.min(F.struct("rank", "id", *carried)).alias("p")).where("node_n > 1")
@@ -146,20 +242,16 @@ def similarity_components(
     for f in final[1:]:
         leaves = leaves.union(f)
     # First the likeliest partners of each member, then, where that left components apart, all others.
-    for best in (4, None) if settle is None else (None,):
+    for best in (4, None):
         held = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
         held = cut(held.join(mixed, "node").select("node", "id", "comp").dropDuplicates(["node", "id"]), "leaves")
-        if settle is not None:
-            more = cut(settle(held).distinct(), "links")
-            discard(held)
-        else:
-            across = sweep(held, best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-            more = cut(verify(across), "links")
-            tried = tried.union(across)
-            discard(held)
-            written.append(across)
+        across = sweep(held, best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = cut(verify(across), "links")
+        tried = tried.union(across)
+        discard(held)
+        written.append(across)
         if not more.isEmpty():
             links = links.union(more)
             comps = cut(connected_components(links), "comps")

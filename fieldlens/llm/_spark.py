@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fieldlens-")
         _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
@@ -66,14 +68,9 @@ def small_batches(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys[column]``: a filter before a shuffle, never after.
-
-    A bitmap of fixed size is broadcast, so its size doesn't follow the data; with very many keys it lets
-    more rows through, and an exact join has to follow. Null keys are dropped.
-    """
-    spark, bits = df.sparkSession, BITMAP_WORDS * 64
-    at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+def _bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """One row with a bitmap of fixed size of ``keys[column]``."""
+    at = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_WORDS * 64))
     words = (
         keys.where(F.col(column).isNotNull())
         .select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b"))
@@ -83,10 +80,25 @@ def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataF
     )
     dense = np.zeros(BITMAP_WORDS, np.int64)
     dense[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
-    bitmap = spark.createDataFrame([(dense.tolist(),)], "__bits array<bigint>")
-    probe = df.withColumn("__spot", F.pmod(F.xxhash64(key), F.lit(bits))).where(key.isNotNull())
+    return keys.sparkSession.createDataFrame([(dense.tolist(),)], "__bits array<bigint>")
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be in ``keys[column]``, and those whose key is not: a filter before a shuffle,
+    never after.
+
+    A bitmap of fixed size is broadcast, so its size doesn't follow the data; with very many keys it lets
+    more rows through, and an exact join has to follow. Null keys are in neither part.
+    """
+    bitmap = F.broadcast(_bitmap(keys, column))
+    probe = df.withColumn("__spot", F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))).where(key.isNotNull())
     hit = F.expr("shiftright(get(__bits, cast(shiftright(__spot, 6) as int)), cast(__spot % 64 as int)) & 1L = 1L")
-    return probe.join(F.broadcast(bitmap), hit, "left_semi").drop("__spot")
+    return probe.join(bitmap, hit, "left_semi").drop("__spot"), probe.join(bitmap, hit, "left_anti").drop("__spot")
+
+
+def may_be_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
+    """The first part of maybe_in()."""
+    return maybe_in(df, key, keys, column)[0]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -172,18 +172,63 @@ def long_list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.view(np.int64) if values.dtype == U64 else values))
 
 
-def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of n characters (A-Z as a-z) inside each byte range, with the offsets by range; a range of
-    fewer characters has itself as its one shingle. Ranges are in order and hold whole characters."""
-    sums = prefix(data, lower=True)
-    edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    first, last = np.searchsorted(edges, starts), np.searchsorted(edges, ends)
-    size = np.where(last > first, np.maximum(last - first - n + 1, 1), 0)
-    at = np.concatenate([[0], np.cumsum(size)])
-    of = np.repeat(np.arange(len(starts)), size)
-    lo = first[of] + np.arange(at[-1]) - at[of]
-    hi = np.minimum(lo + n, last[of])
-    return span_hash(sums, edges[lo], edges[hi]), at
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOW[data]
+
+
+def char_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (of ``kind``, uint32 or uint64) of the n characters (A-Z as a-z; n a power of two) from each character on,
+    and for each byte range its first window and the one after its last; shorter ranges have none. Ranges are in
+    order and hold whole characters."""
+    half, odd = (16, 0x9E3779B1) if kind is np.uint32 else (32, 0x9E3779B97F4A7C15)
+    first, last = starts, ends
+    x = _LOW[data].astype(kind)
+    if len(data) and data.max() > 127:
+        low, edges = x, np.flatnonzero((data & 0xC0) != 0x80)
+        x = low[edges]
+        for extra, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            wide = np.flatnonzero(data[edges] >= least)
+            x[wide] |= low[edges[wide] + extra] << kind(8 * extra)
+        first, last = np.searchsorted(edges, starts), np.searchsorted(edges, ends)
+    x *= kind(odd)
+    x ^= x >> kind(half)
+    step = 1
+    while step < n and step < len(x):
+        x = x[:-step] * kind(odd * (2 * step + 1) % (1 << 2 * half) | 1) + x[step:]
+        step *= 2
+    for shift, factor in ((half, 0x85EBCA6B if half == 16 else 0xBF58476D1CE4E5B9), (half - 3, 0xC2B2AE35 if half == 16 else 0x94D049BB133111EB)):
+        x ^= x >> kind(shift)
+        x *= kind(factor)
+    x ^= x >> kind(half)
+    return x, first, np.maximum(last - n + 1, first)
+
+
+def minhash32(values: np.ndarray, first: np.ndarray, end: np.ndarray, functions: int, seed: int = 7) -> np.ndarray:
+    """[ranges, functions] least values of ``functions`` hash functions over values[first:end] of each range, with 32-bit
+    hashes; empty ranges hold the largest. Ranges are in order."""
+    rng = np.random.Generator(np.random.Philox(seed))
+    mask, odd = rng.integers(0, 2**32, functions, dtype=np.uint32), rng.integers(0, 2**32, functions, dtype=np.uint32) | np.uint32(1)
+    out = np.full((len(first), functions), 2**32 - 1, np.uint32)
+    full = np.flatnonzero(end > first)
+    if not len(full):
+        return out
+    for rows in np.split(full, np.flatnonzero(np.diff(first[full] >> 14)) + 1):  # about 64 KB stay in cache
+        lo = first[rows[0]]
+        part = values[lo : end[rows[-1]]]
+        at = np.stack([first[rows], end[rows]], axis=1).reshape(-1)[:-1] - lo
+        buf, got = np.empty_like(part), np.empty((functions, len(rows)), np.uint32)
+        gaps = (at[1:-1:2] == at[2::2]).any()  # ranges that touch: only their starts are cut points
+        for i in range(functions):
+            np.bitwise_xor(part, mask[i], out=buf)
+            np.multiply(buf, odd[i], out=buf)
+            got[i] = np.minimum.reduceat(buf, at[::2]) if gaps else np.minimum.reduceat(buf, at)[::2]
+        out[rows] = got.T
+    return out
 
 
 def fixed_bitmap(keys, column: str, bits: int = 22) -> np.ndarray:

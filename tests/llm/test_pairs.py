@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.llm import decontaminate, line_dedup, near_dedup
+from fieldlens.llm import _graph, decontaminate, line_dedup, near_dedup
 from fieldlens.llm._graph import block_pairs, connected_components
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -79,7 +79,8 @@ def test_block_pairs_bound_a_hot_node_and_lose_no_pair(spark):
 
 def test_small_blocks_give_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 30)
-    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    monkeypatch.setattr(_graph, "PAIRS", 50)
+    monkeypatch.setattr(_graph, "VECTOR", 8)
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
     test_near_duplicates_match_brute_force(spark)
     test_line_dedup_matches_brute_force(spark)
@@ -92,7 +93,25 @@ def test_near_duplicates_edge_cases(spark):
     assert len(got) == 7
     assert by == {(1, 0, 1, True), (2, 0, 2, True), (None, 3, None, True), (4, 3, 4, True), (9, 3, 4, False), (7, 1, 7, True)}
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
-    assert near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4).count() == 6
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 4, 7]
+
+
+def test_rows_that_share_a_doc_id_follow_their_own_text(spark):
+    x = [f"x{i}" for i in range(60)]
+    y = " ".join(f"y{i}" for i in range(60))
+    rows = [(3, " ".join(x), 1), (5, " ".join([*x, "more"]), 2), (5, y, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, g int")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert got == {(3, 57, 3, True), (5, 58, 3, False), (5, 57, 5, True)}
+    assert {r.g for r in near_dedup.keep_one(df, 4).collect()} == {1, 3}
+
+
+def test_near_duplicates_without_sketches(spark):
+    docs = corpus()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got, exact = (sorted(near_dedup.near_duplicates(df, 4, exact=e).collect()) for e in (False, True))
+    assert got == exact
 
 
 def test_connected_components_of_paths_stars_and_loops(spark):
@@ -128,7 +147,7 @@ def test_line_dedup_matches_brute_force(spark):
     root = roots(range(len(where)), links)
     gone = {(x[0], x[1], x[2]) for n, x in enumerate(where) if root[n] != n}
     want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i is None, i or 0, k) not in gone) for i, t in docs}
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, key string, drops int")
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, key string, drops int, __key int")
     got = line_dedup.dedup_lines(df).collect()
     assert {r.doc_id: r.text for r in got} == want
     assert {r.doc_id: r["__lines"] for r in got} == {i: 0 if t is None else t.count("\n") + 1 for i, t in docs}
