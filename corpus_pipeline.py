@@ -21,11 +21,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar lines the first stays. A document that loses every line it had goes, as its
     whole text is elsewhere; one that was blank before stays. n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs)
-    emptied = (F.col("__dropped") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
+    done = line_dedup.counted_lines(docs)
+    emptied = (F.col("dropped") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
     left = done.where(~F.coalesce(emptied, F.lit(False)))
-    chars = F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", chars).select(docs.columns)
+
+    def column(c: str):
+        if c == "n_chars":
+            new = F.length("text").cast(docs.schema[c].dataType)
+            return F.when(F.col("dropped") > 0, new).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c)
+
+    return left.select(*[column(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
