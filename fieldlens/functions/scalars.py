@@ -6,6 +6,7 @@ Every function takes and returns Columns and stays inside Catalyst. Null in give
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,14 +75,30 @@ def yards_from_own_goal(yard_line: Column, own_side: Column, middle: int = 50, l
 # -- probability vectors -------------------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside lambdas over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def moments(values: Column, item: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Struct (n, mean, m2) of ``item`` of an array's elements, m2 the sum of squares about the mean, in one pass."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, away = a["n"] + 1, item(x) - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + away / n).alias("mean"), (a["m2"] + away * away * a["n"] / n).alias("m2"))
+
+    return F.aggregate(values, start, step)
+
+
 def renormalized(pmf: Column, floor: float | None = None) -> Column:
     """A probability vector that sums to one, its entries first raised to ``floor`` where given (FN-10)."""
     p = F.transform(pmf, lambda x: F.greatest(x, F.lit(floor))) if floor is not None else pmf
-    return F.transform(p, lambda x: x / total(p))
+    return let(p, lambda q: let(total(q), lambda t: F.transform(q, lambda x: x / t)))
 
 
 def valid_pmf(pmf: Column, classes: int, tolerance: float = 1e-7) -> Column:
@@ -102,8 +119,8 @@ def pmf_mean(pmf: Column, first: int = 0) -> Column:
 
 
 def pmf_sd(pmf: Column, first: int = 0) -> Column:
-    m = pmf_mean(pmf, first)
-    return F.sqrt(F.aggregate(F.transform(pmf, lambda p, i: p * (i + first - m) * (i + first - m)), F.lit(0.0), lambda a, x: a + x))
+    squares = lambda m: F.aggregate(F.transform(pmf, lambda p, i: p * (i + first - m) * (i + first - m)), F.lit(0.0), lambda a, x: a + x)
+    return F.sqrt(let(pmf_mean(pmf, first), squares))
 
 
 def pmf_entropy(pmf: Column) -> Column:
@@ -140,6 +157,29 @@ def weighted_quantile(pairs: Column, q: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: F.coalesce(a["v"], F.array_max(F.transform(ordered, lambda x: x["value"]))))
 
 
+def pooled(points: Column) -> Column:
+    """Isotonic fit of an array of structs (w, wy), weights and weighted values in order of x: array of fitted values.
+    Blocks are kept latest first; a new one takes in those before it whose mean isn't below its own."""
+    block = lambda w, wy, n: F.struct(w.alias("w"), wy.alias("wy"), n.alias("n"))
+    none = F.array().cast("array<struct<w:double,wy:double,n:int>>")
+
+    def push(blocks: Column, x: Column) -> Column:
+        start = F.struct(block(x["w"].cast("double"), x["wy"].cast("double"), F.lit(1)).alias("now"), none.alias("rest"))
+
+        def merge(a: Column, b: Column) -> Column:
+            now = a["now"]
+            takes = (F.size(a["rest"]) == 0) & (b["wy"] * now["w"] >= now["wy"] * b["w"])
+            return F.struct(
+                F.when(takes, block(now["w"] + b["w"], now["wy"] + b["wy"], now["n"] + b["n"])).otherwise(now).alias("now"),
+                F.when(takes, a["rest"]).otherwise(F.concat(a["rest"], F.array(b))).alias("rest"),
+            )
+
+        return F.aggregate(blocks, start, merge, lambda a: F.concat(F.array(a["now"]), a["rest"]))
+
+    blocks = F.aggregate(points, none, push)
+    return F.flatten(F.transform(F.reverse(blocks), lambda b: F.array_repeat(b["wy"] / b["w"], b["n"])))
+
+
 # -- hashes --------------------------------------------------------------------------------------------------
 
 

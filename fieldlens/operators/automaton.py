@@ -1,52 +1,49 @@
-"""The opportunity automaton: a run of high scores opens an opportunity, a run of low ones after it is a miss."""
+"""Opportunities: a run of high scores opens one, a run of low scores after it is a miss.
+
+Frames of a key are cut into runs of equal kind (high or low) without a gap. Only runs of at least ``run`` frames
+decide anything: a high one opens an opportunity unless one is open, a low one ends an open one as missed, each at its
+``run``-th frame; a gap between frames ends an open one without a miss.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: States of the automaton.
-NONE, BUILDING, STEADY, DECLINING = 0, 1, 2, 3
-
 
-def walk(frames: Column, threshold: float = 0.75, run: int = 5) -> Column:
-    """From a sorted array of structs (frame, p): struct of ``opens`` and ``misses``, the frames at which either was
-    decided (WIN-16). Strictly above the threshold is high; a high score while declining returns to steady; a gap
-    between frames resets first."""
-    none = F.array().cast("array<long>")
-    start = F.struct(
-        F.lit(NONE).alias("state"), F.lit(0).alias("high"), F.lit(0).alias("low"), F.lit(None).cast("long").alias("last"), none.alias("opens"), none.alias("misses")
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        gap = a["last"].isNotNull() & (x["frame"] != a["last"] + 1)
-        state = F.when(gap, NONE).otherwise(a["state"])
-        high, low = F.when(gap, 0).otherwise(a["high"]), F.when(gap, 0).otherwise(a["low"])
-        up = x["p"] > threshold
-        h = F.when(state == NONE, 1).when(state == BUILDING, high + 1).otherwise(high)
-        opened = up & state.isin(NONE, BUILDING) & (h == run)
-        l_ = F.when(state == STEADY, 1).when(state == DECLINING, low + 1).otherwise(0)
-        missed = ~up & state.isin(STEADY, DECLINING) & (l_ == run)
-        after_up = F.when(opened, STEADY).when(state.isin(NONE, BUILDING), BUILDING).otherwise(STEADY)
-        after_down = F.when(missed | state.isin(NONE, BUILDING), NONE).otherwise(DECLINING)
-        frame = x["frame"].cast("long")
-        return F.struct(
-            F.when(up, after_up).otherwise(after_down).alias("state"), F.when(up, h).when(missed | state.isin(NONE, BUILDING), 0).otherwise(high).alias("high"),
-            F.when(up | missed, 0).otherwise(l_).alias("low"), frame.alias("last"),
-            F.when(opened, F.concat(a["opens"], F.array(frame))).otherwise(a["opens"]).alias("opens"),
-            F.when(missed, F.concat(a["misses"], F.array(frame))).otherwise(a["misses"]).alias("misses"),
-        )
-
-    return F.aggregate(frames, start, step, lambda a: F.struct(a["opens"].alias("opens"), a["misses"].alias("misses")))
+def usable(scores: DataFrame, frame: str, p: str) -> DataFrame:
+    """Rows with a frame and a finite score; any other row leaves a gap."""
+    value = F.col(p).cast("double")
+    return scores.where(F.col(frame).isNotNull() & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
 
 
 def opportunities(scores: DataFrame, keys: list[str], frame: str, p: str, threshold: float = 0.75, run: int = 5) -> DataFrame:
-    """Per key: frames scored, first and last frame, opportunities and misses with their frames (WIN-17)."""
-    frames = F.array_sort(F.collect_list(F.struct(F.col(frame).cast("long").alias("frame"), F.col(p).cast("double").alias("p"))))
-    g = scores.where(F.col(p).isNotNull() & F.col(frame).isNotNull()).groupBy(*keys).agg(frames.alias("__f"))
-    g = g.withColumn("__w", walk(F.col("__f"), threshold, run))
-    return g.select(
-        *keys, F.size("__f").alias("n_frames"), F.get("__f", F.lit(0))["frame"].alias("first_frame"), F.element_at("__f", -1)["frame"].alias("last_frame"),
-        F.size("__w.opens").alias("opportunities"), F.size("__w.misses").alias("misses"), F.array_join(F.transform("__w.opens", lambda x: x.cast("string")), ",").alias("open_frames"),
-        F.array_join(F.transform("__w.misses", lambda x: x.cast("string")), ",").alias("miss_frames"),
+    """Per key: frames scored, first and last frame, opportunities and misses with their frames (WIN-16, WIN-17).
+
+    Strictly above ``threshold`` is high. Null, NaN and infinite scores are no score, so they leave a gap; of several
+    scores of one frame the largest counts. All steps are windows over one sort by key and frame.
+    """
+    rows = usable(scores, frame, p).select(*keys, F.col(frame).cast("long").alias("__f"), F.col(p).cast("double").alias("__p"))
+    order = Window.partitionBy(*keys).orderBy("__f", F.desc("__p"))
+    rows = rows.withColumn("__before", F.lag("__f").over(order)).where(F.col("__before").isNull() | (F.col("__before") < F.col("__f")))
+    order = Window.partitionBy(*keys).orderBy("__f")
+    high = F.col("__p") > threshold
+    gap = F.coalesce(F.col("__f") - F.lag("__f").over(order) > 1, F.lit(True))
+    turn = gap | F.coalesce(high != F.lag(high).over(order), F.lit(True))
+    rows = rows.select(*keys, "__f", high.alias("__high"), gap.cast("int").alias("__gap"), turn.cast("int").alias("__turn"))
+    rows = rows.withColumn("__part", F.sum("__gap").over(order)).withColumn("__run", F.sum("__turn").over(order))
+    runs = rows.groupBy(*keys, "__run").agg(F.min("__f").alias("__from"), F.max("__f").alias("__to"), F.count("*").alias("__n"), F.first("__high").alias("__high"), F.first("__part").alias("__part"))
+    long = F.col("__n") >= run
+    earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__last", F.last(F.when(long, F.struct("__part", "__high")), ignorenulls=True).over(earlier))
+    opened = F.coalesce((F.col("__last.__part") == F.col("__part")) & F.col("__last.__high"), F.lit(False))
+    at = (F.col("__from") + run - 1).alias("at")
+    listed = lambda rule: F.array_sort(F.collect_list(F.when(long & rule, at)))
+    out = runs.groupBy(*keys).agg(
+        F.sum("__n").cast("int").alias("n_frames"), F.min("__from").alias("first_frame"), F.max("__to").alias("last_frame"),
+        listed(F.col("__high") & ~opened).alias("__o"), listed(~F.col("__high") & opened).alias("__m"),
+    )
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select(
+        *keys, "n_frames", "first_frame", "last_frame", F.size("__o").alias("opportunities"), F.size("__m").alias("misses"), text("__o").alias("open_frames"), text("__m").alias("miss_frames")
     )

@@ -25,9 +25,17 @@ PADDING_BLOCK = 512
 
 def central_interval(pmf: Column, alpha: float) -> tuple[Column, Column]:
     """First index whose cdf reaches alpha / 2, and 1 - alpha / 2 (CAL-1)."""
-    cdf = fn.cumulative(pmf)
-    at = lambda level: F.array_position(F.transform(cdf, lambda c: c >= level - 1e-12), F.lit(True)).cast("int") - 1
-    return at(alpha / 2), at(1 - alpha / 2)
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0.0).alias("cdf"), F.lit(0).alias("k"), none.alias("lo"), none.alias("hi"))
+
+    def step(a: Column, p: Column) -> Column:
+        cdf = a["cdf"] + p
+        at = lambda name, level: F.coalesce(a[name], F.when(cdf >= level - 1e-12, a["k"])).alias(name)
+        return F.struct(cdf.alias("cdf"), (a["k"] + 1).alias("k"), at("lo", alpha / 2), at("hi", 1 - alpha / 2))
+
+    found = F.aggregate(pmf, start, step)
+    missing = F.lit(-1)
+    return F.coalesce(found["lo"], missing), F.coalesce(found["hi"], missing)
 
 
 def interval_score(lo: Column, hi: Column, y: Column) -> Column:
@@ -164,20 +172,10 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
 
 
 def isotonic(points: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:
-    """Weighted isotonic fit of y on x: max over a <= k of min over b >= k of the mean of y over a..b (CAL-10, CAL-11,
-    ML-5). Points are first grouped by x; a cell's groups become one array."""
+    """Weighted isotonic fit of y on x by pooling adjacent violators (CAL-10, CAL-11, ML-5). Points are first grouped by x; a cell's groups become one array."""
     g = points.groupBy(*by, x).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(y)).alias("wy"))
     arrays = g.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), "w", "wy"))).alias("p"))
-    empty = F.array(F.lit(0.0))
-    running = lambda field: F.aggregate("p", empty, lambda a, v: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + v[field])))
-    arrays = arrays.withColumn("cw", running("w")).withColumn("cy", running("wy"))
-    n = F.size("p")
-    mean = lambda a, b: (F.get("cy", b + 1) - F.get("cy", a)) / (F.get("cw", b + 1) - F.get("cw", a))
-    index = lambda lo, hi: F.sequence(lo, hi)
-    fit = F.transform(
-        index(F.lit(0), n - 1),
-        lambda k: F.array_max(F.transform(index(F.lit(0), k), lambda a: F.array_min(F.transform(index(k, n - 1), lambda b: mean(a, b))))),
-    )
+    fit = fn.pooled(F.col("p"))
     return arrays.select(*by, F.posexplode(F.zip_with("p", fit, lambda p, f: F.struct(p["x"].alias(x), p["w"].alias("weight"), f.alias("fitted")))).alias("i", "r")).select(*by, f"r.{x}", "r.weight", "r.fitted")
 
 

@@ -63,13 +63,29 @@ def outer_splits(games: DataFrame, game: str, stratum: str, repeats: int, sizes:
 
 def balanced_order(splits: DataFrame, by: list[str], game: str, stratum: str, place: str) -> DataFrame:
     """Adds ``train_order``: games of the strata interleaved so that every prefix is near proportional; within a
-    stratum they keep ``place``. A game at place i of a stratum of c takes the position of (2 i - 1) / (2 c), ties to the
-    stratum's name, which is the divisor order of the greedy rule without its sequential loop (DES-8)."""
-    c = F.count("*").over(Window.partitionBy(*by, stratum))
-    i = F.row_number().over(Window.partitionBy(*by, stratum).orderBy(place))
-    d = splits.withColumn("__c", c).withColumn("__i", i)
-    key = (2 * F.col("__i") - 1) / (2 * F.col("__c"))
-    return d.withColumn("train_order", F.row_number().over(Window.partitionBy(*by).orderBy(key, stratum))).drop("__c", "__i")
+    stratum they keep ``place`` (DES-8). Each position goes to the open stratum that is furthest behind its share,
+    position * capacity / total - taken, ties to the stratum's name, in integers.
+
+    The sequence of strata follows from the capacities alone: it is computed once for each vector of capacities, and
+    games join it by stratum and place."""
+    caps = splits.groupBy(*by, stratum).agg(F.count("*").alias("c"))
+    vectors = caps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), "c"))).alias("v"))
+    sizes = F.transform("v", lambda x: x["c"])
+    distinct = vectors.select(sizes.alias("sizes")).distinct().withColumn("total", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
+    start = F.struct(F.transform("sizes", lambda c: F.lit(0).cast("long")).alias("taken"), F.array().cast("array<int>").alias("turns"))
+
+    def turn(a: Column, position: Column) -> Column:
+        behind = F.zip_with("sizes", a["taken"], lambda c, t: F.when(t < c, position * c - t * F.col("total")))
+        pick = F.array_position(behind, F.array_max(behind)).cast("int")
+        with_pick = F.concat(a["turns"], F.array(pick))
+        return F.struct(F.transform(a["taken"], lambda t, i: t + (i + 1 == F.element_at(with_pick, -1)).cast("long")).alias("taken"), with_pick.alias("turns"))
+
+    turns = distinct.select("sizes", F.posexplode(F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("total")), start, turn, lambda a: a["turns"])).alias("at", "pick"))
+    turns = turns.withColumn("i", F.row_number().over(Window.partitionBy("sizes", "pick").orderBy("at")))
+    slots = vectors.select(*by, "v", sizes.alias("sizes")).join(turns, "sizes")
+    slots = slots.select(*by, F.element_at("v", F.col("pick"))["s"].alias(stratum), F.col("i").alias("__i"), (F.col("at") + 1).alias("train_order"))
+    placed = splits.withColumn("__i", F.row_number().over(Window.partitionBy(*by, stratum).orderBy(place)))
+    return placed.join(slots, [*by, stratum, "__i"]).select(*splits.columns, "train_order")
 
 
 def nested_anchors(ordered: DataFrame, anchors: list[int]) -> DataFrame:
@@ -87,12 +103,33 @@ def proportional_anchors(caps: DataFrame, stratum: str, capacity: str, anchors:
 
 
 def folds(games: DataFrame, game: str, stratum: str, k: int, seed: int) -> DataFrame:
-    """Adds ``fold`` 0..k-1: games in rank order within strata are dealt round robin, each stratum starting where
-    the one before stopped, so folds differ by at most one game overall and by stratum (DES-6, DES-12)."""
-    r = ranked(games, [stratum], game, "folds", seed)
-    caps = games.groupBy(stratum).agg(F.count("*").alias("__n"))
-    caps = caps.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return r.join(caps, stratum).withColumn("fold", ((F.col("__start") + F.col("place") - 1) % k).cast("int")).drop("place", "__n", "__start")
+    """Adds ``fold`` 0..k-1 (DES-6, DES-12): folds get total / k games, the first ones in the folds' hash order one more; the strata, in
+    hash order, deal their games by rank to the folds, by largest remainders over what each fold has left, ties in
+    the folds' order. So folds are balanced overall and by stratum. The strata (few) form one array."""
+    order = F.transform(F.array_sort(F.array(*[F.struct(rank_key(F.lit(f), "fold_order", seed).alias("h"), F.lit(f).alias("f")) for f in range(k)])), lambda x: x["f"])
+    caps = games.groupBy(stratum).agg(F.count("*").alias("n"))
+    plan = caps.agg(F.array_sort(F.collect_list(F.struct(rank_key(F.col(stratum), "strata", seed).alias("h"), F.col(stratum).alias("s"), "n"))).alias("strata"), F.sum("n").alias("total"))
+    plan = plan.withColumn("order", order).withColumn("open", F.transform("order", lambda f, i: F.expr(f"total div {k}") + (i < F.col("total") % k).cast("long")))
+    none = F.array().cast(f"array<struct<s:{dict(games.dtypes)[stratum]},deal:array<bigint>>>")
+
+    def deal(a: Column, x: Column) -> Column:
+        """What a stratum deals to each fold: floors, then one more to the largest remainders."""
+        left = F.aggregate(a["open"], F.lit(0).cast("long"), lambda t, o: t + o)
+        exact = F.transform(a["open"], lambda o: F.struct(F.floor(x["n"] * o / left).alias("base"), (x["n"] * o % left).alias("rest")))
+        spare = x["n"] - F.aggregate(exact, F.lit(0).cast("long"), lambda t, e: t + e["base"])
+        ahead = lambda e, i: F.size(F.filter(exact, lambda o, j: (o["rest"] > e["rest"]) | ((o["rest"] == e["rest"]) & (j < i))))
+        return F.transform(exact, lambda e, i: e["base"] + (ahead(e, i) < spare).cast("long"))
+
+    def step(a: Column, x: Column) -> Column:
+        out = F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), deal(a, x).alias("deal"))))
+        return F.struct(F.zip_with(a["open"], F.element_at(out, -1)["deal"], lambda o, d: o - d).alias("open"), out.alias("out"))
+
+    dealt = plan.select("order", F.explode(F.aggregate("strata", F.struct(F.col("open"), none.alias("out")), step, lambda a: a["out"])).alias("d"))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(F.slice("d.deal", F.lit(1), i), F.lit(0).cast("long"), lambda t, n: t + n))
+    dealt = dealt.select(F.col("d.s").alias(stratum), "order", upto.alias("__upto"))
+    r = ranked(games, [stratum], game, "folds", seed, "__place").join(dealt, stratum)
+    fold = F.get("order", F.size(F.filter("__upto", lambda u: u < F.col("__place"))))
+    return r.withColumn("fold", fold).select(*games.columns, "fold")
 
 
 def cells(repeats: int, models: list[str], anchors: list[int], spark) -> DataFrame:
@@ -110,3 +147,34 @@ def fingerprint(splits: DataFrame, by: list[str], game: str) -> DataFrame:
 def split_violations(splits: DataFrame, game: str) -> DataFrame:
     """Games with more than one role in a repeat (SET-5)."""
     return splits.where("role is not null").groupBy("repeat", game).agg(F.countDistinct("role").alias("n_roles")).where("n_roles > 1")
+
+
+def nesting_violations(anchors: DataFrame, by: list[str], game: str) -> DataFrame:
+    """Games of one anchor that the next larger anchor lacks: ``by, game, n_train, missing_at`` (SET-5)."""
+    sizes = anchors.select("n_train").distinct()
+    following = sizes.withColumn("missing_at", F.lead("n_train").over(Window.orderBy("n_train"))).where("missing_at is not null")  # a handful of sizes
+    asked = anchors.select(*by, game, "n_train").join(F.broadcast(following), "n_train")
+    there = anchors.select(*by, game, F.col("n_train").alias("missing_at"))
+    return asked.join(there, [*by, game, "missing_at"], "left_anti")
+
+
+def inner_splits(train: DataFrame, by: list[str], game: str, stratum: str, parts: dict[str, int], denominator: int, seed: int) -> DataFrame:
+    """Adds ``part`` to the training games of each group ``by`` (DES-11): of each group's games ``parts[name]`` /
+    ``denominator`` (rounded up) go to each part, by largest remainders over strata and by hash rank within them, the rest stays
+    ``fit``. One group is one anchor of one repeat, so parts never cross anchors."""
+    caps = train.groupBy(*by, stratum).agg(F.count("*").alias("__c"))
+    total = F.sum("__c").over(Window.partitionBy(*by))
+    share, names = caps, list(parts)
+    for name in names:
+        wanted = F.ceil(total * parts[name] / denominator).cast("long")
+        share = share.withColumn("__want", wanted)
+        share = largest_remainder(share, by, stratum, "__c", F.col("__want")).withColumnRenamed("allocation", f"__{name}").drop("__want")
+    r = ranked(train, [*by, stratum], game, "inner", seed, "__place").join(share, [*by, stratum])
+    part, upto = F.lit("fit"), F.lit(0)
+    edges = []
+    for name in names:
+        edges.append((name, upto, upto + F.col(f"__{name}")))
+        upto = upto + F.col(f"__{name}")
+    for name, lo, hi in reversed(edges):
+        part = F.when((F.col("__place") > lo) & (F.col("__place") <= hi), name).otherwise(part)
+    return r.withColumn("part", part).select(*train.columns, "part")

@@ -36,14 +36,15 @@ def estimands(long: DataFrame, ids: list[str], value: str, order: str = "repeat"
 
 
 def _mean(v: str | Column) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    return fn.total(c) / F.size(c)
+    return fn.moments(F.col(v) if isinstance(v, str) else v)["mean"]
 
 
 def _sd(v: str | Column) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    m = _mean(c)
-    return F.sqrt(fn.total(F.transform(c, lambda x: (x - m) * (x - m))) / (F.size(c) - 1))
+    return _deviation(fn.moments(F.col(v) if isinstance(v, str) else v))
+
+
+def _deviation(m: Column) -> Column:
+    return F.sqrt(m["m2"] / (m["n"] - 1))
 
 
 def floored_se(mean: Column, sd: Column, n: Column) -> Column:
@@ -60,10 +61,8 @@ def critical(e: DataFrame, registry: DataFrame, ids: list[str], level: float, tw
     """One row ``critical``: the sorted[ceil(q (B - 1))] quantile of each draw's largest studentized deviation over
     all estimands, and never below ``least``."""
     b = _with_draws(e.select(*ids, "values", "mean"), registry)
-    sample = F.transform("idx", lambda i: F.get("values", i))
-    b = b.withColumn("s", sample)
-    b = b.withColumn("bm", _mean("s")).withColumn("bsd", _sd("s"))
-    t = (F.col("bm") - F.col("mean")) / floored_se(F.col("bm"), F.col("bsd"), F.size("s"))
+    b = b.withColumn("s", drawn("values"))
+    t = (F.col("s.mean") - F.col("mean")) / floored_se(F.col("s.mean"), _deviation(F.col("s")), F.col("s.n"))
     top = b.groupBy("draw").agg(F.max(F.abs(t) if two_sided else t).alias("t"))
     w = Window.orderBy("t")  # one number for each draw
     placed = top.select("t", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy()).alias("k"))
@@ -95,10 +94,9 @@ def lower_bounds(panel: DataFrame, metric: str, ids: list[str], repeats: int, dr
 
 
 def jackknife_sd(values: Column) -> Column:
-    """Leave-one-out standard deviations from the sums of values and squares (INF-7)."""
-    n, s1 = F.size(values), fn.total(values)
-    s2 = fn.total(F.transform(values, lambda x: x * x))
-    return F.transform(values, lambda x: F.sqrt(F.greatest(F.lit(0.0), (s2 - x * x - (s1 - x) * (s1 - x) / (n - 1)) / (n - 2))))
+    """Leave-one-out standard deviations from the mean and the sum of squares about it (INF-7)."""
+    less = lambda m: F.transform(values, lambda x: F.sqrt(F.greatest(F.lit(0.0), m["m2"] - (x - m["mean"]) ** 2 * m["n"] / (m["n"] - 1)) / (m["n"] - 2)))
+    return fn.let(fn.moments(values), less)
 
 
 def _normal(inverse: bool):
@@ -119,7 +117,8 @@ def _bca(boot: DataFrame, ids: list[str], draws_count: int, level: float) -> Dat
     share = F.size(F.filter("boot", lambda x: x < F.col("observed"))) / F.lit(float(draws_count))
     share = F.least(F.greatest(share, F.lit(0.5 / draws_count)), F.lit(1 - 0.5 / draws_count))
     boot = boot.withColumn("z0", _normal(True)(share))
-    m = _mean("jack")
+    boot = boot.withColumn("jm", _mean("jack"))
+    m = F.col("jm")
     d2, d3 = fn.total(F.transform("jack", lambda x: (m - x) * (m - x))), fn.total(F.transform("jack", lambda x: (m - x) * (m - x) * (m - x)))
     down = 6 * F.pow(d2, F.lit(1.5))
     boot = boot.withColumn("a", F.when(down > 2.220446049250313e-16, d3 / down).otherwise(0.0))
@@ -136,21 +135,22 @@ def _bca(boot: DataFrame, ids: list[str], draws_count: int, level: float) -> Dat
     return out.select(*ids, "observed", F.least("x", "y").alias("lower"), F.greatest("x", "y").alias("upper"))
 
 
-def _drawn(values: str) -> Column:
-    return F.transform("idx", lambda i: F.get(values, i))
+def drawn(values: str) -> Column:
+    """Moments of the values that a draw takes, without an array of them."""
+    return fn.moments(F.col("idx"), lambda i: F.get(values, i))
 
 
 def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
     """BCa intervals of the standard deviation over repeats (INF-5): ``sd, lower, upper``."""
     e = estimands(panel, ids, metric)
     b = _with_draws(e.select(*ids, "values", "sd"), draws(panel.sparkSession, repeats, draws_count, seed))
-    boot = b.groupBy(*ids).agg(F.array_sort(F.collect_list(_sd(_drawn("values")))).alias("boot"), F.first("sd").alias("observed"), F.first("values").alias("values"))
+    boot = b.groupBy(*ids).agg(F.array_sort(F.collect_list(_deviation(drawn("values")))).alias("boot"), F.first("sd").alias("observed"), F.first("values").alias("values"))
     return _bca(boot.withColumn("jack", jackknife_sd(F.col("values"))), ids, draws_count, level).withColumnRenamed("observed", "sd")
 
 
 def bca_log_ratio(panel: DataFrame, metric: str, by: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95, floor: float = 1e-12) -> DataFrame:
     """BCa intervals of the ratio of two models' deviations, on the log scale with floored deviations (INF-6):
-    ``left, right, ratio, lower, upper``, left < right. Both models use the same draws."""
+    ``left, right, ratio, lower, upper, zero_draws`` (draws in which a deviation is at the floor), left < right. Both models use the same draws."""
     e = estimands(panel, [*by, "model"], metric).select(*by, "model", "values", "sd")
     left = e.select(*by, F.col("model").alias("left"), F.col("values").alias("lv"), F.col("sd").alias("ls"))
     right = e.select(*by, F.col("model").alias("right"), F.col("values").alias("rv"), F.col("sd").alias("rs"))
@@ -159,12 +159,14 @@ def bca_log_ratio(panel: DataFrame, metric: str, by: list[str], repeats: int, dr
     ids = [*by, "left", "right"]
     b = _with_draws(both, draws(panel.sparkSession, repeats, draws_count, seed))
     boot = b.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(log_ratio(_sd(_drawn("lv")), _sd(_drawn("rv"))))).alias("boot"), F.first(log_ratio(F.col("ls"), F.col("rs"))).alias("observed"),
+        F.array_sort(F.collect_list(log_ratio(_deviation(drawn("lv")), _deviation(drawn("rv"))))).alias("boot"), F.first(log_ratio(F.col("ls"), F.col("rs"))).alias("observed"),
         F.first("lv").alias("lv"), F.first("rv").alias("rv"),
     )
     boot = boot.withColumn("jack", F.zip_with(jackknife_sd(F.col("lv")), jackknife_sd(F.col("rv")), log_ratio))
-    out = _bca(boot, ids, draws_count, level)
-    return out.select(*ids, F.exp("observed").alias("ratio"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
+    zero = F.count_if((F.col("dl") <= floor) | (F.col("dr") <= floor)).alias("zero_draws")
+    zeros = b.select(*ids, _deviation(drawn("lv")).alias("dl"), _deviation(drawn("rv")).alias("dr")).groupBy(*ids).agg(zero)
+    out = _bca(boot, ids, draws_count, level).join(zeros, ids)
+    return out.select(*ids, F.exp("observed").alias("ratio"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"), "zero_draws")
 
 
 # -- decisions -----------------------------------------------------------------------------------------------
@@ -223,6 +225,18 @@ def qualification_changes(fixed: DataFrame, tuned: DataFrame, ids: list[str]) ->
 
 
 def best_set(differences: DataFrame, by: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Models that can't be excluded from being best: model minus other isn't clearly above 0 for any other (INF-8)."""
-    i = max_t_intervals(differences, [*by, "left", "right"], repeats, draws_count, seed, level)
-    return oriented(i, by).groupBy(*by, "model").agg((F.count_if(F.col("lower") > 0) == 0).alias("in_best_set"))
+    """Models that can't be rejected as best of their group: ``model, statistic, p_value, in_best_set`` (INF-8).
+
+    For each candidate the statistic is the largest of the k - 1 studentized means of its loss minus another's; its
+    distribution comes from resampling complete repeats and centring on the observed means. The candidate is rejected where
+    fewer than 1 - level of the draws reach the statistic. Each group is judged on its own."""
+    both = differences.select(*by, "repeat", F.col("left").alias("model"), F.col("right").alias("other"), "difference")
+    both = both.unionByName(differences.select(*by, "repeat", F.col("right").alias("model"), F.col("left").alias("other"), (-F.col("difference")).alias("difference")))
+    ids = [*by, "model", "other"]
+    e = estimands(both, ids, "difference")
+    seen = e.groupBy(*by, "model").agg(F.max(F.col("mean") / floored_se(F.col("mean"), F.col("sd"), F.col("n"))).alias("statistic"))
+    b = _with_draws(e.select(*ids, "values", "mean"), draws(differences.sparkSession, repeats, draws_count, seed)).withColumn("s", drawn("values"))
+    t = (F.col("s.mean") - F.col("mean")) / floored_se(F.col("s.mean"), _deviation(F.col("s")), F.col("s.n"))
+    top = b.groupBy(*by, "model", "draw").agg(F.max(t).alias("t")).join(seen, [*by, "model"])
+    p = top.groupBy(*by, "model").agg(F.first("statistic").alias("statistic"), (F.count_if(F.col("t") >= F.col("statistic")) / F.count("*")).alias("p_value"))
+    return p.withColumn("in_best_set", F.col("p_value") >= 1 - level - 1e-12)

@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions import scalars as fn
+
 
 def assembled(df: DataFrame, x: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=x, outputCol="features", handleInvalid="keep").transform(df)
@@ -60,15 +62,10 @@ def frozen_first(scores: DataFrame, keys: list[str], frozen: Column) -> DataFram
 
 
 def residual_pmf(residual: Column, baseline: Column) -> Column:
-    """Baseline cdf plus residual, clipped to [0, 1], made monotone (max-min of segment means), as probabilities that sum
+    """Baseline cdf plus residual, clipped to [0, 1], made monotone (adjacent violators pooled), as probabilities that sum
     to one (ML-5, CAL-11)."""
     raw = F.zip_with(baseline, residual, lambda b, r: F.least(F.greatest(b + r, F.lit(0.0)), F.lit(1.0)))
     n = F.size(raw)
-    sums = F.aggregate(raw, F.array(F.lit(0.0)), lambda a, v: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + v)))
-    mean = lambda a, b: (F.get(sums, b + 1) - F.get(sums, a)) / (b - a + 1)
-    fit = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.array_max(F.transform(F.sequence(F.lit(0), k), lambda a: F.array_min(F.transform(F.sequence(k, n - 1), lambda b: mean(a, b))))),
-    )
+    fit = fn.pooled(F.transform(raw, lambda v: F.struct(F.lit(1.0).alias("w"), v.alias("wy"))))
     ended = F.transform(fit, lambda c, i: F.when(i == n - 1, F.lit(1.0)).otherwise(c))
-    return F.transform(ended, lambda c, i: c - F.when(i == 0, F.lit(0.0)).otherwise(F.get(ended, i - 1)))
+    return fn.let(ended, lambda e: F.zip_with(e, F.concat(F.array(F.lit(0.0)), F.slice(e, 1, F.size(e) - 1)), lambda c, before: c - before))

@@ -41,14 +41,18 @@ def ribbons(panel: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
-def grid_check(panel: DataFrame, dims: list[str]) -> DataFrame:
-    """Cells missing from, and repeated in, the full grid of the dimensions' values (SET-3, SET-2)."""
-    grid = panel.select(dims[0]).distinct()
-    for d in dims[1:]:
-        grid = grid.crossJoin(panel.select(d).distinct())  # values of each dimension, never rows
+def grid_check(panel: DataFrame, dims: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """Cells that are missing, repeated or not asked for: ``dims, n, problem`` (SET-3, SET-2). ``expected`` holds the
+    cells that should be there; without it they are all combinations of the values that the panel itself holds, and then
+    a value that is absent everywhere can't be missed."""
+    if expected is None:
+        expected = panel.select(dims[0]).distinct()
+        for d in dims[1:]:
+            expected = expected.crossJoin(panel.select(d).distinct())  # values of each dimension, never rows
     there = panel.groupBy(*dims).agg(F.count("*").alias("n"))
-    out = grid.join(there, dims, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.withColumn("problem", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "duplicate")).where("problem is not null")
+    out = expected.select(*dims).distinct().withColumn("__asked", F.lit(True)).join(there, dims, "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    problem = F.when(F.col("__asked").isNull(), "extra").when(F.col("n") == 0, "missing").when(F.col("n") > 1, "duplicate")
+    return out.select(*dims, "n", problem.alias("problem")).where("problem is not null")
 
 
 def domain_check(panel: DataFrame, rules: dict[str, Column]) -> DataFrame:

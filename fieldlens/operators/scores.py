@@ -26,8 +26,13 @@ def crps(pmf: Column, y: Column) -> Column:
 
 def crps_sum(pmf: Column, y: Column) -> Column:
     """The sum of the squares; the older scale divides it by 199 (MET-4)."""
-    errors = F.transform(fn.cumulative(pmf), lambda c, k: (c - F.when(k >= y, 1.0).otherwise(0.0)) * (c - F.when(k >= y, 1.0).otherwise(0.0)))
-    return fn.total(errors)
+    start = F.struct(F.lit(0.0).alias("cdf"), F.lit(0).alias("k"), F.lit(0.0).alias("loss"))
+
+    def step(a: Column, p: Column) -> Column:
+        gap = a["cdf"] + p - (a["k"] >= y).cast("double")
+        return F.struct((a["cdf"] + p).alias("cdf"), (a["k"] + 1).alias("k"), (a["loss"] + gap * gap).alias("loss"))
+
+    return F.when(y.isNotNull(), F.aggregate(pmf, start, step, lambda a: a["loss"]))
 
 
 def game_equal(df: DataFrame, by: list[str], game: str, values: dict[str, Column]) -> DataFrame:

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six training sizes of the panel.
-SIZES = (20, 40, 60, 80, 100, 120)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics panel from lineitem: repeat 1-20, six models, six sizes."""
-    l_ = table(spark, sf_dir, "lineitem").where("l_linenumber < 7")
+    """Metrics panel from lineitem: repeat 1-20, six models, seven sizes."""
+    l_ = table(spark, sf_dir, "lineitem")
     mean = lambda c: F.rint(F.sum(c) * 100) / (F.count("*") * 100)  # noqa: E731  values have two decimals
     return l_.groupBy(
         (F.col("l_orderkey") % 20 + 1).cast("int").alias("repeat"), F.concat("l_returnflag", "l_linestatus").alias("model"), (F.col("l_linenumber") * 20).alias("n_train")
@@ -29,7 +25,7 @@ PANEL = """panel AS (
   SELECT cast(l_orderkey % 20 + 1 AS INTEGER) AS repeat, l_returnflag || l_linestatus AS model, l_linenumber * 20 AS n_train,
     round(sum(l_discount) * 100) / (count(*) * 100) AS loss, round(sum(l_tax + 0.05) * 100) / (count(*) * 100) AS null_loss, round(sum(l_quantity) * 100) / (count(*) * 100) AS width,
     round(sum(CASE WHEN l_quantity > 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100) / (count(*) * 100) AS coverage
-  FROM lineitem WHERE l_linenumber < 7 GROUP BY ALL)"""
+  FROM lineitem GROUP BY ALL)"""
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:

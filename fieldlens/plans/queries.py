@@ -84,17 +84,17 @@ def stat5_all_sizes(spark, sf):
     return rounded(panel.size_contrasts(b.panel(spark, sf), "loss", "all"))
 
 
-_CHANGES = "ch AS (SELECT repeat, model, max(CASE WHEN n_train = 120 THEN loss END) - max(CASE WHEN n_train = 20 THEN loss END) AS change FROM panel GROUP BY ALL)"
+_CHANGES = "ch AS (SELECT repeat, model, max(CASE WHEN n_train = 140 THEN loss END) - max(CASE WHEN n_train = 20 THEN loss END) AS change FROM panel GROUP BY ALL)"
 
 
 @query(f"WITH {b.PANEL}, {_CHANGES} SELECT repeat, model, {r('change', 'change')} FROM ch")
 def stat6_size_changes(spark, sf):
-    return rounded(panel.size_changes(b.panel(spark, sf), "loss", 20, 120))
+    return rounded(panel.size_changes(b.panel(spark, sf), "loss", 20, 140))
 
 
 @query(f'WITH {b.PANEL}, {_CHANGES}, d AS (SELECT a.model AS "left", c.model AS "right", a.change - c.change AS v FROM ch a JOIN ch c USING (repeat) WHERE a.model < c.model) SELECT "left", "right", {_STATS} FROM d GROUP BY ALL')
 def stat7_difference_in_changes(spark, sf):
-    return rounded(panel.difference_in_changes(b.panel(spark, sf), "loss", 20, 120))
+    return rounded(panel.difference_in_changes(b.panel(spark, sf), "loss", 20, 140))
 
 
 def _secondary(spark, sf):
@@ -150,15 +150,17 @@ def agg18_winner_counts(spark, sf):
     return panel.winner_counts(b.panel(spark, sf), "loss")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey % 20 + 1 AS repeat, l_returnflag || l_linestatus AS model, l_partkey % 150 AS n_train FROM lineitem),
-  c AS (SELECT l_orderkey % 20 + 1 AS repeat, l_returnflag || l_linestatus AS model, l_partkey % 150 AS n_train, count(*) AS n FROM lineitem GROUP BY ALL),
-  g AS (SELECT * FROM (SELECT DISTINCT repeat FROM p), (SELECT DISTINCT model FROM p), (SELECT DISTINCT n_train FROM p))
-  SELECT repeat, model, n_train, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem
-  FROM g LEFT JOIN c USING (repeat, model, n_train) WHERE n IS NULL OR n > 1""")
+@query("""WITH c AS (SELECT l_orderkey % 20 + 1 AS repeat, l_returnflag || l_linestatus AS model, l_partkey % 150 AS n_train, count(*) AS n FROM lineitem GROUP BY ALL),
+  g AS (SELECT * FROM (SELECT unnest(range(1, 22)) AS repeat), (SELECT DISTINCT l_returnflag || l_linestatus AS model FROM lineitem), (SELECT unnest(range(10, 151)) AS n_train))
+  SELECT repeat, model, n_train, coalesce(n, 0) AS n, CASE WHEN g.present IS NULL THEN 'extra' WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem
+  FROM (SELECT *, true AS present FROM g) g FULL JOIN c USING (repeat, model, n_train) WHERE n IS NULL OR n > 1 OR g.present IS NULL""")
 def set3_grid_check(spark, sf):
+    """Against an expected grid with a repeat and an anchor that no row has, and without ten anchors that rows have."""
     l_ = b.table(spark, sf, "lineitem")
     cells = l_.select((F.col("l_orderkey") % 20 + 1).alias("repeat"), F.concat("l_returnflag", "l_linestatus").alias("model"), (F.col("l_partkey") % 150).alias("n_train"))
-    return panel.grid_check(cells, ["repeat", "model", "n_train"])
+    expected = cells.select("model").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(21).cast("long"))))
+    expected = expected.withColumn("n_train", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(150).cast("long"))))
+    return panel.grid_check(cells, ["repeat", "model", "n_train"], expected)
 
 
 @query("SELECT count_if(NOT coalesce(l_discount BETWEEN 0 AND 0.08, false)) AS discount, count_if(NOT coalesce(l_tax > 0, false)) AS tax, count_if(NOT coalesce(isfinite(l_extendedprice), false)) AS price FROM lineitem")
@@ -692,17 +694,26 @@ def des7_outer_splits(spark, sf):
     return _splits(spark, sf).select("repeat", "game", "stratum", "role")
 
 
-_ORDER = """ord AS (SELECT repeat, game, stratum, row_number() OVER (PARTITION BY repeat ORDER BY (2 * i - 1) / (2 * c), stratum) AS train_order FROM (
-  SELECT *, count(*) OVER (PARTITION BY repeat, stratum) AS c, row_number() OVER (PARTITION BY repeat, stratum ORDER BY place) AS i FROM splits WHERE role = 'train'))"""
+_ORDER = """cs AS (SELECT repeat, stratum, count(*) AS c FROM splits WHERE role = 'train' GROUP BY ALL),
+  vec AS (SELECT repeat, list(stratum ORDER BY stratum) AS names, list(c ORDER BY stratum) AS c, sum(c)::BIGINT AS total FROM cs GROUP BY repeat),
+  greedy(repeat, pos, pick, taken) AS (
+    SELECT repeat, 0::BIGINT, 0, [0::BIGINT FOR x IN c] FROM vec
+    UNION ALL SELECT repeat, pos, pick, [taken[i] + CASE WHEN i = pick THEN 1 ELSE 0 END FOR i IN range(1, len(taken) + 1)] FROM (
+      SELECT g.repeat, g.pos + 1 AS pos, g.taken, list_position([CASE WHEN g.taken[i] < v.c[i] THEN (g.pos + 1) * v.c[i] - g.taken[i] * v.total END FOR i IN range(1, len(v.c) + 1)],
+        list_max([CASE WHEN g.taken[i] < v.c[i] THEN (g.pos + 1) * v.c[i] - g.taken[i] * v.total END FOR i IN range(1, len(v.c) + 1)])) AS pick
+      FROM greedy g JOIN vec v ON g.repeat = v.repeat WHERE g.pos < v.total)),
+  turns AS (SELECT greedy.repeat, pos, names[pick] AS stratum, row_number() OVER (PARTITION BY greedy.repeat, pick ORDER BY pos) AS i FROM greedy JOIN vec ON greedy.repeat = vec.repeat WHERE pos > 0),
+  ord AS (SELECT s.repeat, s.game, s.stratum, t.pos AS train_order FROM (
+    SELECT *, row_number() OVER (PARTITION BY repeat, stratum ORDER BY place) AS i FROM splits WHERE role = 'train') s JOIN turns t ON s.repeat = t.repeat AND s.stratum = t.stratum AND s.i = t.i)"""
 
 
-@query(f"WITH {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, game, cast(train_order AS INTEGER) AS train_order FROM ord")
+@query(f"WITH RECURSIVE {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, game, cast(train_order AS INTEGER) AS train_order FROM ord")
 def des8_balanced_order(spark, sf):
     t = _splits(spark, sf).where("role = 'train'")
-    return design.balanced_order(t, ["repeat"], "game", "stratum", "place").select("repeat", "game", "train_order")
+    return design.balanced_order(t, ["repeat"], "game", "stratum", "place").select("repeat", "game", F.col("train_order").cast("int").alias("train_order"))
 
 
-@query(f"WITH {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, n_train, count(*) AS games, min(game) AS first_game FROM ord, (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL")
+@query(f"WITH RECURSIVE {_SPLITS}, {_ORDER} SELECT cast(repeat AS INTEGER) AS repeat, n_train, count(*) AS games, min(game) AS first_game FROM ord, (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL")
 def des9_nested_anchors(spark, sf):
     t = design.balanced_order(_splits(spark, sf).where("role = 'train'"), ["repeat"], "game", "stratum", "place")
     return design.nested_anchors(t, [20, 40, 80, 120]).groupBy("repeat", "n_train").agg(F.count("*").alias("games"), F.min("game").alias("first_game"))
@@ -716,9 +727,17 @@ def des10_proportional_anchors(spark, sf):
     return design.proportional_anchors(caps, "stratum", "capacity", [20, 40, 80, 120])
 
 
-@query(f"""WITH {_CAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat_ws('|', game, 'folds', 3)), game) AS place FROM games),
-  s AS (SELECT stratum, coalesce(sum(capacity) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM caps)
-  SELECT game, stratum, cast((start + place - 1) % 5 AS INTEGER) AS fold FROM k JOIN s USING (stratum)""")
+@query(f"""WITH RECURSIVE {_CAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat_ws('|', game, 'folds', 3)), game) AS place FROM games),
+  f AS (SELECT f, row_number() OVER (ORDER BY sha256(concat_ws('|', f, 'fold_order', 3)), f) AS i FROM (SELECT unnest(range(5)) AS f)),
+  st AS (SELECT stratum, capacity, row_number() OVER (ORDER BY sha256(concat_ws('|', stratum, 'strata', 3)), stratum) AS k FROM caps),
+  walk(k, left_, deal) AS (
+    SELECT 0::BIGINT, [t // 5 + CASE WHEN i <= t % 5 THEN 1 ELSE 0 END FOR i IN range(1, 6)], [0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT] FROM (SELECT sum(capacity)::BIGINT AS t FROM caps)
+    UNION ALL SELECT k, [left_[i] - deal[i] FOR i IN range(1, 6)], deal FROM (
+      SELECT k, left_, [base[i] + CASE WHEN len([1 FOR j IN range(1, 6) IF rest[j] > rest[i] OR (rest[j] = rest[i] AND j < i)]) < n - list_sum(base) THEN 1 ELSE 0 END FOR i IN range(1, 6)] AS deal FROM (
+        SELECT st.k, w.left_, st.capacity AS n, [st.capacity * x // list_sum(w.left_)::BIGINT FOR x IN w.left_] AS base, [st.capacity * x % list_sum(w.left_)::BIGINT FOR x IN w.left_] AS rest
+        FROM walk w JOIN st ON st.k = w.k + 1))),
+  cum AS (SELECT st.stratum, i, list_sum(deal[1:i]) AS upto, list_sum(deal[1:i]) - deal[i] AS after FROM walk JOIN st ON st.k = walk.k, (SELECT unnest(range(1, 6)) AS i))
+  SELECT game, k.stratum, cast(f.f AS INTEGER) AS fold FROM k JOIN cum ON cum.stratum = k.stratum AND place > after AND place <= upto JOIN f ON f.i = cum.i""")
 def des6_folds(spark, sf):
     return design.folds(b.games(spark, sf), "game", "stratum", 5, 3).select("game", "stratum", "fold")
 
@@ -790,10 +809,17 @@ def dec1_supported_best(spark, sf):
     return inference.supported_best(_ci(spark, sf), ["n_train"])
 
 
-@query(f"""WITH {_CI}, {_ORIENTED} SELECT n_train, model, count_if(lower > 0) = 0 AS in_best_set FROM o GROUP BY ALL""")
+@query(f"""WITH {b.PANEL}, {_DRAWS}, d AS (SELECT repeat, n_train, a.model AS model, c.model AS other, a.loss - c.loss AS v FROM panel a JOIN panel c USING (repeat, n_train) WHERE a.model <> c.model),
+  e AS (SELECT n_train, model, other, avg(v) AS m, avg(v) / greatest(stddev_samp(v) / sqrt(20), {_EPS} * greatest(abs(avg(v)), 1.0::DOUBLE)) AS t FROM d GROUP BY ALL),
+  bt AS (SELECT n_train, model, other, draw, avg(v) AS bm, stddev_samp(v) AS bs FROM d JOIN draws ON k = repeat - 1 GROUP BY ALL),
+  mx AS (SELECT n_train, model, draw, max((bm - m) / greatest(bs / sqrt(20), {_EPS} * greatest(abs(bm), 1.0::DOUBLE))) AS x FROM bt JOIN e USING (n_train, model, other) GROUP BY ALL),
+  ob AS (SELECT n_train, model, max(t) AS statistic FROM e GROUP BY ALL)
+  SELECT n_train, model, {r('any_value(statistic)', 'statistic', 7)}, {r('count_if(x >= statistic) / count(*)', 'p_value')}, count_if(x >= statistic) / count(*) >= 0.05 - 1e-12 AS in_best_set
+  FROM mx JOIN ob USING (n_train, model) GROUP BY n_train, model""")
 def inf8_best_set(spark, sf):
     d = panel.paired_models(b.panel(spark, sf), "loss")
-    return inference.best_set(d, ["n_train"], 20, 200, 42)
+    out = inference.best_set(d, ["n_train"], 20, 200, 42)
+    return out.select("n_train", "model", (F.round("statistic", 7) + 0.0).alias("statistic"), (F.round("p_value", 9) + 0.0).alias("p_value"), "in_best_set")
 
 
 @query(f"""WITH {b.PANEL}, wd AS (SELECT repeat, n_train, a.model AS "left", c.model AS "right", a.width - c.width AS difference FROM panel a JOIN panel c USING (repeat, n_train) WHERE a.model < c.model),
@@ -930,7 +956,7 @@ def prj9_clipped_label(spark, sf):
     return l_.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cohort.support_index(F.col("l_quantity").cast("int"), 5, 45).alias("y"))
 
 
-@query(f"""WITH {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders)
+@query(f"""WITH RECURSIVE {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders)
   SELECT cast(o.repeat AS INTEGER) AS repeat, n_train, count(*) AS n, {r('(sum(y) + 0.5::DOUBLE) / (count(*) + 1)', 'prevalence')} FROM bn JOIN ord o USING (game), (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL""")
 def jn14_training_cells(spark, sf):
     t = design.nested_anchors(design.balanced_order(_splits(spark, sf).where("role = 'train'"), ["repeat"], "game", "stratum", "place"), [20, 40, 80, 120])
@@ -938,7 +964,7 @@ def jn14_training_cells(spark, sf):
     return rounded(rows.groupBy("repeat", "n_train").agg(F.count("*").alias("n"), ((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("prevalence")))
 
 
-@query(f"""WITH {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+@query(f"""WITH RECURSIVE {_SPLITS}, {_ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
   prv AS (SELECT o.repeat, n_train, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS pv FROM bn JOIN ord o USING (game), (SELECT unnest([20, 40, 80, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL),
   tst AS (SELECT repeat, game, avg((pv - y) ** 2) AS v, n_train FROM bn JOIN splits USING (game) JOIN prv USING (repeat) WHERE role = 'test' GROUP BY ALL)
   SELECT cast(repeat AS INTEGER) AS repeat, n_train, {r('avg(v)', 'null_loss')} FROM tst GROUP BY ALL""")

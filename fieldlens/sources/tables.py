@@ -8,13 +8,40 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str]) -> DataFrame:
-    """CSV with a header under an explicit schema (SRC-1): columns are taken by name from the header, required ones
-    must be there, optional ones that are missing become typed nulls; only wanted columns are parsed."""
-    head = spark.read.option("header", True).csv(path)
+    """CSV with a header under an explicit schema (SRC-1): columns are taken by name from the header of their own file,
+    required ones must be in every file, optional ones that are missing become typed nulls. ``NA`` and empty are null;
+    any other text that isn't of a column's type is an error when it is read. Files are grouped by header (one line of
+    each is read for that), so files whose columns are ordered otherwise mix.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # one row for each distinct header
+    parts = [_one_header(spark, [f for f in g.files], schema, required) for g in groups]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _one_header(spark: SparkSession, files: list[str], schema: T.StructType, required: list[str]) -> DataFrame:
+    head = spark.read.option("header", True).csv(files)
     if missing := [c for c in required if c not in head.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    kinds = {f.name: f.dataType for f in schema.fields}
-    return head.select(*[F.col(f"`{c}`").try_cast(t).alias(c) if c in head.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    def column(f: T.StructField) -> Column:
+        if f.name not in head.columns:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        text = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            return text.alias(f.name)
+        value = text.try_cast(f.dataType)
+        blank = text.isNull() | F.upper(F.trim(text)).isin("", "NA")
+        wrong = F.raise_error(F.concat(F.lit(f"{f.name}: not of type {f.dataType.simpleString()}: "), text)).cast(f.dataType)
+        return F.when(blank, F.lit(None).cast(f.dataType)).when(value.isNull(), wrong).otherwise(value).alias(f.name)
+
+    return head.select(*[column(f) for f in schema.fields])
 
 
 def read_any(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -46,9 +73,28 @@ def only_games(df: DataFrame, games: DataFrame, game: str) -> DataFrame:
     return df.join(games.select(game).distinct(), game, "left_semi")
 
 
-def game_table(df: DataFrame, game: str, columns: list[str]) -> DataFrame:
-    """One record per game with ``n_records``, which is over 1 where its columns disagree (SRC-11, DES-1)."""
-    return df.groupBy(game).agg(*[F.first(c).alias(c) for c in columns], F.countDistinct(F.struct(*columns)).alias("n_records"))
+def game_table(df: DataFrame, game: str, columns: list[str], augmented: str = "_aug") -> DataFrame:
+    """One record per game with ``n_records``, which is over 1 where its columns disagree; then the least record
+    stands (SRC-11, DES-1). Games whose id ends in ``augmented`` are no games of their own and go."""
+    own = df.where(~F.coalesce(F.col(game).cast("string").endswith(augmented), F.lit(False)))
+    one = own.groupBy(game).agg(F.min(F.struct(*columns)).alias("__r"), F.countDistinct(F.struct(*columns)).alias("n_records"))
+    return one.select(game, *[F.col(f"__r.{c}").alias(c) for c in columns], "n_records")
+
+
+def labelled_arrays(labels: DataFrame, plays: DataFrame, play: str, game: str, season: str, augmented: str = "_aug") -> DataFrame:
+    """Labels with their play's game and season (SRC-9): augmented rows go, and ``problem`` names labels whose play is
+    ``unmatched`` or ``ambiguous`` (several games or seasons), which are then null."""
+    own = labels.where(~F.coalesce(F.col(play).cast("string").endswith(augmented), F.lit(False)))
+    known = plays.groupBy(F.col(play).cast("string").alias("__k")).agg(F.min(F.struct(game, season)).alias("__r"), F.countDistinct(F.struct(game, season)).alias("__n"))
+    both = own.join(known, F.col(play).cast("string") == F.col("__k"), "left")
+    problem = F.when(F.col("__n").isNull(), "unmatched").when(F.col("__n") > 1, "ambiguous")
+    fine = lambda c: F.when(problem.isNull(), F.col(f"__r.{c}")).alias(c)
+    return both.select(*own.columns, fine(game), fine(season), problem.alias("problem"))
+
+
+def first_examples(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the order of a unique key (PRJ-11, SRT-1, SRT-2)."""
+    return df.orderBy(*order).limit(n)
 
 
 def write_prepared(df: DataFrame, path: str, partition: list[str]) -> None:

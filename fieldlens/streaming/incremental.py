@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldlens.operators.automaton import BUILDING, DECLINING, NONE, STEADY
+from fieldlens.operators.automaton import usable
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], partition: str) -> None:
@@ -23,37 +24,40 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def opportunity_events(frames: DataFrame, key: str, frame: str, p: str, threshold: float = 0.75, run: int = 5) -> DataFrame:
-    """``key, frame, event`` (open or miss) of a stream of scored frames (STR-2). Each key's frames must arrive in
-    order across micro-batches; within one they are sorted. The state of a key is four integers."""
+def opportunity_events(frames: DataFrame, key: str, frame: str, p: str, threshold: float = 0.75, run: int = 5, idle: str | None = None) -> DataFrame:
+    """``key, frame, event`` of a stream of scored frames (STR-2): ``open`` and ``miss`` as in
+    automaton.opportunities(), and ``late`` for a frame that isn't after the last one seen, which is not used.
+
+    The state of a key is that of its current run of equal kind: the kind, its length, whether an opportunity is open,
+    and the last frame. Keys without rows for ``idle`` (as "2 hours", processing time) are forgotten; without it they
+    are kept for ever.
+    """
+    kind = dict(frames.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, high, low, last = state.get if state.exists else (NONE, 0, 0, None)
-        rows = pd.concat(list(batches)).sort_values(frame)
-        out = []
-        for f, score in zip(rows[frame], rows[p], strict=True):
-            if last is not None and f != last + 1:
-                at, high, low = NONE, 0, 0
-            if score > threshold:
-                if at in (NONE, BUILDING):
-                    at, high = BUILDING, high + 1
-                    if high == run:
-                        at = STEADY
-                        out.append((k[0], int(f), "open"))
-                else:
-                    at, low = STEADY, 0
-            elif at in (NONE, BUILDING):
-                at, high = NONE, 0
-            else:
-                at, low = DECLINING, low + 1
-                if low == run:
-                    at, high, low = NONE, 0, 0
-                    out.append((k[0], int(f), "miss"))
-            last = int(f)
-        state.update((at, high, low, last))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        high, length, opened, last = state.get if state.exists else (False, 0, False, None)
+        rows = pd.concat(list(batches)).groupby(frame, as_index=False)[p].max()
+        fresh = rows[frame] > last if last is not None else np.ones(len(rows), bool)
+        out = [(k[0], int(f), "late") for f in rows[frame][~fresh]]
+        at, above = rows[frame][fresh].to_numpy(np.int64), rows[p][fresh].to_numpy() > threshold
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(above.astype(int)) != 0)])) if len(at) else np.zeros(0, int)
+        for lo, hi in zip(starts, np.append(starts[1:], len(at)), strict=True):  # runs, not frames
+            if last is not None and at[lo] != last + 1:
+                opened, length = False, 0
+            carried = length if bool(above[lo]) == high else 0
+            high, length, last = bool(above[lo]), carried + int(hi - lo), int(at[hi - 1])
+            if carried < run <= length and high != opened:
+                opened = high
+                out.append((k[0], int(at[lo]) + run - carried - 1, "open" if high else "miss"))
+        state.update((high, length, opened, last))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[key, frame, "event"])
 
-    kind = dict(frames.dtypes)[key]
-    return frames.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {frame} long, event string", "at int, high int, low int, last long", "append", GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return usable(frames, frame, p).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, {frame} long, event string", "high boolean, length int, opened boolean, last long", "append", timeout
     )
