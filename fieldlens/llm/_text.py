@@ -210,9 +210,8 @@ def char_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int,
 
 def minhash32(values: np.ndarray, first: np.ndarray, end: np.ndarray, functions: int, seed: int = 7) -> np.ndarray:
     """[ranges, functions] least values of ``functions`` hash functions over values[first:end] of each range, with 32-bit
-    hashes; empty ranges hold the largest. Ranges are in order."""
-    rng = np.random.Generator(np.random.Philox(seed))
-    mask, odd = rng.integers(0, 2**32, functions, dtype=np.uint32), rng.integers(0, 2**32, functions, dtype=np.uint32) | np.uint32(1)
+    hashes: values, which are well mixed, times random odd numbers. Empty ranges hold the largest. Ranges are in order."""
+    odd = np.random.Generator(np.random.Philox(seed)).integers(0, 2**32, functions, dtype=np.uint32) | np.uint32(1)
     out = np.full((len(first), functions), 2**32 - 1, np.uint32)
     full = np.flatnonzero(end > first)
     if not len(full):
@@ -224,8 +223,7 @@ def minhash32(values: np.ndarray, first: np.ndarray, end: np.ndarray, functions:
         buf, got = np.empty_like(part), np.empty((functions, len(rows)), np.uint32)
         gaps = (at[1:-1:2] == at[2::2]).any()  # ranges that touch: only their starts are cut points
         for i in range(functions):
-            np.bitwise_xor(part, mask[i], out=buf)
-            np.multiply(buf, odd[i], out=buf)
+            np.multiply(part, odd[i], out=buf)
             got[i] = np.minimum.reduceat(buf, at[::2]) if gaps else np.minimum.reduceat(buf, at)[::2]
         out[rows] = got.T
     return out

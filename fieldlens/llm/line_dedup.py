@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions.scalars import let
 from fieldlens.llm import _text as tx
-from fieldlens.llm._graph import block_pairs, similarity_components, sweep_pairs
+from fieldlens.llm._graph import block_pairs, connected_components, whole_blocks
 from fieldlens.llm._spark import cut, discard, maybe_in, may_be_in, small_batches
 
 #: Characters in a shingle; bands of so many MinHash values: at similarity 0.8 all miss a pair in 2.5e-6 of cases.
 CHARS = 8
 BANDS, ROWS = 18, 3
-#: Agreeing values (of 54, by one byte each) and differing bits (one of each) that pairs compared first on their
-#: signatures need: each fails a pair at 0.8 in fewer than 6e-7 cases.
-LEAST_AGREE, MAX_BITS = 27, 18
-#: Lines in a block of a band that is compared exhaustively.
-BLOCK = 1024
+#: Lines in a block of a band that is compared exhaustively, and lines up to which many bands are compared at a time.
+BLOCK, FEW = 1024, 16
+#: Bits of a shingle's hash beside the number of a row or a pair in one 64-bit code.
+HASH = 50
 #: Band keys that are counted in one task before they are shuffled.
 PACK = 1 << 20
 
@@ -144,70 +144,164 @@ def _in_bloom(bloom: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(bloom, bits: int):
-    """mapInArrow function over (key, doc_id, text): all lines, those that may share a band with their bands, signature and text."""
+    """mapInArrow function over (key, doc_id, text): all lines, those that may share a band with these bands and their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, starts, ends, of, number, ids in _split(b.column(2)):
-                signature, bands = _signatures(data, starts, ends, ids)
+                bands = _signatures(data, starts, ends, ids)[1]
                 hit = _in_bloom(bloom.value, bits, bands)
                 some = hit.any(axis=1)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32), pa.array(bands[hit].view(np.int64)))
-                fine = (signature & np.uint32(0xFF)).astype(np.uint8)
-                low = np.zeros((len(starts), 64), np.uint8)
-                low[:, : BANDS * ROWS] = (signature >> np.uint32(8)) & np.uint32(1)
                 texts = [data[s:e].tobytes().decode("utf-8", "replace") if m else None for s, e, m in zip(starts, ends, some, strict=True)]
                 take = pa.array(of + first)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(take), b.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists,
-                        pa.array([f.tobytes() if m else None for f, m in zip(fine, some, strict=True)], pa.binary()),
-                        pa.array(np.packbits(low, axis=1).view(np.int64).reshape(-1)), pa.array(texts, pa.string()),
-                    ],
-                    ["key", "doc_id", "line_no", "id", "check", "bands", "fine", "bits", "line"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists, pa.array(texts, pa.string())],
+                    ["key", "doc_id", "line_no", "id", "check", "bands", "line"],
                 )
 
     return run
 
 
-_LINES = "key long, doc_id long, line_no int, id long, check long, bands array<long>, fine binary, bits long, line string"
+_LINES = "key long, doc_id long, line_no int, id long, check long, bands array<long>, line string"
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of each text, and the row of each; a text of fewer than CHARS characters is its own shingle."""
-    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    """Distinct shingle hashes (HASH bits) of each text, sorted, and the offsets of each text's; a text of fewer than CHARS
+    characters is its own shingle."""
+    values, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for first, _, data, offsets in tx.slices(texts):
         x, begin, end = tx.char_windows(data, offsets[:-1], offsets[1:], CHARS, np.uint64)
         size = end - begin
         of = np.repeat(np.arange(len(size)), size)
         values.append(x[begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)])
-        rows.append(of + first)
+        rows.append((of + first).astype(np.uint64))
         short = np.flatnonzero(size == 0)
         low = tx.lower_bytes(data)
         values.append(np.array([int.from_bytes(hashlib.blake2b(low[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in short], np.uint64))
-        rows.append(short + first)
-    return np.concatenate(values), np.concatenate(rows)
+        rows.append((short + first).astype(np.uint64))
+    code = np.unique((np.concatenate(rows) << np.uint64(HASH)) | (np.concatenate(values) >> np.uint64(64 - HASH)))
+    return code & np.uint64((1 << HASH) - 1), np.searchsorted(code >> np.uint64(HASH), np.arange(len(texts) + 1, dtype=np.uint64))
+
+
+def _similar_pairs(values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (i, j) of the sets reach the similarity."""
+    size, good = np.diff(at), np.zeros(len(i), bool)
+    for lo in range(0, len(i), 4096):
+        left, right = i[lo : lo + 4096], j[lo : lo + 4096]
+        codes = []
+        for side in (left, right):
+            n = size[side]
+            of = np.repeat(np.arange(len(side)), n)
+            codes.append((of.astype(np.uint64) << np.uint64(HASH)) | values[np.repeat(at[side] - np.cumsum(n) + n, n) + np.arange(len(of))])
+        both = np.sort(np.concatenate(codes))
+        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(HASH)).astype(np.int64), minlength=len(left))
+        good[lo : lo + 4096] = shared * 100 >= (size[left] + size[right] - shared) * percent
+    return good
+
+
+def spanning_links(ids: np.ndarray, comps: np.ndarray, values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of a pair of blocks, as few as join all that exact similarities
+    join. Shared shingles are counted for 512 members against all at a time."""
+    m, size = len(ids), np.diff(at)
+    rows = np.repeat(np.arange(m), size)
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    rows, column = rows[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    label, out = np.unique(comps, return_inverse=True)[1], []
+    for lo in range(0, m, 512):
+        hi = min(lo + 512, m)
+        common = np.zeros((hi - lo, m), np.float32)
+        for c in range(0, width, 2048):
+            part = slice(*np.searchsorted(column, [c, c + 2048]))
+            dense = np.zeros((m, min(2048, width - c)), np.float32)
+            dense[rows[part], column[part] - c] = 1
+            common += dense[lo:hi] @ dense.T
+        near = common * 100 >= (size[lo:hi, None] + size[None, :] - common) * percent
+        for i in range(lo, hi):
+            while len(other := np.flatnonzero(near[i - lo] & (label != label[i]))):
+                out.append((int(ids[i]), int(ids[other[0]])))
+                label[label == label[other[0]]] = label[i]
+    return out
+
+
+def _settled(percent: int):
+    """mapInArrow function over rows (node, p, q, id, comp, line), sorted by the first three: verified links that join, within each
+    such group, all lines of different components that are similar enough or joined by those that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in whole_blocks(batches):
+            ids, comps = np.asarray(rows.column(3)), np.asarray(rows.column(4))
+            values, spots = _sets(rows.column(5))
+            size = np.diff(at)
+            after = np.where(np.repeat(size, size) <= FEW, np.repeat(at[1:], size) - np.arange(len(ids)) - 1, 0)
+            i = np.repeat(np.arange(len(ids)), after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            apart = comps[i] != comps[j]
+            i, j = i[apart], j[apart]
+            good = _similar_pairs(values, spots, i, j, percent)
+            links = list(zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True))
+            for g in np.flatnonzero(size > FEW):
+                lo, hi = at[g], at[g + 1]
+                links += spanning_links(ids[lo:hi], comps[lo:hi], values[spots[lo] : spots[hi]], spots[lo : hi + 1] - spots[lo], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _similar(percent: int):
     """mapInArrow function that keeps pairs (a, b, x, y) of lines whose shingle sets reach the similarity."""
-    step = 512  # pairs a round: their number is held in 9 bits above 55 bits of a shingle's hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                sides = []
-                for c in (2, 3):
-                    values, rows = _sets(part.column(c))
-                    sides.append(np.unique((rows.astype(np.uint64) << np.uint64(55)) | (values >> np.uint64(9))))
-                count = [np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=part.num_rows) for s in (*sides, np.intersect1d(*sides, assume_unique=True))]
-                good = count[2] * 100 >= (count[0] + count[1] - count[2]) * percent
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], ["a", "b"])
+            n = b.num_rows
+            values, at = _sets(pa.concat_arrays([b.column(2), b.column(3)]))
+            good = pa.array(_similar_pairs(values, at, np.arange(n), np.arange(n) + n, percent))
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in b.columns[:2]], ["a", "b"])
 
     return run
 
 
+def _components(members: DataFrame, percent: int) -> DataFrame:
+    """``(id, comp)`` of the lines that are linked; ``members``: (id, rank, bands, line), one row a line.
+
+    Bands with the same members count once: lines that are alike share most of theirs. A band of up to BLOCK lines is
+    compared whole in one task. Larger ones (templates, edited copies of one text) are first compared with their commonest line;
+    what is still apart is then compared across components in pairs of blocks."""
+    rows = members.select("id", "rank", F.explode("bands").alias("node"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    nodes = cut(nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"), "nodes")
+    met = cut(rows.join(nodes, "node"), "met")
+    texts = members.select("id", "line")
+    whole = met.where(F.col("n") <= BLOCK).select("node", F.lit(0).alias("p"), F.lit(0).alias("q"), "id", F.col("id").alias("comp")).join(texts, "id")
+    whole = whole.select("node", "p", "q", "id", "comp", "line").repartition("node").sortWithinPartitions("node", "id")
+    links = whole.mapInArrow(_settled(percent), "a long, b long")
+    large = met.where(F.col("n") > BLOCK)
+    hot = not large.isEmpty()
+    if hot:
+        pivots = large.groupBy("node").agg(F.min(F.struct("rank", "id"))["id"].alias("a"))
+        stars = large.join(pivots, "node").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+        links = links.union(stars.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long"))
+    links = cut(links.distinct(), "links")
+    comps = cut(connected_components(links), "comps")
+    if hot:
+        held = large.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+        held = cut(held.join(mixed, "node"), "held")
+        more = block_pairs(held, BLOCK, texts).select("node", "p", "q", "id", "comp", "line").mapInArrow(_settled(percent), "a long, b long")
+        more = cut(more.distinct(), "links")
+        if not more.isEmpty():
+            comps = cut(connected_components(links.union(more)), "comps")
+        discard(held)
+    discard(nodes, met)
+    return comps
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``(key, doc_id, drops)``: for each document row that loses lines the sorted numbers (from 0) of those lines."""
     spark = docs.sparkSession
@@ -230,25 +324,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         several, spent = cut(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "copies"), several
         discard(old, spent)
 
-    # The commonest line is a node's pivot.
     met = lines.where(F.size("bands") > 0)
-    members = met.groupBy("id").agg(
-        (-F.count("*")).alias("rank"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("fine").alias("fine"), F.first("line").alias("line")
-    )
+    members = met.groupBy("id").agg((-F.count("*")).alias("rank"), F.first("bands").alias("bands"), F.first("line").alias("line"))
     members = cut(members, "members")
-
-    def plausible(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= MAX_BITS
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = members.select(F.col("id").alias("a"), F.col("line").alias("x")), members.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long")
-
-    def sweep(leaves: DataFrame, best: int | None) -> DataFrame:
-        return sweep_pairs(block_pairs(leaves, BLOCK, members.select("id", "fine")), BANDS * ROWS, LEAST_AGREE, best)
-
-    paths = members.select("id", "rank", "bits", F.transform("bands", lambda k: F.array(k)).alias("paths"))
-    _, comps = similarity_components(paths, 1, plausible, ["bits"], verify, sweep, thin=False)
+    comps = _components(members, percent)
     roots = several.select("id").union(comps.select("id")).distinct().join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("root"))
     roots = cut(roots, "roots")
     spot = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "line_no")
@@ -262,16 +341,18 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def counted_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(row struct of all columns of ``docs``, text without repeated lines, lines, dropped), as dedup_lines() says."""
+    """(row struct of all other columns of ``docs``, text without repeated lines, lines, dropped), as dedup_lines() says."""
     drops = repeated_lines(docs, percent).withColumnsRenamed({"key": "k", "doc_id": "d"})
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(doc_id, text).alias("key"), doc_id.alias("id"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _key(doc_id, text).alias("key"), doc_id.alias("id"), text.alias("text"))
     touched, rest = maybe_in(rows, F.col("key"), drops, "k")  # texts that lose nothing are not shuffled
     touched = touched.join(drops, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")), "left").select("row", "text", "drops")
     out = touched.unionAll(rest.select("row", "text", F.lit(None).cast("array<int>").alias("drops")))
-    parts = F.split(F.col("text"), "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
-    left = F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+    def kept(parts: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops"), lambda i: F.get(parts, i))
+
+    left = F.array_join(let(F.split(F.col("text"), "\n", -1), kept), "\n")
     return out.select(
         "row",
         F.when(F.col("drops").isNull(), F.col("text")).otherwise(left).alias("text"),
@@ -288,9 +369,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     that comes first (least doc_id, null last, then least line number) stays, all others go, wherever they
     are. Candidates meet in BANDS bands of ROWS MinHash values (at similarity 0.8 a pair is missed
     with probability 2.5e-6, at 0.9 with 6e-11). A first pass counts which bands hold several lines; only lines in
-    such bands go on. Each candidate is verified on the full sets: first with the commonest line of its band, then,
-    where a band still holds several components, across them, block by block, where their signatures agree as pairs
-    at 0.8 do in all but 1 of 1,000,000 cases. Equal lines are one class from the start (by a digest of 128 bits), so a
+    such bands go on. Every two lines of a band are compared on their full sets, unless they are joined already; large
+    bands first with their commonest line, then across components, block by block. Equal lines are one class from the start (by a digest of 128 bits), so a
     line in a third of all documents costs one entry; only its positions are joined to the decision, and a hot line's
     join can be split.
 
