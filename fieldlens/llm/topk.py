@@ -128,12 +128,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     set is a stated share of the table, blocks are of bounded size, and each block pair returns k rows a query.
 
     Vectors that are null or empty or hold a null or a non-finite component take no part, nor do rows with a null id. A score that doesn't fit a long ranks exactly and is given as null. Vectors of different lengths are never compared.
-    Repeated rows are candidates each on their own; where rows share a query's id, the least vector asks. A query without candidates gives no row; an empty table gives
+    Repeated rows are candidates each on their own; where rows share a query's id, the least usable vector asks. A query without candidates gives no row; an empty table gives
     an empty result. Other columns are not read.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = rows.where((F.col("id") % every == 0) & (F.size("v") > 0) & fine).groupBy("id").agg(F.min("v").alias("v"))  # of the usable rows of an id
     asked = _blocks(asked, QUERY_BLOCK).select(F.col("dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # Each block of queries goes once to each of so many lanes, each block of candidates to one of them.
     lanes = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))

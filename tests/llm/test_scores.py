@@ -88,6 +88,7 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (700, 24)))]
     rows += [(700 + k, rows[3][1]) for k in range(8)]  # ties
+    rows += [(650, [-9.0, None] + [0.5] * 22)]  # not usable, and less than the vector that asks
     rows += [(800, None), (801, []), (802, [1.0, None] * 12), (803, [float("nan")] * 24), (None, rows[4][1]), (850, [0.5, 0.25]), (900, [1.0, 1.0]), (10, rows[9][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     usable = [(i, np.floor(256 * np.array(np.float32(v), np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
