@@ -45,16 +45,18 @@ def uniform(doc_id: Column, seed: str) -> Column:
 def mix_sources(
     docs: DataFrame, seed: str = "mix:", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, row: Column | None = None
 ) -> DataFrame:
-    """How often a mix takes each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
+    """How often a mix takes each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken, chance, rid``.
 
     size is the number of words. Each source's target comes from source_targets(). Every document is first
-    taken floor(target / source_size) whole times. The rest of the target is a fixed-size Pareto sample: with
-    inclusion odds proportional to the square root of a document's size and u the document's uniform number,
-    documents come in order of odds(u) / inclusion odds and are taken as long as their words fit; one further
+    taken floor(target / source_size) whole times. The rest of the target is a Pareto sample whose size is fixed in
+    words. ``chance`` is a document's inclusion probability in it: proportional to the root of its size, those that
+    reach 1 being certain, and the others raised until the expected words are the rest. With u a document's uniform number, documents
+    come in order of odds(u) / odds(chance), certain ones first, and are taken as long as their words fit; one further
     document, the one whose size is nearest to the words still missing, is taken where that brings the source
     nearer. Reruns give the same mix.
 
-    The order is cut into SLICES ranges whose sizes are pre-aggregated, so a source with most of the rows is
+    The probabilities follow from counts by source and size. The order is cut into SLICES ranges whose sizes are
+    pre-aggregated, so a source with most of the rows is
     neither sorted nor summed in one task; only the range that holds the target's end is.
 
     Null or empty texts have size 0: they get their source's whole copies and count no word. A null source is a source of its own, last in
@@ -66,53 +68,69 @@ def mix_sources(
         id_.alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (F.monotonically_increasing_id() if row is None else row).alias("rid"),
     )
-    u = uniform(F.col("doc_id"), seed)
-    q = F.when(F.col("size") > 0, (u / (1 - u)) / F.sqrt(F.col("size").cast("double")))
-    sized = sized.withColumn("q", q).withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int"))
     sized = cut(sized, "sized")
 
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    parts = sized.where("size > 0").groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("slice")
-    parts = parts.withColumn("upto", F.sum("words").over(run))
-    named = targets.select(F.col("source").alias("t_source"), "rest")
-    ends = (
-        parts.join(named, F.col("source").eqNullSafe(F.col("t_source")))
-        .where("upto > rest")
-        .groupBy("t_source")
-        .agg(F.min("slice").alias("end_slice"), F.min_by(F.col("upto") - F.col("words"), "slice").alias("before"))
-    )
-    plan = targets.join(ends, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    plan = targets.join(chances(sized, targets), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     plan = cut(plan.withColumnRenamed("source", "p_source"), "targets")
 
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    u = uniform(F.col("doc_id"), seed)
+    chance = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.least(F.lit(1.0), F.col("level") * F.sqrt(F.col("size").cast("double"))))
+    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source").withColumn("chance", chance).drop("level")
+    q = F.when(F.col("chance") > 0, (u / (1 - u)) * (1 - F.col("chance")) / F.col("chance"))
+    rows = rows.withColumn("q", q).withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int"))
+    rows = cut(rows, "ordered")
+
+    parts = rows.where("q is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    parts = parts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("slice")))
+    ends = parts.where("upto > rest").groupBy("source").agg(F.min("slice").alias("end_slice"), F.min_by(F.col("upto") - F.col("words"), "slice").alias("before"))
+    ends = cut(ends.withColumnRenamed("source", "e_source"), "ends")
+
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size", "rid")
     inside = F.col("slice") == F.col("end_slice")
     edge = rows.where(inside).withColumn("fits", F.col("before") + F.sum("size").over(order) <= F.col("rest"))
-    rest = rows.where(~F.coalesce(inside, F.lit(False)))
-    rest = rest.withColumn("fits", F.coalesce(F.col("size") > 0, F.lit(False)) & F.coalesce(F.col("slice") < F.col("end_slice"), F.lit(True)) & (F.col("rest") > 0))
-    drawn = cut(edge.unionByName(rest), "drawn")
+    others = rows.where(~F.coalesce(inside, F.lit(False)))
+    others = others.withColumn("fits", F.col("q").isNotNull() & F.coalesce(F.col("slice") < F.col("end_slice"), F.lit(True)))
+    drawn = cut(edge.unionByName(others), "drawn")
 
     got = drawn.groupBy("source").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("got"), F.first("rest").alias("rest"))
     gap = cut(got.select(F.col("source").alias("g_source"), (F.col("rest") - F.col("got")).alias("gap")), "gaps")
-    loose = drawn.where("not fits and size > 0").join(gap, F.col("source").eqNullSafe(F.col("g_source")))
+    loose = drawn.where("not fits and q is not null").join(gap, F.col("source").eqNullSafe(F.col("g_source")))
     away = F.abs(F.col("size") - F.col("gap"))
     filler = loose.where(away < F.col("gap")).groupBy("g_source").agg(F.min(F.struct(away.alias("away"), "q", "doc_id", "size", "rid")).alias("f"))
     filler = cut(filler.select(F.col("f.rid").alias("rid"), F.lit(1).alias("fill")), "fillers")
     out = drawn.join(filler, "rid", "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("fits").cast("int") + F.coalesce("fill", F.lit(0))).otherwise(F.col("whole")).cast("int")
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rid")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "chance", "rid")
+
+
+def chances(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``c_source, level``: the factor with which the roots of the sizes, at most 1 each, become probabilities whose expected words
+    are the source's rest. Sizes from the largest down are certain until the next one isn't."""
+    counts = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    named = targets.select(F.col("source").alias("c_source"), "rest")
+    counts = counts.join(named, F.col("source").eqNullSafe(F.col("c_source"))).drop("source")
+    larger = Window.partitionBy("c_source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    certain = F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))
+    root = F.sqrt(F.col("size").cast("double"))
+    open_ = F.sum(F.col("n") * F.col("size") * root).over(Window.partitionBy("c_source").orderBy("size"))
+    counts = counts.withColumn("level", (F.col("rest") - certain) / open_)
+    fair = F.when(F.col("level") * root < 1, F.struct("size", "level"))
+    return counts.groupBy("c_source").agg(F.max(fair)["level"].alias("level"))
 
 
 def take_mix(docs: DataFrame, seed: str = "mix:", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs`` that the mix takes at least once, with all columns, ``copies`` and ``taken``; see
-    mix_sources(). Rows are numbered in a written table, so repeated rows are told apart."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    mix = mix_sources(rows, seed, weights, share, most, F.col("__row")).where("copies > 0")
-    mix = mix.select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies"), F.col("taken").alias("__taken"))
-    out = rows.join(mix, F.col("__row") == F.col("__rid"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")], F.col("__copies").alias("copies"), F.col("__taken").alias("taken"))
+    mix_sources(). Where docs has columns of these names, they stay and the new ones are ``mix_copies`` and ``mix_taken``.
+    Rows are numbered in a written table, so repeated rows are told apart."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("doc_id"), F.col("source"), F.col("text"), F.monotonically_increasing_id().alias("n"))
+    rows = cut(rows.select("kept", F.col("n").alias("number")), "numbered")
+    mix = mix_sources(rows.select("kept.doc_id", "kept.source", "kept.text", "number"), seed, weights, share, most, F.col("number")).where("copies > 0")
+    out = rows.join(mix.select(F.col("rid").alias("number"), "copies", "taken"), "number")
+    clash = {c.lower() for c in docs.columns} & {"copies", "taken"}
+    names = ("mix_copies", "mix_taken") if clash else ("copies", "taken")
+    return out.select("kept.*", F.col("copies").alias(names[0]), F.col("taken").alias(names[1]))

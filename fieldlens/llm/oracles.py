@@ -96,16 +96,21 @@ s2 AS (
 ), t AS (
   SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, place) FROM s2 WHERE level <= ratio) * weight), cap) AS target FROM s2
 ), t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-o AS (
+cn AS (SELECT d.source, size, count(*) AS n, any_value(target - whole * source_size) AS rest FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source WHERE size > 0 GROUP BY d.source, size),
+lv AS (
+  SELECT source, size, (rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(n * size * sqrt(size::DOUBLE)) OVER (PARTITION BY source ORDER BY size) AS level FROM cn
+), l2 AS (SELECT source, arg_max(level, size) AS level FROM lv WHERE level * sqrt(size::DOUBLE) < 1 GROUP BY source),
+o0 AS (
   SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
-    CASE WHEN size > 0 THEN (u / (1 - u)) / sqrt(size::DOUBLE) END AS q
-  FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source
-), f AS (
-  SELECT *, size > 0 AND rest > 0 AND sum(size) OVER (PARTITION BY source, size > 0 ORDER BY q, doc_id, size, rid) <= rest AS fits FROM o
+    CASE WHEN size > 0 AND target - whole * source_size > 0 THEN least(1.0::DOUBLE, level * sqrt(size::DOUBLE)) END AS chance
+  FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source LEFT JOIN l2 ON d.source IS NOT DISTINCT FROM l2.source
+), o AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) * (1 - chance) / chance END AS q FROM o0), f AS (
+  SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size, rid) <= rest AS fits FROM o
 ), g AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM f),
 h AS (
-  SELECT *, CASE WHEN NOT fits AND size > 0 AND abs(size - gap) < gap
-    THEN row_number() OVER (PARTITION BY source, (NOT fits AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), q, doc_id, size, rid) END AS nth FROM g
+  SELECT *, CASE WHEN NOT fits AND q IS NOT NULL AND abs(size - gap) < gap
+    THEN row_number() OVER (PARTITION BY source, (NOT fits AND q IS NOT NULL AND abs(size - gap) < gap) ORDER BY abs(size - gap), q, doc_id, size, rid) END AS nth FROM g
 )
 SELECT doc_id, source, size, source_size, target,
   CASE WHEN size > 0 THEN whole + fits::INT + coalesce((nth = 1)::INT, 0) ELSE whole END::INTEGER AS copies,

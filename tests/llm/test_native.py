@@ -115,3 +115,27 @@ def test_take_mix_keeps_columns_and_drops_what_is_not_taken(spark):
     out = mixing.take_mix(df)
     assert out.columns == [*df.columns, "copies", "taken"]
     assert out.where(F.col("copies") < 1).count() == 0
+
+
+def test_take_mix_keeps_columns_of_the_same_name(spark):
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows(60)], "doc_id long, text string, lang string, source string, n_chars long, copies int, __rid string")
+    out = mixing.take_mix(df)
+    assert out.columns == [*df.columns, "mix_copies", "mix_taken"]
+    assert {r.copies for r in out.collect()} == {7} and {r["__rid"] for r in out.collect()} == {"x"}
+
+
+def test_inclusion_rates_are_the_chances(spark):
+    """400 sources of the same sizes are independent samples of one design."""
+    sizes = [5 * k for k in range(1, 41)] + [20_000]
+    target = 0.9 * sum(sizes)
+    data = [(s * 100 + k, "w " * n, f"s{s:03d}") for s in range(400) for k, n in enumerate(sizes)]
+    out = mixing.mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1.0,), share=0.9).toPandas()
+    out["k"] = out.doc_id % 100
+    rates = out.groupby("k").agg(rate=("copies", "mean"), chance=("chance", "mean"), size=("size", "first"))
+    level = (target - 20_000) / sum(n**1.5 for n in sizes[:-1])
+    assert rates.chance.tolist() == pytest.approx([level * n**0.5 for n in sizes[:-1]] + [1])
+    assert rates.rate[40] == 1  # certain
+    assert abs(out.groupby("source").taken.sum() - target).max() <= 25
+    # 400 draws: a standard error of 0.025; the last document, which fills what is missing, adds a little
+    away = abs(rates.rate - rates.chance)
+    assert away.max() < 0.12 and away.mean() < 0.035
