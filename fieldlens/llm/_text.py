@@ -52,6 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique hashes them first, which takes far longer than a sort."""
+    out = np.sort(values)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
 def salt(i: int, place: int) -> np.uint64:
     return U64(i * int(_PLACE[place]) & 0xFFFFFFFFFFFFFFFF)
 

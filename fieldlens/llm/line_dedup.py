@@ -180,7 +180,7 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         low = tx.lower_bytes(data)
         values.append(np.array([int.from_bytes(hashlib.blake2b(low[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in short], np.uint64))
         rows.append((short + first).astype(np.uint64))
-    code = np.unique((np.concatenate(rows) << np.uint64(HASH)) | (np.concatenate(values) >> np.uint64(64 - HASH)))
+    code = tx.distinct((np.concatenate(rows) << np.uint64(HASH)) | (np.concatenate(values) >> np.uint64(64 - HASH)))
     return code & np.uint64((1 << HASH) - 1), np.searchsorted(code >> np.uint64(HASH), np.arange(len(texts) + 1, dtype=np.uint64))
 
 

@@ -29,7 +29,7 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[list[np.ndarray], int]]
     """Distinct shingles of each text, slice by slice, sorted."""
     for first, last, data, offsets in tx.slices(texts):
         values, at = tx.shingles(*tx.word_hashes(data, offsets), words)
-        yield [np.unique(values[at[i] : at[i + 1]]) for i in range(last - first)], first
+        yield [tx.distinct(values[at[i] : at[i + 1]]) for i in range(last - first)], first
 
 
 def _set_ids(sets: list[np.ndarray]) -> list[pa.Array]:
