@@ -50,10 +50,13 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 def split_quantile(scores: DataFrame, by: list[str], score: str, alpha: float, fallback: float | None) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score by cell; beyond n the ``fallback``, or the largest score where
     that is None (CAL-3, SRT-4). ``n_cal, rank, quantile``."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = scores.withColumn("__r", F.row_number().over(w.orderBy(score))).withColumn("n_cal", F.count("*").over(w))
+    counts = scores.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("__c"))  # ties are counted before they are ranked
+    run = Window.partitionBy(*by).orderBy(score)
+    ranked = counts.withColumn("__upto", F.sum("__c").over(run)).withColumn("n_cal", F.sum("__c").over(Window.partitionBy(*by)))
     ranked = ranked.withColumn("rank", conformal_rank(F.col("n_cal"), alpha))
-    agg = (ranked.groupBy(*by) if by else ranked).agg(F.max("n_cal").alias("n_cal"), F.max("rank").alias("rank"), F.max(F.when(F.col("__r") == F.col("rank"), F.col(score))).alias("q"), F.max(score).alias("largest"))
+    agg = (ranked.groupBy(*by) if by else ranked).agg(
+        F.max("n_cal").alias("n_cal"), F.max("rank").alias("rank"), F.min(F.when(F.col("__upto") >= F.col("rank"), F.col(score))).alias("q"), F.max(score).alias("largest")
+    )
     other = F.col("largest") if fallback is None else F.lit(fallback)
     return agg.select(*by, "n_cal", "rank", F.coalesce(F.col("q").cast("double"), other.cast("double")).alias("quantile"))
 
@@ -292,15 +295,17 @@ def venn_abers(calibration: DataFrame, test: DataFrame, by: list[str], p: str, y
     return out.withColumn("point", F.col("p1") / (1 - F.col("p0") + F.col("p1"))).withColumn("imprecision", F.col("p1") - F.col("p0"))
 
 
-def path_tube(calibration: DataFrame, test: DataFrame, scale: DataFrame, example: str, game: str, horizon: str, radial: str, alpha: float, seed: int) -> DataFrame:
+def path_tube(
+    calibration: DataFrame, test: DataFrame, scale: DataFrame, example: str, game: str, horizon: str, radial: str, alpha: float, seed: int, by: list[str] | None = None
+) -> DataFrame:
     """Test paths with ``covered, diameter``: the score of a path is its largest radial error over the horizon's scale,
-    over one calibration path per game (CAL-9)."""
-    score = lambda df: df.join(scale, horizon).groupBy(example, game).agg(F.max(F.col(radial) / F.col("scale")).alias("score"), F.avg("scale").alias("__m"))
-    drawn = one_per_game(score(calibration), [], game, example, seed)
-    q = split_quantile(drawn, [], "score", alpha, 1e6).select("quantile")
-    return score(test).crossJoin(F.broadcast(q)).select(  # one number
-        example, game, "score", (F.col("score") <= F.col("quantile") + 1e-12).alias("covered"), (2 * F.col("quantile") * F.col("__m")).alias("diameter")
-    )
+    over one calibration path per game, by cell where ``by`` names one (CAL-9)."""
+    by = by or []
+    score = lambda df: df.join(scale, horizon).groupBy(*by, example, game).agg(F.max(F.col(radial) / F.col("scale")).alias("score"), F.avg("scale").alias("__m"))
+    drawn = one_per_game(score(calibration), by, game, example, seed)
+    q = split_quantile(drawn, by, "score", alpha, 1e6).select(*by, "quantile")
+    both = score(test).join(q, by) if by else score(test).crossJoin(F.broadcast(q))  # one number
+    return both.select(*by, example, game, "score", (F.col("score") <= F.col("quantile") + 1e-12).alias("covered"), (2 * F.col("quantile") * F.col("__m")).alias("diameter"))
 
 
 def horizon_scale(medians: DataFrame, horizon: str, median: str, count: str, floor: float = 0.25) -> DataFrame:

@@ -109,3 +109,40 @@ PMFS = """raw AS (
 ), pmf AS (
   SELECT "row", game, y, is_cal, cell, k, v / sum(v) OVER (PARTITION BY "row") AS p,
     sum(v) OVER (PARTITION BY "row" ORDER BY k) / sum(v) OVER (PARTITION BY "row") AS cdf FROM flat)"""
+
+
+def scrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with several objects, from lineitem: play = eight orders, frame = line number, object = order; one row per key.
+    The last order of a play is the ball, the first of the red side holds it; blue defends."""
+    from fieldlens.operators.frames import first_occurrence
+
+    l_ = first_occurrence(
+        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"],
+        ["l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    )
+    at = F.col("l_orderkey") % 8
+    names = F.array(*[F.lit(p) for p in ("QB", "WR", "TE", "RB", "OL", "DE", "ILB", "CB", "K", "XX")])
+    side = F.when(at == 7, "football").when(at < 4, "red").otherwise("blue")
+    return l_.select(
+        F.floor(F.col("l_orderkey") / 8).alias("play"), F.col("l_linenumber").alias("frame"), F.col("l_orderkey").alias("obj"), side.alias("team"),
+        F.get(names, (F.col("l_partkey") % 10).cast("int")).alias("position"), (F.col("l_quantity") * 2).alias("x"), (F.col("l_extendedprice") / 2000).alias("y"),
+        (F.col("l_tax") * 100).alias("s"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 10).alias("a"), (F.col("l_partkey") % 360).cast("double").alias("dir"),
+        F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_suppkey") * 7 % 360).cast("double")).alias("o"), F.when(F.floor(F.col("l_orderkey") / 8) % 2 == 0, "left").otherwise("right").alias("playDirection"),
+        F.when(F.col("l_quantity") > 47, "tackle").when(F.col("l_linenumber") == 1, "snap").otherwise("none").alias("marker"), (at == 0).alias("carrier"), (F.col("l_linestatus") == "F").alias("run"),
+    )
+
+
+SCRUM = """scrum AS (
+  SELECT l_orderkey // 8 AS play, l_linenumber AS frame, l_orderkey AS obj, CASE WHEN l_orderkey % 8 = 7 THEN 'football' WHEN l_orderkey % 8 < 4 THEN 'red' ELSE 'blue' END AS team,
+    ['QB', 'WR', 'TE', 'RB', 'OL', 'DE', 'ILB', 'CB', 'K', 'XX'][l_partkey % 10 + 1] AS position, l_quantity * 2 AS x, l_extendedprice / 2000 AS y, l_tax * 100 AS s,
+    CASE WHEN l_discount > 0 THEN l_discount * 10 END AS a, cast(l_partkey % 360 AS DOUBLE) AS dir, CASE WHEN l_suppkey % 9 > 0 THEN cast(l_suppkey * 7 % 360 AS DOUBLE) END AS o,
+    CASE WHEN (l_orderkey // 8) % 2 = 0 THEN 'left' ELSE 'right' END AS "playDirection", CASE WHEN l_quantity > 47 THEN 'tackle' WHEN l_linenumber = 1 THEN 'snap' ELSE 'none' END AS marker,
+    l_orderkey % 8 = 0 AS carrier, l_linestatus = 'F' AS run
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS r FROM lineitem) WHERE r = 1)"""
+
+
+def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """binary() with a part: a fifth of the rows trains, the rest calibrates or tests by parity."""
+    part = F.when(F.col("row") % 5 == 4, "train").when(F.col("row") % 2 == 0, "calibration").otherwise("test")
+    return binary(spark, sf_dir).withColumn("part", part)

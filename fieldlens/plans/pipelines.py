@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.operators import automaton, encode, frames, inference, panel
+from fieldlens.operators import automaton, encode, frames, inference, panel, tokens
 
 
 def marker_cohort(
@@ -68,3 +68,23 @@ def tuning_study(fixed: DataFrame, tuned: DataFrame, metric: str, repeats: int,
     d = tuned.select(*on, F.col(metric).alias("__t")).join(fixed.select(*on, F.col(metric).alias("__f")), on)
     d = d.select(*on, (F.col("__t") - F.col("__f")).alias("difference"))
     return inference.classify(inference.max_t_intervals(d, ["model", "n_train"], repeats, draws, seed))
+
+
+def suite(panels: dict[str, DataFrame], metric: str, need: int) -> DataFrame:
+    """The task-equal synthesis of several tasks' panels (PIPE-13)."""
+    out = None
+    for name, table in panels.items():
+        t = table.withColumn("task", F.lit(name))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return panel.task_equal(out, metric, need)
+
+
+def recomputation_check(recorded: DataFrame, again: DataFrame, expected: DataFrame, metrics: list[str], tolerance: float = 1e-9) -> dict[str, DataFrame]:
+    """Whether a panel's aggregate can be had again (PIPE-14): cells against the expected grid, and metrics that deviate."""
+    from fieldlens.operators import cells
+
+    by = ["repeat", "model", "n_train"]
+    return {"grid": panel.grid_check(recorded, by, expected), "metrics": cells.replayed(recorded, again, by, metrics, tolerance)}
+
+
+__all__ = ["framewise_scoring", "marker_cohort", "provisional", "recomputation_check", "suite", "task_analysis", "tokens", "tuning_study"]

@@ -623,14 +623,6 @@ def cal8_venn_abers_exact(spark, sf):
     return rounded(out.select("row", "p0", "p1", "point", "imprecision"))
 
 
-@query()
-def cal4_local_padding(spark, sf):
-    p = b.pmfs(spark, sf)
-    lo, hi = conformal.central_interval(F.col("pmf"), 0.1)
-    f = p.select("row", "cell", "is_cal", fn.pmf_mean(F.col("pmf")).alias("m"), fn.pmf_sd(F.col("pmf")).alias("s"), fn.pmf_entropy(F.col("pmf")).alias("h"), conformal.interval_score(lo, hi, F.col("y")).alias("score"))
-    return conformal.local_padding(f.where("is_cal"), f.where("not is_cal"), ["cell"], ["m", "s", "h"], "score", 0.1, 20).select("row", F.col("padding").cast("long").alias("padding"))
-
-
 def _paths(spark, sf):
     l_ = b.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.abs(F.col("l_quantity") - 25)).alias("radial"))
     o = b.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("game"))
@@ -978,15 +970,6 @@ def pipe16_null_losses(spark, sf):
     return rounded(scores.game_equal(test, ["repeat", "n_train"], "game", {"null_loss": scores.brier(F.col("prevalence"), F.col("y"))}))
 
 
-@query(f"""WITH {b.BINARY}, rec AS (SELECT cell, avg((p - y) ** 2) + CASE WHEN cell LIKE '1%' THEN 0.01 ELSE 0 END AS recorded FROM bin GROUP BY cell), now AS (SELECT cell, avg((p - y) ** 2) AS again FROM bin GROUP BY cell)
-  SELECT cell, abs(recorded - again) > 1e-9 AS deviates FROM rec JOIN now USING (cell)""")
-def set7_metric_replay(spark, sf):
-    t = b.binary(spark, sf)
-    again = t.groupBy("cell").agg(F.avg(scores.brier(F.col("p"), F.col("y"))).alias("again"))
-    recorded = again.select("cell", (F.col("again") + F.when(F.col("cell").like("1%"), 0.01).otherwise(0.0)).alias("recorded"))
-    return recorded.join(again, "cell").select("cell", (F.abs(F.col("recorded") - F.col("again")) > 1e-9).alias("deviates"))
-
-
 @query(f"""WITH {b.TRACKING}, f AS (SELECT play, min(frame) AS lo, max(frame) AS hi, count(DISTINCT frame) AS n FROM tracking GROUP BY play)
   SELECT CASE WHEN n = 7 THEN 'all' WHEN hi - lo + 1 <> n THEN 'gaps' WHEN hi = 7 THEN 'right' WHEN lo = 1 THEN 'left' ELSE 'inside' END AS layout, count(*) AS plays FROM f GROUP BY ALL""")
 def set8_mask_layout(spark, sf):
@@ -1083,15 +1066,6 @@ def pipe2_cohort_audit(spark, sf):
     return _cohort(spark, sf)["audit"]
 
 
-@query()
-def pipe8_framewise_scoring(spark, sf):
-    from fieldlens.plans import pipelines
-
-    m = b.marks(spark, sf).withColumn("y", (F.col("marker") == "click").cast("double")).withColumn("v", F.sin("frame"))
-    out = pipelines.framewise_scoring(m, F.col("play") % 2 == 0, ["play"], "frame", ["v", "p"], "y", 1.0, 0.3, 2)
-    return out.select("play", "n_frames", "opportunities", "misses")
-
-
 @query(f"""WITH {b.PANEL}, td AS (SELECT repeat, model, n_train, null_loss - loss AS difference FROM panel), {_max_t('td', 'model, n_train', 'difference', 0.95, True)}
   SELECT model, n_train, {r('mean', 'mean', 8)}, CASE WHEN upper < 0 THEN 'supported' WHEN lower > 0 THEN 'opposite' ELSE 'inconclusive' END AS conclusion FROM ci""")
 def pipe12_tuning_study(spark, sf):
@@ -1173,13 +1147,6 @@ def src7_game_scoped_scan(spark, sf):
     return tables.only_games(b.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), wanted, "o_custkey")
 
 
-@query(f"""WITH {_CUT} SELECT m.play, m.frame, m.value FROM marks m JOIN cut USING (play) WHERE m.frame = cutoff - 10 AND m.frame > 0""")
-def win7_state_before_event(spark, sf):
-    m, c = _cutoffs(spark, sf)
-    at = c.where("cutoff > 10").select("play", (F.col("cutoff") - 10).alias("frame"))
-    return frames.rows_at(m, at, "play", "frame").select("play", "frame", "value")
-
-
 @query(f"""WITH {_CRPS}, {_ITV.replace(b.PMFS + ', ', '')}, n AS (SELECT cell, any_value(0) AS z, avg(ss / kk) AS crps, avg(hi - lo) AS width, avg(CASE WHEN i.y BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END) AS coverage
     FROM c JOIN itv i USING ("row", cell) GROUP BY cell) SELECT cell, {r('crps', 'play_crps')}, {r('width', 'play_width')}, {r('coverage', 'play_coverage')} FROM n""")
 def met12_distribution_row(spark, sf):
