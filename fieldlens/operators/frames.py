@@ -25,7 +25,8 @@ def discover_cutoffs(
     distinct frame; ``invalid_frame`` where ``valid`` (play, frame) lacks the cutoff frame (a later marker is not
     tried); else ``kept``.
     """
-    hits = rows.where(F.lower(F.col(marker)).isin(*names)).select(play, F.col(frame).alias("__f"), F.lower(F.col(marker)).alias("__e")).distinct()
+    hits = rows.where(F.lower(F.col(marker)).isin(*names)).select(play, F.col(frame).alias("__f"), F.lower(F.col(marker)).alias("__e"))
+    hits = hits.join(eligible.select(play), play, "left_semi").distinct()
     found = hits.groupBy(play).agg(F.countDistinct("__f").alias("n_frames"), F.min("__f").alias("cutoff"), F.collect_set(F.struct("__f", "__e")).alias("__all"))
     at_cutoff = F.filter("__all", lambda x: x["__f"] == F.col("cutoff"))
     found = found.withColumn("events", F.array_join(F.array_sort(F.array_distinct(F.transform(at_cutoff, lambda x: x["__e"]))), "+")).drop("__all")

@@ -53,14 +53,16 @@ def mirrored(rows: DataFrame, sample: DataFrame, key: str, y: str, angle: str, w
     return rows.withColumn(key, F.col(key).cast("string")).unionByName(copy)
 
 
-def pairs(rows: DataFrame, frame_keys: list[str], obj: str, left: Column, right: Column, columns: list[str]) -> DataFrame:
+def pairs(rows: DataFrame, frame_keys: list[str], obj: str, left: Column, right: Column, columns: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Ordered pairs of different objects within a frame, one from either role, with differences ``d_<column>`` and
-    the distance in the first two columns (JN-12, GEO-15). An equi-join on the frame: a frame's objects bound it."""
-    a = rows.where(left).select(*frame_keys, F.col(obj).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = rows.where(right).select(*frame_keys, F.col(obj).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    both = a.join(b, frame_keys).where("a <> b")
-    out = both.select(*frame_keys, "a", "b", *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in columns])
-    return out.withColumn("distance", F.sqrt(F.col(f"d_{columns[0]}") ** 2 + F.col(f"d_{columns[1]}") ** 2))
+    the distance in the first two columns; columns to ``carry`` come as ``a_<column>`` of the first object (JN-12, GEO-15). A frame's objects, a few dozen, meet in one row: one shuffle, no
+    self-join. Frames with a null key have no pairs."""
+    item = F.struct(F.col(obj).alias("o"), *columns, *carry)
+    known = rows.dropna(subset=frame_keys)
+    held = known.groupBy(*frame_keys).agg(F.collect_list(F.when(left, item)).alias("__l"), F.collect_list(F.when(right, item)).alias("__r"))
+    both = held.where((F.size("__l") > 0) & (F.size("__r") > 0)).withColumn("__a", F.explode("__l")).withColumn("__b", F.explode("__r"))
+    both = both.select(*frame_keys, F.col("__a.o").alias("a"), F.col("__b.o").alias("b"), *[(F.col(f"__a.{c}") - F.col(f"__b.{c}")).alias(f"d_{c}") for c in columns], *[F.col(f"__a.{c}").alias(f"a_{c}") for c in carry])
+    return both.where("a <> b").withColumn("distance", F.sqrt(F.col(f"d_{columns[0]}") ** 2 + F.col(f"d_{columns[1]}") ** 2))
 
 
 def pair_grid_summary(pairs_: DataFrame, play: str, columns: list[str]) -> DataFrame:

@@ -426,10 +426,9 @@ def feat8_raster(spark, sf):
   SELECT play, frame, obj, {r('sum(exp(-0.5::DOUBLE * (((cx * cos(h) + cy * sin(h)) / al) ** 2 + ((cy * cos(h) - cx * sin(h)) / ac) ** 2)) / (2 * pi() * al * ac))', 'influence')} FROM q GROUP BY ALL""")
 def feat11_influence(spark, sf):
     t = b.tracking(spark, sf)
-    p = geometry.pairs(t.withColumn("h", F.radians("dir")), ["play", "frame"], "obj", F.lit(True), F.lit(True), ["x", "y"])
-    own = t.select("play", "frame", F.col("obj").alias("a"), "s", F.radians("dir").alias("h"))
-    value = geometry.influence(-F.col("d_x"), -F.col("d_y"), F.col("s"), F.col("h"))
-    return rounded(p.join(own, ["play", "frame", "a"]).groupBy("play", "frame", F.col("a").alias("obj")).agg(F.sum(value).alias("influence")))
+    p = geometry.pairs(t.withColumn("h", F.radians("dir")), ["play", "frame"], "obj", F.lit(True), F.lit(True), ["x", "y"], ("s", "h"))
+    value = geometry.influence(-F.col("d_x"), -F.col("d_y"), F.col("a_s"), F.col("a_h"))
+    return rounded(p.groupBy("play", "frame", F.col("a").alias("obj")).agg(F.sum(value).alias("influence")))
 
 
 @query()

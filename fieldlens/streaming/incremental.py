@@ -24,13 +24,13 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def opportunity_events(frames: DataFrame, key: str, frame: str, p: str, threshold: float = 0.75, run: int = 5, idle: str | None = None) -> DataFrame:
+def opportunity_events(frames: DataFrame, key: str, frame: str, p: str, threshold: float = 0.75, run: int = 5, idle_ms: int | None = None) -> DataFrame:
     """``key, frame, event`` of a stream of scored frames (STR-2): ``open`` and ``miss`` as in
     automaton.opportunities(), and ``late`` for a frame that isn't after the last one seen, which is not used.
 
     The state of a key is that of its current run of equal kind: the kind, its length, whether an opportunity is open,
-    and the last frame. Keys without rows for ``idle`` (as "2 hours", processing time) are forgotten; without it they
-    are kept for ever.
+    and the last frame. Keys without rows for ``idle_ms`` milliseconds of processing time are forgotten; without it they
+    are kept for ever. A stream with ``idle_ms`` needs a trigger that goes on (not availableNow).
     """
     kind = dict(frames.dtypes)[key]
 
@@ -53,11 +53,11 @@ def opportunity_events(frames: DataFrame, key: str, frame: str, p: str, threshol
                 opened = high
                 out.append((k[0], int(at[lo]) + run - carried - 1, "open" if high else "miss"))
         state.update((high, length, opened, last))
-        if idle is not None:
-            state.setTimeoutDuration(idle)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, frame, "event"])
 
-    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return usable(frames, frame, p).groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, {frame} long, event string", "high boolean, length int, opened boolean, last long", "append", timeout
     )
