@@ -23,8 +23,9 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
-#: Records at most in one archive file and after one ARC version block; bytes of rows in one batch on the way.
-FILE_RECORDS, ARC_RECORDS = 2000, 500
+#: Records at most after one ARC version block or in one row of a WARC file; bytes beyond which a row ends; rows of a file.
+#: A file so holds FILE_ROWS * BATCH_BYTES bytes and one record more at most.
+ARC_RECORDS, FILE_ROWS = 500, 8
 BATCH_BYTES = 4 << 20
 
 
@@ -52,17 +53,17 @@ def _arc_records(date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             """One row: a version block and the records held, whole, so that files can be split between rows."""
             version = 1 + number % 2
             about = f"{version} 0 fieldlens\n{ARC_FIELDS[version]}\n"
-            out = [f"filedesc://pages.arc 0.0.0.0 {date} text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(about)}\n{about}"]
-            for url, head, html, digest, size in held:
-                more = f"200 {digest} - 0 pages.arc " if version == 2 else ""
-                out.append(f"{url} 0.0.0.0 {date} text/html {more}{len(head) + size}\n{head}{html}")
-            return pa.RecordBatch.from_arrays([pa.array(["\n".join(out)])], ["value"])
+            out = [f"filedesc://pages.arc 0.0.0.0 {date} text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(about)}\n{about}".encode()]
+            for url, head, body in held:
+                more = f"200 {base32_sha1(body)} - 0 pages.arc " if version == 2 else ""
+                out.append(f"{url} 0.0.0.0 {date} text/html {more}{len(head) + len(body)}\n".encode() + head + body)
+            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(out)], pa.binary())], ["value"])
 
         for b in batches:
-            for page, url, html in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                body = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
-                held.append((_plain(url), head, html or "", base32_sha1(body), len(body)))
+            for page, url, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                body = body or b""
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                held.append((_plain(url), head, body))
                 total += len(body)
                 if total > BATCH_BYTES or len(held) == ARC_RECORDS:
                     yield archive()
@@ -73,30 +74,46 @@ def _arc_records(date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _write(rows: DataFrame, path: str, separator: str) -> None:
+    """Rows of bytes as gzipped files: a string column carries any bytes into a text file unchanged."""
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+
+
 def write_arc(pages: DataFrame, path: str, date: str = "20250101000000") -> None:
-    """Gzipped ARC files under ``path``: a version block of version 1 or 2, then a record for every page."""
+    """Gzipped ARC files under ``path``: a version block of version 1 or 2, then a record for every page. html is a string or bytes."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(_arc_records(date), "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS // ARC_RECORDS).text(path)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("binary"))
+    _write(rows.mapInArrow(_arc_records(date), "value binary"), path, "\n")
 
 
-def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int]]:
+def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str] | None, bytes, int]]:
     """(header fields, block, offset) of each record. Every version block says which fields its successors have;
-    the declared length alone says where a block ends."""
+    the declared length alone says where a block ends. Blanks that are too many belong to the URL. A line that is no header gives
+    (None, the line, its offset); reading goes on with the next line."""
     fields, offset = ARC_FIELDS[1].split(), 0
     while line := stream.readline():
         start, offset = offset, offset + len(line)
         if not line.strip():
             continue
         parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
+        about = parts[0].startswith("filedesc:")
+        if not parts[-1].isascii() or not parts[-1].isdigit() or (len(parts) < len(fields) and not about):
+            yield None, line, start
+            continue
         block = stream.read(int(parts[-1]))
         offset += len(block)
-        if parts[0].startswith("filedesc:"):
-            fields = block.split(b"\n")[1].decode().split(" ")
-        elif len(parts) == len(fields):
-            yield dict(zip(fields, parts, strict=True)), block, start
+        if len(block) < int(parts[-1]):  # the file ends before the record does
+            yield None, line, start
+        elif about:
+            lines = block.split(b"\n")
+            named = lines[1].decode("utf-8", "replace").split() if len(lines) > 1 else []
+            if {"URL", "IP-address", "Archive-date"} <= set(named):
+                fields = named
+            else:
+                yield None, line, start
         else:
-            raise ValueError(f"an ARC header line of {len(parts)} fields where {len(fields)} are declared")
+            url = "%20".join(parts[: len(parts) - len(fields) + 1])
+            yield dict(zip(fields, [url, *parts[len(parts) - len(fields) + 1 :]], strict=True)), block, start
 
 
 def _http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
@@ -121,7 +138,15 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-_PARSED = pa.schema([(n, pa.string()) for n in ("record_id", "uri", "ip", "date", "http")] + [("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.string())])
+_PARSED = pa.schema(
+    [(n, pa.string()) for n in ("record_id", "uri", "ip", "date")] + [("http", pa.binary()), ("page_id", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+    + [("path", pa.string()), ("at", pa.int64()), ("problem", pa.string())]
+)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,37 +154,54 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for fields, block, offset in parse_arc(_open(content.as_py())):
+                    if fields is None:
+                        yield (*[None] * 9, path, offset, f"no ARC header line: {block[:200].decode('utf-8', 'replace').rstrip()}")
+                        continue
                     head, named, payload = _http(block)
                     page = named.get("X-Page-Id", "")
                     seed = "\n".join([fields["URL"], fields["Archive-date"], page, path.rsplit("/", 1)[-1], str(offset)])
                     yield (
                         str(uuid.UUID(bytes=hashlib.sha1(seed.encode()).digest()[:16], version=5)), fields["URL"], fields["IP-address"], warc_date(fields["Archive-date"]),
-                        head.decode(), int(page) if page else None, base32_sha1(payload), len(payload), payload.decode("utf-8", "replace"),
+                        head, int(page) if page.isascii() and page.isdigit() or page[1:].isdigit() and page[0] == "-" else None, base32_sha1(payload), len(payload), payload, path, offset, None,
                     )
 
-    yield from _batched(rows(), _PARSED, lambda r: r[7])
+    yield from _batched(rows(), _PARSED, lambda r: r[7] or 0)
 
 
 def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    info = "software: fieldlens\r\nformat: WARC File Format 1.1\r\n"
-    first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {warc_date('2025')}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}"
+    info = b"software: fieldlens\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {warc_date('2025')}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
+    out, total = [head.encode() + info], 0
+    written = False
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([RECORD_END.encode().join(out)], pa.binary())], ["value"])
+
     for b in batches:
-        out = [first] if first else []
-        first = ""
         for r in b.to_pylist():
             revisit = r["refers"] is not None
-            length = len(r["http"].encode()) + (0 if revisit else r["payload_bytes"])
-            out.append(
+            length = len(r["http"]) + (0 if revisit else r["payload_bytes"])
+            header = (
                 f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}\r\nWARC-Record-ID: <urn:uuid:{r['record_id']}>\r\nWARC-Date: {r['date']}\r\n"
                 f"WARC-Target-URI: {r['uri']}\r\nWARC-IP-Address: {r['ip']}\r\nWARC-Payload-Digest: sha1:{r['digest']}\r\n"
                 + (f"WARC-Refers-To: <urn:uuid:{r['refers']}>\r\nWARC-Profile: {REVISIT_PROFILE}\r\n" if revisit else "")
-                + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {length}\r\n\r\n{r['http']}{'' if revisit else r['payload']}"
+                + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {length}\r\n\r\n"
             )
-        yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+            out.append(header.encode() + r["http"] + (b"" if revisit else r["payload"]))
+            total += len(out[-1])
+            written = True
+            if total > BATCH_BYTES:
+                yield row()
+                out, total = [], 0
+    if out and written:
+        yield row()
+
 
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> DataFrame:
+    """Turn the ARC files under ``arc_path`` into gzipped WARC files under ``warc_path``; returns what couldn't be read as
+    ``path, at, problem`` (a line that is no header, a record that its file cuts off).
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
-    """Turn the ARC files under ``arc_path`` into gzipped WARC files under ``warc_path``.
+    Blocks are bytes from end to end: whatever a page's encoding, its payload and digest stay as they are.
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest X-Page-Id stays a
     response, the others become revisits of it without payload. The payload digest is computed from the block.
@@ -168,7 +210,8 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
-    parsed = cut(files.mapInArrow(_converted, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in _PARSED)), "arc")
+    read = cut(files.mapInArrow(_converted, _ddl(_PARSED)), "arc")
+    parsed = read.where("problem is null").drop("path", "at", "problem")
     last = F.max(F.struct("page_id", "record_id")).alias("last")
     kept = parsed.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), last).where("n > 1")
     kept = kept.select(F.col("digest").alias("k_digest"), F.col("payload_bytes").alias("k_bytes"), F.col("last.record_id").alias("k_id"))
@@ -176,8 +219,9 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
     links = parsed.select("record_id", "digest", "payload_bytes").join(kept, (F.col("digest") == F.col("k_digest")) & (F.col("payload_bytes") == F.col("k_bytes")))
     links = cut(links.where("record_id <> k_id").select(F.col("record_id").alias("r_id"), F.col("k_id").alias("refers")), "revisits")
     out = parsed.join(links, F.col("record_id") == F.col("r_id"), "left").drop("r_id")
-    lines = out.withColumn("payload", F.when(F.col("refers").isNull(), F.col("payload"))).mapInArrow(_warc_records, "value string")
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(warc_path)
+    lines = out.withColumn("payload", F.when(F.col("refers").isNull(), F.col("payload"))).mapInArrow(_warc_records, "value binary")
+    _write(lines, warc_path, RECORD_END)
+    return read.where("problem is not null").select("path", "at", "problem")
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -223,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes is the length that its HTTP header declares."""
     small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in _READ))
+    return files.mapInArrow(_read, _ddl(_READ))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

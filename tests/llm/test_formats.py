@@ -51,6 +51,25 @@ def test_arc_versions_and_lengths():
     assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.warc_date("2001") == "2001-01-01T00:00:00Z"
 
 
+def test_bytes_survive_and_bad_records_are_rows(spark, tmp_path):
+    page = b"caf\xe9 \xff\x00 \xe2\x82 latin-1\r\n\r\n"
+    df = spark.createDataFrame([(1, "http://a", bytearray(page)), (2, "http://b", bytearray(page)), (3, "http://c", bytearray(b"\x80" * 50))], "page_id long, url string, html binary")
+    warc.write_arc(df, f"{tmp_path}/arc")
+    about = "1 0 x\n" + warc.ARC_FIELDS[1] + "\n"
+    old = f"filedesc://a 0.0.0.0 2001 text/plain {len(about)}\n{about}\n".encode()
+    old += b"no header at all\nhttp://x/a b c 1.2.3.4 20010203040506 text/html 3\n\xff\xfeA\nhttp://y 1.2.3.4 2001 text/html 9999\ncut off"
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "old.arc").write_bytes(old)
+    bad = warc.convert_arc(spark, f"{tmp_path}/{{arc,old}}", f"{tmp_path}/warc").collect()
+    assert len(bad) == 2 and all(r.path.endswith("old.arc") for r in bad) and ["no header" in r.problem or "http://y" in r.problem for r in bad] == [True, True]
+    got = {(r.uri, r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, f"{tmp_path}/warc").collect()}
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    assert got == {
+        ("http://a", "revisit", len(page), sha(page)), ("http://b", "response", len(page), sha(page)), ("http://c", "response", 50, sha(b"\x80" * 50)),
+        ("http://x/a%20b%20c", "response", 0, sha(b"")),
+    }  # the old record has no HTTP header, so no payload
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
