@@ -332,10 +332,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     roots = cut(roots, "roots")
     spot = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "line_no")
     places = cut(may_be_in(lines.select("key", "doc_id", "line_no", "id"), F.col("id"), roots, "id").join(roots, "id").select("root", spot.alias("spot")), "places")
-    keep = places.groupBy("root").agg(F.min("spot").alias("keep"))
+    keep = cut(places.groupBy("root").agg(F.min("spot").alias("keep")), "keep")  # a table of its own, so that a hot root's join can be split
     drops = places.join(keep, "root").where("spot <> keep").groupBy("spot.key", "spot.doc_id").agg(F.array_sort(F.collect_set("spot.line_no")).alias("drops"))
     drops = cut(drops, "drops")
-    discard(nodes, lines, several, members, roots, places)
+    discard(nodes, lines, several, members, roots, places, keep)
     sent.destroy()
     return drops
 
