@@ -146,6 +146,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows with a null doc_id stay."""
-    gone = cut(contaminated(docs, items, words, percent).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
+    """``docs`` without the documents that contain an item; rows that share a contaminated document's doc_id go with it, rows
+    with a null doc_id stay. Columns of any name pass through; an empty table of either kind leaves docs as they are."""
+    gone = cut(contaminated(docs, items, words, percent).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

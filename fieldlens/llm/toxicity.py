@@ -214,6 +214,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; all columns are kept."""
-    plain = docs.withColumn("__text", F.col("text").cast("string")).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("__text").alias("text"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("text"))
     scored = score(plain, fit(docs, labels, max_train_rows)).where("__score < 0.5")
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

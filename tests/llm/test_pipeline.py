@@ -88,3 +88,19 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_cope_with_clashing_names_nulls_and_repeats(spark, tmp_path):
+    names = ["__text", "__gone", "__key", "__spot", "__bits", "row", "key", "drops", "set_id", "__score", "copies"]
+    line = "one line that several documents share, of some length"
+    texts = [line, line, None, "", "x" * 30_000 + " " + line, "\n".join([line, "another line of a fair length, told once"]), line]
+    rows = [(i, t, "en", None if i % 3 else "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)] + [(None, "text of no document id", None, "s", 1, *names)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{n}` string" for n in names))
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these words is in any document at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == (n if r.doc_id is None else f"{n}{r.doc_id}") for n in names), name
