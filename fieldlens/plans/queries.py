@@ -238,10 +238,10 @@ def win5_active_window(spark, sf):
 
 
 @query(f"""WITH {b.TRACKING}, d AS (SELECT a.play, a.frame, (a.x - c.x) ** 2 + (a.y - c.y) ** 2 AS d2 FROM tracking a JOIN tracking c USING (play, frame) WHERE a.offense AND NOT c.offense),
-  k AS (SELECT *, row_number() OVER (PARTITION BY play ORDER BY d2, frame) AS n FROM d) SELECT play, frame AS event_frame, {r('d2', 'd2', 7)} FROM k WHERE n = 1""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY play ORDER BY d2, frame) AS n FROM d) SELECT play, frame AS event_frame, {r('d2', 'd2', 5)} FROM k WHERE n = 1""")
 def win6_nearest_frame(spark, sf):
     t = b.tracking(spark, sf)
-    return rounded(frames.nearest_frame(t, "play", "frame", F.col("offense"), ~F.col("offense"), "x", "y"), 7)
+    return rounded(frames.nearest_frame(t, "play", "frame", F.col("offense"), ~F.col("offense"), "x", "y"), 5)
 
 
 @query(f"""WITH {b.TRACKING}, k AS (SELECT play, obj, min(CASE WHEN offense THEN 0 ELSE 1 END) AS o FROM tracking GROUP BY ALL)
