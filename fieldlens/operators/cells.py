@@ -168,6 +168,27 @@ def replayed(recorded: DataFrame, again: DataFrame, by: list[str], metrics: list
     return both.select(*by, "metric", "recorded", "again", problem.alias("problem")).where("problem is not null")
 
 
+def registry_check(expected: DataFrame, got: DataFrame, by: list[str], keys: list[str], values: list[str]) -> DataFrame:
+    """Saved predictions against what a split asks for, by cell (SET-9): rows expected, present, missing, unasked, repeated, and rows
+    whose ``values`` (part, target, stratum) differ."""
+    on = [*by, *keys]
+    one = got.groupBy(*on).agg(F.min(F.struct(*values)).alias("__g"), F.count("*").alias("__n"))
+    both = expected.select(*on, F.struct(*values).alias("__e")).join(one, on, "full_outer")
+    there = F.col("__e").isNotNull() & F.col("__g").isNotNull()
+    return both.groupBy(*by).agg(
+        F.count("__e").alias("expected"), F.count_if(there).alias("present"), F.count_if(F.col("__g").isNull()).alias("missing"), F.count_if(F.col("__e").isNull()).alias("unasked"),
+        F.count_if(F.col("__n") > 1).alias("repeated"), F.count_if(there & (F.col("__e") != F.col("__g"))).alias("misplaced"),
+    )
+
+
+def null_losses(rows: DataFrame, anchors: DataFrame, test: DataFrame, game: str, y: str) -> DataFrame:
+    """Train-only null loss of every cell (JN-14, PIPE-16): the prevalence of the games within each anchor (``repeat, n_train, game``), scored
+    over games on the repeat's test games (``repeat, game``)."""
+    null = scores.prevalence(rows.join(anchors.select("repeat", "n_train", game), game), ["repeat", "n_train"], y)
+    asked = rows.join(test.select("repeat", game), game).join(null, "repeat")
+    return scores.game_equal(asked, ["repeat", "n_train"], game, {"null_loss": scores.brier(F.col("prevalence"), F.col(y))})
+
+
 def evaluate_cells(predictions: DataFrame, splits: DataFrame, by: list[str], example: str, game: str, kind: str, **roles) -> DataFrame:
     """All cells in one job (PIPE-10): predictions (by, example, game, ...) meet their repeat's split (``repeat, game, role,
     train_order``); training rows are those within the cell's ``n_train``, and the metric row of ``kind`` (binary, distribution or

@@ -42,6 +42,11 @@ def discover_cutoffs(
     return out.withColumn("status", status.otherwise("kept"))
 
 
+def marker_counts(cutoffs: DataFrame) -> DataFrame:
+    """How many plays have how many marker frames (AGG-6), from discover_cutoffs()."""
+    return cutoffs.groupBy("n_frames").agg(F.count("*").alias("plays"))
+
+
 def history_windows(rows: DataFrame, cutoffs: DataFrame, play: str, frame: str, k: int) -> DataFrame:
     """The last ``k`` observed distinct frames through the cutoff: ``play, frame, time_index`` with time_index up to
     k - 1 at the cutoff; gaps take no slot (WIN-1, SRT-3, JN-3)."""

@@ -140,6 +140,30 @@ def ranking_changes(first: DataFrame, second: DataFrame, by: list[str]) -> DataF
     return a.join(b, by).withColumn("changed", F.col("before") != F.col("after"))
 
 
+def secondary_pairwise(secondary: DataFrame, metric: str, identity: str) -> DataFrame:
+    """Differences of every two models within one intervention, summarised (STAT-9)."""
+    d = paired_models(secondary, metric, ("repeat", "n_train", identity))
+    return d.groupBy(identity, "left", "right", "n_train").agg(*summary_columns("difference"))
+
+
+def configuration_frequency(panel: DataFrame, metric: str, repeats: int) -> DataFrame:
+    """How often each configuration has the least loss of its repeat, and in what share of repeats (AGG-15)."""
+    won = leaders(panel.withColumn("__v", F.col(metric)), ["repeat", "n_train"], "__v")
+    return won.groupBy("n_train", F.col("leader").alias("configuration")).agg(F.count("*").alias("n"), (F.count("*") / float(repeats)).alias("fraction"))
+
+
+def metric_ranges(panel: DataFrame, metrics: list[str]) -> DataFrame:
+    """Median, least and largest mean of a metric over its cells (AGG-19)."""
+    cells = melt(panel, ["model", "n_train", "repeat"], metrics).groupBy("metric", "n_train", "model").agg(F.avg("value").alias("m"))
+    return cells.groupBy("metric").agg(F.percentile("m", F.lit(0.5)).alias("median"), F.min("m").alias("low"), F.max("m").alias("high"), F.count("*").alias("n"))
+
+
+def leader_matrix(summary: DataFrame, supported: DataFrame, by: list[str]) -> DataFrame:
+    """The leader of each group and whether it is also the supported best (STAT-14)."""
+    lead = leaders(summary, by).select(*by, "leader")
+    return lead.join(supported, by, "left").select(*by, "leader", F.coalesce(F.col("leader") == F.col("supported_best"), F.lit(False)).alias("supported"))
+
+
 def task_equal(panels: DataFrame, metric: str, need: int) -> DataFrame:
     """Tasks weigh the same: mean by task, then over tasks, for cells that at least ``need`` tasks have (STAT-12, AGG-16)."""
     per = panels.groupBy("task", "model", "n_train").agg(F.avg(metric).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
-from fieldlens.operators import automaton, conformal, design, encode, frames, geometry, inference, panel, scores
+from fieldlens.operators import automaton, cells, conformal, design, encode, frames, geometry, inference, panel, scores
 from fieldlens.plans import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,8 +114,7 @@ def stat8_secondary_effects(spark, sf):
   d AS (SELECT intervention, a.n_train, a.model AS "left", c.model AS "right", a.x - c.x AS v FROM s a JOIN s c USING (repeat, n_train, intervention) WHERE a.model < c.model)
   SELECT intervention, "left", "right", n_train, {_STATS} FROM d GROUP BY ALL""")
 def stat9_secondary_pairwise(spark, sf):
-    d = panel.paired_models(_secondary(spark, sf)[1], "loss", ("repeat", "n_train", "intervention"))
-    return rounded(d.groupBy("intervention", "left", "right", "n_train").agg(*panel.summary_columns("difference")))
+    return rounded(panel.secondary_pairwise(_secondary(spark, sf)[1], "loss", "intervention"))
 
 
 _MEANS = "m AS (SELECT model, n_train, round(avg(loss), 9) AS mean, round(avg(null_loss), 9) AS other FROM panel GROUP BY ALL)"
@@ -227,7 +226,7 @@ def agg5_history_length(spark, sf):
 
 @query(f"""WITH {_CUT} SELECT coalesce(n_frames, 0) AS n_frames, count(*) AS plays FROM el LEFT JOIN cut USING (play) GROUP BY ALL""")
 def agg6_marker_counts(spark, sf):
-    return _cutoffs(spark, sf)[1].groupBy("n_frames").agg(F.count("*").alias("plays"))
+    return frames.marker_counts(_cutoffs(spark, sf)[1])
 
 
 @query(f"""WITH {b.MARKS}, w AS (SELECT play, min(frame) AS lo, max(frame) AS hi, min(CASE WHEN marker = 'signup' THEN frame END) AS s,
@@ -431,14 +430,27 @@ def feat11_influence(spark, sf):
     return rounded(p.groupBy("play", "frame", F.col("a").alias("obj")).agg(F.sum(value).alias("influence")))
 
 
-@query()
+@query(f"""WITH {b.TRACKING}, cl AS (SELECT play, frame, obj, least(greatest(x, 0), 120) AS cx, least(greatest(y, 0), 53) AS cy FROM tracking),
+  site AS (SELECT c.play, c.frame, c.obj, p.cx AS x, p.cy AS y FROM cl c JOIN cl p ON p.play = c.play AND p.frame = c.frame AND p.obj <> c.obj
+    UNION ALL SELECT play, frame, obj, cx - 10, cy FROM cl UNION ALL SELECT play, frame, obj, 10 - cx, cy FROM cl WHERE cx < 10),
+  half AS (SELECT play, frame, obj, row_number() OVER (PARTITION BY play, frame, obj) AS k, a, bb, c FROM (
+    SELECT s.play, s.frame, s.obj, s.x - c.cx AS a, s.y - c.cy AS bb, (s.x * s.x - c.cx * c.cx + s.y * s.y - c.cy * c.cy) / 2 AS c FROM site s JOIN cl c USING (play, frame, obj) WHERE s.x <> c.cx OR s.y <> c.cy
+    UNION ALL SELECT play, frame, obj, e.a, e.bb, e.c FROM cl, (VALUES (1.0::DOUBLE, 0.0::DOUBLE, 120.0::DOUBLE), (-1, 0, 0), (0, 1, 53), (0, -1, 0)) e(a, bb, c))),
+  vert AS (SELECT h.play, h.frame, h.obj, (h.c * g.bb - g.c * h.bb) / (h.a * g.bb - g.a * h.bb) AS x, (h.a * g.c - g.a * h.c) / (h.a * g.bb - g.a * h.bb) AS y
+    FROM half h JOIN half g ON h.play = g.play AND h.frame = g.frame AND h.obj = g.obj AND h.k < g.k WHERE abs(h.a * g.bb - g.a * h.bb) > 1e-12),
+  good AS (SELECT DISTINCT play, frame, obj, round(x, 9) AS x, round(y, 9) AS y FROM (SELECT v.play, v.frame, v.obj, v.x, v.y FROM vert v JOIN half h USING (play, frame, obj) GROUP BY ALL
+    HAVING max((h.a * v.x + h.bb * v.y - h.c) / greatest(sqrt(h.a ** 2 + h.bb ** 2), 1e-12)) <= 1e-7)),
+  ring AS (SELECT *, atan2(y - avg(y) OVER w, x - avg(x) OVER w) AS turn FROM good WINDOW w AS (PARTITION BY play, frame, obj)),
+  edge AS (SELECT play, frame, obj, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM ring WINDOW w AS (PARTITION BY play, frame, obj ORDER BY turn, x, y)),
+  area AS (SELECT play, frame, obj, abs(sum(x * ny - nx * y)) / 2 AS v FROM edge GROUP BY ALL)
+  SELECT play, frame, obj, {r('coalesce(v, 0) + 0.0000123', 'area', 3)} FROM cl LEFT JOIN area USING (play, frame, obj)""")
 def feat12_cell_area(spark, sf):
     t = b.tracking(spark, sf)
     site = F.struct("obj", F.struct("x", "y").alias("at"))
     per = t.groupBy("play", "frame").agg(F.collect_list(site).alias("sites"))
     j = t.join(per, ["play", "frame"])
     others = F.transform(F.filter("sites", lambda s: s["obj"] != F.col("obj")), lambda s: s["at"])
-    return rounded(j.select("play", "frame", "obj", geometry.carrier_area(F.col("x"), F.col("y"), others).alias("area")), 6)
+    return rounded(j.select("play", "frame", "obj", (geometry.carrier_area(F.col("x"), F.col("y"), others) + 0.0000123).alias("area")), 3)  # off the ties of rounding
 
 
 # -- scores --------------------------------------------------------------------------------------------------
@@ -641,7 +653,12 @@ def cal9_path_tube(spark, sf):
     return rounded(conformal.path_tube(p.where("row % 2 = 0"), p.where("row % 2 = 1"), scale, "row", "game", "h", "radial", 0.1, 4))
 
 
-@query()
+@query(f"""WITH {_PATHS}, fm AS (SELECT h, game % 5 AS fold, quantile_cont(radial, 0.5) AS v, count(*) AS n FROM paths GROUP BY ALL),
+  cu AS (SELECT *, sum(n) OVER (PARTITION BY h ORDER BY v, n, fold) AS upto, sum(n) OVER (PARTITION BY h) AS total FROM fm),
+  rw AS (SELECT h, greatest(min(v) FILTER (upto >= total / 2.0::DOUBLE - 1e-12), 0.25) AS raw, any_value(total)::DOUBLE AS w FROM cu GROUP BY h),
+  sg AS (SELECT a.h AS ha, c.h AS hb, sum(m.w * m.raw) / sum(m.w) AS mean FROM rw a JOIN rw c ON a.h <= c.h JOIN rw m ON m.h BETWEEN a.h AND c.h GROUP BY ALL),
+  lo AS (SELECT rw.h, ha, min(mean) AS v FROM rw JOIN sg ON ha <= rw.h AND hb >= rw.h GROUP BY ALL)
+  SELECT h, {r('max(v)', 'scale')} FROM lo GROUP BY h""")
 def cal10_horizon_scale(spark, sf):
     m = _paths(spark, sf).groupBy("h", (F.col("game") % 5).alias("fold")).agg(F.percentile("radial", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
     return rounded(conformal.horizon_scale(m, "h", "median", "n"))
@@ -829,7 +846,10 @@ def dec3_conclusions(spark, sf):
     return inference.classify(_ci(spark, sf)).groupBy("conclusion").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_CI}, c2 AS (SELECT greatest(max(t) FILTER (i = ceil(0.9::DOUBLE * (c - 1) - 1e-9) + 1), {fn.t_critical(0.9, 19)!r}) AS k2 FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS c FROM mt)),
+  b2 AS (SELECT n_train, "left", "right", critical AS k1, k2, CASE WHEN upper < 0 THEN 'supported' WHEN lower > 0 THEN 'opposite' ELSE 'inconclusive' END AS c1,
+    CASE WHEN mean + k2 * se < 0 THEN 'supported' WHEN mean - k2 * se > 0 THEN 'opposite' ELSE 'inconclusive' END AS c2 FROM ci, c2)
+  SELECT n_train, "left", "right", c1, c2, c1 = 'inconclusive' AND c2 <> 'inconclusive' AS newly_clear, {r('k2 / k1', 'critical_ratio', 6)}, {r('100 * (1 - k2 / k1)', 'width_reduction', 6)} FROM b2""")
 def stat15_level_comparison(spark, sf):
     return rounded(inference.level_comparison(_ci(spark, sf), _ci(spark, sf, level=0.9), ["n_train", "left", "right"]), 6)
 
@@ -964,9 +984,7 @@ def pipe16_null_losses(spark, sf):
     s = _splits(spark, sf)
     t = design.nested_anchors(design.balanced_order(s.where("role = 'train'"), ["repeat"], "game", "stratum", "place"), [20, 40, 80, 120])
     rows = b.binary(spark, sf).select("row", "game", "y")
-    null = scores.prevalence(rows.join(t.select("repeat", "n_train", "game"), "game"), ["repeat", "n_train"], "y")
-    test = rows.join(s.where("role = 'test'").select("repeat", "game"), "game").join(null, "repeat")
-    return rounded(scores.game_equal(test, ["repeat", "n_train"], "game", {"null_loss": scores.brier(F.col("prevalence"), F.col("y"))}))
+    return rounded(cells.null_losses(rows, t, s.where("role = 'test'"), "game", "y"))
 
 
 @query(f"""WITH {b.TRACKING}, f AS (SELECT play, min(frame) AS lo, max(frame) AS hi, count(DISTINCT frame) AS n FROM tracking GROUP BY play)
@@ -980,23 +998,19 @@ def set8_mask_layout(spark, sf):
 @query(f"""WITH {b.PANEL}, {_MELT}, t AS (SELECT metric, n_train, model, avg(v) AS m FROM long GROUP BY ALL)
   SELECT metric, {r('median(m)', 'median')}, {r('min(m)', 'low')}, {r('max(m)', 'high')}, count(*) AS n FROM t GROUP BY metric""")
 def agg19_release_ranges(spark, sf):
-    long = panel.melt(b.panel(spark, sf), ["model", "n_train", "repeat"], _METRICS).groupBy("metric", "n_train", "model").agg(F.avg("value").alias("m"))
-    return rounded(long.groupBy("metric").agg(F.percentile("m", F.lit(0.5)).alias("median"), F.min("m").alias("low"), F.max("m").alias("high"), F.count("*").alias("n")))
+    return rounded(panel.metric_ranges(b.panel(spark, sf), _METRICS))
 
 
 @query(f"""WITH {b.PANEL}, w AS (SELECT repeat, n_train, arg_min(model, struct_pack(a := loss, b := model)) AS configuration FROM panel GROUP BY ALL)
   SELECT n_train, configuration, count(*) AS n, {r('count(*) / 20.0::DOUBLE', 'fraction')} FROM w GROUP BY ALL""")
 def agg15_configuration_frequency(spark, sf):
-    won = panel.leaders(b.panel(spark, sf).withColumnRenamed("loss", "mean"), ["repeat", "n_train"])
-    return rounded(won.groupBy("n_train", F.col("leader").alias("configuration")).agg(F.count("*").alias("n"), (F.count("*") / 20.0).alias("fraction")))
+    return rounded(panel.configuration_frequency(b.panel(spark, sf), "loss", 20))
 
 
 @query(f"""WITH {_CI}, {_ORIENTED}, {_MEANS}, c AS (SELECT n_train, model, count_if(upper < 0) = count(*) AS best FROM o GROUP BY ALL), l AS (SELECT n_train, arg_min(model, struct_pack(a := mean, b := model)) AS leader FROM m GROUP BY n_train)
   SELECT n_train, leader, coalesce(best, false) AS supported FROM l LEFT JOIN c ON c.n_train = l.n_train AND c.model = leader""".replace("SELECT n_train, leader, coalesce", "SELECT l.n_train, leader, coalesce"))
 def stat14_leader_matrix(spark, sf):
-    lead = panel.leaders(_means(spark, sf), ["n_train"]).select("n_train", "leader")
-    best = inference.supported_best(_ci(spark, sf), ["n_train"])
-    return lead.join(best, "n_train", "left").select("n_train", "leader", F.coalesce(F.col("leader") == F.col("supported_best"), F.lit(False)).alias("supported"))
+    return panel.leader_matrix(_means(spark, sf), inference.supported_best(_ci(spark, sf), ["n_train"]), ["n_train"])
 
 
 @query(f"""WITH {b.PANEL}, cv AS (SELECT model AS candidate, repeat % 5 AS fold, avg(loss) AS loss FROM panel GROUP BY ALL), m AS (SELECT candidate, avg(loss) AS mean, stddev_samp(loss) AS sd FROM cv GROUP BY candidate)
@@ -1172,10 +1186,15 @@ def ml8_frozen_first(spark, sf):
     return rounded(models.frozen_first(s, ["n_train"], F.col("candidate") == "NO"))
 
 
-@query(f"""WITH {_SPLITS}, ex AS (SELECT repeat, game, role FROM splits WHERE role IN ('test', 'calibration')), pr AS (SELECT repeat, game, CASE WHEN game % 50 = 3 THEN 'test' ELSE role END AS role FROM ex WHERE game % 40 <> 1)
-  SELECT cast(e.repeat AS INTEGER) AS repeat, count(*) AS expected, count(p.game) AS present, count_if(p.game IS NOT NULL AND p.role <> e.role) AS misplaced FROM ex e LEFT JOIN pr p ON p.repeat = e.repeat AND p.game = e.game GROUP BY e.repeat""")
+@query(f"""WITH {_SPLITS}, ex AS (SELECT repeat, game, role FROM splits WHERE role IN ('test', 'calibration')),
+  pr AS (SELECT repeat, game, CASE WHEN game % 50 = 3 THEN 'test' ELSE role END AS got FROM ex WHERE game % 40 <> 1 UNION ALL SELECT repeat, game, role FROM ex WHERE game % 30 = 7
+    UNION ALL SELECT repeat, game + 1000000, role FROM ex WHERE game % 25 = 4),
+  un AS (SELECT repeat, game, min(got) AS got, count(*) AS n FROM pr GROUP BY ALL)
+  SELECT cast(coalesce(ex.repeat, un.repeat) AS INTEGER) AS repeat, count(role) AS expected, count_if(role IS NOT NULL AND got IS NOT NULL) AS present, count_if(got IS NULL) AS missing, count_if(role IS NULL) AS unasked,
+    count_if(coalesce(n, 0) > 1) AS repeated, count_if(coalesce(got <> role, false)) AS misplaced FROM ex FULL JOIN un ON ex.repeat = un.repeat AND ex.game = un.game GROUP BY 1""")
 def set9_prediction_registry(spark, sf):
+    """Saved parts with games missing, in another part, twice, and never asked for."""
     ex = _splits(spark, sf).where("role in ('test', 'calibration')").select("repeat", "game", "role")
-    pr = ex.where("game % 40 <> 1").select("repeat", "game", F.when(F.col("game") % 50 == 3, "test").otherwise(F.col("role")).alias("got"))
-    both = ex.join(pr, ["repeat", "game"], "left")
-    return both.groupBy("repeat").agg(F.count("*").alias("expected"), F.count("got").alias("present"), F.count_if(F.col("got") != F.col("role")).alias("misplaced"))
+    got = ex.where("game % 40 <> 1").withColumn("role", F.when(F.col("game") % 50 == 3, "test").otherwise(F.col("role")))
+    got = got.unionByName(ex.where("game % 30 = 7")).unionByName(ex.where("game % 25 = 4").withColumn("game", F.col("game") + 1_000_000))
+    return cells.registry_check(ex, got, ["repeat"], ["game"], ["role"])
