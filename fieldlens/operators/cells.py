@@ -53,10 +53,11 @@ def binary_metrics(
     """The complete row of binary metrics of every cell (MET-7 to MET-11): Brier and log loss raw and calibrated by
     Venn-Abers, their null, bias, reliability, entropy, imprecision, coverage and sizes of label-conditional sets, each over rows
     and over games. Sets come from raw probabilities, bins from calibrated ones of calibration rows. A cell without
-    training, calibration or test rows gives no row."""
-    pred = predictions.withColumn(p, F.least(F.greatest(F.col(p), F.lit(EDGE)), F.lit(1 - EDGE)))
+    training, calibration or test rows gives no row. Every metric reads the predictions and their fits, so both are persisted;
+    spark.catalog.clearCache() frees them."""
+    pred = predictions.withColumn(p, F.least(F.greatest(F.col(p), F.lit(EDGE)), F.lit(1 - EDGE))).persist()
     at = lambda name: pred.where(F.col(part) == name)
-    fitted = conformal.venn_abers(at("calibration"), at("calibration").unionByName(at("test")), by, p, y, precision)
+    fitted = conformal.venn_abers(at("calibration"), at("calibration").unionByName(at("test")), by, p, y, precision).persist()
     is_test = F.col(part) == "test"
     sets = conformal.label_sets(at("calibration"), fitted.where(is_test), by, game, row, p, y, alpha, seed)
     test = sets.join(scores.prevalence(at("train"), by, y).withColumnRenamed("prevalence", "null_probability"), by)

@@ -261,14 +261,17 @@ def set7_metric_replay(spark, sf):
     return rounded(cells.replayed(recorded, again, ["cell"], ["brier", "log_loss"], 1e-5), 6)
 
 
-@query(f"""WITH RECURSIVE {q._SPLITS}, {q._ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y, round(0.02::DOUBLE + 0.96::DOUBLE * (o_totalprice % 1000) / 1000, 6) AS p FROM orders),
+_FOUR = q._SPLITS.replace("range(1, 11)", "range(1, 5)")  # four repeats
+
+
+@query(f"""WITH RECURSIVE {_FOUR}, {q._ORDER}, bn AS (SELECT o_orderkey AS "row", o_custkey AS game, cast(o_orderstatus = 'F' AS INTEGER) AS y, round(0.02::DOUBLE + 0.96::DOUBLE * (o_totalprice % 1000) / 1000, 6) AS p FROM orders),
   nul AS (SELECT o.repeat, n_train, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS np FROM bn JOIN ord o USING (game), (SELECT unnest([40, 120]) AS n_train) WHERE train_order <= n_train GROUP BY ALL),
   ts AS (SELECT repeat, n_train, game, (p - y) ** 2 AS raw, (np - y) ** 2 AS nl FROM bn JOIN splits USING (game) JOIN nul USING (repeat) WHERE role = 'test')
   SELECT cast(repeat AS INTEGER) AS repeat, n_train, {r('avg(raw)', 'primary_loss')}, {r('avg(nl)', 'null_loss')}, {r('1 - avg(raw) / avg(nl)', 'skill')}, {r('any_value(g)', 'game_equal_loss')}
   FROM ts JOIN (SELECT repeat, n_train, avg(v) AS g FROM (SELECT repeat, n_train, game, avg(raw) AS v FROM ts GROUP BY ALL) GROUP BY ALL) USING (repeat, n_train) GROUP BY repeat, n_train""")
 def pipe10_evaluated_cells(spark, sf):
     """Predictions of every repeat and budget, evaluated on their own split in one job; the columns that SQL repeats."""
-    splits = q._splits(spark, sf)
+    splits = design.outer_splits(b.games(spark, sf), "game", "stratum", 4, q._ROLES, 11)
     order = design.balanced_order(splits.where("role = 'train'"), ["repeat"], "game", "stratum", "place").select("repeat", "game", "train_order")
     plan = splits.join(order, ["repeat", "game"], "left")
     rows = b.binary(spark, sf).select("row", "game", "y", "p").join(splits.where("role is not null").select("repeat", "game"), "game")
