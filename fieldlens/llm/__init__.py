@@ -1,2 +1,3 @@
 """Training-data operators: decontamination, toxicity, line dedup, language ID, exact search,
-secret scans, mixing, web archives, chat formatting and near-duplicate removal."""
+secret scans, mixing, web archives, chat formatting, near-duplicate removal, language-model scores, spelling variants
+and tokenizer alignment."""

@@ -149,4 +149,68 @@ reach(doc_id, root) AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op10_near_dedup": OP10, "op8_warc": OP8, "op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7}
+#: CRC-32 of a list of bytes; the table comes from the polynomial.
+_CRC_TABLE = "SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS tab"
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 bytes of a text of code points below U+0800."""
+    return f"flatten([CASE WHEN unicode(x) < 128 THEN [cast(unicode(x) AS BIGINT)] ELSE [cast(192 + (unicode(x) >> 6) AS BIGINT), cast(128 + (unicode(x) & 63) AS BIGINT)] END FOR x IN string_split({text}, '')])"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {_bytes(text)}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEVER = "n1 = 0 OR n2 = 0 OR n3 = 0 OR n4 = 0 OR 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1 <= 0 OR 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2 <= 0 OR 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3 <= 0"
+_DISCOUNTS = f"""CASE WHEN {_NEVER} THEN [0.0, 0.5, 1.0, 1.5]::DOUBLE[]
+  ELSE [0.0, 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3]::DOUBLE[] END"""
+
+OP11 = rf"""
+WITH tab AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_crc("coalesce(cast(doc_id AS VARCHAR), '')")} % 5 = 1 AS held_out,
+  list_append(regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+'), ' e') AS w FROM documents, tab),
+t AS (SELECT r, held_out, unnest(list_prepend(' b', w)[:-2]) AS c, unnest(w) AS w FROM d),
+big AS (SELECT c, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY ALL),
+ctx AS (SELECT c, sum(n) AS total, count(*) FILTER (n = 1) AS o, count(*) FILTER (n = 2) AS tw, count(*) FILTER (n > 2) AS mo FROM big GROUP BY c),
+uni AS (SELECT w, count(*) AS lefts, sum(n) AS said FROM big GROUP BY w),
+d2 AS (SELECT {_DISCOUNTS} AS db FROM (SELECT count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM big)),
+d1 AS (SELECT {_DISCOUNTS} AS du, ones, twos, more, tot, nv, ntok FROM (SELECT count(*) FILTER (lefts = 1) AS n1, count(*) FILTER (lefts = 2) AS n2,
+  count(*) FILTER (lefts = 3) AS n3, count(*) FILTER (lefts = 4) AS n4, count(*) FILTER (lefts = 1) AS ones, count(*) FILTER (lefts = 2) AS twos, count(*) FILTER (lefts > 2) AS more,
+  coalesce(sum(lefts), 0) AS tot, count(*) AS nv, coalesce(sum(said), 0) AS ntok FROM uni)),
+p1 AS (SELECT r, coalesce(u.said, 0) AS said, coalesce(b.n, 0) AS n, x.total, x.o, x.tw, x.mo, db, nv, ntok,
+  greatest(coalesce(lefts, 0) - du[least(coalesce(lefts, 0), 3) + 1], 0) / greatest(tot, 1)
+  + CASE WHEN tot > 0 THEN (du[2] * ones + du[3] * twos + du[4] * more) / tot ELSE 1 END / (nv + 1) AS p
+  FROM t LEFT JOIN uni u USING (w) LEFT JOIN big b USING (c, w) LEFT JOIN ctx x USING (c), d1, d2),
+p2 AS (SELECT r, said, log10((said + 0.5::DOUBLE) / (ntok + 0.5::DOUBLE * (nv + 1))) AS base, log10(CASE WHEN total > 0
+  THEN greatest(n - db[least(n, 3) + 1], 0) / total + (db[2] * o + db[3] * tw + db[4] * mo) / total * p ELSE p END) AS lp FROM p1),
+s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (said > 0) AS n_known, sum(base) AS base_score, sum(lp) AS score FROM p2 GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, cast((SELECT ntok FROM d1) AS BIGINT) AS train_tokens, base_score, score, 10 ** (-score / n_tokens) AS perplexity FROM d JOIN s USING (r)
+"""
+
+OP12 = rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, count(*) AS k
+  FROM (SELECT coalesce(cast(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS x FROM documents) WHERE length(x) >= 7 GROUP BY ALL),
+h AS (SELECT low, k, {_crc("concat(doc_id, ':', low)")} AS h FROM r, tab),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(low, 1, h % length(low)), substr(low, h % length(low) + 2)) ELSE low END AS word, k FROM h),
+v AS (SELECT word, cast(sum(k) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut_ AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+del AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS part FROM cut_),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM del a JOIN del b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM del a JOIN v b ON a.part = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM del a JOIN v b ON a.part = b.word),
+best AS (SELECT word, n, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+way(word, at_, more) AS (SELECT word, coalesce(form, word), form IS NOT NULL FROM f UNION ALL SELECT way.word, f.form, true FROM way JOIN f ON way.at_ = f.word WHERE more AND f.form IS NOT NULL),
+root AS (SELECT way.word, at_ AS root FROM way JOIN f ON f.word = at_ WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": OP1, "op5_topk": OP5, "op6_secret_scan": OP6, "op7_source_mix": OP7, "op8_warc": OP8, "op10_near_dedup": OP10,
+    "op11_ngrams": OP11, "op12_spelling": OP12,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm import chat, decontaminate, langid, line_dedup, mixing, near_dedup, secret_scan, topk, toxicity, warc
+from fieldlens.llm import alignment, chat, decontaminate, langid, line_dedup, mixing, near_dedup, ngrams, secret_scan, spelling, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.fold_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_line_dedup, op4_language, op5_topk, op6_secret_scan, op7_source_mix, op8_warc, op9_chat, op10_near_dedup)}
+    pairs = (op1_decontaminate, op3_line_dedup, op5_topk, op10_near_dedup, op12_spelling)
+    scores = (op2_toxicity, op4_language, op7_source_mix, op11_ngrams, op13_alignment)
+    return {f.__name__: f for f in (*pairs, *scores, op6_secret_scan, op8_warc, op9_chat)}
