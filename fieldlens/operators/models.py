@@ -39,10 +39,14 @@ def probability(model, df: DataFrame, x: list[str], name: str = "p") -> DataFram
     return out.withColumn(name, value).select(*df.columns, name)
 
 
-def choose(losses: DataFrame, folds: int) -> DataFrame:
-    """From ``candidate, fold, loss``: mean and deviation over folds, and which candidate is least, ties to the lowest
+def choose(losses: DataFrame, folds: int, by: list[str] | None = None) -> DataFrame:
+    """From ``candidate, fold, loss``: mean and deviation over folds, and which candidate is least (of each cell), ties to the lowest
     index; candidates without all folds don't count (SRT-7, ML-6)."""
-    per = losses.groupBy("candidate").agg(F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("sd"), F.count("*").alias("n")).where(F.col("n") == folds)
+    by = by or []
+    per = losses.groupBy(*by, "candidate").agg(F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("sd"), F.count("*").alias("n")).where(F.col("n") == folds)
+    if by:
+        least = per.groupBy(*by).agg(F.min(F.struct("mean", "candidate")).alias("b")).select(*by, F.col("b.candidate").alias("best"))
+        return per.join(least, by).withColumn("chosen", F.col("candidate") == F.col("best")).drop("best", "n")
     best = per.agg(F.min(F.struct("mean", "candidate")).alias("b")).select(F.col("b.candidate").alias("best"))
     return per.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("candidate") == F.col("best")).drop("best", "n")  # one row
 
