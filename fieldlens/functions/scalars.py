@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -217,21 +218,118 @@ def metric_scope(name: Column) -> tuple[Column, Column]:
     return base, scope
 
 
-def normal_quantile(p: float) -> float:
-    """Quantile of the standard normal by bisection on erf; for literals of reduced tables (FN-21)."""
-    lo, hi = -12.0, 12.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * (1 + math.erf(mid / math.sqrt(2))) < p else (lo, mid)
-    return (lo + hi) / 2
+def normal_tail(x: Column) -> Column:
+    """Share of the standard normal above x >= 0: a power series up to 2, above that the continued fraction of the tail (FN-21)."""
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
+    def series(v: Column) -> Column:
+        start = F.struct(v.alias("term"), v.alias("sum"))
+        more = lambda s, k: let(s["term"] * v * v / (2 * k + 1), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, more, lambda s: s["sum"])
 
-def t_critical(confidence: float, df: int, two_sided: bool = True) -> float:
-    """Student-t critical value by the Cornish-Fisher expansion of the normal quantile (FN-20)."""
-    z = normal_quantile(1 - (1 - confidence) / 2 if two_sided else confidence)
+    below = 0.5 - density * let(F.least(x, F.lit(2.0)), series)
+    rest = let(F.greatest(x, F.lit(2.0)), lambda v: v + F.aggregate(F.sequence(F.lit(100), F.lit(1)), F.lit(0.0), lambda r, k: k / (v + r)))
+    return F.when(x <= 2, below).otherwise(density / rest)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function, within 1e-14 (FN-21)."""
+    return let(z.cast("double"), lambda v: F.when(v >= 0, 1 - normal_tail(F.abs(v))).otherwise(normal_tail(F.abs(v))))
+
+
+def normal_quantiles(p: Column) -> Column:
+    """Standard normal quantile within 1e-11: a rational start and three Halley steps on the nearer tail; null outside (0, 1) (FN-21)."""
+
+    def upper(q: Column) -> Column:
+        t = F.sqrt(-2 * F.log(q))
+        x = F.greatest(t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t), F.lit(0.0))
+        for _ in range(3):
+            step = lambda v: let((q - normal_tail(v)) * math.sqrt(2 * math.pi) * F.exp(v * v / 2), lambda u: F.greatest(v - u / (1 + v * u / 2), F.lit(0.0)))
+            x = let(x, step)
+        return x
+
+    inside = (p > 0) & (p < 1)
+    return F.when(inside & (p < 0.5), -let(F.least(p, F.lit(0.5)), upper)).when(inside, let(F.least(1 - p, F.lit(0.5)), upper))
+
+
+def t_cdf(t: Column, df: Column) -> Column:
+    """Student's distribution function for whole degrees of freedom: the finite sum in the angle whose tangent is |t| / sqrt(df) (FN-20)."""
+
+    def inside(v: Column) -> Column:
+        n = df.cast("int")
+        c2, s = n / (n + v * v), F.abs(v) / F.sqrt(n + v * v)
+        odd = n % 2 == 1
+        terms = F.when(odd, (n - 3) / 2).otherwise((n - 2) / 2).cast("int")
+
+        def sums(c: Column) -> Column:
+            start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+            ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+            more = lambda a, k: let(F.when(k <= terms, a["term"] * c * ratio(k)).otherwise(0.0), lambda x: F.struct(x.alias("term"), (a["sum"] + x).alias("sum")))
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, more, lambda a: a["sum"])
+
+        whole = let(c2, sums)
+        angle = F.atan(F.abs(v) / F.sqrt(n))
+        both = F.when(odd, 2 / math.pi * (angle + F.when(n > 1, s * F.sqrt(c2) * whole).otherwise(0.0))).otherwise(s * whole)
+        return 0.5 + F.signum(v) * both / 2
+
+    return let(t.cast("double"), inside)
+
+
+def _expanded(z, df):
+    """Student quantile from the normal one, to the fourth order in 1 / df."""
     return (
         z
         + (z**3 + z) / (4 * df)
         + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
         + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+        + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * df**4)
     )
+
+
+#: Degrees of freedom up to which Student quantiles are exact; beyond, the expansion is within 1e-10 between 0.0005 and 0.9995.
+EXACT_DF = 300
+
+
+def t_quantiles(p: Column, df: Column) -> Column:
+    """Student quantile for whole degrees of freedom: up to EXACT_DF by bisection of t_cdf(), beyond by
+    the expansion; null outside (0, 1) (FN-20)."""
+
+    def exact(q: Column) -> Column:
+        # the upper half: x in [0, 1] stands for t = tan(x * pi / 2) * sqrt(df), so the bracket is finite
+        value = lambda x: t_cdf(F.tan(x * (math.pi / 2)) * F.sqrt(df), df)
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+        halved = lambda s, _: let((s["lo"] + s["hi"]) / 2, lambda m: F.when(value(m) < q, F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(53)), start, halved, lambda s: F.tan((s["lo"] + s["hi"]) / 2 * (math.pi / 2)) * F.sqrt(df))
+
+    upper = F.greatest(p, 1 - p)
+    found = F.when(p == 0.5, F.lit(0.0)).when(df <= EXACT_DF, let(upper, exact)).otherwise(let(normal_quantiles(upper), lambda z: _expanded(z, df)))
+    return F.when((p > 0) & (p < 1) & (df >= 1), F.when(p < 0.5, -found).otherwise(found))
+
+
+def normal_quantile(p: float) -> float:
+    """Quantile of the standard normal, for literals (FN-21)."""
+    return NormalDist().inv_cdf(p)
+
+
+def t_probability(t: float, df: int) -> float:
+    """t_cdf() of one number."""
+    c2, odd = df / (df + t * t), df % 2
+    total = term = 1.0
+    for k in range(1, (df - 3) // 2 + 1 if odd else (df - 2) // 2 + 1):
+        term *= c2 * (2 * k / (2 * k + 1) if odd else (2 * k - 1) / (2 * k))
+        total += term
+    sine = abs(t) / math.sqrt(df + t * t)
+    both = 2 / math.pi * (math.atan(abs(t) / math.sqrt(df)) + (sine * math.sqrt(c2) * total if df > 1 else 0.0)) if odd else sine * total
+    return 0.5 + math.copysign(both, t) / 2
+
+
+def t_critical(confidence: float, df: int, two_sided: bool = True) -> float:
+    """Student-t critical value (FN-20): the exact quantile up to EXACT_DF, beyond that its expansion."""
+    p = 1 - (1 - confidence) / 2 if two_sided else confidence
+    if df > EXACT_DF:
+        return _expanded(normal_quantile(p), df)
+    lo, hi = -1.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_probability(math.tan(mid * math.pi / 2) * math.sqrt(df), df) < p else (lo, mid)
+    return math.tan((lo + hi) / 2 * math.pi / 2) * math.sqrt(df)

@@ -7,12 +7,9 @@ n repeats each, some hundreds in all; draws (many) are distributed and meet that
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldlens.functions import scalars as fn
 
@@ -99,31 +96,19 @@ def jackknife_sd(values: Column) -> Column:
     return fn.let(fn.moments(values), less)
 
 
-def _normal(inverse: bool):
-    """Standard normal quantile or distribution function, for reduced tables. Built in a call, so that workers get
-    the function itself and need not import this package."""
-
-    def apply(x: pd.Series) -> pd.Series:
-        nd = NormalDist()
-        f = (lambda v: nd.inv_cdf(min(max(v, 1e-12), 1 - 1e-12))) if inverse else nd.cdf
-        return x.map(lambda v: None if v is None or v != v else f(v))
-
-    return F.pandas_udf(apply, T.DoubleType())
-
-
 def _bca(boot: DataFrame, ids: list[str], draws_count: int, level: float) -> DataFrame:
     """``observed, lower, upper`` from ``observed``, ``boot`` (sorted) and ``jack`` arrays: strict-less share clipped to half a
     draw, zero acceleration where its denominator vanishes, linear quantiles, the pair in order."""
     share = F.size(F.filter("boot", lambda x: x < F.col("observed"))) / F.lit(float(draws_count))
     share = F.least(F.greatest(share, F.lit(0.5 / draws_count)), F.lit(1 - 0.5 / draws_count))
-    boot = boot.withColumn("z0", _normal(True)(share))
+    boot = boot.withColumn("z0", fn.normal_quantiles(share))
     boot = boot.withColumn("jm", _mean("jack"))
     m = F.col("jm")
     d2, d3 = fn.total(F.transform("jack", lambda x: (m - x) * (m - x))), fn.total(F.transform("jack", lambda x: (m - x) * (m - x) * (m - x)))
     down = 6 * F.pow(d2, F.lit(1.5))
     boot = boot.withColumn("a", F.when(down > 2.220446049250313e-16, d3 / down).otherwise(0.0))
     for name, z in (("lo", fn.normal_quantile((1 - level) / 2)), ("hi", fn.normal_quantile(1 - (1 - level) / 2))):
-        boot = boot.withColumn(f"p_{name}", _normal(False)(F.col("z0") + (F.col("z0") + z) / (1 - F.col("a") * (F.col("z0") + z))))
+        boot = boot.withColumn(f"p_{name}", fn.normal_cdf(F.col("z0") + (F.col("z0") + z) / (1 - F.col("a") * (F.col("z0") + z))))
 
     def linear(p: str) -> Column:
         at = F.col(p) * (F.size("boot") - 1)

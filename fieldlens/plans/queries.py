@@ -803,11 +803,6 @@ def inf3_lower_bounds(spark, sf):
     return i.select("model", "n_train", (F.round("mean", 8) + 0.0).alias("mean"), (F.round("lower", 7) + 0.0).alias("lower"), "reaches")
 
 
-@query()
-def inf5_bca_sd(spark, sf):
-    return rounded(inference.bca_sd(b.panel(spark, sf), "loss", ["model", "n_train"], 20, 200, 42), 6)
-
-
 _ORIENTED = """o AS (SELECT n_train, "left" AS model, "right" AS other, lower, upper FROM ci UNION ALL SELECT n_train, "right", "left", -upper, -lower FROM ci)"""
 
 
@@ -1042,12 +1037,6 @@ def ml1_logistic(spark, sf):
     return rounded(out.groupBy("y").agg(F.count("*").alias("n"), F.avg(scores.brier(F.col("p"), F.col("y"))).alias("brier")), 4)
 
 
-@query()
-def inf6_bca_ratio(spark, sf):
-    p = b.panel(spark, sf)
-    return rounded(inference.bca_log_ratio(p, "loss", ["n_train"], 20, 200, 42), 6)
-
-
 # -- composed jobs -------------------------------------------------------------------------------------------
 
 

@@ -162,3 +162,22 @@ def test_boosted_thresholds_learn_the_residuals_of_a_distribution(spark):
     pmf = pmf.select("row", "x", "y", models.residual_pmf(F.concat("r", F.array(F.lit(0.0))), F.col("base")).alias("pmf")).collect()
     assert all(abs(sum(r.pmf) - 1) < 1e-9 and min(r.pmf) >= -1e-12 for r in pmf)
     assert sum(max(range(5), key=lambda k: r.pmf[k]) == r.y for r in pmf) > 280  # half of the labels are ties of two classes
+
+
+def test_distribution_functions_against_known_values(spark):
+    from pyspark.sql import functions as F
+
+    from fieldlens.functions import scalars as fn
+
+    exact = {(0.975, 1): 12.706204736174698, (0.975, 2): 4.302652729749462, (0.975, 10): 2.2281388519862735, (0.95, 19): 1.7291328115213698, (0.975, 100): 1.983971518523552}
+    rows = [(p, n) for p, n in exact] + [(0.025, 10), (0.5, 3), (0.3, 301), (0.0, 4), (1.0, 4), (0.4, 0)]
+    df = spark.createDataFrame(rows, "p double, n int").withColumn("q", fn.t_quantiles(F.col("p"), F.col("n"))).withColumn("back", fn.t_cdf(F.col("q"), F.col("n")))
+    got = {(r.p, r.n): r for r in df.collect()}
+    assert all(abs(got[k].q - v) < 1e-9 and abs(fn.t_critical(2 * k[0] - 1, k[1]) - v) < 1e-9 for k, v in exact.items())
+    assert abs(got[0.025, 10].q + exact[0.975, 10]) < 1e-9 and got[0.5, 3].q == 0
+    assert all(got[k].q is None for k in [(0.0, 4), (1.0, 4), (0.4, 0)])
+    assert all(abs(r.back - r.p) < 1e-10 for r in got.values() if r.q is not None)
+    z = [-8.0, -3.3, -2.0, -0.1, 0.0, 1.999, 2.0, 2.001, 4.5, 7.0]
+    for r in spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", fn.normal_cdf(F.col("z"))).withColumn("back", fn.normal_quantiles(F.col("p"))).collect():
+        assert abs(r.p / (0.5 * math.erfc(-r.z / math.sqrt(2))) - 1) < 1e-12
+        assert r.z > 4 or abs(r.back - r.z) < 1e-9
