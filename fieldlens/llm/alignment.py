@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
+import json
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,19 @@ STEP = 1 << 15
 ID_BITS = 24
 
 
+# Fixed value: how byte-level tokenizers of this kind split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @cache
 def byte_level(path: str):
-    """A: the tokenizer of a JSON file, and each id's bytes."""
+    """A: the encoding function of a tokenizer's JSON file, and each id's bytes.
+
+    Where the file only splits and merges, with merges in the order of their results' ids, its own vocabulary is handed to an
+    encoder that merges by id, which gives the same ids in a quarter of the time.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -52,7 +62,16 @@ def byte_level(path: str):
     entries = [b""] * (max(vocabulary.values()) + 1)
     for entry, k in vocabulary.items():
         entries[k] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-    return tokenizer, np.array(entries, object)
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    split, model = told["pre_tokenizer"] or {}, told["model"]
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if told["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and merged == sorted(merged) and not model.get("ignore_merges"):
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {entries[k]: k for entry, k in model["vocab"].items() if entry not in special}
+        encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return (lambda texts: [encode(t) for t in texts]), np.array(entries, object)
+    return (lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), np.array(entries, object)
 
 
 @cache
@@ -75,20 +94,29 @@ def _shown(path: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([len(e) for e in entries], np.int64), np.array([f"{k}," for k in range(len(entries))], object), np.array([f"{k}{'|' if kind == 'a' else ';'}" for k in range(len(entries))], object)
 
 
-def _encode(texts: list[str], path_a: str, path_b: str) -> tuple[list[int], list[list[int]], list[list[int]]]:
-    """Rows that both tokenizers give back byte by byte, and their ids."""
-    (a, bytes_a), (b, bytes_b) = byte_level(path_a), pieces(path_b)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and the offsets by text."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(ids), np.int64, at[-1]), at
+
+
+def _encode(texts: list[str], path_a: str, path_b: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Rows that both tokenizers give back byte by byte, and their ids with the offsets by text."""
+    (encode, bytes_a), (b, bytes_b) = byte_level(path_a), pieces(path_b)
     full = [k for k, t in enumerate(texts) if t]
-    ids_a = [e.ids for e in a.encode_batch_fast([" " + texts[k] for k in full], add_special_tokens=False)]
-    ids_b = b.encode([texts[k] for k in full], num_threads=1) if full else []
-    rows, keep_a, keep_b = [], [], []
-    for k, x, y in zip(full, ids_a, ids_b):
-        raw = (" " + texts[k]).encode()
-        if b"".join(bytes_a[x]) == raw and b"".join(bytes_b[y]) == raw:
-            rows.append(k)
-            keep_a.append(x)
-            keep_b.append(y)
-    return rows, keep_a, keep_b
+    raw = [" " + texts[k] for k in full]
+    both = []
+    for ids, entries in ((encode(raw), bytes_a), (b.encode([texts[k] for k in full], num_threads=1) if full else [], bytes_b)):
+        flat, at = _flat(ids)
+        parts = entries[flat]
+        both.append((flat, at, [b"".join(parts[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]))
+    good = np.array([x == y == r.encode() for x, y, r in zip(both[0][2], both[1][2], raw)], bool)
+
+    def kept(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(at)
+        return flat[np.repeat(good, sizes)], np.concatenate([[0], np.cumsum(sizes[good])])
+
+    return np.array(full, np.int64)[good], kept(*both[0][:2]), kept(*both[1][:2])
 
 
 def _spill(radix: np.ndarray, keys: np.ndarray, docs: np.ndarray, row_of: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -140,13 +168,10 @@ def _encoded(kind: pa.DataType, path_a: str, path_b: str, radixes: int, names: l
 
         for batch in batches:
             n = batch.num_rows
-            good, ids_a, ids_b = _encode(batch.column(2).to_pylist(), path_a, path_b)
-            good = np.array(good, np.int64)
+            good, (a, at_a), (b, at_b) = _encode(batch.column(2).to_pylist(), path_a, path_b)
             n_a, n_b, n_groups, digest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
             if len(good):
-                n_a[good], n_b[good] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-                a = np.fromiter((i for x in ids_a for i in x), np.int64, n_a.sum())
-                b = np.fromiter((i for x in ids_b for i in x), np.int64, n_b.sum())
+                n_a[good], n_b[good] = np.diff(at_a), np.diff(at_b)
                 end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
                 at = np.searchsorted(end_b, end_a)
                 common = np.flatnonzero(end_b[at] == end_a)  # the texts' ends are among them
