@@ -30,8 +30,9 @@ from fieldlens.llm._spark import cut, discard, small_batches
 FOLDER = "/opt/tokenizers"
 #: Links that a task gathers before it spills them as runs.
 HELD_LINKS = 1 << 22
-#: Text bytes a radix, radixes at most, and records of one unit of work.
-RADIX_BYTES, MOST_RADIXES, UNIT_RECORDS = 16 << 20, 1_024, 1 << 23
+#: Radixes of the B token, and records of one unit of work. A document contributes to a row of each radix, so their number doesn't follow the
+#: input: a radix with more records becomes several units.
+RADIXES, UNIT_RECORDS = 32, 1 << 23
 #: Pairs that a merge takes from a run at a time.
 STEP = 1 << 15
 #: Bits of a token id in a pair's key.
@@ -316,21 +317,19 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/byte_bpe_50k.json", path_b:
     small_batches(spark)
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("bytes")).first().bytes
-    radixes = min(MOST_RADIXES, max(1, math.ceil(size / RADIX_BYTES)))
     out = T.StructType().add("row", "long").add("doc_id", kind)
     for c in ("n_a", "n_b", "n_groups", "n_links"):
         out = out.add(c, "long")
     out = out.add("groups_sha256", "string").add("radix", "integer").add("records", "long").add("block", "binary")
     arrow_kind = pa.schema(own.select("doc_id").limit(0).toArrow().schema).field(0).type
-    encoded = cut(own.mapInArrow(_encoded(arrow_kind, path_a, path_b, radixes, out.names), out), "alignment")
+    encoded = cut(own.mapInArrow(_encoded(arrow_kind, path_a, path_b, RADIXES, out.names), out), "alignment")
 
     spilled = encoded.where(F.col("radix").isNotNull()).select("radix", "records", "block")
     parts = spilled.groupBy("radix").agg(F.ceil(F.sum("records") / UNIT_RECORDS).cast("int").alias("parts"))
-    dealt = spilled.join(F.broadcast(parts), "radix").select("radix", F.pmod(F.xxhash64("block"), "parts").cast("int").alias("part"), "block")  # MOST_RADIXES rows
+    dealt = spilled.join(F.broadcast(parts), "radix").select("radix", F.pmod(F.xxhash64("block"), "parts").cast("int").alias("part"), "block")  # RADIXES rows
     in_units = dealt.repartition("radix", "part").sortWithinPartitions("radix", "part")
     counts = in_units.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    radix = F.pmod(F.shiftright(F.shiftright("key", ID_BITS) * F.lit(0x9E3779B1), 7), F.lit(radixes)).cast("int")
+    radix = F.pmod(F.shiftright(F.shiftright("key", ID_BITS) * F.lit(0x9E3779B1), 7), F.lit(RADIXES)).cast("int")
     answers = counts.select(radix.alias("radix"), "key", "n").repartition("radix").sortWithinPartitions("radix").mapInArrow(_answers, "radix int, block binary")
     answers = cut(answers, "alignment-counts")
     asked = answers.join(F.broadcast(parts), "radix").select("radix", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_run"), "block")

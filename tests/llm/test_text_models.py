@@ -261,7 +261,7 @@ def test_alignment_is_that_of_the_plain_version(spark):
 
 def test_alignment_by_many_radixes_runs_and_units(spark, monkeypatch):
     docs = texts(300)
-    monkeypatch.setattr(alignment, "RADIX_BYTES", 2_000)
+    monkeypatch.setattr(alignment, "RADIXES", 7)
     monkeypatch.setattr(alignment, "UNIT_RECORDS", 50)
     monkeypatch.setattr(alignment, "HELD_LINKS", 300)
     monkeypatch.setattr(alignment, "STEP", 4)
