@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.operators import contract
+
 
 def outcome_label(df: DataFrame, outcome: str, eligible: list[str], positive: str) -> DataFrame:
     """Rows with an eligible outcome and ``label``: 1 where it is the positive one (PRJ-1, PRJ-3, PRJ-7)."""
@@ -17,6 +19,14 @@ def made_missed(df: DataFrame, made: Column, missed: Column) -> DataFrame:
     return df.withColumn("label", label).where("label is not null")
 
 
+def candidate_labels(df: DataFrame, keys: list[str], made: Column, missed: Column) -> tuple[DataFrame, DataFrame]:
+    """made_missed() by candidate, and the violations (rule, key) of candidates with several records (PRJ-4): repeated. Those have no
+    label: of the labels only candidates with one record are returned."""
+    wrong = contract.repeated(df, keys)
+    once = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n = 1").drop("__n")
+    return made_missed(df.join(once, keys, "left_semi"), made, missed), wrong
+
+
 def no_penalty(foul: Column, nullified: Column) -> Column:
     """Foul null, empty or NA, and the play not nullified; a null flag counts as not nullified (PRJ-5)."""
     return (foul.isNull() | F.trim(foul).isin("", "NA")) & (F.coalesce(F.upper(F.trim(nullified)), F.lit("")) != "Y")

@@ -87,6 +87,50 @@ def clustered_intervals(calibration: DataFrame, test: DataFrame, by: list[str],
     return out.withColumn("width", F.col("upper") - F.col("lower")).withColumn("hit", F.col(y).between(F.col("lower"), F.col("upper")))
 
 
+def calibration_registry(rows: DataFrame, repeat: list[str], game: str, row: str, seed: int) -> DataFrame:
+    """One calibration row for each repeat and game, whatever the model: that of the smallest digest among the rows of any model (CAL-6, WIN-19).
+    Write it once (sources.weekly.written_once) and let every cell of the repeat join it."""
+    return smallest_digest(rows.select(*repeat, game, row).distinct(), repeat, game, row, seed)
+
+
+def registry_mismatches(rows: DataFrame, registry: DataFrame, repeat: list[str], model: list[str], game: str, row: str) -> DataFrame:
+    """Cells that don't have exactly the registry's games and rows, and so can't be paired: ``repeat, model, missing, beside, first`` (games that
+    the cell lacks, or lacks the registered row of; games that the registry lacks; the least of either)."""
+    cells = rows.select(*repeat, *model).distinct()
+    wanted = cells.join(registry.select(*repeat, game, row), repeat)
+    on = [*repeat, *model, game]
+    lacking = wanted.join(rows.select(*on, row).distinct(), [*on, row], "left_anti").select(*on, F.lit(1).alias("missing"), F.lit(0).alias("beside"))
+    beside = rows.select(*on).distinct().join(registry.select(*repeat, game), [*repeat, game], "left_anti").select(*on, F.lit(0).alias("missing"), F.lit(1).alias("beside"))
+    return lacking.unionByName(beside).groupBy(*repeat, *model).agg(F.sum("missing").alias("missing"), F.sum("beside").alias("beside"), F.min(game).alias("first"))
+
+
+def registered_intervals(
+    calibration: DataFrame, test: DataFrame, registry: DataFrame, repeat: list[str], model: list[str], game: str, row: str, lo: str, hi: str, y: str, classes: int, alpha: float
+) -> DataFrame:
+    """Test rows with ``lower, upper, width, hit, fallback``: central intervals of every cell padded by the split-conformal quantile of the registry's rows,
+    which are the same for all models of a repeat (CAL-6). ``fallback``: there are too few games for the quantile, so the whole support stands."""
+    by = [*repeat, *model]
+    drawn = calibration.join(registry.select(*repeat, game, row), [*repeat, game, row], "left_semi").withColumn("__s", interval_score(F.col(lo), F.col(hi), F.col(y)))
+    q = split_quantile(drawn, by, "__s", alpha, float(classes)).select(*by, "quantile", (F.col("rank") > F.col("n_cal")).alias("fallback"))
+    out = test.join(q, by)
+    lower, upper = F.greatest(F.lit(0), F.col(lo) - F.ceil("quantile")), F.least(F.lit(classes - 1), F.col(hi) + F.ceil("quantile"))
+    out = out.withColumn("lower", lower.cast("long")).withColumn("upper", upper.cast("long")).drop("quantile")
+    return out.withColumn("width", F.col("upper") - F.col("lower")).withColumn("hit", F.col(y).between(F.col("lower"), F.col("upper")))
+
+
+def cluster_summary(intervals: DataFrame, repeat: list[str], model: list[str], game: str) -> DataFrame:
+    """By model over the repeats: mean, deviation, tenth and ninetieth percentile of a cell's coverage and width, which weigh games equally, and the
+    cells that fell back (AGG-20): ``model, metric, cells, mean, sd, p10, p90, fallbacks``."""
+    by = [*repeat, *model]
+    per_game = intervals.groupBy(*by, game).agg(F.avg(F.col("hit").cast("double")).alias("coverage"), F.avg("width").alias("width"), F.bool_or("fallback").alias("fallback"))
+    cell = per_game.groupBy(*by).agg(F.avg("coverage").alias("coverage"), F.avg("width").alias("width"), F.bool_or("fallback").alias("fallback"))
+    long = cell.select(*by, "fallback", F.explode(F.create_map(F.lit("coverage"), F.col("coverage"), F.lit("width"), F.col("width"))).alias("metric", "v"))
+    quantile = lambda q: F.percentile("v", F.lit(q))
+    return long.groupBy(*model, "metric").agg(
+        F.count("*").alias("cells"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), quantile(0.1).alias("p10"), quantile(0.9).alias("p90"), F.count_if("fallback").alias("fallbacks")
+    )
+
+
 def label_sets(calibration: DataFrame, test: DataFrame, by: list[str], game: str, row: str, p: str, y: str, alpha: float, seed: int) -> DataFrame:
     """Label-conditional sets of a binary label: ``in0, in1, set_size`` (CAL-7). The score of a label is one minus
     its probability; each label has its own quantile, over one row per game that has the label."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.operators import contract
+
 
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key, the first in ``order``; null keys compare equal (WIN-3)."""
@@ -67,7 +69,7 @@ def history_length(windows: DataFrame, play: str, k: int) -> DataFrame:
 
 def active_window(rows: DataFrame, play: str, frame: str, marker: str, start: list[str], stop: list[str], delay: int) -> DataFrame:
     """``play, start_frame, end_frame, n_start``: from the start marker plus ``delay`` to the earliest stop marker,
-    defaulting to the play's first and last frame (WIN-5). n_start over 1 is the caller's error."""
+    defaulting to the play's first and last frame (WIN-5). marker_violations() names plays with n_start over 1."""
     name = F.lower(F.col(marker))
     agg = rows.groupBy(play).agg(
         F.min(frame).alias("__lo"), F.max(frame).alias("__hi"), F.min(F.when(name.isin(*start), F.col(frame))).alias("__s"),
@@ -76,6 +78,12 @@ def active_window(rows: DataFrame, play: str, frame: str, marker: str, start: li
     return agg.select(play, F.coalesce(F.col("__s") + delay, F.col("__lo")).alias("start_frame"), F.coalesce("__e", "__hi").alias("end_frame"), "n_start")
 
 
+def marker_violations(rows: DataFrame, play: str, frame: str, marker: str, groups: dict[str, list[str]]) -> DataFrame:
+    """``rule, key`` of plays that have a kind of marker at several frames (WIN-5), one rule for each of ``groups``."""
+    name = F.lower(F.col(marker))
+    return contract.broken_groups(rows, [play], {rule: F.countDistinct(F.when(name.isin(*names), F.col(frame))) > 1 for rule, names in groups.items()})
+
+
 def nearest_frame(rows: DataFrame, play: str, frame: str, left: Column, right: Column, x: str, y: str) -> DataFrame:
     """The first frame at which two objects of a play are nearest: ``play, event_frame, d2`` (WIN-6, JN-8).
     ``left`` and ``right`` select the rows of either object."""

@@ -157,9 +157,11 @@ def cell_area(x: Column, y: Column, sites: Column, box: tuple[float, float] = (1
 
         return F.when(F.size(poly) == 0, poly).otherwise(F.flatten(F.transform(edges, cut)))
 
-    poly = F.aggregate(sites, start, clip)
-    ring = F.concat(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.slice(poly, 1, 1))
-    return F.abs(fn.total(F.zip_with(poly, ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2
+    def area(poly: Column) -> Column:
+        ring = F.concat(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.slice(poly, 1, 1))
+        return F.abs(fn.total(F.zip_with(poly, ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2
+
+    return fn.let(F.aggregate(sites, start, clip), area)  # bound, so that the fold runs once
 
 
 def carrier_area(x: Column, y: Column, others: Column, trail: float = 10.0, box: tuple[float, float] = (120.0, 53.0)) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.operators import contract
+
 #: Quantiles of a summary by name.
 QUANTILES = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
 
@@ -100,9 +102,21 @@ def difference_in_changes(panel: DataFrame, metric: str, start: int, end: int) -
     return paired_models(changes, "change", ("repeat",)).groupBy("left", "right").agg(*summary_columns("difference"))
 
 
-def secondary_effects(primary: DataFrame, secondary: DataFrame, metric: str, identity: str) -> DataFrame:
-    """Secondary minus primary within (repeat, model, n_train), summarised by intervention (STAT-8, JN-16)."""
+def secondary_violations(primary: DataFrame, secondary: DataFrame, identity: str) -> DataFrame:
+    """``identity, rule, key`` of the cells that an intervention and the primary panel don't have exactly once each (JN-16)."""
+    on = ["repeat", "model", "n_train"]
+    every = secondary.select(identity).distinct()
+    full = primary.select(*on).crossJoin(F.broadcast(every))  # a few interventions
+    wrong = contract.not_one_to_one(full, secondary, [identity, *on])
+    return wrong.select(F.element_at(F.split("key", ":"), 1).alias(identity), F.regexp_replace("rule", "right", "secondary").alias("rule"), "key")
+
+
+def secondary_effects(primary: DataFrame, secondary: DataFrame, metric: str, identity: str, strict: bool = False) -> DataFrame:
+    """Secondary minus primary within (repeat, model, n_train), summarised by intervention (STAT-8, JN-16). ``strict``: cells that aren't
+    paired one to one are an error; else they are left out, and secondary_violations() names them."""
     on = ["repeat", "model", "n_train"]
+    if strict:
+        contract.enforce(secondary_violations(primary, secondary, identity))
     both = secondary.select(*on, identity, F.col(metric).alias("__s")).join(primary.select(*on, F.col(metric).alias("__p")), on)
     both = both.withColumn("difference", F.col("__s") - F.col("__p"))
     return both.groupBy(identity, "model", "n_train").agg(*summary_columns("difference"))

@@ -20,7 +20,7 @@ POSITIONS = {
     "K": "special", "P": "special", "LS": "special",
 }
 GROUPS = ["qb", "rb", "wr", "te", "ol", "dl", "lb", "db", "special", "other"]
-TEAM_COLUMNS = ["possessionTeam", "defensiveTeam", "kickingTeam", "returnTeam", "homeTeamAbbr", "visitorTeamAbbr", "club"]
+TEAM_COLUMNS = ["possessionTeam", "defensiveTeam", "kickingTeam", "returnTeam", "homeTeamAbbr", "visitorTeamAbbr", "club", "team"]
 
 
 # -- enrichment ----------------------------------------------------------------------------------------------

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Header jobs at a time.
+HEADER_JOBS = 8
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str]) -> DataFrame:
     """CSV with a header under an explicit schema (SRC-1): columns are taken by name from the header of their own file,
     required ones must be in every file, optional ones that are missing become typed nulls. ``NA`` and empty are null;
-    any other text that isn't of a column's type is an error when it is read. Files are grouped by header (one line of
-    each is read for that), so files whose columns are ordered otherwise mix.
+    any other text that isn't of a column's type is an error when it is read. Files are grouped by header, so files whose columns
+    are ordered otherwise mix; for that the first block of each file is opened, by some jobs at a time of one task each that stops
+    after a line.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
-    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
-    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # one row for each distinct header
-    parts = [_one_header(spark, [f for f in g.files], schema, required) for g in groups]
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        files = _files(spark, path)
+        heads = list(pool.map(lambda f: spark.read.text(f).limit(1).collect(), files))
+    groups: dict[str, list[str]] = {}
+    for f, head in zip(files, heads):
+        if head:
+            groups.setdefault(head[0].value, []).append(f)
+    parts = [_one_header(spark, own, schema, required) for _, own in sorted(groups.items())]
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -25,6 +35,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, r
     return out
 
 
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files under a path or paths, by name; their content isn't read."""
+    return [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+
+
 def _one_header(spark: SparkSession, files: list[str], schema: T.StructType, required: list[str]) -> DataFrame:
     head = spark.read.option("header", True).csv(files)
     if missing := [c for c in required if c not in head.columns]:
