@@ -73,6 +73,12 @@ def yards_from_own_goal(yard_line: Column, own_side: Column, middle: int = 50, l
     return F.when(yard_line == middle, F.lit(middle)).when(own_side, yard_line).otherwise(F.lit(length) - yard_line)
 
 
+def score_columns(home_offense: Column, home: Column, visitor: Column) -> tuple[Column, Column, Column]:
+    """The offense's score, the defense's, and how far the offense leads (FN-9)."""
+    offense, defense = F.when(home_offense, home).otherwise(visitor), F.when(home_offense, visitor).otherwise(home)
+    return offense, defense, offense - defense
+
+
 # -- probability vectors -------------------------------------------------------------------------------------
 
 

@@ -132,6 +132,18 @@ def folds(games: DataFrame, game: str, stratum: str, k: int, seed: int) -> DataF
     return r.withColumn("fold", fold).select(*games.columns, "fold")
 
 
+def validation_sample(games: DataFrame, by: list[str], game: str, stratum: str, fraction: float, seed: int) -> DataFrame:
+    """Adds ``validation`` to each cell's training games (DES-12): ceil(fraction * games) of them, one at least and one less than all at most, over the strata by
+    largest remainders, within a stratum by rank. Games are whole: rows follow their game. A cell with one game has none."""
+    once = games.select(*by, game, stratum).distinct()
+    caps = once.groupBy(*by, stratum).agg(F.count("*").alias("__capacity"))
+    whole = F.sum("__capacity").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
+    want = F.least(F.greatest(F.ceil(whole * F.lit(fraction) - 1e-9), F.lit(1)), whole - 1)
+    plan = largest_remainder(caps.withColumn("__want", want), by, stratum, "__capacity", F.col("__want")).select(*by, stratum, "allocation")
+    place = ranked(once, [*by, stratum], game, "validation", seed, "__place").join(plan, [*by, stratum])
+    return place.withColumn("validation", F.col("__place") <= F.col("allocation")).select(*by, game, stratum, "validation")
+
+
 def cells(repeats: int, models: list[str], anchors: list[int], spark) -> DataFrame:
     """The grid repeat x model x n_train (DES-13)."""
     base = spark.range(1, repeats + 1).select(F.col("id").cast("int").alias("repeat"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
@@ -51,6 +51,22 @@ def masked_scaler(tokens: DataFrame, by: list[str], train: Column, columns: list
     return (t.groupBy(*by) if by else t).agg(F.count("*").alias("n"), *[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"))])
 
 
+def raster_scaler(raster: DataFrame, by: list[str], train: Column, channels: list[str], frames: Column, grid: tuple[int, int]) -> DataFrame:
+    """Mean and population deviation of each channel over the occupied cells of the training rasters (ENC-5), ``n`` of them, and ``fill``: their share of all
+    cells of the training frames, told by ``frames`` (an aggregate). Rasters are sparse: empty cells are no rows."""
+    moments = masked_scaler(raster, by, train, channels)
+    t = raster.where(train)
+    share = (t.groupBy(*by) if by else t).agg((F.count("*") / (frames * F.lit(grid[0] * grid[1]))).alias("fill"))
+    return moments.join(share, by) if by else moments.crossJoin(F.broadcast(share))  # one row
+
+
+def scaled_raster(raster: DataFrame, scaler: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
+    """Occupied cells with scaled channels ``z_<channel>``; deviations of 1e-8 or less count as 1. Empty cells stay 0, which is no row (ENC-5)."""
+    both = raster.join(scaler, by) if by else raster.crossJoin(F.broadcast(scaler))  # one row
+    scale = lambda c: F.when(F.col(f"{c}_sd") > 1e-8, F.col(f"{c}_sd")).otherwise(1.0)
+    return both.select(*raster.columns, *[((F.col(c) - F.col(f"{c}_mean")) / scale(c)).alias(f"z_{c}") for c in channels])
+
+
 def threshold_rows(df: DataFrame, key: str, cdf: str, classes: int) -> DataFrame:
     """Each row once for every threshold k < K - 1 with t = k / (K - 1), its root and square, and the baseline cdf there
     (ENC-8)."""
@@ -94,8 +110,3 @@ def linear_score(df: DataFrame, beta: DataFrame, by: list[str], x: list[str]) ->
     """Adds ``prediction`` from a cell's coefficients (ML-9)."""
     terms = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in x])
     return df.join(beta, by).withColumn("prediction", fn.total(F.zip_with(terms, "beta", lambda a, b: a * b))).drop("beta")
-
-
-def first_of_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

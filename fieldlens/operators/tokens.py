@@ -270,17 +270,22 @@ def combined(context: DataFrame, summaries: list[DataFrame], example: str, keep_
 # -- handoff snapshots ---------------------------------------------------------------------------------------
 
 
-def handoff_geometry(rows: DataFrame, offense: Column, early: Column, x: str, y: str, speed: str, step: str, heading: str, left: Column, unit: bool = False) -> DataFrame:
+def handoff_geometry(rows: DataFrame, offense: Column, early: Column, x: str, y: str, speed: str, step: str, heading: str, left: Column, unit: bool = False, facing: str | None = None) -> DataFrame:
     """Adds ``x_std, y_std, speed_std, dir_std, sx, sy`` (GEO-4): left plays turned, the early season's speed from its steps (ten a
     second), direction in radians from the x axis; a missing one is 0 for the offense and pi for the defense. With ``unit`` also ``dir_cos,
-    dir_sin`` (GEO-5)."""
+    dir_sin``, and from ``facing`` ``face_cos, face_sin``, which are 0 where it is missing (GEO-5)."""
     px, py = geometry.rotate_left(F.col(x).cast("double"), F.col(y).cast("double"), left)
     turn = F.radians(F.pmod(90.0 - F.col(heading), F.lit(360.0)))
     turn = F.when(left, F.pmod(turn + math.pi, F.lit(2 * math.pi))).otherwise(turn)
     turn = F.coalesce(turn, F.when(offense, 0.0).otherwise(math.pi))
     v = F.when(early, 10 * F.col(step)).otherwise(F.col(speed)).cast("double")
     out = rows.withColumns({"x_std": px, "y_std": py, "speed_std": v, "dir_std": turn}).withColumns({"sx": F.col("speed_std") * F.cos("dir_std"), "sy": F.col("speed_std") * F.sin("dir_std")})
-    return out.withColumns({"dir_cos": F.cos("dir_std"), "dir_sin": F.sin("dir_std")}) if unit else out
+    if unit:
+        out = out.withColumns({"dir_cos": F.cos("dir_std"), "dir_sin": F.sin("dir_std")})
+    if facing:
+        sine, cosine = fn.angle_components(F.col(facing), left)
+        out = out.withColumns({"face_cos": cosine, "face_sin": sine})
+    return out
 
 
 def against_rusher(rows: DataFrame, play: str, rusher: Column) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.operators import automaton, encode, frames, inference, panel, tokens
+from fieldlens.functions import scalars as fn
+from fieldlens.operators import automaton, cohort, contract, encode, frames, inference, panel, tokens
 
 
 def marker_cohort(
@@ -27,6 +28,44 @@ def marker_cohort(
     return {"examples": examples, "tokens": frames.rows_at(rows, windows, play, frame), "audit": audit}
 
 
+def handoff_cohort(
+    rows: DataFrame, play: str, obj: str, rusher: str, side: str, sides: list[str], target: str, low: int, high: int, yard_line: str, own_half: Column, scores: dict[str, str], clock: str,
+    train: Column, rules: dict, size: int = 22, **geometry_roles,
+) -> dict[str, DataFrame]:
+    """The distribution cohort of handoff snapshots (PIPE-1): ``examples`` (label, context and the distribution's baseline), ``tokens`` (every object in
+    standard geometry and slot), ``thresholds`` (one row for each threshold of an example's distribution) and ``audit``.
+
+    The snapshot contract feeds the cohort: a play that breaks one of its rules leaves, and counts in the audit under the first of its rules by name; no play is
+    lost silently. ``rules``: constant, finite, finite_if_there, whole and domains of contract.snapshot_contract(). ``scores``: column of each side's score.
+    ``train``: condition on a play's columns that says which examples make the baseline, the share of labels up to each class. Keys hold no colon.
+    """
+    wrong = contract.snapshot_contract(rows, [play], obj, rusher, side, sides, rules["constant"], rules["finite"], rules["finite_if_there"], rules["whole"], rules["domains"], size)
+    reasons = wrong.groupBy(F.substring_index("key", ":", 1).alias("__play")).agg(F.min("rule").alias("reason"))
+    every = rows.select(play).distinct().withColumn("__play", F.col(play).cast("string")).join(reasons, "__play", "left").drop("__play")
+    audit = every.groupBy(F.coalesce("reason", F.lit("kept")).alias("status")).agg(F.count("*").alias("plays"))
+    kept = rows.join(every.where("reason is null").select(play), play)
+    is_rusher = F.col(obj) == F.col(rusher)
+    own = kept.where(is_rusher).select(play, F.col(side).alias("__side"))
+    offense = F.col(side) == F.col("__side")
+    kept = kept.join(own, play)
+    first = kept.where(is_rusher)
+    ahead, behind, lead = fn.score_columns(F.col("__side") == sides[0], F.col(scores[sides[0]]), F.col(scores[sides[1]]))
+    examples = first.select(
+        play, cohort.support_index(F.col(target).cast("int"), low, high).alias("label"), fn.yards_from_own_goal(F.col(yard_line), own_half).alias("yards_from_own_goal"), ahead.alias("offense_score"),
+        behind.alias("defense_score"), lead.alias("lead"), fn.clock_seconds(F.col(clock)).alias("clock_seconds"), train.alias("train"),
+    )
+    classes = high - low + 1
+    counts = examples.where("train").groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"), F.sum("n").alias("t"))  # classes entries
+    upto = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)))
+    running = F.transform(upto, lambda _, i: F.aggregate(F.slice(upto, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x) / F.col("t"))
+    examples = examples.crossJoin(F.broadcast(counts.select(running.alias("baseline"))))  # one row
+    std = tokens.against_rusher(tokens.handoff_geometry(kept, offense, unit=True, **geometry_roles), play, is_rusher)
+    slots = tokens.side_slots(kept, [play], obj, offense)
+    grid = encode.threshold_rows(examples, play, "baseline", classes).join(examples.select(play, "label"), play)
+    grid = grid.withColumn("residual", (F.col("label") <= F.col("k")).cast("double") - F.col("base")).drop("label")
+    return {"examples": examples, "tokens": std.join(slots, [play, obj]), "thresholds": grid, "audit": audit}
+
+
 def framewise_scoring(rows: DataFrame, train: Column, keys: list[str], frame: str, x: list[str], y: str, penalty: float, threshold: float, run: int) -> DataFrame:
     """Score every frame of every key with a ridge model of the training rows and run the automaton over the scores
     (PIPE-8): opportunities and misses by key."""
@@ -87,4 +126,4 @@ def recomputation_check(recorded: DataFrame, again: DataFrame, expected: DataFra
     return {"grid": panel.grid_check(recorded, by, expected), "metrics": cells.replayed(recorded, again, by, metrics, tolerance)}
 
 
-__all__ = ["framewise_scoring", "marker_cohort", "provisional", "recomputation_check", "suite", "task_analysis", "tokens", "tuning_study"]
+__all__ = ["framewise_scoring", "handoff_cohort", "marker_cohort", "provisional", "recomputation_check", "suite", "task_analysis", "tokens", "tuning_study"]
