@@ -25,7 +25,7 @@ from fieldlens.llm._spark import cut, discard, small_batches
 #: Letter groups, which are the levels of the trie.
 GROUPS = 12
 #: Words of a node in one task, and words sent to it at a time.
-NODE_WORDS, SENT_WORDS = 20_000, 200_000
+NODE_WORDS, SENT_WORDS = 5_000, 20_000
 #: Trie nodes that a search holds before it goes deeper with a part of them.
 FRONTIER = 1 << 17
 #: Letters compared at a time.
@@ -199,7 +199,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     small_batches(spark)
     group = letter_groups(words)
     total = words.count()
-    top = min(GROUPS, max(2, math.ceil(math.log(max(1, total / NODE_WORDS), 2.5))))
+    top = min(GROUPS, max(3, math.ceil(math.log(max(1, total / NODE_WORDS), 2.5))))
 
     def placed(batches):
         for batch in batches:
