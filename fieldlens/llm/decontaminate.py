@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from fieldlens.llm import _text as tx
 from fieldlens.llm._spark import cut, may_be_in, small_batches
 
-#: MinHash functions; shingles in the smallest window step.
+#: MinHash functions; shingles in the smallest window step; items of up to so many shingles are looked up by each of these.
 FUNCTIONS = 64
 STEP = 8
+SHORT = 3
 _SEED = 23
 
 
@@ -38,20 +39,28 @@ def _token(least: np.ndarray, i: int, size: int) -> np.ndarray:
     return tx.mix((least + tx.salt(i + 1, 57)) ^ tx.salt(size, 56))
 
 
+def _whole(shingles: np.ndarray) -> np.ndarray:
+    """Keys by which short items are looked up: their shingles, apart from the keys of bands."""
+    return tx.mix(shingles ^ tx.salt(1, 55))
+
+
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mask, odd = tx.hash_family(FUNCTIONS, _SEED)
     for b in batches:
-        ids, sizes, tokens = [], [], []
+        ids, tokens = [], []
         for item, size, shingles in zip(*[c.to_pylist() for c in b.columns], strict=True):
             x = np.array(shingles, np.int64).view(np.uint64)
-            least = np.array([((x ^ mask[i]) * odd[i]).min() for i in range(FUNCTIONS)], np.uint64)
-            tokens += [int(_token(least[i : i + 1], i, size).view(np.int64)[0]) for i in range(FUNCTIONS)]
-            ids += [item] * FUNCTIONS
-            sizes += [size] * FUNCTIONS
+            if len(x) <= SHORT:
+                own = _whole(x)
+            else:
+                least = np.array([((x ^ mask[i]) * odd[i]).min() for i in range(FUNCTIONS)], np.uint64)
+                own = np.concatenate([_token(least[i : i + 1], i, size) for i in range(FUNCTIONS)])
+            tokens += own.view(np.int64).tolist()
+            ids += [item] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64())], ["item_id", "token"])
 
 
-def _windows(words: int, sizes: list[int], bitmap: np.ndarray):
+def _windows(words: int, sizes: list[int], short: bool, bitmap: np.ndarray):
     """mapInArrow function: (doc_id, token) for the window tokens that the bitmap of item tokens holds.
 
     In the partition of size s a document falls into windows of 2 s shingles that start every s shingles, so
@@ -74,7 +83,12 @@ def _windows(words: int, sizes: list[int], bitmap: np.ndarray):
                 coarse = {s: starts(n, s // STEP) for s in sizes}
                 buf = np.empty(len(values), np.uint64)
                 docs, tokens = [], []
-                for i in range(FUNCTIONS):
+                if short:
+                    whole = _whole(values)
+                    hit = np.flatnonzero(tx.in_bitmap(bitmap, whole))
+                    docs.append(np.searchsorted(at, hit, "right") - 1)
+                    tokens.append(whole[hit])
+                for i in range(FUNCTIONS if sizes else 0):
                     np.bitwise_xor(values, mask[i], out=buf)
                     np.multiply(buf, odd[i], out=buf)
                     least = np.minimum.reduceat(buf, fine)
@@ -109,6 +123,11 @@ def _matching(words: int, bitmap: np.ndarray):
     return run
 
 
+def _bits(keys: DataFrame) -> int:
+    """Size of a bitmap of ``keys``: 2 ** 22 bits for up to 262,144 keys, 2 ** 27 at most."""
+    return min(27, max(22, (16 * max(1, keys.count()) - 1).bit_length()))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Benchmark items that documents contain: ``doc_id, item_id, n_shared, n_item, containment``.
 
@@ -117,9 +136,10 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
 
     Items fall into classes by size (powers of two from 8 shingles); for each class documents are searched in
     windows of twice that size, so a short item meets windows of its own scale, however long the document is:
-    the similarity of a contained item and its window is at least 0.19, and 64 MinHash values, each a band of
-    its own, miss that with a probability of 1 in 700,000. Document tokens pass a bitmap of item tokens of fixed
-    size (512 KB), then an exact join; every candidate is verified on the distinct shingles of the whole text.
+    the similarity of a contained item of more than SHORT shingles and its window is at least 0.19, and 64 MinHash values, each a
+    band of its own, miss that with a probability of 1 in 700,000. Items of up to SHORT shingles, all of which have to occur, are
+    looked up by each of their shingles, so none of them is missed. Document keys pass a bitmap of item keys (512 KB, or 16 to 32 bits a
+    key where there are many, 16 MB at most), then an exact join; every candidate is verified on the distinct shingles of the whole text.
 
     Items of fewer than ``words`` words, null or empty ones have no shingle and match nothing, as do such
     documents. Rows that share an item_id form one item, rows that share a doc_id one document; rows with a
@@ -133,14 +153,16 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
     sized = shingles.groupBy("item_id").agg(F.count("*").alias("n_item"), F.collect_list("shingle").alias("shingles"))
     size = F.greatest(F.lit(STEP), F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("int"))
     sized = sized.withColumn("size", size)
-    sizes = sorted(r.size for r in sized.select(F.col("size").alias("size")).distinct().collect())  # one for each power of two
+    kinds = sized.select(F.when(F.col("n_item") > SHORT, F.col("size")).alias("size")).distinct().collect()  # one for each power of two
+    sizes, short = sorted(r.size for r in kinds if r.size), any(r.size is None for r in kinds)
     tokens = cut(sized.select("item_id", "size", "shingles").mapInArrow(_item_tokens, "item_id long, token long"), "tokens")
-    found = texts.mapInArrow(_windows(words, sizes, tx.fixed_bitmap(tokens, "token")), "doc_id long, token long")
+    found = texts.mapInArrow(_windows(words, sizes, short, tx.fixed_bitmap(tokens, "token", _bits(tokens))), "doc_id long, token long")
     candidates = cut(found.join(tokens, "token").select("doc_id", "item_id").distinct(), "candidates")
 
     maybe = may_be_in(texts, F.col("doc_id"), candidates, "doc_id")
-    shared = maybe.mapInArrow(_matching(words, tx.fixed_bitmap(shingles, "shingle")), "doc_id long, shingle long").distinct()
-    counted = shared.join(shingles, "shingle").join(candidates, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    shared = maybe.mapInArrow(_matching(words, tx.fixed_bitmap(shingles, "shingle", _bits(shingles))), "doc_id long, shingle long").distinct()
+    asked = candidates.join(shingles, "item_id")  # so a shingle of many items and documents meets the candidates' only
+    counted = asked.join(shared, ["doc_id", "shingle"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     counted = counted.join(sized.select("item_id", "n_item"), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return counted.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 

@@ -211,3 +211,18 @@ def test_decontamination_of_empty_tables(spark, n_docs, n_items):
     docs = spark.createDataFrame([(1, "a b c d e f")] * n_docs, "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")] * n_items, "item_id long, text string")
     assert decontaminate.contaminated(docs, items).count() == 0
+
+
+def test_items_of_one_to_three_shingles_are_found_wherever_they_stand(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.sample(WORDS, 5 + i % 3))) for i in range(400)]
+    docs = []
+    for i, text in items:
+        filler = [rng.choice(WORDS) + "x" for _ in range(200)]
+        at = (0, 100, 200)[i % 3]
+        docs.append((i, " ".join([*filler[:at], text, *filler[at:]])))
+    docs += [(1000 + i, " ".join(text.split()[:-1])) for i, text in items]  # all but the last word
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 1000} == {(i, i) for i, _ in items}
+    assert not [r for r in found if r.doc_id >= 1000]
