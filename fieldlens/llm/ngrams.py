@@ -33,7 +33,7 @@ from fieldlens.llm._text import _PLACE, U64, mix, salt, slices, word_hashes
 #: What stands before and after the words of a text.
 BEGIN, END = U64(0x5BD1E9955BD1E995), U64(0x27D4EB2F165667C5)
 #: Distinct n-grams that a counting task holds before it packs them.
-HELD_ROWS = 1 << 21
+HELD_ROWS = 1 << 20
 #: Files that a worker keeps mapped.
 OPEN_MAPS = 2_048
 #: Documents looked at to find contexts too frequent for one bucket.
