@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
 from fieldlens.operators import conformal, scores
+from fieldlens.sources.steps import released, written
 
 #: Probabilities are kept this far from 0 and 1 before they are calibrated.
 EDGE = 1e-6
@@ -53,11 +54,11 @@ def binary_metrics(
     """The complete row of binary metrics of every cell (MET-7 to MET-11): Brier and log loss raw and calibrated by
     Venn-Abers, their null, bias, reliability, entropy, imprecision, coverage and sizes of label-conditional sets, each over rows
     and over games. Sets come from raw probabilities, bins from calibrated ones of calibration rows. A cell without
-    training, calibration or test rows gives no row. Every metric reads the predictions and their fits, so both are persisted;
-    spark.catalog.clearCache() frees them."""
-    pred = predictions.withColumn(p, F.least(F.greatest(F.col(p), F.lit(EDGE)), F.lit(1 - EDGE))).persist()
+    training, calibration or test rows gives no row. Every metric reads the predictions and their fits, so both are written first, and
+    deleted when the rows of metrics are."""
+    pred = written(predictions.withColumn(p, F.least(F.greatest(F.col(p), F.lit(EDGE)), F.lit(1 - EDGE))))
     at = lambda name: pred.where(F.col(part) == name)
-    fitted = conformal.venn_abers(at("calibration"), at("calibration").unionByName(at("test")), by, p, y, precision).persist()
+    fitted = written(conformal.venn_abers(at("calibration"), at("calibration").unionByName(at("test")), by, p, y, precision))
     is_test = F.col(part) == "test"
     sets = conformal.label_sets(at("calibration"), fitted.where(is_test), by, game, row, p, y, alpha, seed)
     test = sets.join(scores.prevalence(at("train"), by, y).withColumnRenamed("prevalence", "null_probability"), by)
@@ -78,7 +79,9 @@ def binary_metrics(
     game90 = scores.game_equal_quantile(test, by, game, F.col("imprecision"), 0.9).withColumnRenamed("quantile", "game_equal_p90_va_imprecision")
     bins_ = reliability(fitted.where(~is_test), test, by, game, "point", y, bins)
     out = out.join(p90, by).join(game90, by).join(bins_, by)
-    return out.withColumns({"primary_loss": F.col("raw_brier"), "game_equal_loss": F.col("game_equal_brier"), "skill": fn.skill(F.col("raw_brier"), F.col("null_loss"))})
+    out = written(out.withColumns({"primary_loss": F.col("raw_brier"), "game_equal_loss": F.col("game_equal_brier"), "skill": fn.skill(F.col("raw_brier"), F.col("null_loss"))}))
+    released(pred, fitted)
+    return out
 
 
 def distribution_metrics(predictions: DataFrame, by: list[str], game: str, row: str, part: str, pmf: str, y: str, classes: int, seed: int, alpha: float = 0.1) -> DataFrame:

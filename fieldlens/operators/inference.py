@@ -67,12 +67,12 @@ def critical(e: DataFrame, registry: DataFrame, ids: list[str], level: float, tw
     return placed.where(F.col("r") == at).select(F.greatest(F.col("t"), F.lit(least)).alias("critical"))
 
 
-def max_t_intervals(differences: DataFrame, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
+def max_t_intervals(differences: DataFrame, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95, registry: DataFrame | None = None) -> DataFrame:
     """Two-sided simultaneous intervals of mean paired differences: ``mean, se, critical, lower, upper`` (INF-2, with
-    INF-4 as ``t_lower, t_upper``)."""
+    INF-4 as ``t_lower, t_upper``). ``registry``: draws() that were written once for several families."""
     e = estimands(differences, ids, "difference")
     least = fn.t_critical(level, repeats - 1)
-    crit = critical(e, draws(differences.sparkSession, repeats, draws_count, seed), ids, level, True, least)
+    crit = critical(e, draws(differences.sparkSession, repeats, draws_count, seed) if registry is None else registry, ids, level, True, least)
     out = e.withColumn("se", floored_se(F.col("mean"), F.col("sd"), F.col("n"))).crossJoin(F.broadcast(crit))  # one number
     return out.select(
         *ids, "mean", "se", "critical", (F.col("mean") - F.col("critical") * F.col("se")).alias("lower"), (F.col("mean") + F.col("critical") * F.col("se")).alias("upper"),
@@ -80,11 +80,11 @@ def max_t_intervals(differences: DataFrame, ids: list[str], repeats: int, draws_
     )
 
 
-def lower_bounds(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, target: float, level: float = 0.95) -> DataFrame:
+def lower_bounds(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, target: float, level: float = 0.95, registry: DataFrame | None = None) -> DataFrame:
     """One-sided simultaneous lower bounds of a metric's mean, at least 0, and whether they reach a target (INF-3)."""
     e = estimands(panel, ids, metric)
     least = fn.t_critical(level, repeats - 1, two_sided=False)
-    crit = critical(e, draws(panel.sparkSession, repeats, draws_count, seed), ids, level, False, least)
+    crit = critical(e, draws(panel.sparkSession, repeats, draws_count, seed) if registry is None else registry, ids, level, False, least)
     out = e.withColumn("se", floored_se(F.col("mean"), F.col("sd"), F.col("n"))).crossJoin(F.broadcast(crit))  # one number
     lower = F.greatest(F.lit(0.0), F.col("mean") - F.col("critical") * F.col("se"))
     return out.select(*ids, "mean", "se", "critical", lower.alias("lower")).withColumn("reaches", F.col("lower") >= target)
@@ -125,10 +125,10 @@ def drawn(values: str) -> Column:
     return fn.moments(F.col("idx"), lambda i: F.get(values, i))
 
 
-def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95) -> DataFrame:
+def bca_sd(panel: DataFrame, metric: str, ids: list[str], repeats: int, draws_count: int, seed: int, level: float = 0.95, registry: DataFrame | None = None) -> DataFrame:
     """BCa intervals of the standard deviation over repeats (INF-5): ``sd, lower, upper``."""
     e = estimands(panel, ids, metric)
-    b = _with_draws(e.select(*ids, "values", "sd"), draws(panel.sparkSession, repeats, draws_count, seed))
+    b = _with_draws(e.select(*ids, "values", "sd"), draws(panel.sparkSession, repeats, draws_count, seed) if registry is None else registry)
     boot = b.groupBy(*ids).agg(F.array_sort(F.collect_list(_deviation(drawn("values")))).alias("boot"), F.first("sd").alias("observed"), F.first("values").alias("values"))
     return _bca(boot.withColumn("jack", jackknife_sd(F.col("values"))), ids, draws_count, level).withColumnRenamed("observed", "sd")
 

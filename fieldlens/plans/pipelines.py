@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
 from fieldlens.operators import automaton, cohort, contract, encode, frames, inference, panel, tokens
+from fieldlens.sources.steps import written
 
 
 def marker_cohort(
@@ -77,12 +78,14 @@ def framewise_scoring(rows: DataFrame, train: Column, keys: list[str], frame: st
 
 def task_analysis(table: DataFrame, loss: str, width: str, coverage: str, repeats: int, draws: int, seed: int, target: float) -> dict[str, DataFrame]:
     """The tables of one task's analysis (PIPE-11, PIPE-15): summary, ribbons, differences, size changes, simultaneous
-    intervals, coverage bounds, stability, supported best and controlled sharpness."""
+    intervals, coverage bounds, stability, supported best and controlled sharpness. The draws and the intervals that several tables need are written
+    once; tables are lazy."""
     metrics = [loss, width, coverage]
     by = ["n_train", "left", "right"]
-    contrasts = inference.max_t_intervals(panel.paired_models(table, loss), by, repeats, draws, seed)
-    widths = inference.max_t_intervals(panel.paired_models(table, width), by, repeats, draws, seed)
-    bounds = inference.lower_bounds(table, coverage, ["model", "n_train"], repeats, draws, seed, target)
+    registry = written(inference.draws(table.sparkSession, repeats, draws, seed))
+    intervals = lambda metric: inference.max_t_intervals(panel.paired_models(table, metric), by, repeats, draws, seed, registry=registry)
+    contrasts = written(intervals(loss))
+    bounds = written(inference.lower_bounds(table, coverage, ["model", "n_train"], repeats, draws, seed, target, registry=registry))
     return {
         "summary": panel.summarize(table, ["model", "n_train"], metrics),
         "ribbons": panel.ribbons(table, metrics),
@@ -90,9 +93,9 @@ def task_analysis(table: DataFrame, loss: str, width: str, coverage: str, repeat
         "adjacent_sizes": panel.size_contrasts(table, loss, "adjacent"),
         "contrasts": contrasts,
         "coverage_bounds": bounds,
-        "stability": inference.bca_sd(table, loss, ["model", "n_train"], repeats, draws, seed),
+        "stability": inference.bca_sd(table, loss, ["model", "n_train"], repeats, draws, seed, registry=registry),
         "supported_best": inference.supported_best(contrasts, ["n_train"]),
-        "controlled_sharpness": inference.controlled_sharpness(widths, bounds, ["n_train"]),
+        "controlled_sharpness": inference.controlled_sharpness(intervals(width), bounds, ["n_train"]),
     }
 
 
@@ -102,11 +105,15 @@ def provisional(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def tuning_study(fixed: DataFrame, tuned: DataFrame, metric: str, repeats: int, draws: int, seed: int) -> DataFrame:
-    """Tuned minus fixed by model and size: simultaneous intervals and conclusions (STAT-10, PIPE-12)."""
+    """Tuned minus fixed by model and size: simultaneous intervals and conclusions, the change in percent of the fixed mean (null where that is 0), and whether the
+    mean shifts beyond the interval's half width from no change (STAT-10, PIPE-12)."""
     on = ["repeat", "model", "n_train"]
     d = tuned.select(*on, F.col(metric).alias("__t")).join(fixed.select(*on, F.col(metric).alias("__f")), on)
+    before = d.groupBy("model", "n_train").agg(F.avg("__f").alias("__mean"))
     d = d.select(*on, (F.col("__t") - F.col("__f")).alias("difference"))
-    return inference.classify(inference.max_t_intervals(d, ["model", "n_train"], repeats, draws, seed))
+    out = inference.classify(inference.max_t_intervals(d, ["model", "n_train"], repeats, draws, seed)).join(before, ["model", "n_train"])
+    relative = F.when(F.col("__mean") != 0, 100 * F.col("mean") / F.abs("__mean"))
+    return out.withColumns({"relative_change": relative, "shifted": (F.col("lower") > 0) | (F.col("upper") < 0)}).drop("__mean")
 
 
 def suite(panels: dict[str, DataFrame], metric: str, need: int) -> DataFrame:

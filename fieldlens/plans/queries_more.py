@@ -276,7 +276,6 @@ def pipe10_evaluated_cells(spark, sf):
     plan = splits.join(order, ["repeat", "game"], "left")
     rows = b.binary(spark, sf).select("row", "game", "y", "p").join(splits.where("role is not null").select("repeat", "game"), "game")
     rows = rows.withColumn("n_train", F.explode(F.array(F.lit(40), F.lit(120))))
-    plan, rows = plan.persist(), rows.persist()  # every metric needs both
     out = cells.evaluate_cells(rows, plan, ["repeat", "n_train"], "row", "game", "binary", p="p", y="y", seed=5, precision=1)
     return rounded(out.select("repeat", "n_train", "primary_loss", "null_loss", "skill", "game_equal_loss"))
 
