@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm._spark import small_batches
 
-#: Vectors in a block, and queries in one.
-BLOCK, QUERY_BLOCK = 2048, 256
+#: Vectors in a block, queries in one, and vectors of a lane, which one task holds.
+BLOCK, QUERY_BLOCK, LANE = 2048, 256, 50_000
 #: Segments by resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 #: Vectors with a component beyond this are compared in integers of any size.
@@ -68,32 +68,48 @@ def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(means + [p.std(axis=1) * np.sqrt(p.shape[1]) for p in parts], axis=1)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in one block, ties to the smaller id."""
-    bound = segment_statistics(q, RESOLUTIONS[0]) @ segment_statistics(c, RESOLUTIONS[0]).T
-    slack = 1e-6 * (1 + np.abs(bound))
-    bound += slack
-    bound[qid[:, None] == cid[None, :]] = -np.inf
-    fine_q, fine_c = segment_statistics(q, RESOLUTIONS[1]), segment_statistics(c, RESOLUTIONS[1])
-    out_q, out_c, out_s = [], [], []
-    q64, c64 = q.astype(np.int64), c.astype(np.int64)
-    first = min(4 * k, len(cid))
-    probe = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-    for i in range(len(qid)):
-        seen = probe[i][bound[i, probe[i]] > -np.inf]
-        score = c64[seen] @ q64[i]
-        least = np.sort(score)[-k] if len(score) >= k else -np.inf
-        rest = bound[i] >= least
-        rest[seen] = False
-        rest = np.flatnonzero(rest & (bound[i] > -np.inf))
-        fine = fine_c[rest] @ fine_q[i]
-        rest = rest[fine + 1e-6 * (1 + np.abs(fine)) >= least]
-        seen, score = np.concatenate([seen, rest]), np.concatenate([score, c64[rest] @ q64[i]])
-        best = np.lexsort((cid[seen], -score))[:k]
-        out_q.append(np.full(len(best), qid[i]))
-        out_c.append(cid[seen[best]])
-        out_s.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
+class Lane:
+    """Blocks of candidates with their statistics, which queries pass one after the other."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, cid: np.ndarray, c: np.ndarray) -> None:
+        self.blocks.append((cid, c, *[segment_statistics(c, n) for n in RESOLUTIONS]))
+
+    def search(self, qid: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best candidates of each query in the lane, ties to the smaller id. What a query has found in one block is what candidates of the next have to
+        reach, first by their bounds."""
+        coarse, fine, q64 = segment_statistics(q, RESOLUTIONS[0]), segment_statistics(q, RESOLUTIONS[1]), q.astype(np.int64)
+        least = np.full(len(qid), -np.inf)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]  # ids, scores
+
+        def take(i: int, cid: np.ndarray, score: np.ndarray) -> None:
+            ids, scores = np.concatenate([found[i][0], cid]), np.concatenate([found[i][1], score])
+            best = np.lexsort((ids, -scores))[:k]
+            found[i] = ids[best], scores[best]
+            if len(best) == k:
+                least[i] = scores[best[-1]]
+
+        for cid, c, coarse_c, fine_c in self.blocks:
+            bound = coarse @ coarse_c.T
+            bound += 1e-6 * (1 + np.abs(bound))
+            bound[qid[:, None] == cid[None, :]] = -np.inf
+            for i in np.flatnonzero((bound >= least[:, None]).any(axis=1)):
+                row, seen = bound[i], np.zeros(0, np.int64)
+                if least[i] == -np.inf:  # nothing to reach yet: the highest bounds first
+                    seen = np.argpartition(-row, min(4 * k, len(row)) - 1)[: 4 * k]
+                    seen = seen[row[seen] > -np.inf]
+                    take(i, cid[seen], c[seen].astype(np.int64) @ q64[i])
+                rest = (row >= least[i]) & (row > -np.inf)
+                rest[seen] = False
+                rest = np.flatnonzero(rest)
+                near = fine_c[rest] @ fine[i]
+                rest = rest[near + 1e-6 * (1 + np.abs(near)) >= least[i]]
+                if len(rest):
+                    take(i, cid[rest], c[rest].astype(np.int64) @ q64[i])
+        sizes = [len(f[0]) for f in found]
+        return np.repeat(qid, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def beyond_long(score: int) -> bytes:
@@ -105,7 +121,7 @@ def beyond_long(score: int) -> bytes:
 
 
 def search_wide(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """As search_block(), in Python's integers; rows of (query, candidate, score)."""
+    """As Lane.search(), in Python's integers; rows of (query, candidate, score)."""
     out = []
     for i in range(len(qid)):
         score, other = c @ q[i], np.flatnonzero(cid != qid[i])
@@ -124,8 +140,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     """The ``k`` highest integer inner products for each row whose id is divisible by ``every``.
 
     Returns ``query_id, rank, vec_id, score``. Components are floor(256 x). Candidates are all rows but those
-    with the query's own id; ties go to the smaller id. Queries and candidates meet block by block: the query
-    set is a stated share of the table, blocks are of bounded size, and each block pair returns k rows a query.
+    with the query's own id; ties go to the smaller id. Candidates are dealt to lanes of LANE vectors, one task each; blocks of queries, which are a stated share of
+    the table, pass each lane, where what a query has found so far prunes what follows. A lane returns k rows a query.
 
     Vectors that are null or empty or hold a null or a non-finite component take no part, nor do rows with a null id. A score that doesn't fit a long ranks exactly and is given as null. Vectors of different lengths are never compared.
     Repeated rows are candidates each on their own; where rows share a query's id, the least usable vector asks. A query without candidates gives no row; an empty table gives
@@ -137,25 +153,40 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     asked = rows.where((F.col("id") % every == 0) & (F.size("v") > 0) & fine).groupBy("id").agg(F.min("v").alias("v"))  # of the usable rows of an id
     asked = _blocks(asked, QUERY_BLOCK).select(F.col("dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # Each block of queries goes once to each of so many lanes, each block of candidates to one of them.
-    lanes = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = rows.count()
+    lanes = max(1, -(-n // LANE), min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK)))
     asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     there = _blocks(rows, BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    pairs = there.join(asked, ["dim", "lane"]).select("dim", "wide", "q_wide", "ids", "vectors", "q_ids", "q_vectors")
+    there = there.select("dim", "lane", F.lit(0).alias("asks"), "wide", "ids", "vectors")
+    asked = asked.select("dim", "lane", F.lit(1).alias("asks"), F.col("q_wide").alias("wide"), F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"))
+    work = there.unionByName(asked).repartition("dim", "lane").sortWithinPartitions("dim", "lane", "asks")
+    columns = ["query_id", "vec_id", "score", "beyond"]
+
+    def answer(dim: int, wide: bool, ids: bytes, v: bytes, lane: Lane, odd: list[tuple[bool, bytes, bytes]], plain: list[tuple[bool, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        if not wide and lane.blocks:
+            got = lane.search(np.frombuffer(ids, np.int64), np.frombuffer(v, np.int32).reshape(-1, dim), k)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in got], pa.array([b"\x80\x00"] * len(got[0]), pa.binary())], columns)
+        for other_wide, other_ids, other in [*odd, *(plain if wide else [])]:
+            rows = search_wide(np.frombuffer(ids, np.int64), _integers(v, wide, dim), np.frombuffer(other_ids, np.int64), _integers(other, other_wide, dim), k)
+            keys = [beyond_long(r[2]) for r in rows]
+            scores = pa.array([r[2] if key == b"\x80\x00" else None for r, key in zip(rows, keys, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], scores, pa.array(keys, pa.binary())], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lane, odd, plain = None, Lane(), [], []
         for b in batches:
-            for dim, wide, q_wide, ids, v, q_ids, qv in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if wide or q_wide:
-                    rows = search_wide(np.frombuffer(q_ids, np.int64), _integers(qv, q_wide, dim), np.frombuffer(ids, np.int64), _integers(v, wide, dim), k)
-                    keys = [beyond_long(r[2]) for r in rows]
-                    scores = pa.array([r[2] if key == b"\x80\x00" else None for r, key in zip(rows, keys, strict=True)], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], scores, pa.array(keys, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
-                    continue
-                got = search_block(
-                    np.frombuffer(q_ids, np.int64), np.frombuffer(qv, np.int32).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(v, np.int32).reshape(-1, dim), k
-                )
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in got], pa.array([b"\x80\x00"] * len(got[0]), pa.binary())], ["query_id", "vec_id", "score", "beyond"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+            for i in range(b.num_rows):
+                dim, number, asks, wide, ids, v = (c[i].as_py() for c in b.columns)
+                if (dim, number) != now:
+                    now, lane, odd, plain = (dim, number), Lane(), [], []
+                if asks:
+                    yield from answer(dim, wide, ids, v, lane, odd, plain)
+                elif wide:
+                    odd.append((wide, ids, v))
+                else:
+                    lane.add(np.frombuffer(ids, np.int64), np.frombuffer(v, np.int32).reshape(-1, dim))
+                    plain.append((wide, ids, v))
+
+    found = work.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
