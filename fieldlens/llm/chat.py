@@ -112,8 +112,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     ``turns`` has conv_id, turn, role and text. A turn counts its words plus MARKS tokens. Turns are never
     split: each window takes turns while their running sum, with what is repeated, stays in ``budget``; a turn that
-    exceeds it alone has a window of its own. Leading system turns are repeated at the head of every window,
-    then up to ``history`` tokens of the turns before. The mask (code points of ``text``, end exclusive) covers
+    exceeds it alone has a window of its own. Leading system turns are repeated at the head of every window, whole, so where these alone
+    exceed the budget every window does; then come up to ``history`` tokens of the turns before, as far as the budget has room. The mask (code points of ``text``, end exclusive) covers
     the text of each assistant turn in the one window where it isn't repeated.
 
     Turns are marked as in ``<|im_start|>role, newline, text<|im_end|>, newline``; inside roles and texts a
