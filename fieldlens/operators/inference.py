@@ -187,6 +187,15 @@ def classify(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("conclusion", F.when(F.col("upper") < 0, "supported").when(F.col("lower") > 0, "opposite").otherwise("inconclusive"))
 
 
+def conclusion_changes(fixed: DataFrame, tuned: DataFrame, ids: list[str]) -> DataFrame:
+    """Conclusions of two families of intervals side by side (DEC-3): ``degraded`` where the first is clear and the second isn't the same, ``reversed`` where both are
+    clear and differ. Contrasts of one side only don't count."""
+    a = classify(fixed).select(*ids, F.col("conclusion").alias("before"))
+    out = a.join(classify(tuned).select(*ids, F.col("conclusion").alias("after")), ids)
+    clear = F.col("before") != "inconclusive"
+    return out.withColumns({"degraded": clear & (F.col("before") != F.col("after")), "reversed": clear & (F.col("after") != "inconclusive") & (F.col("before") != F.col("after"))})
+
+
 def level_comparison(first: DataFrame, second: DataFrame, ids: list[str]) -> DataFrame:
     """Two levels' conclusions side by side: newly clear, ratio of critical values, reduction of width (STAT-15)."""
     a = classify(first).select(*ids, F.col("conclusion").alias("c1"), F.col("critical").alias("k1"))

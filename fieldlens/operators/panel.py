@@ -188,6 +188,17 @@ def task_equal(panels: DataFrame, metric: str, need: int) -> DataFrame:
     return out.where(F.col("n_tasks") >= need)
 
 
+def membership_violations(panels: DataFrame, expected: DataFrame) -> DataFrame:
+    """``model, n_train, missing, beside`` of the cells that not exactly the ``expected`` tasks (task, model, n_train) have (STAT-12): which lack, and which
+    aren't asked for, both as sorted lists."""
+    on = ["task", "model", "n_train"]
+    there = panels.select(*on).distinct().withColumn("__there", F.lit(True))
+    both = expected.select(*on).distinct().withColumn("__asked", F.lit(True)).join(there, on, "full_outer")
+    listed = lambda rule: F.array_join(F.array_sort(F.collect_list(F.when(rule, F.col("task")))), ",")  # noqa: E731  a row a task
+    out = both.groupBy("model", "n_train").agg(listed(F.col("__there").isNull()).alias("missing"), listed(F.col("__asked").isNull()).alias("beside"))
+    return out.where((F.col("missing") != "") | (F.col("beside") != ""))
+
+
 def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """One row: rows of either side, keys on one side only, and values that differ (SRC-10, JN-10, SET-4)."""
     l_ = left.select(*[F.col(k).alias(f"l_{k}") for k in keys + values], F.lit(True).alias("in_left"))

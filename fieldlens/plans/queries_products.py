@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldlens.operators import cells
+from fieldlens.functions import scalars as fn
+from fieldlens.operators import cells, inference, panel
 from fieldlens.plans import bindings as b
 from fieldlens.plans import pipelines
-from fieldlens.plans.queries import ORACLES, _max_t, query, r, rounded
+from fieldlens.plans.queries import _CI, ORACLES, _ci, _max_t, query, r, rounded
 from fieldlens.plans.queries_more import _cases, _points
 from fieldlens.sources.steps import written
 
@@ -55,6 +56,29 @@ def stat10_tuning_sensitivity(spark, sf):
     return _digits(out.select("model", "n_train", "mean", "conclusion", "relative_change", "shifted"), mean=8, relative_change=6)
 
 
+@query(f"""WITH {_CI}, k2 AS (SELECT greatest(max(t) FILTER (i = ceil(0.9::DOUBLE * (c - 1) - 1e-9) + 1), {fn.t_critical(0.9, 19)!r}) AS k2 FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS c FROM mt)),
+  b2 AS (SELECT n_train, "left", "right", CASE WHEN mean + k2 * se < 0 THEN 'supported' WHEN mean - k2 * se > 0 THEN 'opposite' ELSE 'inconclusive' END AS before,
+    CASE WHEN n_train = 60 THEN CASE WHEN lower > 0 THEN 'supported' WHEN upper < 0 THEN 'opposite' ELSE 'inconclusive' END WHEN upper < 0 THEN 'supported' WHEN lower > 0 THEN 'opposite' ELSE 'inconclusive' END AS after FROM ci, k2)
+  SELECT n_train, "left", "right", before, after, before <> 'inconclusive' AND before <> after AS degraded, before <> 'inconclusive' AND after <> 'inconclusive' AND before <> after AS reversed FROM b2""")
+def dec3_conclusion_changes(spark, sf):
+    """Conclusions at 90 % against those at 95 %, of which one size is turned round."""
+    after, turned = _ci(spark, sf), F.col("n_train") == 60
+    after = after.select("n_train", "left", "right", F.when(turned, -F.col("upper")).otherwise(F.col("lower")).alias("lower"), F.when(turned, -F.col("lower")).otherwise(F.col("upper")).alias("upper"))
+    return inference.conclusion_changes(_ci(spark, sf, level=0.9), after, ["n_train", "left", "right"])
+
+
+@query(f"""WITH {b.PANEL}, t AS (SELECT unnest(['a', 'b', 'c']) AS task), g AS (SELECT DISTINCT model, n_train FROM panel), e AS (SELECT task, model, n_train FROM t, g WHERE task <> 'c' OR n_train <= 80),
+  h AS (SELECT task, model, n_train FROM t, g WHERE NOT (task = 'a' AND n_train = 40) AND NOT (task = 'c' AND n_train > 100)),
+  f AS (SELECT coalesce(e.model, h.model) AS model, coalesce(e.n_train, h.n_train) AS n_train, CASE WHEN h.task IS NULL THEN e.task END AS gone, CASE WHEN e.task IS NULL THEN h.task END AS more
+    FROM e FULL JOIN h ON e.task = h.task AND e.model = h.model AND e.n_train = h.n_train)
+  SELECT model, n_train, coalesce(string_agg(gone, ',' ORDER BY gone), '') AS missing, coalesce(string_agg(more, ',' ORDER BY more), '') AS beside FROM f GROUP BY ALL HAVING count(gone) + count(more) > 0""")
+def stat12_membership(spark, sf):
+    """Three tasks, of which one lacks an anchor and one has an anchor that isn't asked of it."""
+    g = b.panel(spark, sf).select("model", "n_train").distinct().withColumn("task", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    there = g.where("not (task = 'a' and n_train = 40) and not (task = 'c' and n_train > 100)")
+    return panel.membership_violations(there, g.where("task <> 'c' or n_train <= 80"))
+
+
 # -- replays -------------------------------------------------------------------------------------------------
 
 
