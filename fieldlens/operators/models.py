@@ -1,11 +1,10 @@
-"""Fits as Spark jobs: logistic and boosted models, cross-validated choices, constant fallbacks."""
+"""One logistic fit, choices by held-out losses, constant fallbacks. Fits over many cells are in fits.py and trees.py."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +23,11 @@ def logistic(train: DataFrame, x: list[str], y: str, penalty: float = 1e-3):
     return LogisticRegression(featuresCol="features", labelCol=y, regParam=penalty, elasticNetParam=0.0).fit(assembled(train, x))
 
 
-def boosted(train: DataFrame, x: list[str], y: str, binary: bool = True, trees: int = 10, depth: int = 3, seed: int = 1):
-    """Gradient-boosted trees, binary or regression (ML-3)."""
-    kind = GBTClassifier if binary else GBTRegressor
-    return kind(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed).fit(assembled(train, x))
-
-
 def probability(model, df: DataFrame, x: list[str], name: str = "p") -> DataFrame:
-    """Adds the probability of label 1, or a regression's prediction (ML-9); one transform over all rows."""
+    """Adds the probability of label 1 (ML-9); one transform over all rows."""
     if isinstance(model, float):
         return df.withColumn(name, F.lit(model))
-    out = model.transform(assembled(df, x))
-    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.withColumn(name, value).select(*df.columns, name)
+    return model.transform(assembled(df, x)).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
 def choose(losses: DataFrame, folds: int, by: list[str] | None = None) -> DataFrame:

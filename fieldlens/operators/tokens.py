@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
-from fieldlens.operators import frames, geometry
+from fieldlens.operators import contract, frames, geometry
 
 # Position groups by position, columns that name teams, and task names.
 POSITIONS = {
@@ -69,7 +69,7 @@ def encoded(
     """The channels of every object of every frame (GEO-6): position relative to the ball, velocity, speed, acceleration, heading and
     facing as (sin, cos), sides, ball, focal and position group, plus ``group``. Plays that run left are turned by half a turn; null speed
     and acceleration are 0, a null angle is (0, 0). ``team`` is ``football`` for the ball. With ``focal_position`` the least id of
-    that position among the offense is focal (GEO-7). A frame without a ball has null relative positions; rows without position go."""
+    that position among the offense is focal (GEO-7). A frame without a ball has null relative positions, and frame_violations() names it; rows without position go."""
     w = Window.partitionBy(*keys)
     r = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = r.withColumns({"__ball": F.coalesce(F.lower(team) == "football", F.lit(False)), "__team": team, "__pos": F.upper(F.trim(position))})
@@ -93,6 +93,13 @@ def encoded(
     return out.withColumns({f"position_{g}": (F.col("group") == g).cast("double") for g in GROUPS})
 
 
+def frame_violations(rows: DataFrame, keys: list[str], obj: str, team: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """``rule, key`` of frames that encoded() can't make complete (GEO-6): no ball with a position, several balls, an object twice."""
+    is_ball = F.coalesce(F.lower(team) == "football", F.lit(False)) & F.col(x).isNotNull() & F.col(y).isNotNull()
+    rules = {"no_ball": F.count_if(is_ball) == 0, "several_balls": F.count_if(is_ball) > 1, "object_repeated": F.count(obj) > F.countDistinct(obj)}
+    return contract.broken_groups(rows, keys, rules)
+
+
 def frame_slots(tokens: DataFrame, keys: list[str], obj: str) -> DataFrame:
     """Adds ``slot``: the order within a frame where no play-wide one is given: ball, focal, offense, then id (WIN-9)."""
     order = [F.desc("football"), F.desc("focal"), F.desc("offense"), F.col(obj).asc_nulls_first()]
@@ -149,6 +156,7 @@ def roles(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({f"is_{r}": c for r, c in more.items()})
 
 
+# The names and role pairs of each task.
 #: By task: the roles that are nodes, and the edges (name, role, role or None for within one role); a later edge overrides.
 TASKS: dict[str, tuple[list[str], list[tuple[str, str, str | None]]]] = {
     "completion": (
@@ -196,7 +204,9 @@ TASKS["punt_return"] = TASKS["rushing"]
 
 def active_tokens(tokens: DataFrame, keys: list[str], task: str, ablation: str | None = None) -> DataFrame:
     """The tokens that are nodes of a task's graph (FEAT-5). Ablations (FEAT-7): ``pair_only`` keeps focal and carrier,
-    ``no_social`` the focal object, ``snapshot`` the last frame (keys end with the time)."""
+    ``no_social`` the focal object, ``snapshot`` the last frame (keys end with the time). The tackle task needs a ``carrier`` column."""
+    if task == "tackle" and "carrier" not in tokens.columns:
+        raise ValueError("the tackle task needs a carrier column")
     out = roles(tokens, keys)
     rule = F.lit(False)
     for r in TASKS[task][0]:

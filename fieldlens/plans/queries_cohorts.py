@@ -129,6 +129,13 @@ def pipe6_loose_label_examples(spark, sf):
     return _examples(_marked(spark, sf, "error", fn.loose_boolean(text), 10))
 
 
+@query(f"""WITH {b.SCRUM}, fr AS (SELECT play, frame, count_if(team = 'football' AND x IS NOT NULL) AS balls, count(obj) - count(DISTINCT obj) AS again FROM scrum GROUP BY ALL)
+  SELECT 'no_ball' AS rule, concat_ws(':', play, frame) AS key FROM fr WHERE balls = 0 UNION ALL SELECT 'several_balls', concat_ws(':', play, frame) FROM fr WHERE balls > 1
+  UNION ALL SELECT 'object_repeated', concat_ws(':', play, frame) FROM fr WHERE again > 0""")
+def geo6_frame_violations(spark, sf):
+    return tokens.frame_violations(b.scrum(spark, sf), ["play", "frame"], "obj", F.col("team"))
+
+
 # -- samples and scalers -------------------------------------------------------------------------------------
 
 

@@ -170,3 +170,12 @@ def test_registry_is_the_same_for_all_models(spark):
     assert mismatches(rows.where("model = 'a' or game not in (4, 5)")) == [("b", 2, 0, 4)]
     extra = spark.createDataFrame([(1, "a", 77, 770, 0)], rows.schema)
     assert mismatches(rows.unionByName(extra)) == [("a", 0, 1, 77)]
+
+
+def test_frames_without_a_ball_and_tackles_without_a_carrier(spark):
+    rows = [(1, 1, 7, "football", 1.0), (1, 1, 8, "red", 1.0), (1, 2, 8, "red", 1.0), (1, 3, 7, "football", None), (2, 1, 7, "FOOTBALL", 1.0), (2, 1, 9, "football", 2.0), (2, 1, 9, "red", 2.0)]
+    df = spark.createDataFrame(rows, "play long, frame long, obj long, team string, x double").withColumn("y", F.col("x"))
+    got = sorted((r.rule, r.key) for r in tokens.frame_violations(df, ["play", "frame"], "obj", F.col("team")).collect())
+    assert got == [("no_ball", "1:2"), ("no_ball", "1:3"), ("object_repeated", "2:1"), ("several_balls", "2:1")]
+    with pytest.raises(ValueError, match="carrier"):
+        tokens.active_tokens(df, ["play", "frame"], "tackle")

@@ -181,3 +181,36 @@ def test_distribution_functions_against_known_values(spark):
     for r in spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", fn.normal_cdf(F.col("z"))).withColumn("back", fn.normal_quantiles(F.col("p"))).collect():
         assert abs(r.p / (0.5 * math.erfc(-r.z / math.sqrt(2))) - 1) < 1e-12
         assert r.z > 4 or abs(r.back - r.z) < 1e-9
+
+
+def test_framewise_scoring_is_ridge_and_the_automaton(spark):
+    from pyspark.sql import functions as F
+
+    from fieldlens.plans import pipelines
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):
+        level = 0.0
+        for f in range(60):
+            level = 0.8 * level + rng.gauss(0, 1)
+            if rng.random() > 0.05:
+                rows.append((k, f, level, rng.gauss(0, 1), level + rng.gauss(0, 0.2)))
+    df = spark.createDataFrame(rows, "k long, f long, a double, b double, y double").repartition(4)
+    got = pipelines.framewise_scoring(df, F.col("k") % 3 > 0, ["k"], "f", ["a", "b"], "y", 2.0, 0.3, 3).collect()
+    train = np.array([[1, a, b] for k, _, a, b, _ in rows if k % 3])
+    beta = np.linalg.solve(train.T @ train + 2.0 * np.diag([0, 1, 1]), train.T @ np.array([y for k, *_, y in rows if k % 3]))
+    for r in got:
+        opened, kind, length, last, opens, misses = False, None, 0, None, [], []
+        for f, a, b in sorted((f, a, b) for k, f, a, b, _ in rows if k == r.k):
+            high = float(np.array([1, a, b]) @ beta) > 0.3
+            if last is not None and f != last + 1:
+                opened, kind, length = False, None, 0
+            length = length + 1 if high == kind else 1
+            kind, last = high, f
+            if length == 3 and high != opened:
+                opened = high
+                (opens if high else misses).append(f)
+        text = lambda v: ",".join(map(str, v))
+        assert (r.opportunities, r.misses, r.open_frames, r.miss_frames) == (len(opens), len(misses), text(opens), text(misses))
+    assert len(got) == 12 and sum(r.opportunities for r in got) > 10
