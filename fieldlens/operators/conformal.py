@@ -134,14 +134,16 @@ def cluster_summary(intervals: DataFrame, repeat: list[str], model: list[str], g
 def label_sets(calibration: DataFrame, test: DataFrame, by: list[str], game: str, row: str, p: str, y: str, alpha: float, seed: int) -> DataFrame:
     """Label-conditional sets of a binary label: ``in0, in1, set_size`` (CAL-7). The score of a label is one minus
     its probability; each label has its own quantile, over one row per game that has the label."""
-    out = test
-    for label in (0, 1):
-        own = calibration.where(F.col(y) == label)
-        score = lambda c, k=label: (1 - c) if k else c
-        drawn = one_per_game(own, by, game, row, seed + label).withColumn("__s", score(F.col(p)))
-        q = split_quantile(drawn, by, "__s", alpha, 1.0).select(*by, F.col("quantile").alias(f"q{label}"))
-        out = out.join(q, by, "left") if by else out.crossJoin(F.broadcast(q))  # one number
-        out = out.withColumn(f"in{label}", score(F.col(p)) <= F.coalesce(F.col(f"q{label}"), F.lit(1.0)) + 1e-12)
+    score = lambda c, k: (1 - c) if k else c
+    drawn = [
+        one_per_game(calibration.where(F.col(y) == k), by, game, row, seed + k).select(*by, F.lit(k).alias("__label"), score(F.col(p), k).alias("__s")) for k in (0, 1)
+    ]
+    q = split_quantile(drawn[0].unionByName(drawn[1]), [*by, "__label"], "__s", alpha, 1.0)
+    both = [F.max(F.when(F.col("__label") == k, F.col("quantile"))).alias(f"q{k}") for k in (0, 1)]
+    q = (q.groupBy(*by) if by else q).agg(*both)  # one small table for both labels
+    out = test.join(q, by, "left") if by else test.crossJoin(F.broadcast(q))  # two numbers
+    for k in (0, 1):
+        out = out.withColumn(f"in{k}", score(F.col(p), k) <= F.coalesce(F.col(f"q{k}"), F.lit(1.0)) + 1e-12)
     return out.withColumn("set_size", F.col("in0").cast("int") + F.col("in1").cast("int"))
 
 
