@@ -290,21 +290,16 @@ def _frequent(docs: DataFrame, share: float, order: int, buckets: int) -> dict[i
 
     seen = docs.sample(fraction=share, seed=1) if share < 1 else docs
     counts = seen.mapInArrow(contexts, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(_over("k"))
-    rows = counts.withColumn("all", total).where(F.col("n") * 4 * buckets > F.col("all")).select("k", "h").collect()  # 4 * buckets rows a level at most
+    total = {r.k: r.all for r in counts.groupBy("k").agg(F.sum("n").alias("all")).collect()}  # one for each order
+    most = F.coalesce(*[F.when(F.col("k") == k, F.lit(n)) for k, n in total.items()], F.lit(0))
+    rows = counts.where(F.col("n") * 4 * buckets > most).select("k", "h").collect()  # 4 * buckets rows a level at most
     out = {}
     for k in range(2, order + 1):
         out[k] = Level(buckets, np.sort(np.array([r.h for r in rows if r.k == k], np.int64).view(U64)))
     return out
 
 
-def _over(by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(by)
-
-
-def train(docs: DataFrame, order: int = 2, text: str = "text", bucket_bytes: int = 16 << 20) -> Model:
+def train(docs: DataFrame, order: int = 2, text: str = "text", bucket_bytes: int = 8 << 20) -> Model:
     """Model of all texts of ``docs`` (null: empty). A text's tokens are its words (A-Z as a-z; what separates them is 0x20 and 0x09 to 0x0D)
     and an end; ``order`` - 1 begins stand before it. The top order has the counts of its n-grams, each lower order the number of
     distinct words on their left. Order 1 is mixed with 1 / (words + 1), which is what an unknown word gets.
