@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
+from fieldlens.sources.steps import written
 
 #: Ranges of scores in a cell at most, and the distinct scores from which there are several.
 RANGES, RANGE_SCORES = 256, 4096
@@ -152,8 +153,9 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
     scaled feature distance whose bandwidth is the distance of the k-th neighbour (CAL-4, JN-18, FN-19).
 
     Calibration rows and test points, each counted once, meet in pairs of bounded blocks: first the k nearest
-    distances of each block are merged to the bandwidth, then weights are summed by score."""
-    scale = calibration.groupBy(*by).agg(F.count("*").alias("__n"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
+    distances of each block are merged to the bandwidth, then weights are summed by score. Points are known by their scaled features, so the
+    scales are written: a deviation that is had again, its parts added in another order, differs in the last bit, and rows would not find their point."""
+    scale = written(calibration.groupBy(*by).agg(F.count("*").alias("__n"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features]))
     unit = lambda f: F.when(F.col(f"s_{f}") > 1e-12, F.col(f"s_{f}")).otherwise(1.0)
     x = F.array(*[F.col(f).cast("double") / unit(f) for f in features])
     spent = [f"s_{f}" for f in features]
