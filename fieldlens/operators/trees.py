@@ -222,12 +222,18 @@ def _rewritten(data: DataFrame, states: DataFrame, by: list[str], change) -> Dat
     return joined.select(*by, "m", "body", "state").mapInArrow(run, _schema(data, by, m="int", body="binary"))
 
 
-def boosted_score(df: DataFrame, fits: DataFrame, by: list[str], x: list[str], design: Boosting, name: str = "prediction") -> DataFrame:
+def boosted_score(
+    df: DataFrame, fits: DataFrame, by: list[str], x: list[str], design: Boosting, name: str = "prediction", over: tuple[str, list[float]] | None = None
+) -> DataFrame:
     """Adds the probability of label 1, or the regression's value; null where a cell has no model or a feature is null or not finite.
+    ``over`` names a feature of ``x`` that is no column, with the values that it takes: the prediction is an array with one for each of them, so
+    that a row with many thresholds stays one row.
 
     A cell's model comes before its rows in every task that has some of them, so it isn't copied to each row.
     """
     columns, n_by = df.columns, len(by)
+    place, values = (x.index(over[0]), [float(v) for v in over[1]]) if over else (None, [])
+    x = [c for k, c in enumerate(x) if k != place]
     here = [F.col(c) for c in columns]
     rows = df.select(*here, *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(x)], F.lit(None).cast("array<double>").alias("__model"), F.lit(1).alias("__kind"), (F.monotonically_increasing_id() % SPREAD).cast("int").alias("__salt"))
     empty = [F.lit(None).cast(t).alias(c) if c not in by else F.col(c) for c, t in df.dtypes]
@@ -249,12 +255,19 @@ def boosted_score(df: DataFrame, fits: DataFrame, by: list[str], x: list[str], d
                     part = part.slice(1)
                 if not part.num_rows:
                     continue
-                value = np.full(part.num_rows, np.nan)
-                raw = np.stack([np.asarray(part.column(total + k).to_pandas(), np.float64) for k in range(len(x))], axis=1)
+                value = np.full((part.num_rows, max(len(values), 1)), np.nan)
+                raw = np.stack([np.asarray(part.column(total + k).to_pandas(), np.float64) for k in range(len(x))], axis=1) if x else np.zeros((part.num_rows, 0))
                 good = np.isfinite(raw).all(1)
                 if model is not None and good.any():
-                    margin = design.margin(raw[good], model)
-                    value[good] = 1 / (1 + np.exp(-margin)) if design.binary else margin
-                yield pa.RecordBatch.from_arrays([*part.columns[:total], pa.array(value, mask=np.isnan(value))], [*columns, name])
-
-    return both.mapInArrow(run, _schema(df, columns, **{name: "double"}))
+                    for k in range(value.shape[1]):
+                        full = np.insert(raw[good], place, values[k], axis=1) if over else raw[good]
+                        margin = design.margin(full, model)
+                        value[good, k] = 1 / (1 + np.exp(-margin)) if design.binary else margin
+                if over:
+                    ends = pa.array(np.arange(len(value) + 1) * len(values), pa.int32())
+                    told = pa.ListArray.from_arrays(ends, pa.array(value.reshape(-1)), mask=pa.array(np.isnan(value).any(1)))
+                else:
+                    told = pa.array(value[:, 0], mask=np.isnan(value[:, 0]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:total], told], [*columns, name])
+
+    return both.mapInArrow(run, _schema(df, columns, **{name: "array<double>" if over else "double"}))

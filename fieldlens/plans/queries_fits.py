@@ -99,15 +99,15 @@ def ml3_boosted_binary(spark, sf):
 @query()
 def ml3_boosted_thresholds(spark, sf):
     """A distribution of the line's place from boosted residuals of its thresholds: ranked probability score by cell."""
-    rows = _rows(spark, sf, 3).withColumn("row", F.monotonically_increasing_id())
+    rows = _rows(spark, sf, 3)
     base = rows.groupBy("cell").agg(F.array(*[F.avg((F.col("place") <= k).cast("double")) for k in range(7)]).alias("base"))
-    rows = rows.join(base, "cell")
+    rows = rows.join(base, "cell").select("cell", "q", "y", "place", "base")
     steps = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")
-    long = rows.select("cell", "row", "q", "y", "place", "base", steps).withColumn("t", F.col("k") / 6.0).withColumn("residual", (F.col("place") <= F.col("k")).cast("double") - F.get("base", F.col("k")))
+    long = rows.select("*", steps).withColumn("t", F.col("k") / 6.0).withColumn("residual", (F.col("place") <= F.col("k")).cast("double") - F.get("base", F.col("k")))
     d = trees.Boosting(3, False, trees=2, depth=3, rate=0.5, bins=16, least_rows=20)
-    scored = trees.boosted_score(long, trees.boosted_fits(long, ["cell"], ["q", "y", "t"], "residual", d), ["cell"], ["q", "y", "t"], d)
-    residual = F.transform(F.array_sort(F.collect_list(F.struct("k", "prediction"))), lambda s: s["prediction"])
-    one = scored.groupBy("cell", "row").agg(F.concat(residual, F.array(F.lit(0.0))).alias("residual"), F.first("base").alias("base"), F.first("place").alias("place"))
+    fitted = trees.boosted_fits(long, ["cell"], ["q", "y", "t"], "residual", d)
+    one = trees.boosted_score(rows, fitted, ["cell"], ["q", "y", "t"], d, over=("t", [k / 6.0 for k in range(6)]))
+    one = one.withColumn("residual", F.concat("prediction", F.array(F.lit(0.0))))
     pmf = one.select("cell", "place", models.residual_pmf(F.col("residual"), F.col("base")).alias("pmf"))
     rps = fn.total(F.transform(fn.cumulative(F.col("pmf")), lambda c, i: F.pow(c - (F.col("place") <= i).cast("double"), F.lit(2.0))))
     return rounded(pmf.groupBy("cell").agg(F.count("*").alias("n"), F.avg(rps).alias("rps")), 6)

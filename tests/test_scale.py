@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldlens.operators import conformal
+from fieldlens.operators import conformal, trees
 from fieldlens.plans import queries_products
 
 
@@ -33,3 +33,19 @@ def test_local_padding_keeps_rows_whatever_order_calibration_rows_arrive_in(spar
         assert out.where(F.col("padding").isNotNull()).select("row").distinct().count() == 400
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_scores_at_thresholds_are_those_of_the_long_rows(spark):
+    """One row with an array of predictions, as the same rows once for each threshold have them."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, k % 2, rng.random() if k % 50 else None, rng.randrange(4)) for k in range(600)], "row int, cell int, q double, place int")
+    long = df.withColumn("t", F.explode(F.array(*[F.lit(k / 3.0) for k in range(3)]))).withColumn("y", (F.col("place") <= F.col("t") * 3).cast("double"))
+    d = trees.Boosting(2, False, trees=2, depth=2, rate=0.5, bins=8, least_rows=5)
+    fits = trees.boosted_fits(long.where("cell = 0"), ["cell"], ["t", "q"], "y", d)
+    want = {}
+    for r in trees.boosted_score(long, fits, ["cell"], ["t", "q"], d).orderBy("row", "t").collect():
+        want.setdefault(r.row, []).append(r.prediction)
+    out = trees.boosted_score(df, fits, ["cell"], ["t", "q"], d, over=("t", [k / 3.0 for k in range(3)]))
+    got = {r.row: r.prediction for r in out.collect()}
+    assert len(got) == 600 and got[1] is None and got[0] is None
+    assert all(v == (None if None in want[k] else want[k]) for k, v in got.items()) and len({tuple(v) for v in got.values() if v}) > 1
