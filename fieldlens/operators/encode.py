@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
+from fieldlens.sources.steps import written
 
 
 def standardize(df: DataFrame, by: list[str], train: Column, columns: list[str]) -> DataFrame:
@@ -61,8 +62,9 @@ def raster_scaler(raster: DataFrame, by: list[str], train: Column, channels: lis
 
 
 def scaled_raster(raster: DataFrame, scaler: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
-    """Occupied cells with scaled channels ``z_<channel>``; deviations of 1e-8 or less count as 1. Empty cells stay 0, which is no row (ENC-5)."""
-    both = raster.join(scaler, by) if by else raster.crossJoin(F.broadcast(scaler))  # one row
+    """Occupied cells with scaled channels ``z_<channel>``; deviations of 1e-8 or less count as 1. Empty cells stay 0, which is no row (ENC-5).
+    The scaler is written first, so that its size is known: few cells of ``by`` are sent to the raster, which isn't dealt out by them."""
+    both = raster.join(written(scaler), by) if by else raster.crossJoin(F.broadcast(scaler))  # one row
     scale = lambda c: F.when(F.col(f"{c}_sd") > 1e-8, F.col(f"{c}_sd")).otherwise(1.0)
     return both.select(*raster.columns, *[((F.col(c) - F.col(f"{c}_mean")) / scale(c)).alias(f"z_{c}") for c in channels])
 

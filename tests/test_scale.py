@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldlens.operators import conformal, trees
+from fieldlens.operators import conformal, encode, trees
 from fieldlens.plans import queries_products
 
 
@@ -49,3 +49,11 @@ def test_scores_at_thresholds_are_those_of_the_long_rows(spark):
     got = {r.row: r.prediction for r in out.collect()}
     assert len(got) == 600 and got[1] is None and got[0] is None
     assert all(v == (None if None in want[k] else want[k]) for k, v in got.items()) and len({tuple(v) for v in got.values() if v}) > 1
+
+
+def test_raster_is_not_dealt_out_by_the_scalers_cells(spark):
+    cells = spark.range(0, 2000, 1, 8).select((F.col("id") % 2).alias("half"), (F.col("id") % 7).cast("double").alias("v"), "id")
+    scaler = encode.raster_scaler(cells, ["half"], F.col("id") > 10, ["v"], F.countDistinct("id"), (2, 2))
+    out = encode.scaled_raster(cells, scaler, ["half"], ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2000 and "BroadcastHashJoin" in plan and "hashpartitioning(half" not in plan
