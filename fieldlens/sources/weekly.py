@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +44,25 @@ def read_weekly(spark: SparkSession, folder: str, schema: T.StructType, required
     return rows.withColumn("week", F.regexp_extract(name, _WEEK, 1).cast("int"))
 
 
-def write_bounded(df: DataFrame, path: str, partition: list[str], sort: list[str], rows_per_file: int, rows_per_task: int = 5_000_000) -> None:
+def write_bounded(df: DataFrame, path: str, partition: list[str], sort: list[str], rows_per_file: int, rows_per_task: int = 5_000_000, files_per_task: int = 200) -> None:
     """Parquet by ``partition`` columns, sorted within files of ``rows_per_file`` rows at most (SNK-1 to SNK-3).
 
-    Partitions that ``df`` has are replaced, others stay. A partition with many rows is dealt over tasks, as many as its rows ask for; a small
-    one is one task's, so files are few.
+    Partitions that ``df`` has are replaced, others stay. A partition with many rows is dealt over tasks, as many as its rows and files ask for; a small
+    one is one task's. All tasks but a partition's last have whole files, so that it has no more files than its rows fill: rows are numbered within lanes of a
+    partition, a lane beginning where those before it end.
     """
-    sizes = df.groupBy(*partition).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("__tasks"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in partition]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    dealt = df.alias("d").join(sizes.alias("s"), on).select("d.*", F.pmod(F.xxhash64(*[F.col(f"d.{c}") for c in sort]), "__tasks").alias("__task"))
+    span = rows_per_file * max(1, min(rows_per_task // rows_per_file, files_per_task))
+
+    def on(columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in columns])
+
+    sizes = df.groupBy(*partition).agg(F.ceil(F.count("*") / span).alias("__lanes"))
+    lanes = df.alias("d").join(sizes.alias("s"), on(partition)).select("d.*", F.pmod(F.xxhash64(*[F.col(f"d.{c}") for c in sort]), "__lanes").alias("__lane"))
+    ahead = Window.partitionBy(*partition).orderBy("__lane")
+    starts = lanes.groupBy(*partition, "__lane").agg(F.count("*").alias("__n")).withColumn("__start", F.sum("__n").over(ahead) - F.col("__n")).drop("__n")
+    placed = lanes.withColumn("__place", F.row_number().over(Window.partitionBy(*partition, "__lane").orderBy(*sort)))
+    task = F.floor((F.col("__start") + F.col("__place") - 1) / span).alias("__task")
+    dealt = placed.alias("d").join(starts.alias("s"), on([*partition, "__lane"])).select(*[F.col(f"d.{c}") for c in df.columns], task)
     clustered = dealt.repartition(*partition, "__task").sortWithinPartitions(*partition, *sort).drop("__task")
     clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy(*partition).parquet(path)
 

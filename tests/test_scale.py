@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.operators import conformal, encode, trees
 from fieldlens.plans import queries_products
+from fieldlens.sources import weekly
 
 
 def test_replayed_metrics_are_those_registered(spark):
@@ -57,3 +58,17 @@ def test_raster_is_not_dealt_out_by_the_scalers_cells(spark):
     out = encode.scaled_raster(cells, scaler, ["half"], ["v"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 2000 and "BroadcastHashJoin" in plan and "hashpartitioning(half" not in plan
+
+
+def test_many_tasks_of_a_week_leave_no_more_files_than_its_rows_fill(spark, tmp_path):
+    path = str(tmp_path / "out")
+    week = F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("int")).alias("week")
+    df = spark.range(0, 3000, 1, 5).select(week, (F.col("id") % 400).alias("play"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        weekly.write_bounded(df, path, ["week"], ["play"], 30, rows_per_task=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    out = spark.read.parquet(path)
+    assert sorted((r.week or 0, r.files, r.rows, r.most) for r in weekly.files_of(out, ["week"]).collect()) == [(0, 34, 1000, 30), (1, 34, 1000, 30), (2, 34, 1000, 30)]
+    assert sorted(r.id for r in out.collect()) == list(range(3000))
