@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,37 +134,56 @@ def influence(dx: Column, dy: Column, speed: Column, heading: Column, radius: fl
     return F.exp(-0.5 * ((u / along) ** 2 + (v / across) ** 2)) / (2 * math.pi * along * across)
 
 
+def _clipped_areas(x: np.ndarray, y: np.ndarray, n: np.ndarray, sx: np.ndarray, sy: np.ndarray, box: tuple[float, float]) -> np.ndarray:
+    """cell_area() of a batch of rows, of which row i has the next ``n[i]`` of the sites (sx, sy): all rows' polygons are clipped by their k-th
+    bisector at once, for k = 0, 1, ... A site with a missing coordinate leaves nothing of the cell."""
+    first, rows = np.cumsum(n) - n, len(x)
+    px, py, size = np.tile(np.array([0.0, box[0], box[0], 0.0]), (rows, 1)), np.tile(np.array([0.0, 0.0, box[1], box[1]]), (rows, 1)), np.full(rows, 4)
+    for k in range(int(n.max(initial=0))):
+        live = np.flatnonzero((n > k) & (size > 0))
+        if not len(live):
+            break
+        ox, oy, tx, ty, m = x[live], y[live], sx[first[live] + k], sy[first[live] + k], size[live][:, None]
+        a, b, c = (tx - ox)[:, None], (ty - oy)[:, None], ((tx * tx - ox * ox + ty * ty - oy * oy) / 2)[:, None]
+        at = np.arange(int(m.max()))
+        p, q, there, following = px[live, : len(at)], py[live, : len(at)], at < m, np.where(at + 1 < m, at + 1, 0)
+        f = a * p + b * q - c  # at most 0 on the near side
+        g, near = np.take_along_axis(f, following, 1), f <= 0
+        cross = there & (((f < 0) & ~(g <= 0)) | (~near & (g < 0)))
+        t = np.divide(f, f - g, out=np.zeros_like(f), where=cross)
+        both = np.stack([near & there, cross], axis=2).reshape(len(live), -1)  # a vertex, then the crossing behind it
+        to, count = np.cumsum(both, axis=1) - 1, both.sum(axis=1)
+        width = int(count.max())
+        if width > px.shape[1]:
+            px, py = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (px, py))
+        i, j = np.nonzero(both)
+        for all_, v in ((px, p), (py, q)):
+            ends = np.stack([v, v + t * (np.take_along_axis(v, following, 1) - v)], axis=2).reshape(len(live), -1)
+            all_[live[i], to[i, j]] = ends[i, j]
+        size[live] = count
+    total = np.zeros(rows)
+    for k in range(px.shape[1]):
+        after = np.where(k + 1 < size, min(k + 1, px.shape[1] - 1), 0)
+        term = px[:, k] * py[np.arange(rows), after] - px[np.arange(rows), after] * py[:, k]
+        total = total + np.where(k < size, term, 0.0)
+    return np.abs(total) / 2
+
+
 def cell_area(x: Column, y: Column, sites: Column, box: tuple[float, float] = (120.0, 53.0)) -> Column:
-    """Area of the part of the box that is nearer to (x, y) than to any of ``sites`` (array<struct<x, y>>) (FEAT-12).
+    """Area of the part of the box that is nearer to (x, y) than to any of ``sites`` (array<struct<x, y>>) (FEAT-12); null where ``sites`` is.
 
-    The box, as a polygon, is clipped by one perpendicular bisector after the other; then the shoelace formula.
+    The box, as a polygon, is clipped by one perpendicular bisector after the other; then the shoelace formula. A task takes Arrow batches of rows.
     """
-    point = lambda a, b: F.struct(F.lit(a).cast("double").alias("x"), F.lit(b).cast("double").alias("y"))
-    start = F.array(point(0, 0), point(box[0], 0), point(box[0], box[1]), point(0, box[1]))
-
-    def clip(poly: Column, s: Column) -> Column:
-        a, b = s["x"] - x, s["y"] - y
-        c = (s["x"] * s["x"] - x * x + s["y"] * s["y"] - y * y) / 2
-        side = lambda p: a * p["x"] + b * p["y"] - c  # noqa: E731  at most 0 on the near side
-        following = F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1))
-        edges = F.zip_with(poly, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-        def cut(e: Column) -> Column:
-            p, q = e["p"], e["q"]
-            f, g = side(p), side(q)
-            t = f / (f - g)
-            cross = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-            keep = F.when(f <= 0, F.array(p)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-            more = F.when(((f < 0) & (g > 0)) | ((f > 0) & (g < 0)), F.array(cross)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-            return F.concat(keep, more)
-
-        return F.when(F.size(poly) == 0, poly).otherwise(F.flatten(F.transform(edges, cut)))
-
-    def area(poly: Column) -> Column:
-        ring = F.concat(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.slice(poly, 1, 1))
-        return F.abs(fn.total(F.zip_with(poly, ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2
-
-    return fn.let(F.aggregate(sites, start, clip), area)  # bound, so that the fold runs once
+    number = lambda v: pc.fill_null(v.cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+
+    @F.arrow_udf("double")
+    def areas(x: pa.Array, y: pa.Array, sites: pa.Array) -> pa.Array:
+        n, each = pc.fill_null(pc.list_value_length(sites), 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(sites)
+        with np.errstate(all="ignore"):
+            out = _clipped_areas(number(x), number(y), n, number(pc.struct_field(each, "x")), number(pc.struct_field(each, "y")), box)
+        return pa.array(out, pa.float64(), mask=pc.is_null(sites).to_numpy(zero_copy_only=False))
+
+    return areas(x, y, sites)
 
 
 def carrier_area(x: Column, y: Column, others: Column, trail: float = 10.0, box: tuple[float, float] = (120.0, 53.0)) -> Column:

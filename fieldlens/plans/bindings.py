@@ -43,11 +43,12 @@ MARKS = """marks AS (
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracking rows from lineitem: play = order, frame = line number, object = supplier; one row per key."""
+    """Tracking rows from lineitem: play = order, frame = line number, object = supplier; one row per key. Rows are dealt by play, so that what groups by
+    play and more needs no further shuffle."""
     from fieldlens.operators.frames import first_occurrence
 
     l_ = first_occurrence(
-        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey"],
+        table(spark, sf_dir, "lineitem").repartition("l_orderkey"), ["l_orderkey", "l_linenumber", "l_suppkey"],
         ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     )
     return l_.select(
@@ -113,18 +114,19 @@ PMFS = """raw AS (
 
 def scrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with several objects, from lineitem: play = eight orders, frame = line number, object = order; one row per key.
-    The last order of a play is the ball, the first of the red side holds it; blue defends."""
+    The last order of a play is the ball, the first of the red side holds it; blue defends. Rows are dealt by play and sorted by play and frame, so that
+    what groups by these needs no further shuffle or sort."""
     from fieldlens.operators.frames import first_occurrence
 
     l_ = first_occurrence(
-        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"],
+        table(spark, sf_dir, "lineitem").withColumn("play", F.floor(F.col("l_orderkey") / 8)).repartition("play"), ["play", "l_linenumber", "l_orderkey"],
         ["l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     )
     at = F.col("l_orderkey") % 8
     names = F.array(*[F.lit(p) for p in ("QB", "WR", "TE", "RB", "OL", "DE", "ILB", "CB", "K", "XX")])
     side = F.when(at == 7, "football").when(at < 4, "red").otherwise("blue")
     return l_.select(
-        F.floor(F.col("l_orderkey") / 8).alias("play"), F.col("l_linenumber").alias("frame"), F.col("l_orderkey").alias("obj"), side.alias("team"),
+        "play", F.col("l_linenumber").alias("frame"), F.col("l_orderkey").alias("obj"), side.alias("team"),
         F.get(names, (F.col("l_partkey") % 10).cast("int")).alias("position"), (F.col("l_quantity") * 2).alias("x"), (F.col("l_extendedprice") / 2000).alias("y"),
         (F.col("l_tax") * 100).alias("s"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 10).alias("a"), (F.col("l_partkey") % 360).cast("double").alias("dir"),
         F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_suppkey") * 7 % 360).cast("double")).alias("o"), F.when(F.floor(F.col("l_orderkey") / 8) % 2 == 0, "left").otherwise("right").alias("playDirection"),

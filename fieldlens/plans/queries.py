@@ -447,8 +447,8 @@ def feat11_influence(spark, sf):
 def feat12_cell_area(spark, sf):
     t = b.tracking(spark, sf)
     site = F.struct("obj", F.struct("x", "y").alias("at"))
-    per = t.groupBy("play", "frame").agg(F.collect_list(site).alias("sites"))
-    j = t.join(per, ["play", "frame"])
+    per = t.groupBy("play", "frame").agg(F.collect_list(site).alias("sites"))  # a frame's objects meet in one row
+    j = per.withColumn("own", F.explode("sites")).select("play", "frame", "sites", "own.obj", "own.at.x", "own.at.y")
     others = F.transform(F.filter("sites", lambda s: s["obj"] != F.col("obj")), lambda s: s["at"])
     return rounded(j.select("play", "frame", "obj", (geometry.carrier_area(F.col("x"), F.col("y"), others) + 0.0000123).alias("area")), 3)  # off the ties of rounding
 

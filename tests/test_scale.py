@@ -1,11 +1,13 @@
 """Results that must not hang on the order in which rows arrive, and work of one task that must not grow with the table."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import conformal, encode, trees
-from fieldlens.plans import queries_products
+from fieldlens.operators import conformal, encode, geometry, trees
+from fieldlens.plans import queries, queries_products
 from fieldlens.sources import weekly
 
 
@@ -72,3 +74,32 @@ def test_many_tasks_of_a_week_leave_no_more_files_than_its_rows_fill(spark, tmp_
     out = spark.read.parquet(path)
     assert sorted((r.week or 0, r.files, r.rows, r.most) for r in weekly.files_of(out, ["week"]).collect()) == [(0, 34, 1000, 30), (1, 34, 1000, 30), (2, 34, 1000, 30)]
     assert sorted(r.id for r in out.collect()) == list(range(3000))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _area(x, y, sites, box=(120.0, 53.0)):
+    poly = [(0.0, 0.0), (box[0], 0.0), box, (0.0, box[1])]
+    for sx, sy in sites:
+        side = lambda p: (sx - x) * p[0] + (sy - y) * p[1] - (sx * sx - x * x + sy * sy - y * y) / 2
+        new = []
+        for p, q in zip(poly, poly[1:] + poly[:1]):
+            f, g = side(p), side(q)
+            new += [p] * (f <= 0) + ([(p[0] + f / (f - g) * (q[0] - p[0]), p[1] + f / (f - g) * (q[1] - p[1]))] if f * g < 0 else [])
+        poly = new
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1]))) / 2
+
+
+def test_areas_of_a_batch_match_plain_clipping_and_take_one_shuffle(spark):
+    """Rows of one batch with 0 to 21 sites, some on the edge, some at the object itself, some without sites; no fold over arrays in the plan."""
+    rng = random.Random(4)
+    at = lambda: rng.choice([(rng.uniform(0, 120), rng.uniform(0, 53)), (float(rng.randrange(0, 121, 40)), 0.0)])
+    rows = [(k, *at(), [at() for _ in range(rng.choice([0, 1, 3, 21]))] if k % 50 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, sites array<struct<x:double,y:double>>").coalesce(1)
+    out = df.withColumn("area", geometry.cell_area(F.col("x"), F.col("y"), F.col("sites")))
+    for r in out.collect():
+        assert (r.area is None) == (r.sites is None) and (r.sites is None or r.area == pytest.approx(_area(r.x, r.y, r.sites), abs=1e-6))
+    plan = _plan(queries.QUERIES["feat12_cell_area"](spark, "/root/testdata/sf0.001"))
+    assert "aggregate(" not in plan and len(re.findall(r"\bExchange ", plan)) == 1
