@@ -103,3 +103,8 @@ def test_areas_of_a_batch_match_plain_clipping_and_take_one_shuffle(spark):
         assert (r.area is None) == (r.sites is None) and (r.sites is None or r.area == pytest.approx(_area(r.x, r.y, r.sites), abs=1e-6))
     plan = _plan(queries.QUERIES["feat12_cell_area"](spark, "/root/testdata/sf0.001"))
     assert "aggregate(" not in plan and len(re.findall(r"\bExchange ", plan)) == 1
+
+
+def test_defender_features_take_one_shuffle(spark):
+    plan = _plan(queries.QUERIES["feat10_defender_features"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"\bExchange ", plan)) == 1
