@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,8 @@ def ridge_fit(moments: DataFrame, by: list[str], size: int, penalty: float) -> D
 
 
 def linear_score(df: DataFrame, beta: DataFrame, by: list[str], x: list[str]) -> DataFrame:
-    """Adds ``prediction`` from a cell's coefficients (ML-9)."""
-    terms = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in x])
-    return df.join(beta, by).withColumn("prediction", fn.total(F.zip_with(terms, "beta", lambda a, b: a * b))).drop("beta")
+    """Adds ``prediction`` from a cell's coefficients (ML-9). The coefficients are written first, so that their size is known: they are sent to the
+    rows, which aren't dealt out by cell."""
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
+    value = reduce(lambda a, b: a + b, [F.lit(0.0), *[t * F.get("beta", F.lit(i)) for i, t in enumerate(terms)]])
+    return df.join(written(beta), by).withColumn("prediction", value).drop("beta")

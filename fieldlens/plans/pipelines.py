@@ -69,9 +69,9 @@ def handoff_cohort(
 
 def framewise_scoring(rows: DataFrame, train: Column, keys: list[str], frame: str, x: list[str], y: str, penalty: float, threshold: float, run: int) -> DataFrame:
     """Score every frame of every key with a ridge model of the training rows and run the automaton over the scores
-    (PIPE-8): opportunities and misses by key."""
-    all_rows = rows.withColumn("__cell", F.lit(1))
-    beta = encode.ridge_fit(encode.ridge_moments(all_rows.where(train), ["__cell"], x, y), ["__cell"], len(x) + 1, penalty)
+    (PIPE-8): opportunities and misses by key. The fit and the scores read the same features, which are made once and written."""
+    all_rows = written(rows.select(*dict.fromkeys([*keys, frame, *x, y]), train.alias("__train"), F.lit(1).alias("__cell")))
+    beta = encode.ridge_fit(encode.ridge_moments(all_rows.where("__train"), ["__cell"], x, y), ["__cell"], len(x) + 1, penalty)
     scored = encode.linear_score(all_rows, beta, ["__cell"], x)
     return automaton.opportunities(scored, keys, frame, "prediction", threshold, run)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlens.operators import conformal, encode, geometry, trees
-from fieldlens.plans import queries, queries_products
+from fieldlens.plans import pipelines, queries, queries_products
 from fieldlens.sources import weekly
 
 
@@ -108,3 +108,10 @@ def test_areas_of_a_batch_match_plain_clipping_and_take_one_shuffle(spark):
 def test_defender_features_take_one_shuffle(spark):
     plan = _plan(queries.QUERIES["feat10_defender_features"](spark, "/root/testdata/sf0.001"))
     assert len(re.findall(r"\bExchange ", plan)) == 1
+
+
+def test_framewise_scoring_makes_features_once_and_deals_out_no_cell(spark):
+    rows = spark.createDataFrame([(k, f, k * f % 7 / 7.0, float(f > 3)) for k in range(20) for f in range(8)], "k int, f int, a double, y double")
+    made = rows.mapInPandas(lambda batches: batches, rows.schema)
+    plan = _plan(pipelines.framewise_scoring(made, F.col("k") % 2 == 0, ["k"], "f", ["a"], "y", 1.0, 0.3, 2))
+    assert "MapInPandas" not in plan and "hashpartitioning(__cell" not in plan and "SortMergeJoin" not in plan
