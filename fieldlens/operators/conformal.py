@@ -22,6 +22,8 @@ from fieldlens.sources.steps import written
 RANGES, RANGE_SCORES = 256, 4096
 #: Calibration rows, and test points, in a block of local_padding().
 PADDING_BLOCK = 512
+#: Sums of weights, one for each point of a block and score, that a task of local_padding() holds before it passes them on.
+PADDING_HELD = 1 << 21
 
 
 def central_interval(pmf: Column, alpha: float) -> tuple[Column, Column]:
@@ -152,8 +154,9 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
     """Test rows with ``padding``: the weighted quantile of a cell's calibration scores, weighted by a Gaussian of the
     scaled feature distance whose bandwidth is the distance of the k-th neighbour (CAL-4, JN-18, FN-19).
 
-    Calibration rows and test points, each counted once, meet in pairs of bounded blocks: first the k nearest
-    distances of each block are merged to the bandwidth, then weights are summed by score. Points are known by their scaled features, so the
+    Calibration rows and test points, each counted once, meet in pairs of bounded blocks. A block of points meets the calibration blocks one after the
+    other, and what it has of them is merged as they come: the k nearest distances, which make the bandwidth, then weights summed by score. So what leaves
+    a task doesn't grow with the number of calibration blocks, and a task holds one pair. Points are known by their scaled features, so the
     scales are written: a deviation that is had again, its parts added in another order, differs in the last bit, and rows would not find their point."""
     scale = written(calibration.groupBy(*by).agg(F.count("*").alias("__n"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features]))
     unit = lambda f: F.when(F.col(f"s_{f}") > 1e-12, F.col(f"s_{f}")).otherwise(1.0)
@@ -169,12 +172,13 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
         return dealt.groupBy(*by, "part").agg(F.collect_list(F.struct(*item)).alias("rows"), F.first("parts").alias("parts"))
 
     there = blocks(cal, ["v", "x", "m"]).withColumnRenamed("rows", "cal")
-    lanes = there.groupBy(*by).agg(F.first("parts").alias("lanes"))
 
     def met(rows: DataFrame, item: list[str]) -> DataFrame:
-        """Each block of points with each block of the cell's calibration rows."""
-        asked = blocks(rows, item).drop("part", "parts").join(lanes, by).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
-        return there.drop("parts").join(asked.drop("lanes"), [*by, "part"]).select(*by, "cal", "rows")
+        """Each block of points with each block of the cell's calibration rows; merged by key, so that a block's pairs follow each other."""
+        asked = blocks(rows, item).withColumnRenamed("part", "block")
+        lanes = asked.groupBy(*by).agg(F.first("parts").alias("lanes"))
+        sent = there.drop("part", "parts").join(lanes, by).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
+        return sent.drop("lanes").join(asked.drop("parts").hint("merge"), [*by, "block"]).select(*by, "cal", "rows", "block")
 
     n_by = len(by)
 
@@ -188,31 +192,63 @@ def local_padding(calibration: DataFrame, test: DataFrame, by: list[str], featur
 
     def table(batch: pa.RecordBatch, k: int, rows: pa.Array, of: np.ndarray, more: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
         own = [batch.column(c).take(pa.array(np.full(len(of), k))) for c in range(n_by)]
-        return pa.RecordBatch.from_arrays([*own, rows.field("x").take(pa.array(of)), *[pa.array(y) for y in more]], [*by, "x", *names])
+        return pa.RecordBatch.from_arrays([*own, rows.field("x").take(pa.array(of)), *[y if isinstance(y, pa.Array) else pa.array(y) for y in more]], [*by, "x", *names])
 
-    def nearest(batches):
+    def pairs(batches):
+        """(batch, row in it, whether the pair before was of the same block of points)."""
+        last = None
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, cal_, d2 = sides(batch, i)
-                d2 = np.repeat(d2, np.minimum(np.asarray(cal_.field("m")), k), axis=1)
-                d2 = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, :k]
-                yield table(batch, i, rows, np.repeat(np.arange(len(d2)), d2.shape[1]), [d2.reshape(-1)], ["d2"])
+                key = [batch.column(c)[i].as_py() for c in (*range(n_by), n_by + 2)]
+                yield batch, i, key == last
+                last = key
+
+    def nearest(batches):
+        held = None
+
+        def done(batch, i, rows, best):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1) * best.shape[1], pa.int32()), pa.array(best.reshape(-1)))
+            return table(batch, i, rows, np.arange(len(best)), [lists], ["d2"])
+
+        for batch, i, same in pairs(batches):
+            rows, cal_, d2 = sides(batch, i)
+            d2 = np.repeat(d2, np.minimum(np.asarray(cal_.field("m")), k), axis=1)
+            if same:
+                d2 = np.concatenate([held[-1], d2], axis=1)
+            elif held:
+                yield done(*held)
+            held = batch, i, rows, np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, :k]
+        if held:
+            yield done(*held)
 
     def weights(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, cal_, d2 = sides(batch, i)
-                w = np.exp(-d2 / (2 * np.asarray(rows.field("band"))[:, None])) * np.asarray(cal_.field("m"))
-                values, which = np.unique(np.asarray(cal_.field("v")), return_inverse=True)
-                sums = np.zeros((len(values), len(w)))
-                np.add.at(sums, which, w.T)
-                yield table(batch, i, rows, np.repeat(np.arange(len(w)), len(values)), [np.tile(values, len(w)), sums.T.reshape(-1)], ["v", "w"])
+        held = None
+
+        def done(batch, i, rows, values, sums):
+            return table(batch, i, rows, np.repeat(np.arange(sums.shape[1]), len(values)), [np.tile(values, sums.shape[1]), sums.T.reshape(-1)], ["v", "w"])
+
+        for batch, i, same in pairs(batches):
+            rows, cal_, d2 = sides(batch, i)
+            w = np.exp(-d2 / (2 * np.asarray(rows.field("band"))[:, None])) * np.asarray(cal_.field("m"))
+            own = np.asarray(cal_.field("v"))
+            before = held[3] if same else np.zeros(0)
+            values = np.union1d(before, own)
+            if held and (not same or len(values) * len(w) > PADDING_HELD):
+                yield done(*held)
+                before, values = np.zeros(0), np.unique(own)
+            sums = np.zeros((len(values), len(w)))
+            if len(before):
+                sums[np.searchsorted(values, before)] = held[4]
+            np.add.at(sums, np.searchsorted(values, own), w.T)
+            held = batch, i, rows, values, sums
+        if held:
+            yield done(*held)
 
     types = {f.name: f.dataType.simpleString() for f in calibration.schema}
     named = "".join(f"`{c}` {types[c]}, " for c in by) + "x array<double>, "
-    near = met(points, ["x"]).mapInArrow(nearest, f"{named}d2 double")
-    place = F.row_number().over(Window.partitionBy(*by, "x").orderBy("d2"))
-    band = near.withColumn("place", place).where(F.col("place") <= k).groupBy(*by, "x").agg(F.greatest(F.max("d2"), F.lit(1e-12)).alias("band"))
+    near = met(points, ["x"]).mapInArrow(nearest, f"{named}d2 array<double>")
+    merged = near.groupBy(*by, "x").agg(F.sort_array(F.flatten(F.collect_list("d2"))).alias("d2"))
+    band = merged.select(*by, "x", F.greatest(F.array_max(F.slice("d2", 1, k)), F.lit(1e-12)).alias("band"))
     sums = met(band, ["x", "band"]).mapInArrow(weights, f"{named}v double, w double").groupBy(*by, "x", "v").agg(F.sum("w").alias("w"))
     own = Window.partitionBy(*by, "x")
     level = F.least(F.lit(1.0), (1 - alpha) * (F.col("__n") + 1) / F.col("__n"))

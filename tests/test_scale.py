@@ -115,3 +115,16 @@ def test_framewise_scoring_makes_features_once_and_deals_out_no_cell(spark):
     made = rows.mapInPandas(lambda batches: batches, rows.schema)
     plan = _plan(pipelines.framewise_scoring(made, F.col("k") % 2 == 0, ["k"], "f", ["a"], "y", 1.0, 0.3, 2))
     assert "MapInPandas" not in plan and "hashpartitioning(__cell" not in plan and "SortMergeJoin" not in plan
+
+
+def test_local_padding_passes_on_one_row_a_point_whatever_the_blocks(spark, monkeypatch):
+    """Nearest distances and weights of many calibration blocks are merged in the task; scores of which a task holds few give the same paddings."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, k % 2, k % 3 == 0, rng.random(), rng.random(), rng.random() * 9) for k in range(600)], "row int, cell int, test boolean, a double, b double, score double")
+    run = lambda: conformal.local_padding(df.where("not test"), df.where("test"), ["cell"], ["a", "b"], "score", 0.1, 20)
+    want = {r.row: r.padding for r in run().collect()}
+    monkeypatch.setattr(conformal, "PADDING_BLOCK", 16)
+    merged = run()
+    assert "row_number" not in _plan(merged) and {r.row: r.padding for r in merged.collect()} == want and len(want) == 200
+    monkeypatch.setattr(conformal, "PADDING_HELD", 300)
+    assert {r.row: r.padding for r in run().collect()} == want
