@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import scalars as fn
-from fieldlens.operators import frames, geometry
+from fieldlens.operators import geometry
 
 #: The features of a defender, in the order in which models take them.
 FEATURES = ["carrier_speed", "rel_vx", "rel_vy", "distance", "attack_cosine", "cell_area", "team_influence", "blocker_influence", "is_run"]
@@ -67,22 +67,25 @@ def tackle_cohort(
     inside the active window (start marker plus ``delay`` to the first stop marker); a missed one, or with ``closest`` any, at the
     first frame of least distance to the carrier. The state is ``back`` frames earlier. status: ``missing_tracking``
     (no active frame), ``missing_event`` (no stop frame, several, or never seen with the carrier), ``too_early`` (state at or before 0 or outside
-    the active window), else ``kept``.
+    the active window), else ``kept``. Rows are read once and grouped by play, or by play and more, so one shuffle by play serves all of it.
     """
     asked = candidates.select(play, obj, "label").distinct()
-    own = rows.join(asked.select(play).distinct(), play, "left_semi")
-    window = frames.active_window(own, play, frame, marker, start, stop, delay)
-    active = own.join(window.select(play, "start_frame", "end_frame"), play).where(F.col(frame).between(F.col("start_frame"), F.col("end_frame")))
-    stops = active.groupBy(play).agg(
-        F.countDistinct(F.when(F.lower(F.col(marker)).isin(*stop), F.col(frame))).alias("__n"), F.min(F.when(F.lower(F.col(marker)).isin(*stop), F.col(frame))).alias("__stop"),
-        F.min(frame).alias("__first"),
+    name, f = F.lower(F.col(marker)), F.col(frame)
+    by = Window.partitionBy(play)
+    held = F.collect_list(F.when(carrier, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).over(Window.partitionBy(play, frame))  # of a frame's carriers
+    own = rows.select(play, frame, obj, name.alias("__name"), F.col(x).alias("__x"), F.col(y).alias("__y"), held.alias("__held"))
+    first = F.coalesce(F.min(F.when(F.col("__name").isin(*start), f)).over(by) + delay, F.min(frame).over(by))
+    last = F.coalesce(F.min(F.when(F.col("__name").isin(*stop), f)).over(by), F.max(frame).over(by))
+    active = own.withColumns({"__from": first, "__to": last}).where(f.between(F.col("__from"), F.col("__to")))
+    apart = lambda c: F.struct(((F.col("__x") - c["x"]) ** 2 + (F.col("__y") - c["y"]) ** 2).alias("d2"), f.alias("f"))
+    each = active.groupBy(play, obj).agg(
+        F.min(F.array_min(F.transform("__held", apart)))["f"].alias("f"), F.collect_set(frame).alias("frames"), F.collect_set(F.when(F.col("__name").isin(*stop), f)).alias("stops")
     )
-    held = active.where(carrier).select(play, frame, F.col(x).alias("__cx"), F.col(y).alias("__cy"))
-    near = active.join(asked.select(play, obj), [play, obj], "left_semi").join(held, [play, frame])
-    d2 = (F.col(x) - F.col("__cx")) ** 2 + (F.col(y) - F.col("__cy")) ** 2
-    near = near.groupBy(play, obj).agg(F.min(F.struct(d2.alias("d2"), F.col(frame).alias("f")))["f"].alias("__near"))
-    seen = active.groupBy(play).agg(F.collect_set(frame).alias("__frames"))  # a play's frames
-    out = asked.join(stops, play, "left").join(near, [play, obj], "left").join(seen, play, "left")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    seen = each.groupBy(play).agg(F.collect_list(F.struct(F.col(obj).alias("o"), "f")).alias("__each"), every("frames").alias("__frames"), every("stops").alias("__stops"))
+    out = asked.join(seen, play, "left").withColumns({
+        "__near": F.get(F.filter("__each", lambda e: e["o"] == F.col(obj)), F.lit(0))["f"], "__n": F.size("__stops"), "__stop": F.array_min("__stops"), "__first": F.array_min("__frames")
+    })
     made = F.when(F.col("__n") == 1, F.col("__stop"))
     event = F.col("__near") if closest else F.when(F.col("label") == 1, made).otherwise(F.col("__near"))
     out = out.withColumn("event_frame", event).withColumn("state_frame", F.col("event_frame") - back)

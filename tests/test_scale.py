@@ -128,3 +128,8 @@ def test_local_padding_passes_on_one_row_a_point_whatever_the_blocks(spark, monk
     assert "row_number" not in _plan(merged) and {r.row: r.padding for r in merged.collect()} == want and len(want) == 200
     monkeypatch.setattr(conformal, "PADDING_HELD", 300)
     assert {r.row: r.padding for r in run().collect()} == want
+
+
+def test_a_tackle_cohort_shuffles_rows_and_candidates_once(spark):
+    plan = _plan(queries.QUERIES["pipe5_tackle_cohort"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"\bExchange ", plan)) == 2
