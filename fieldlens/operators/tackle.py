@@ -96,6 +96,7 @@ def tackle_cohort(
 
 
 def state_before(rows: DataFrame, events: DataFrame, play: str, frame: str, event: str, back: int) -> DataFrame:
-    """The rows of the frame ``back`` frames before each play's event, where that frame is over 0 (WIN-7)."""
-    at = events.select(play, (F.col(event) - back).alias(frame)).where(F.col(frame) > 0)
-    return rows.join(at, [play, frame])
+    """The rows of the frame ``back`` frames before each play's event, where that frame is over 0 (WIN-7). Plays meet once, and
+    frames are compared as a difference, which is no key to deal rows by again."""
+    at = events.select(play, (F.col(event) - back).alias("__at")).where(F.col("__at") > 0)
+    return rows.join(at, play).where(F.col(frame) - F.col("__at") == 0).drop("__at")

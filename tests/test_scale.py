@@ -133,3 +133,13 @@ def test_local_padding_passes_on_one_row_a_point_whatever_the_blocks(spark, monk
 def test_a_tackle_cohort_shuffles_rows_and_candidates_once(spark):
     plan = _plan(queries.QUERIES["pipe5_tackle_cohort"](spark, "/root/testdata/sf0.001"))
     assert len(re.findall(r"\bExchange ", plan)) == 2
+
+
+def test_states_before_events_meet_rows_dealt_by_play(spark):
+    """Rows, rows of candidates and candidates are shuffled, each once by play, also where nothing is small enough to be sent."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(queries.QUERIES["win7_state_before_event"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"\bExchange ", plan)) == 3
