@@ -62,13 +62,17 @@ def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def snapshot_violations(df: DataFrame, play: str, obj: str, side: str, focal: Column, rows: int, constant: list[str]) -> DataFrame:
     """Plays that break a snapshot's structure, with what they break: row count, distinct objects, one focal row, even
     sides, columns constant within the play (PRJ-16)."""
-    s = df.groupBy(play).agg(
-        F.count("*").alias("n"), F.countDistinct(obj).alias("objects"), F.count_if(focal).alias("focal"),
-        F.countDistinct(side).alias("sides"), F.count_if(F.col(side) == "home").alias("home"), *[F.countDistinct(c).alias(f"c_{c}") for c in constant],
+    other = F.when(F.col(side) != "home", F.col(side))
+    ends = {"side": other, **{f"c_{c}": F.col(c) for c in constant}}
+    each = df.repartition(play).groupBy(play, obj).agg(  # dealt by play first: counts of objects, of which few repeat, would shorten nothing before
+        F.count("*").alias("n"), F.count_if(focal).alias("focal"), F.count_if(F.col(side) == "home").alias("home"), *[f(c).alias(f"{n}_{f.__name__}") for n, c in ends.items() for f in (F.min, F.max)]
+    )
+    s = each.groupBy(play).agg(
+        F.sum("n").alias("n"), F.count(obj).alias("objects"), F.sum("focal").alias("focal"), F.sum("home").alias("home"), *[(F.min(f"{n}_min") == F.max(f"{n}_max")).alias(f"one_{n}") for n in ends]
     )
     broken = {
-        "rows": F.col("n") != rows, "objects": F.col("objects") != rows, "focal": F.col("focal") != 1, "sides": (F.col("sides") != 2) | (F.col("home") * 2 != rows),
-        **{f"constant_{c}": F.col(f"c_{c}") > 1 for c in constant},
+        "rows": F.col("n") != rows, "objects": F.col("objects") != rows, "focal": F.col("focal") != 1, "sides": ~F.coalesce("one_side", F.lit(False)) | (F.col("home") * 2 != rows),
+        **{f"constant_{c}": ~F.col(f"one_c_{c}") for c in constant},
     }
     problems = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in broken.items()]))
     return s.select(play, problems.alias("problems")).where(F.size("problems") > 0)

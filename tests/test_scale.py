@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import conformal, encode, geometry, trees
+from fieldlens.operators import cohort, conformal, encode, geometry, trees
 from fieldlens.plans import pipelines, queries, queries_products
 from fieldlens.sources import weekly
 
@@ -143,3 +143,20 @@ def test_states_before_events_meet_rows_dealt_by_play(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"\bExchange ", plan)) == 3
+
+
+def test_snapshot_violations_deal_rows_out_once_and_keep_what_they_mean(spark):
+    rng = random.Random(9)
+    rows = [(k // 4, rng.choice([1, 2, 3, 4, None]), rng.choice(["home", "home", "away", "ball", None]), rng.random() < 0.3, rng.choice([1.5, 1.5, None, 2.5]) if k % 8 < 4 else 1.5) for k in range(1600)]
+    df = spark.createDataFrame(rows, "play int, obj int, side string, focal boolean, c double")
+    want = {}
+    for play in range(400):
+        own = [r for r in rows if r[0] == play]
+        values = [{r[i] for r in own} - {None} for i in (1, 2, 4)]
+        broken = {"objects": len(values[0]) != 4, "focal": sum(r[3] for r in own) != 1, "sides": len(values[1]) != 2 or sum(r[2] == "home" for r in own) != 2, "constant_c": len(values[2]) > 1}
+        if any(broken.values()):
+            want[play] = [name for name, b in broken.items() if b]
+    out = cohort.snapshot_violations(df, "play", "obj", "side", F.col("focal"), 4, ["c"])
+    plan = _plan(out)  # before it runs
+    assert len(re.findall(r"\bExchange ", plan)) == 1 and "Expand" not in plan
+    assert {r.play: r.problems for r in out.collect()} == want
