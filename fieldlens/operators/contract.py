@@ -7,8 +7,12 @@ violations are shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +81,31 @@ def outside(column: str, domain: list) -> Column:
 
 
 def report(violations: DataFrame, rules: list[str]) -> DataFrame:
-    """``rule, n, first``: how many rows or groups break each of ``rules``, and the NAMED least keys. Rules that hold have 0 and no keys."""
-    spark = violations.sparkSession
-    least = Window.partitionBy("rule").orderBy("key")
-    named = violations.distinct().withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= NAMED)  # cut before it is shuffled
-    first = named.groupBy("rule").agg(F.array_sort(F.collect_list("key")).alias("first"))
-    counts = violations.groupBy("rule").agg(F.count("*").alias("n"))
+    """``rule, n, first``: how many rows or groups break each of ``rules``, and the NAMED least keys. Rules that hold have 0 and no keys.
+    Violations are read once, and a task passes on one row a rule, which it counts and whose least keys it keeps."""
+    spark, named = violations.sparkSession, NAMED
+
+    def least(keys: pa.Array) -> pa.Array:
+        keys = keys.drop_null().unique()
+        return keys.take(pc.sort_indices(keys)[:named])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, first = Counter(), {}
+        for batch in batches:
+            rule, key = batch.column(0), batch.column(1)
+            for name in rule.unique():
+                own = key.filter(pc.equal(rule, name)) if name.is_valid else key.slice(0, 0)
+                r, keys = name.as_py(), least(own)
+                counts[r] += len(own)
+                first[r] = least(pa.concat_arrays([first[r], keys])) if r in first else keys
+        if counts:
+            rows = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([first[r].to_pylist() for r in counts], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(rows, ["rule", "n", "keys"])
+
+    parts = violations.select(F.col("rule").cast("string"), F.col("key").cast("string")).mapInArrow(told, "rule string, n bigint, keys array<string>")
+    found = parts.groupBy("rule").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))), 1, named).alias("first"))
     every = spark.createDataFrame([(r,) for r in dict.fromkeys(rules)], "rule string")
-    out = every.join(counts, "rule", "left").join(first, "rule", "left")
+    out = every.join(found, "rule", "left")
     return out.select("rule", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("first", F.array().cast("array<string>")).alias("first"))
 
 
@@ -115,10 +136,12 @@ def snapshot_contract(
     on_side = F.max(F.when(is_focal, F.col(side)))
     counts = [F.count_if(F.col(side) == s) for s in sides]
     own = reduce(lambda a, b: F.coalesce(a, b), [F.when(on_side == s, n) for s, n in zip(sides, counts)])
-    varied = lambda c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("int")) > 1
-    by_play = {"rows": F.count("*") != size, "objects": F.countDistinct(obj) != size, "focal": F.count_if(is_focal) != 1, "sides": F.coalesce(own, F.lit(-1)) * 2 != size}
+    varied = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) | F.count(c).between(1, F.count("*") - 1)
+    once = F.row_number().over(Window.partitionBy(*play, obj).orderBy(obj)) == 1  # countDistinct would deal every row out once for each column
+    objects = F.count_if(F.col("__once") & F.col(obj).isNotNull())
+    by_play = {"rows": F.count("*") != size, "objects": objects != size, "focal": F.count_if(is_focal) != 1, "sides": F.coalesce(own, F.lit(-1)) * 2 != size}
     by_play |= {f"{c}_constant": varied(c) for c in constant}
-    return broken_rows(rows, [*play, obj], by_row).unionByName(broken_groups(rows, play, by_play))
+    return broken_rows(rows, [*play, obj], by_row).unionByName(broken_groups(rows.withColumn("__once", once), play, by_play))
 
 
 def dataset_contract(

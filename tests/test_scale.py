@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import cohort, conformal, encode, geometry, trees
+from fieldlens.operators import cohort, conformal, contract, encode, geometry, trees
 from fieldlens.plans import pipelines, queries, queries_products
 from fieldlens.sources import weekly
 
@@ -160,3 +160,22 @@ def test_snapshot_violations_deal_rows_out_once_and_keep_what_they_mean(spark):
     plan = _plan(out)  # before it runs
     assert len(re.findall(r"\bExchange ", plan)) == 1 and "Expand" not in plan
     assert {r.play: r.problems for r in out.collect()} == want
+
+
+def test_a_report_reads_violations_once_and_sorts_none(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), f"{rng.randrange(60)}:é") for _ in range(3000)]
+    made = spark.createDataFrame(rows, "rule string, key string").repartition(7).mapInPandas(lambda batches: batches, "rule string, key string")
+    out = contract.report(made, ["a", "b", "none"])
+    plan = _plan(out)
+    assert plan.count("MapInPandas") == 1 and "row_number" not in plan
+    got = {r.rule: (r.n, r.first) for r in out.collect()}
+    assert got == {"none": (0, []), **{k: (sum(r == k for r, _ in rows), sorted({key for r, key in rows if r == k})[:3]) for k in "ab"}}
+
+
+def test_a_snapshot_contract_counts_objects_without_an_expansion(spark):
+    rows = [(1, 1, 1, "h", 5), (1, 1, 1, "a", 5), (1, None, 1, "a", 5), (2, 1, 1, "h", None), (2, 2, 1, "a", 5), (3, 1, 1, "h", None), (3, 2, 1, "a", None), (4, 1, 1, "h", 5), (4, 2, 1, "a", 6)]
+    df = spark.createDataFrame(rows, "play int, obj int, lead int, side string, c int")
+    wrong = contract.snapshot_contract(df, ["play"], "obj", "lead", "side", ["h", "a"], ["c"], [], [], [], {}, 2)
+    assert "Expand" not in _plan(wrong)
+    assert sorted((r.rule, r.key) for r in wrong.collect()) == [("c_constant", "2"), ("c_constant", "4"), ("focal", "1"), ("objects", "1"), ("rows", "1")]
