@@ -13,8 +13,10 @@ from fieldlens.llm._spark import cut, discard, may_be_in
 
 #: Nodes of more rows than this are branched further (or swept once components are known).
 SMALL_NODE = 64
-#: Blocks of up to so many rows are compared many at a time; about so many pairs are in a batch of results.
+#: Blocks of up to so many rows are compared many at a time; about so many pairs are looked at together.
 VECTOR, PAIRS = 128, 1 << 16
+#: Rows with their sets that are held together, but for larger blocks.
+SET_ROWS = 1024
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -92,92 +94,109 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterato
         yield joined()
 
 
-def likely_pairs(tokens: int, least: int, best: int | None):
-    """mapInArrow function over the rows of block_pairs() with a payload ``fine`` (one byte of each of ``tokens`` MinHash
-    values) and perhaps ``nodes`` (all nodes of the member): pairs of different components of which ``least`` bytes
-    agree, in batches of about PAIRS. With ``best`` only the likeliest of each member that asks; with ``nodes``, in
-    large blocks, each pair in the least node that it shares. Returns (node, a, b, agree)."""
-
-    def emit(node, a, b, agree) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(a), PAIRS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[lo : lo + PAIRS]).astype(np.int64)) for x in (node, a, b, agree)], ["node", "a", "b", "agree"])
-
-    def small(node, ids, comp, asks, answers, fine, sizes) -> Iterator[pa.RecordBatch]:
-        """All groups of few rows at once; ``sizes`` are the groups' numbers of rows."""
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        after = ends - np.arange(len(ids)) - 1
-        i = np.repeat(np.arange(len(ids)), after)
+def _likely(rows: pa.RecordBatch, at: np.ndarray, tokens: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, agree), in batches of about PAIRS: places of rows of one pair of blocks and of different components, of which one asks and the other
+    answers and ``least`` of the ``fine`` bytes agree. In large blocks each pair comes up in the least node that it shares only."""
+    ids, comp = np.asarray(rows.column(3)), np.asarray(rows.column(4))
+    asks, also, answers = (np.asarray(c.cast(pa.int8())) > 0 for c in rows.columns[5:8])
+    fine = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, tokens)
+    size = np.diff(at)
+    few = np.flatnonzero(np.repeat(size <= VECTOR, size))
+    if len(few):  # all groups of few rows at once
+        sizes = size[size <= VECTOR]
+        after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(few)) - 1
+        i = np.repeat(np.arange(len(few)), after)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-        forth, back = asks[i] & answers[j], asks[j] & answers[i]
-        far = (comp[i] != comp[j]) & (forth | back)
-        i, j, forth, back = i[far], j[far], forth[far], back[far]
+        i, j = few[i], few[j]
+        far = (comp[i] != comp[j]) & ((asks[i] & answers[j]) | (asks[j] & answers[i]))
+        i, j = i[far], j[far]
         agree = np.zeros(len(i), np.int64)
         for lo in range(0, len(i), 1 << 14):
             agree[lo : lo + (1 << 14)] = (fine[i[lo : lo + (1 << 14)]] == fine[j[lo : lo + (1 << 14)]]).sum(axis=1)
         good = agree >= least
-        i, j, forth, back, agree = i[good], j[good], forth[good], back[good], agree[good]
-        if best is not None:
-            a, b, agree = np.concatenate([i[forth], j[back]]), np.concatenate([j[forth], i[back]]), np.concatenate([agree[forth], agree[back]])
-            order = np.lexsort((ids[b], -agree, a))
-            a, b, agree = a[order], b[order], agree[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            i, j, agree = a[place < best], b[place < best], agree[place < best]
-        yield from emit(node[i], ids[i], ids[j], agree)
-
-    def large(node, ids, comp, asks, also, answers, fine, lists) -> Iterator[pa.RecordBatch]:
-        if lists is not None:
-            lists = [x[x < node] for x in lists]
-            lower = np.zeros((len(ids), max(map(len, lists))), np.int64)
-            for i, x in enumerate(lists):
-                lower[i, : len(x)] = x
-            filled = np.arange(lower.shape[1]) < np.array([len(x) for x in lists])[:, None]
+        yield i[good], j[good], agree[good]
+    for g in np.flatnonzero(size > VECTOR):
+        own = np.arange(at[g], at[g + 1])
+        node = rows.column(0)[int(at[g])].as_py()
+        lists = [np.asarray(x.values) for x in rows.column(9)[at[g] : at[g + 1]]]
+        lists = [x[x < node] for x in lists]
+        lower = np.zeros((len(own), max(map(len, lists))), np.int64)
+        for i, x in enumerate(lists):
+            lower[i, : len(x)] = x
+        filled = np.arange(lower.shape[1]) < np.array([len(x) for x in lists])[:, None]
         a, b, level, waiting = [], [], [], 0
-        for i in np.flatnonzero(asks):
-            # of two that both ask only the lesser id does, unless each looks for its best
-            other = np.flatnonzero(answers & (comp != comp[i]) & (~also | (ids > ids[i]) | (best is not None)))
-            agree = (fine[other] == fine[i]).sum(axis=1)
+        for i in np.flatnonzero(asks[own]):
+            # of two that both ask only the lesser id does
+            other = np.flatnonzero(answers[own] & (comp[own] != comp[own[i]]) & (~also[own] | (ids[own] > ids[own[i]])))
+            agree = (fine[own[other]] == fine[own[i]]).sum(axis=1)
             good = agree >= least
             other, agree = other[good], agree[good]
-            if best is not None:
-                order = np.argsort(-agree, kind="stable")[:best]
-                other, agree = other[order], agree[order]
-            elif lists is not None and len(lists[i]):
+            if len(lists[i]):
                 earlier = ((lower[other][:, :, None] == lists[i]) & filled[other][:, :, None]).any(axis=(1, 2))
                 other, agree = other[~earlier], agree[~earlier]
-            a.append(np.full(len(other), ids[i]))
-            b.append(ids[other])
+            a.append(np.full(len(other), own[i]))
+            b.append(own[other])
             level.append(agree)
             waiting += len(other)
             if waiting >= PAIRS:
-                yield from emit(np.full(waiting, node), np.concatenate(a), np.concatenate(b), np.concatenate(level))
+                yield np.concatenate(a), np.concatenate(b), np.concatenate(level)
                 a, b, level, waiting = [], [], [], 0
         if waiting:
-            yield from emit(np.full(waiting, node), np.concatenate(a), np.concatenate(b), np.concatenate(level))
+            yield np.concatenate(a), np.concatenate(b), np.concatenate(level)
+
+
+def likely_rows(tokens: int, least: int):
+    """mapInArrow function over the rows of block_pairs() with a payload ``fine`` (one byte of each of ``tokens`` MinHash
+    values) and ``nodes`` (all nodes of the member): those that have a likely partner. So what it returns never exceeds what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in whole_blocks(batches):
-            node, ids, comp = (np.asarray(rows.column(i)) for i in (0, 3, 4))
-            asks, also, answers = (np.asarray(c.cast(pa.int8())) > 0 for c in rows.columns[5:8])
-            fine = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, tokens)
-            size = np.diff(at)
-            few = np.repeat(size <= VECTOR, size)
-            if few.any():
-                yield from small(node[few], ids[few], comp[few], asks[few], answers[few], fine[few], size[size <= VECTOR])
-            for g in np.flatnonzero(size > VECTOR):
-                s = slice(at[g], at[g + 1])
-                lists = [np.asarray(x.values) for x in rows.column(9)[s]] if rows.num_columns > 9 else None
-                yield from large(node[at[g]], ids[s], comp[s], asks[s], also[s], answers[s], fine[s], lists)
+            keep = np.zeros(rows.num_rows, bool)
+            for i, j, _ in _likely(rows, at, tokens, least):
+                keep[i] = keep[j] = True
+            if keep.any():
+                yield rows.filter(pa.array(keep))
 
     return run
 
 
-def sweep_pairs(rows: DataFrame, tokens: int, least: int, best: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of the rows of block_pairs(): all likely ones, or the ``best`` of each member and node."""
-    found = rows.mapInArrow(likely_pairs(tokens, least, best), "node long, a long, b long, agree long")
-    if best is not None:  # of those of each block
-        place = F.row_number().over(Window.partitionBy("node", "a").orderBy(F.desc("agree"), "b"))
-        found = found.withColumn("place", place).where(F.col("place") <= best)
-    return found.select("a", "b")
+def likely_links(tokens: int, least: int, percent: int):
+    """mapInArrow function over the rows of likely_rows() with their sorted ``shingles``, sorted by (node, p, q): links (a, b), confirmed on the
+    sets, that join all that the links of all likely pairs join. The likeliest pairs come first, and pairs that are joined by then are left
+    out, so a task returns fewer links than it has components, however many pairs it compares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for rows, at in whole_blocks(batches, SET_ROWS):
+            ids, comp = np.asarray(rows.column(3)), np.asarray(rows.column(4)).tolist()
+            values, spots = np.asarray(rows.column(10).flatten()), np.asarray(rows.column(10).offsets)
+            spots = spots - spots[0]
+            sets = [values[lo:hi] for lo, hi in zip(spots[:-1], spots[1:], strict=True)]
+            links = []
+            for i, j, agree in _likely(rows, at, tokens, least):
+                order = np.argsort(-agree, kind="stable")
+                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if (left := find(comp[x])) == (right := find(comp[y])):
+                        continue
+                    n = len(sets[x]) + len(sets[y])
+                    if 100 * min(len(sets[x]), len(sets[y])) < percent * max(len(sets[x]), len(sets[y])):
+                        continue
+                    both = np.sort(np.concatenate([sets[x], sets[y]]))
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                    if 100 * shared >= percent * (n - shared):
+                        parent[left] = right
+                        links.append((x, y))
+            if links:
+                a, b = ids[[x for x, _ in links]], ids[[y for _, y in links]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
 
 
 def similarity_components(
@@ -186,7 +205,7 @@ def similarity_components(
     plausible: Callable[[str, str], Column],
     carried: list[str],
     verify: Callable[[DataFrame], DataFrame],
-    sweep: Callable[[DataFrame, int | None], DataFrame],
+    settle: Callable[[DataFrame], DataFrame],
     centre: Callable[[DataFrame], DataFrame] | None = None,
     thin: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
@@ -196,15 +215,15 @@ def similarity_components(
     each tree the node keys by level) and the ``carried`` columns, from which ``plausible(prefix_a, prefix_b)``
     makes a cheap necessary condition. ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that
     are links. ``centre`` maps the rows of large nodes (node, id and carried columns) to one central member of
-    each, as ``(node, c_id, c_<carried>)``. ``sweep`` maps rows (node, id, comp) to candidate pairs of different
-    components within a node, the best few of each member or all. Without ``thin`` the members' nodes are known
+    each, as ``(node, c_id, c_<carried>)``. ``settle`` maps rows (node, id, comp) to verified links that join all that similar pairs of different
+    components within a node join. Without ``thin`` the members' nodes are known
     to be shared, so that no count goes before.
 
     Nodes are branched level by level while they hold over SMALL_NODE members. Every node first yields
     links to its pivot, a large one also to its centre (as many pairs as members); once those are verified
     and joined to components, every node that still holds several components is compared exhaustively across
     them, in pairs of blocks (block_pairs()), so that no task holds a node. So a group of k copies costs about k verifications, not k squared, and no pair of different
-    components is lost. Returns ``(links(a, b), components(id, comp))``; members without link are in neither.
+    components that similar pairs join is left apart. Returns ``(links(a, b), components(id, comp))``; members without link are in neither.
     """
     keys = [f"k{i}" for i in range(levels)]
     rows = members.select("id", "rank", *carried, F.explode("paths").alias("p")).select(
@@ -241,19 +260,13 @@ def similarity_components(
     leaves = final[0]
     for f in final[1:]:
         leaves = leaves.union(f)
-    # First the likeliest partners of each member, then, where that left components apart, all others.
-    for best in (4, None):
-        held = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-        held = cut(held.join(mixed, "node").select("node", "id", "comp").dropDuplicates(["node", "id"]), "leaves")
-        across = sweep(held, best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = cut(verify(across), "links")
-        tried = tried.union(across)
-        discard(held)
-        written.append(across)
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = cut(connected_components(links), "comps")
+    held = leaves.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+    held = cut(held.join(mixed, "node").select("node", "id", "comp").dropDuplicates(["node", "id"]), "leaves")
+    more = cut(settle(held), "links")
+    discard(held)
+    if not more.isEmpty():
+        links = links.union(more)
+        comps = cut(connected_components(links), "comps")
     discard(*written)
     return links, comps

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm import _text as tx
-from fieldlens.llm._graph import block_pairs, similarity_components, sweep_pairs
+from fieldlens.llm._graph import block_pairs, likely_links, likely_rows, similarity_components
 from fieldlens.llm._spark import cut, discard, may_be_in, small_batches
 
 #: MinHash functions; the first 128 also give a sketch of one bit each.
@@ -151,14 +151,17 @@ def classed(docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    def chosen_sets(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, shingles) of the classes ``ids``, and the table of these to discard with it."""
         chosen = cut(classes.select("id", F.col("rank").alias("of")).join(ids, "id", "left_semi"), "chosen")
         sets = _shingle_sets(may_be_in(texts, F.col("doc_id"), chosen, "of"), words)
         if clashing:
             sets = _unclashed(sets, clash)
         sets = sets.join(chosen, (sets["set_id"] == chosen["id"]) & (sets["doc_id"] == chosen["of"]), "left_semi")
-        sets = cut(sets.dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"), "sets")
+        return cut(sets.dropDuplicates(["set_id"]).select(F.col("set_id").alias("id"), "shingles"), "sets"), chosen
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets, chosen = chosen_sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -167,12 +170,17 @@ def classed(docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame
         discard(sets, chosen)
         return links
 
-    def sweep(leaves: DataFrame, best: int | None) -> DataFrame:
+    def settle(leaves: DataFrame) -> DataFrame:
         own = leaves.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # one for each tree and level at most
         rows = block_pairs(leaves, BLOCK, classes.select("id", "fine").join(own, "id"))
-        return sweep_pairs(rows, TOKENS, least_agree, best)
+        likely = cut(rows.mapInArrow(likely_rows(TOKENS, least_agree), rows.schema), "likely")
+        sets, chosen = chosen_sets(likely.select("id").distinct())
+        full = likely.join(sets, "id").select(*likely.columns, "shingles").repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id")
+        links = cut(full.mapInArrow(likely_links(TOKENS, least_agree, percent), "a long, b long").distinct(), "links")
+        discard(likely, sets, chosen)
+        return links
 
-    _, comps = similarity_components(classes.drop("fine"), LEVELS, plausible, ["n", "sk0", "sk1"], verify, sweep, _centres)
+    _, comps = similarity_components(classes.drop("fine"), LEVELS, plausible, ["n", "sk0", "sk1"], verify, settle, _centres)
     root = classes.select("id", F.col("rank").alias("of")).join(comps, "id", "left").select("id", "of", F.coalesce("comp", "id").alias("comp"))
     least = root.groupBy("comp").agg(F.min("of").alias("root"))
     root = root.join(least, "comp").select(F.col("id").alias("set_id"), "root")
@@ -197,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exact: b
     Documents with equal sets (by two hashes of 64 bits) form a class. Each class walks TREES
     independent trees: a node's path chooses the minwise token on which its members branch. Nodes of up to
     64 members are compared exhaustively, larger ones branch again (LEVELS times), and what then still holds
-    several components is compared across them, block by block. Sketches of the tokens discard pairs that can't reach the
+    several components is compared across them, block by block, and what is likely confirmed where it meets. Sketches of the tokens discard pairs that can't reach the
     threshold (in fewer than 1 of 100,000 cases one that does; with ``exact`` none is discarded), the rest is confirmed
     on the full sets. Large nodes first try their central member, so the edited
     copies of one text are linked to it without comparing them with one another. At similarity 0.8 one tree of three levels brings a

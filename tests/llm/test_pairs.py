@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,21 @@ def test_items_of_one_to_three_shingles_are_found_wherever_they_stand(spark):
     found = decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 1000} == {(i, i) for i, _ in items}
     assert not [r for r in found if r.doc_id >= 1000]
+
+
+def test_likely_pairs_are_confirmed_where_they_meet():
+    """A group of copies that all look alike, of which few are links, gives no more rows than it has members, and joins what links join."""
+    rng, n = random.Random(14), 300
+    sets = [sorted(rng.sample(range(1000 * (i % 3), 1000 * (i % 3) + 114), 100)) for i in range(n)]  # within a third, similarities about 0.78
+    fine = [bytes(64)] * n
+    columns = [[5] * n, [0] * n, [0] * n, list(range(n)), list(range(n)), [True] * n, [True] * n, [True] * n, fine, [[5]] * n]
+    names = ["node", "p", "q", "id", "comp", "asks", "also", "answers", "fine", "nodes"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, pa.binary(), pa.list_(pa.int64())]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+    likely = list(_graph.likely_rows(64, 60)(iter([rows])))
+    assert sum(b.num_rows for b in likely) == n  # 44,850 pairs before
+    full = pa.RecordBatch.from_arrays([*likely[0].columns, pa.array(sets, pa.list_(pa.int64()))], [*names, "shingles"])
+    found = [(a, b) for x in _graph.likely_links(64, 60, 80)(iter([full])) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    own = [set(s) for s in sets]
+    links = [(a, b) for a, b in combinations(range(n), 2) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    assert len(links) > len(found) > 0 and set(found) <= set(links) and roots(range(n), found) == roots(range(n), links)
