@@ -71,19 +71,19 @@ def scaled_raster(raster: DataFrame, scaler: DataFrame, by: list[str], channels:
     return both.select(*raster.columns, *[((F.col(c) - F.col(f"{c}_mean")) / scale(c)).alias(f"z_{c}") for c in channels])
 
 
-def threshold_rows(df: DataFrame, key: str, cdf: str, classes: int) -> DataFrame:
+def threshold_rows(df: DataFrame, key: str, cdf: str, classes: int, carried: list[str] = ()) -> DataFrame:
     """Each row once for every threshold k < K - 1 with t = k / (K - 1), its root and square, and the baseline cdf there
-    (ENC-8)."""
-    k = df.select(key, cdf, F.explode(F.sequence(F.lit(0), F.lit(classes - 2))).alias("k"))
+    (ENC-8), and the ``carried`` columns."""
+    k = df.select(key, cdf, *carried, F.explode(F.sequence(F.lit(0), F.lit(classes - 2))).alias("k"))
     t = F.col("k") / F.lit(float(classes - 1))
-    return k.select(key, "k", t.alias("t"), F.sqrt(t).alias("root"), (t * t).alias("square"), F.get(cdf, F.col("k")).alias("base"))
+    return k.select(key, "k", t.alias("t"), F.sqrt(t).alias("root"), (t * t).alias("square"), F.get(cdf, F.col("k")).alias("base"), *carried)
 
 
-def horizon_rows(df: DataFrame, key: str, length: str, most: int) -> DataFrame:
-    """Each row once for every observed horizon h <= length with h / most, its root and square (ENC-9)."""
-    h = df.select(key, F.explode(F.sequence(F.lit(1), F.least(F.col(length), F.lit(most)).cast("int"))).alias("h"))
+def horizon_rows(df: DataFrame, key: str, length: str, most: int, carried: list[str] = ()) -> DataFrame:
+    """Each row once for every observed horizon h <= length with h / most, its root and square (ENC-9), and the ``carried`` columns."""
+    h = df.select(key, *carried, F.explode(F.sequence(F.lit(1), F.least(F.col(length), F.lit(most)).cast("int"))).alias("h"))
     t = F.col("h") / F.lit(float(most))
-    return h.select(key, "h", t.alias("t"), F.sqrt(t).alias("root"), (t * t).alias("square"))
+    return h.select(key, "h", t.alias("t"), F.sqrt(t).alias("root"), (t * t).alias("square"), *carried)
 
 
 def ridge_moments(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:

@@ -8,6 +8,7 @@ from fieldlens.functions import scalars as fn
 from fieldlens.operators import encode, fits, models, scores, trees
 from fieldlens.plans import bindings as b
 from fieldlens.plans.queries import query, r, rounded
+from fieldlens.sources.steps import written
 
 
 def _rows(spark, sf, cells: int):
@@ -117,11 +118,14 @@ def ml3_boosted_thresholds(spark, sf):
 def ml3_boosted_horizons(spark, sf):
     """A quantity some lines ahead by one boosted model over all horizons: squared error by horizon."""
     l_ = b.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"))
-    first = l_.where("n = 1").groupBy("l_orderkey").agg(F.max("q").alias("q1"), F.max("t").alias("t1"))
-    last = l_.groupBy("l_orderkey").agg((F.max("n") - 1).alias("length"))
-    h = encode.horizon_rows(last.where("length > 0"), "l_orderkey", "length", 6)
-    then = l_.groupBy("l_orderkey", (F.col("n") - 1).alias("h")).agg(F.max("q").alias("target"))
-    rows = h.join(then, ["l_orderkey", "h"]).join(first, "l_orderkey").withColumn("all", F.lit(1))
+    own = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
+    one = l_.groupBy("l_orderkey").agg(  # of a few lines an order; rows then carry what they need, without joins
+        own("q").alias("q1"), own("t").alias("t1"), (F.max("n") - 1).alias("length"), F.count_if(F.col("n") == 1).alias("firsts"), F.collect_list(F.struct((F.col("n") - 1).alias("h"), "q")).alias("lines")
+    )
+    h = encode.horizon_rows(one.where("length > 0 and firsts > 0"), "l_orderkey", "length", 6, ["q1", "t1", "lines"])
+    h = h.withColumn("then", F.filter("lines", lambda x: x["h"] == F.col("h"))).where(F.size("then") > 0)
+    target = F.array_max(F.transform("then", lambda x: x["q"]))
+    rows = written(h.select("h", "t", "root", "square", "q1", "t1", target.alias("target"), F.lit(1).alias("all")))
     d = trees.Boosting(5, False, trees=2, depth=3, rate=0.5, bins=16, least_rows=20)
     x = ["q1", "t1", "t", "root", "square"]
     scored = trees.boosted_score(rows, trees.boosted_fits(rows, ["all"], x, "target", d), ["all"], x, d)

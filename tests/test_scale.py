@@ -179,3 +179,10 @@ def test_a_snapshot_contract_counts_objects_without_an_expansion(spark):
     wrong = contract.snapshot_contract(df, ["play"], "obj", "lead", "side", ["h", "a"], ["c"], [], [], [], {}, 2)
     assert "Expand" not in _plan(wrong)
     assert sorted((r.rule, r.key) for r in wrong.collect()) == [("c_constant", "2"), ("c_constant", "4"), ("focal", "1"), ("objects", "1"), ("rows", "1")]
+
+
+def test_horizons_read_lines_once(spark):
+    plan = _plan(queries.QUERIES["ml3_boosted_horizons"](spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in plan and "Join" not in plan  # scores read the rows that the fit read, before they were joined anew
+    one = spark.createDataFrame([(1, 3, "a"), (2, 1, "b")], "k int, n int, c string")
+    assert sorted((r.k, r.h, r.c) for r in encode.horizon_rows(one, "k", "n", 2, ["c"]).collect()) == [(1, 1, "a"), (1, 2, "a"), (2, 1, "b")]
