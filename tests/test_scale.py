@@ -182,6 +182,8 @@ def test_a_snapshot_contract_counts_objects_without_an_expansion(spark):
 
 
 def test_horizons_read_lines_once(spark):
+    from fieldlens.plans import queries_fits  # noqa: F401  registers the query
+
     plan = _plan(queries.QUERIES["ml3_boosted_horizons"](spark, "/root/testdata/sf0.001"))
     assert "lineitem" not in plan and "Join" not in plan  # scores read the rows that the fit read, before they were joined anew
     one = spark.createDataFrame([(1, 3, "a"), (2, 1, "b")], "k int, n int, c string")
