@@ -46,10 +46,9 @@ def handoff_cohort(
     audit = every.groupBy(F.coalesce("reason", F.lit("kept")).alias("status")).agg(F.count("*").alias("plays"))
     kept = rows.join(every.where("reason is null").select(play), play)
     is_rusher = F.col(obj) == F.col(rusher)
-    own = kept.where(is_rusher).select(play, F.col(side).alias("__side"))
+    first = kept.where(is_rusher).withColumn("__side", F.col(side))  # one row a play, as the contract says
     offense = F.col(side) == F.col("__side")
-    kept = kept.join(own, play)
-    first = kept.where(is_rusher)
+    kept = kept.join(first.select(play, "__side"), play)
     ahead, behind, lead = fn.score_columns(F.col("__side") == sides[0], F.col(scores[sides[0]]), F.col(scores[sides[1]]))
     examples = first.select(
         play, cohort.support_index(F.col(target).cast("int"), low, high).alias("label"), fn.yards_from_own_goal(F.col(yard_line), own_half).alias("yards_from_own_goal"), ahead.alias("offense_score"),
@@ -62,7 +61,7 @@ def handoff_cohort(
     examples = examples.crossJoin(F.broadcast(counts.select(running.alias("baseline"))))  # one row
     std = tokens.against_rusher(tokens.handoff_geometry(kept, offense, unit=True, **geometry_roles), play, is_rusher)
     slots = tokens.side_slots(kept, [play], obj, offense)
-    grid = encode.threshold_rows(examples, play, "baseline", classes).join(examples.select(play, "label"), play)
+    grid = encode.threshold_rows(examples, play, "baseline", classes, ["label"])
     grid = grid.withColumn("residual", (F.col("label") <= F.col("k")).cast("double") - F.col("base")).drop("label")
     return {"examples": examples, "tokens": std.join(slots, [play, obj]), "thresholds": grid, "audit": audit}
 

@@ -188,3 +188,11 @@ def test_horizons_read_lines_once(spark):
     assert "lineitem" not in plan and "Join" not in plan  # scores read the rows that the fit read, before they were joined anew
     one = spark.createDataFrame([(1, 3, "a"), (2, 1, "b")], "k int, n int, c string")
     assert sorted((r.k, r.h, r.c) for r in encode.horizon_rows(one, "k", "n", 2, ["c"]).collect()) == [(1, 1, "a"), (1, 2, "a"), (2, 1, "b")]
+
+
+def test_thresholds_do_not_join_rows_with_what_they_have(spark):
+    """The rusher's own side and an example's label are in the row: 23 joins, with those of the contract repeated, before."""
+    from fieldlens.plans import queries_cohorts  # noqa: F401  registers the query
+
+    plan = queries.QUERIES["pipe1_thresholds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("Join ", plan)) <= 5
