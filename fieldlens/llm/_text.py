@@ -180,6 +180,8 @@ def long_list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
+#: A table for bytes.translate(), A-Z as a-z.
+LOWER = _LOW.tobytes()
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:

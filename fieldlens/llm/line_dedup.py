@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions.scalars import let
@@ -18,8 +18,10 @@ from fieldlens.llm._spark import cut, discard, maybe_in, may_be_in, small_batche
 #: Characters in a shingle; bands of so many MinHash values: at similarity 0.8 all miss a pair in 2.5e-6 of cases.
 CHARS = 8
 BANDS, ROWS = 18, 3
-#: Lines in a block of a band that is compared exhaustively, and lines up to which many bands are compared at a time.
-BLOCK, FEW = 1024, 16
+#: Lines in a block of a band that is compared exhaustively, and pairs that are looked at together.
+BLOCK, PAIRS = 1024, 1 << 16
+#: Bits of the map of a line's shingles that rules out most pairs before their sets are compared.
+MAP = 1024
 #: Bits of a shingle's hash beside the number of a row or a pair in one 64-bit code.
 HASH = 50
 #: Band keys that are counted in one task before they are shuffled.
@@ -41,10 +43,11 @@ def _split(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
         of = np.repeat(np.arange(last - first), np.diff(np.searchsorted(breaks, offsets)) + 1)
         number = np.arange(len(starts)) - np.searchsorted(of, of)
-        words = np.concatenate([[0], np.cumsum(~tx.BLANK[data])])
-        solid = words[ends] > words[starts]
+        solid = ends > starts
+        for i in np.flatnonzero(solid)[tx.BLANK[data[starts[solid]]]]:  # few lines begin with a blank
+            solid[i] = not tx.BLANK[data[starts[i] : ends[i]]].all()
         starts, ends, of, number = starts[solid], ends[solid], of[solid], number[solid]
-        low = memoryview(tx.lower_bytes(data))
+        low = memoryview(data.tobytes().translate(tx.LOWER))
         digests = [hashlib.blake2b(low[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         yield first, data, starts, ends, of, number, np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
@@ -64,7 +67,8 @@ def _signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.
 
 def _packed(bits: int):
     """mapInArrow function over texts: the band keys of all lines with a print of each line, at most two prints a key, in
-    one row (bucket, keys, prints) for each of 2**bits buckets of every PACK keys."""
+    one row (bucket, keys, prints) for each of 2**bits buckets of every PACK keys. Where a key has more, these two say that it is
+    shared, and the prints between them are in rows of their own, without keys, in as many buckets again."""
 
     def pack(keys: list[np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
         key, seen = np.concatenate(keys), np.concatenate(prints)
@@ -72,20 +76,27 @@ def _packed(bits: int):
         key, seen = key[order], seen[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         low, high = np.minimum.reduceat(seen, at), np.maximum.reduceat(seen, at)
+        size = np.diff(np.append(at, len(key)))
+        between = tx.distinct(seen[(seen > np.repeat(low, size)) & (seen < np.repeat(high, size))])
         twice = high > low
         of = np.repeat(np.arange(len(at)), 1 + twice)
         second = np.concatenate([[False], of[1:] == of[:-1]])
         key, seen = key[at][of], np.where(second, high[of], low[of])
-        bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+        bucket = np.concatenate([(key >> np.uint64(64 - bits)).astype(np.int32), (between >> np.uint32(32 - bits)).astype(np.int32) + (1 << bits)])
         rows, start = np.unique(bucket, return_index=True)
-        edge = np.append(start, len(key))
-        packed = [pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((edge * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (key, seen)]
+        edge = np.append(start, len(bucket))
+        packed = [
+            pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.minimum(edge, len(x)) * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            for x in (key, np.concatenate([seen, between]))
+        ]
         return pa.RecordBatch.from_arrays([pa.array(rows), *packed], ["bucket", "keys", "prints"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints, waiting = [], [], 0
         for b in batches:
             for _, data, starts, ends, _, _, ids in _split(b.column(0)):
+                first = np.sort(np.unique(ids[:, 0], return_index=True)[1])  # equal lines have the same bands
+                starts, ends, ids = starts[first], ends[first], ids[first]
                 if len(starts):
                     keys.append(_signatures(data, starts, ends, ids)[1].reshape(-1))
                     prints.append(np.repeat(ids[:, 0].astype(np.uint32), BANDS))
@@ -100,15 +111,20 @@ def _packed(bits: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that have several prints, from rows of _packed() sorted by bucket."""
+    """Keys that have several prints as ``node``, and all prints of these as ``line``, from rows of _packed() sorted by bucket."""
 
     def found(keys: list[bytes], prints: list[bytes]) -> pa.RecordBatch:
         key, seen = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(prints), np.uint32)
-        order = np.argsort(key)
-        key, seen = key[order], seen[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        several = np.minimum.reduceat(seen, at) < np.maximum.reduceat(seen, at)
-        return pa.RecordBatch.from_arrays([pa.array(key[at][several].view(np.int64))], ["node"])
+        if len(key):
+            order = np.argsort(key)
+            key, seen = key[order], seen[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            several = np.minimum.reduceat(seen, at) < np.maximum.reduceat(seen, at)
+            seen = seen[np.repeat(several, np.diff(np.append(at, len(key))))]
+            key = key[at][several]
+        line = _spread(tx.distinct(seen))
+        node, line = pa.array(key.view(np.int64)), pa.array(line.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([node, pa.nulls(len(line), pa.int64())]), pa.concat_arrays([pa.nulls(len(node), pa.int64()), line])], ["node", "line"])
 
     keys, prints, last = [], [], None
     for b in batches:
@@ -123,10 +139,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(keys, prints)
 
 
+def _spread(prints: np.ndarray) -> np.ndarray:
+    """Prints of lines as evenly spread 64-bit numbers."""
+    return tx.mix(prints.astype(np.uint64))
+
+
 def _bloom(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    """Bloom filter of ``nodes(node)``, three bits a key, of 16 bits a key but 64 MB at most, and the logarithm of its size.
-    Beyond 32 million keys it lets more lines through; an exact join by node follows in any case."""
-    bits = min(max(20, int(np.ceil(np.log2(16 * nodes.count() + 1)))), 29)
+    """Bloom filter of ``nodes(node)``, three bits a key, of 16 bits a key but 32 MB at most, and the logarithm of its size.
+    Beyond 16 million keys it lets more lines through; an exact join by node follows in any case."""
+    bits = min(max(20, int(np.ceil(np.log2(16 * nodes.count() + 1)))), 28)
     spots = [F.shiftrightunsigned("node", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (64 - bits, (64 - bits) // 2, 0)]
     words = nodes.select(F.explode(F.array(*spots)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     words = words.toArrow()  # 2**(bits - 6) rows at most
@@ -143,16 +164,22 @@ def _in_bloom(bloom: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _line_rows(bloom, bits: int):
-    """mapInArrow function over (key, doc_id, text): all lines, those that may share a band with these bands and their text."""
+def _line_rows(sent):
+    """mapInArrow function over (key, doc_id, text): all lines, those that may share a band with these bands and their text. ``sent``:
+    the filters of shared bands and of the prints of lines in them; only lines in the latter are signed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, starts, ends, of, number, ids in _split(b.column(2)):
-                bands = _signatures(data, starts, ends, ids)[1]
-                hit = _in_bloom(bloom.value, bits, bands)
-                some = hit.any(axis=1)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32), pa.array(bands[hit].view(np.int64)))
+                nodes, prints = sent.value
+                met = np.flatnonzero(_in_bloom(*prints, _spread(ids[:, 0].astype(np.uint32))))
+                size, n = ends[met] - starts[met], np.zeros(len(starts), np.int64)
+                own = np.concatenate([data[:0], *[data[starts[i] : ends[i]] for i in met]])
+                bands = _signatures(own, np.cumsum(size) - size, np.cumsum(size), ids[met])[1]
+                hit = _in_bloom(*nodes, bands)
+                n[met] = hit.sum(axis=1)
+                some = n > 0
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(bands[hit].view(np.int64)))
                 texts = [data[s:e].tobytes().decode("utf-8", "replace") if m else None for s, e, m in zip(starts, ends, some, strict=True)]
                 take = pa.array(of + first)
                 yield pa.RecordBatch.from_arrays(
@@ -200,55 +227,95 @@ def _similar_pairs(values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndar
     return good
 
 
-def spanning_links(ids: np.ndarray, comps: np.ndarray, values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components of a pair of blocks, as few as join all that exact similarities
-    join. Shared shingles are counted for 512 members against all at a time."""
-    m, size = len(ids), np.diff(at)
-    rows = np.repeat(np.arange(m), size)
-    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    rows, column = rows[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    width = int(column[-1]) + 1 if len(column) else 0
-    label, out = np.unique(comps, return_inverse=True)[1], []
-    for lo in range(0, m, 512):
-        hi = min(lo + 512, m)
-        common = np.zeros((hi - lo, m), np.float32)
-        for c in range(0, width, 2048):
-            part = slice(*np.searchsorted(column, [c, c + 2048]))
-            dense = np.zeros((m, min(2048, width - c)), np.float32)
-            dense[rows[part], column[part] - c] = 1
-            common += dense[lo:hi] @ dense.T
-        near = common * 100 >= (size[lo:hi, None] + size[None, :] - common) * percent
-        for i in range(lo, hi):
-            while len(other := np.flatnonzero(near[i - lo] & (label != label[i]))):
-                out.append((int(ids[i]), int(ids[other[0]])))
-                label[label == label[other[0]]] = label[i]
+def _maps(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[rows, MAP / 64] words: which of MAP classes the shingles of each row fall into."""
+    bits = np.zeros((len(at) - 1, MAP), bool)
+    bits[np.repeat(np.arange(len(at) - 1), np.diff(at)), (values % np.uint64(MAP)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _possible(maps: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows may reach the similarity. None that does is ruled out: each class that only one of two sets falls into
+    holds a shingle that the other hasn't."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    good = np.flatnonzero(small * 100 >= large * percent)
+    a, b = maps[i[good]], maps[j[good]]
+    common = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+    most = np.minimum(size[i[good]] - np.bitwise_count(a).sum(axis=1, dtype=np.int64), size[j[good]] - np.bitwise_count(b).sum(axis=1, dtype=np.int64)) + common
+    out = np.zeros(len(i), bool)
+    out[good] = most * 100 >= (size[i[good]] + size[j[good]] - most) * percent
     return out
 
 
+def _pairs(rows: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``rows`` within each of the groups that end at ``at``, about PAIRS at a time."""
+    after = np.repeat(at[1:], np.diff(at)) - np.arange(len(rows)) - 1
+    done = np.cumsum(after)
+    lo = 0
+    while lo < len(rows):
+        hi = max(int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")), lo + 1)
+        n = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield rows[i], rows[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        lo = hi
+
+
+def spanning_links(comps: np.ndarray, values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs of rows (i, j) similar ones, as few as join all that exact similarities and equal ``comps`` join. Each row is
+    compared with one partner, then with two more, four and so on, as long as it has any that it isn't joined to."""
+    label, out, take = np.unique(comps, return_inverse=True)[1], [], 1
+    root = list(range(int(label.max()) + 1 if len(label) else 0))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    while True:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return out
+        now = np.arange(len(j)) - np.searchsorted(j, j) < take
+        left, right = i[now], j[now]
+        good = _similar_pairs(values, at, left, right, percent)
+        for a, b in zip(left[good].tolist(), right[good].tolist(), strict=True):
+            x, y = top(label[a]), top(label[b])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+        label = np.array([top(x) for x in range(len(root))])[label]
+        i, j, take = i[~now], j[~now], take * 2
+
+
 def _settled(percent: int):
-    """mapInArrow function over rows (node, p, q, id, comp, line), sorted by the first three: verified links that join, within each
-    such group, all lines of different components that are similar enough or joined by those that are."""
+    """mapInArrow function over rows (unit, p, q, id, comp, bands, line), sorted by the first three: verified links that join, within each
+    band of such a group, all lines of different components that are similar enough or joined by those that are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in whole_blocks(batches):
-            ids, comps = np.asarray(rows.column(3)), np.asarray(rows.column(4))
-            values, spots = _sets(rows.column(5))
-            size = np.diff(at)
-            after = np.where(np.repeat(size, size) <= FEW, np.repeat(at[1:], size) - np.arange(len(ids)) - 1, 0)
-            i = np.repeat(np.arange(len(ids)), after)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-            apart = comps[i] != comps[j]
-            i, j = i[apart], j[apart]
-            good = _similar_pairs(values, spots, i, j, percent)
-            links = list(zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True))
-            for g in np.flatnonzero(size > FEW):
-                lo, hi = at[g], at[g + 1]
-                links += spanning_links(ids[lo:hi], comps[lo:hi], values[spots[lo] : spots[hi]], spots[lo : hi + 1] - spots[lo], percent)
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+            ids, bands = np.asarray(rows.column(3)), rows.column(5)
+            values, spots = _sets(rows.column(6))
+            size, maps = np.diff(spots), _maps(values, spots)
+            comps = np.unique(np.asarray(rows.column(4)), return_inverse=True)[1]
+            of = np.repeat(np.arange(len(ids)), np.diff(np.asarray(bands.offsets)))
+            unit = np.repeat(np.arange(len(at) - 1), np.diff(at))[of]
+            node = np.asarray(bands.flatten())
+            order = np.lexsort((of, node, unit))
+            of, unit, node = of[order], unit[order], node[order]
+            edge = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (node[1:] != node[:-1]), [True]]))
+            codes = [np.zeros(0, np.int64)]
+            for i, j in _pairs(of, edge):
+                apart = comps[i] != comps[j]
+                i, j = i[apart], j[apart]
+                good = _possible(maps, size, i, j, percent)
+                codes.append(i[good] * len(ids) + j[good])
+            code = tx.distinct(np.concatenate(codes))
+            links = spanning_links(comps, values, spots, code // len(ids), code % len(ids), percent)
+            a, b = (ids[np.array([x[k] for x in links], np.int64)] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -270,15 +337,19 @@ def _components(members: DataFrame, percent: int) -> DataFrame:
     """``(id, comp)`` of the lines that are linked; ``members``: (id, rank, bands, line), one row a line.
 
     Bands with the same members count once: lines that are alike share most of theirs. A band of up to BLOCK lines is
-    compared whole in one task. Larger ones (templates, edited copies of one text) are first compared with their commonest line;
+    compared whole in one task, and bands with the same least line meet there, so that a line comes once for all of them; where
+    they hold more than BLOCK lines, each band is alone. Larger ones (templates, edited copies of one text) are first compared with their commonest line;
     what is still apart is then compared across components in pairs of blocks."""
     rows = members.select("id", "rank", F.explode("bands").alias("node"))
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
-    nodes = cut(nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"), "nodes")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("lead")).where("n > 1")
+    nodes = nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node"), F.min("lead").alias("lead"))
+    unit = F.when(F.sum("n").over(Window.partitionBy("lead")) <= BLOCK, F.col("lead")).otherwise(F.col("node"))
+    nodes = cut(nodes.select("node", "n", unit.alias("unit")), "nodes")
     met = cut(rows.join(nodes, "node"), "met")
     texts = members.select("id", "line")
-    whole = met.where(F.col("n") <= BLOCK).select("node", F.lit(0).alias("p"), F.lit(0).alias("q"), "id", F.col("id").alias("comp")).join(texts, "id")
-    whole = whole.select("node", "p", "q", "id", "comp", "line").repartition("node").sortWithinPartitions("node", "id")
+    whole = met.where(F.col("n") <= BLOCK).groupBy("unit", "id").agg(F.collect_list("node").alias("bands")).join(texts, "id")
+    whole = whole.select("unit", F.lit(0).alias("p"), F.lit(0).alias("q"), "id", F.col("id").alias("comp"), "bands", "line")
+    whole = whole.repartition("unit").sortWithinPartitions("unit", "id")
     links = whole.mapInArrow(_settled(percent), "a long, b long")
     large = met.where(F.col("n") > BLOCK)
     hot = not large.isEmpty()
@@ -293,7 +364,7 @@ def _components(members: DataFrame, percent: int) -> DataFrame:
         held = large.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
         mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
         held = cut(held.join(mixed, "node"), "held")
-        more = block_pairs(held, BLOCK, texts).select("node", "p", "q", "id", "comp", "line").mapInArrow(_settled(percent), "a long, b long")
+        more = block_pairs(held, BLOCK, texts).select("node", "p", "q", "id", "comp", F.array("node").alias("bands"), "line").mapInArrow(_settled(percent), "a long, b long")
         more = cut(more.distinct(), "links")
         if not more.isEmpty():
             comps = cut(connected_components(links.union(more)), "comps")
@@ -310,10 +381,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Which bands hold several lines: most lines are alone in all of theirs, and keep neither text nor signature.
     bits = max(8, (16 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = docs.select(text.alias("text")).mapInArrow(_packed(bits), "bucket int, keys binary, prints binary")
-    nodes = cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "node long"), "bands")
-    bloom, size = _bloom(nodes)
-    sent = spark.sparkContext.broadcast(bloom)
-    lines = docs.select(_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text")).mapInArrow(_line_rows(sent, size), _LINES)
+    nodes = cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "node long, line long"), "bands")
+    prints = nodes.where("line is not null").select(F.col("line").alias("node")).distinct()
+    sent = spark.sparkContext.broadcast((_bloom(nodes.where("node is not null").select("node")), _bloom(prints)))
+    lines = docs.select(_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text")).mapInArrow(_line_rows(sent), _LINES)
     lines = cut(lines, "lines")
     counted = lines.groupBy("id").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     several = cut(counted.where("n > 1 or lo < hi"), "copies")

@@ -3,7 +3,9 @@
 import random
 import re
 from itertools import combinations
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,56 @@ def test_line_dedup_finds_isolated_pairs_at_the_threshold(spark):
     assert gone == set(range(1, 6000, 2))  # eight bands miss one pair in 300
 
 
+def test_lines_that_meet_no_other_are_signed_once(monkeypatch):
+    """The pass that counts bands signs each line once, equal ones together; the second signs lines in shared bands only, also where many prints share one."""
+    signed, real = [], line_dedup._signatures
+    monkeypatch.setattr(line_dedup, "_signatures", lambda data, starts, ends, ids: (signed.append(len(starts)), real(data, starts, ends, ids))[1])
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120)) for _ in range(200)]
+    near = ["x" * 5 + plain[0][:100] + str(i) for i in range(40)]
+    texts = pa.array(["\n".join([*plain, *near, plain[3]])])
+    packs = list(line_dedup._packed(9)([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    assert sum(signed) == 240
+    found = pa.Table.from_batches(line_dedup._shared(pa.Table.from_batches(packs).sort_by("bucket").to_batches()))
+    nodes, lines = (np.sort(found.column(c).drop_null().to_numpy()).view(np.uint64) for c in ("node", "line"))
+
+    def bloom(keys):
+        out = np.zeros(1 << 14, np.uint64)
+        for k in keys.tolist():
+            for shift in (44, 22, 0):
+                spot = k >> shift & (1 << 20) - 1
+                out[spot >> 6] |= np.uint64(1 << (spot & 63))
+        return out, 20
+
+    signed.clear()
+    sent = SimpleNamespace(value=(bloom(nodes), bloom(lines)))
+    rows = pa.Table.from_batches(line_dedup._line_rows(sent)([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), texts], ["key", "doc_id", "text"])])).to_pylist()
+    assert 40 <= sum(signed) < 60 and len(rows) == 241
+    assert all(r["line"] == near[r["line_no"] - 200] and len(r["bands"]) >= 10 for r in rows if 200 <= r["line_no"] < 240)
+
+
+def test_pairs_of_lines_are_compared_once_and_ruled_out_only_if_unlike(monkeypatch):
+    rng = random.Random(13)
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.choice([9, 60, 300, 2000]))) for _ in range(60)]
+    lines = base + [x[: (at := rng.randrange(len(x)))] + "#" * rng.randrange(3) + x[at + rng.randrange(4) :] for x in base for _ in range(3)]
+    values, at = line_dedup._sets(pa.array(lines))
+    i, j = (np.array(x) for x in zip(*combinations(range(len(lines)), 2), strict=True))
+    good, may = line_dedup._similar_pairs(values, at, i, j, 80), line_dedup._possible(line_dedup._maps(values, at), np.diff(at), i, j, 80)
+    short = np.diff(at) < 1000  # longer lines fill the map
+    assert good.sum() > 100 and not (good & ~may).any() and (may & short[i]).sum() < 2 * good.sum()
+
+    compared, real = [], line_dedup._similar_pairs
+    monkeypatch.setattr(line_dedup, "_similar_pairs", lambda v, a, i, j, p: (compared.append(len(i)), real(v, a, i, j, p))[1])
+    near = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200))] * 30
+    near = [x + str(k) for k, x in enumerate(near)]
+    rows = near + [x for x in base if len(x) == 300]
+    n, zero = len(rows), pa.array([0] * len(rows), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), zero, zero, pa.array(range(n)), pa.array(range(n)), pa.array([[1, 2, 3]] * n), pa.array(rows)], ["unit", "p", "q", "id", "comp", "bands", "line"])
+    links = pa.Table.from_batches(line_dedup._settled(80)([batch])).to_pylist()
+    root = roots(range(n), [(r["a"], r["b"]) for r in links])
+    assert len({root[k] for k in range(30)}) == 1 and len(set(root.values())) == n - 29 and len(links) == 29 and sum(compared) < 2 * n
+
+
 def test_line_dedup_of_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "same line here\nsame line here"), (1, "same line here\nsame line here"), (2, "same line here")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == [(1, "same line here"), (1, "same line here"), (2, "")]
