@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from fieldlens.functions import scalars as fn
 from fieldlens.sources.steps import released, written
 
-#: Rows in a block, and tasks over which a cell's blocks are dealt.
+#: Rows that a step takes at once, and tasks over which a cell's blocks are dealt.
 BLOCK_ROWS, SPREAD = 4_096, 64
+#: Bytes of a block. Spark's reader of Parquet holds 4,096 rows of a table at once, so 64 MB of blocks; blocks of BLOCK_ROWS rows would be half a gigabyte in each task.
+BLOCK_BYTES = 16_384
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
@@ -46,21 +48,42 @@ def _cells(batch: pa.RecordBatch, by: int) -> Iterator[tuple[tuple, int, int]]:
             lo = k
 
 
-def blocks(df: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
-    """The cell's columns, m, and ``numbers`` of m rows as one binary of doubles, row by row. Rows with a null or non-finite number take no part."""
+def _joined(batch: pa.RecordBatch, n_by: int) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray]]:
+    """(place in the batch, cell, rows, state) of neighbouring blocks of a cell, up to BLOCK_ROWS rows at a time. Columns are those of the cell, m, body, state."""
+    m, body = batch.column(n_by).to_pylist(), batch.column(n_by + 1)
+    for cell, lo, hi in _cells(batch, n_by):
+        state = np.frombuffer(batch.column(n_by + 2)[lo].as_py(), np.float64)
+        while lo < hi:
+            end, size = lo + 1, m[lo]
+            while end < hi and size + m[end] <= BLOCK_ROWS:
+                size += m[end]
+                end += 1
+            yield lo, cell, np.frombuffer(b"".join(body.slice(lo, end - lo).to_pylist()), np.float64).reshape(size, -1), state
+            lo = end
+
+
+def _block(keys: list[pa.Array], rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*keys, pa.array([len(rows)], pa.int32()), pa.array([np.ascontiguousarray(rows, np.float64).tobytes()], pa.binary())], names)
+
+
+def block_rows(numbers: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * numbers))
+
+
+def blocks(df: DataFrame, by: list[str], numbers: list[str], room: int = 0) -> DataFrame:
+    """The cell's columns, m, and ``numbers`` of m rows as one binary of doubles, row by row; ``room`` is how many more numbers a row gets later.
+    Rows with a null or non-finite number take no part."""
     number = lambda c: F.col(c).cast("double")
     usable = [number(c).isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")) for c in numbers]
     rows = df.where(reduce(lambda a, b: a & b, usable))
     rows = rows.select(*by, *[number(c).alias(f"__{k}") for k, c in enumerate(numbers)], (F.monotonically_increasing_id() % SPREAD).alias("__salt"))
-    n_by, arrow, names = len(by), _arrow(df, by), [*by, "m", "body"]
+    n_by, arrow, names, most = len(by), _arrow(df, by), [*by, "m", "body"], block_rows(len(numbers) + room)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
 
         def done():
-            body = np.concatenate(held)
-            columns = [pa.array([v], t) for v, t in zip(now, arrow)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([len(body)], pa.int32()), pa.array([body.tobytes()], pa.binary())], names)
+            return _block([pa.array([v], t) for v, t in zip(now, arrow)], np.concatenate(held), names)
 
         for batch in batches:
             values = np.stack([np.asarray(batch.column(n_by + k), np.float64) for k in range(len(numbers))], axis=1)
@@ -70,11 +93,11 @@ def blocks(df: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
                     held, size = [], 0
                 now = cell
                 while lo < hi:
-                    end = min(hi, lo + BLOCK_ROWS - size)
+                    end = min(hi, lo + most - size)
                     held.append(values[lo:end])
                     size += end - lo
                     lo = end
-                    if size == BLOCK_ROWS:
+                    if size == most:
                         yield done()
                         held, size = [], 0
         if size:
@@ -84,25 +107,23 @@ def blocks(df: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
 
 
 def stepped(data: DataFrame, states: DataFrame, by: list[str], partial: Callable, step: Callable) -> DataFrame:
-    """New states of all cells: ``partial(rows, state)`` gives sums of a block, which are added within a task, then
+    """New states of all cells: ``partial(rows, state)`` gives sums of some blocks, which are added within a task, then
     ``step(sums, state)`` the new state; all are flat arrays of doubles."""
     joined = data.join(states, by) if by else data.crossJoin(F.broadcast(states))  # one state
     n_by, arrow, names = len(by), _arrow(data, by), [*by, "sums", "state"]
 
     def row(cell, sums, state):
-        return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(cell, arrow)], pa.array([sums.tobytes()], pa.binary()), pa.array([state], pa.binary())], names)
+        return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(cell, arrow)], pa.array([sums.tobytes()], pa.binary()), pa.array([state.tobytes()], pa.binary())], names)
 
     def add(batches):
         now, sums, state = None, None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                cell = tuple(batch.column(c)[k].as_py() for c in range(n_by))
+            for _, cell, rows, own in _joined(batch, n_by):
                 if sums is not None and cell != now:
                     yield row(now, sums, state)
                     sums = None
-                now, state = cell, batch.column(n_by + 2)[k].as_py()
-                rows = np.frombuffer(batch.column(n_by + 1)[k].as_py(), np.float64).reshape(batch.column(n_by)[k].as_py(), -1)
-                more = partial(rows, np.frombuffer(state, np.float64))
+                now, state = cell, own
+                more = partial(rows, state)
                 sums = more if sums is None else sums + more
         if sums is not None:
             yield row(now, sums, state)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.operators.fits import SPREAD, _arrow, _cells, _schema, _told, blocks, stepped
+from fieldlens.operators.fits import SPREAD, _arrow, _block, _cells, _joined, _schema, _told, block_rows, blocks, stepped
 from fieldlens.sources.steps import released, written
 
 
@@ -65,8 +65,10 @@ class Boosting:
             place = 2 * place + right
         return place
 
-    def binned(self, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(self.edges(state))], axis=1)
+    def binned(self, x: np.ndarray, state: np.ndarray, but: int | None = None) -> np.ndarray:
+        """Bins of x, which has all features, or all ``but`` one."""
+        edges = [e for k, e in enumerate(self.edges(state)) if k != but]
+        return np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], axis=1)
 
     def partial(self, rows: np.ndarray, state: np.ndarray) -> np.ndarray:
         """Rows are bins, label, score."""
@@ -121,22 +123,56 @@ class Boosting:
         return out
 
 
+@dataclass(frozen=True)
+class _Over:
+    """A feature that is no column: each row stands for one row for each of its values, with a label (and score) for each."""
+
+    design: Boosting
+    place: int
+    values: tuple[float, ...]
+
+    @property
+    def edges(self) -> list[float]:
+        """As bin_edges() has them, where each value has as many rows."""
+        v, bins = sorted(self.values), self.design.bins
+        return sorted({v[-(-k * len(v) // bins) - 1] for k in range(1, bins)})
+
+    def long(self, rows: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The rows that they stand for: bins of all features, label, score."""
+        p, k, at = self.design.features, len(self.values), self.place
+        out = np.empty((len(rows), k, p + 2))
+        out[:, :, :at], out[:, :, at + 1 : p] = rows[:, None, :at], rows[:, None, at : p - 1]
+        out[:, :, at] = np.searchsorted(self.design.edges(state)[at], self.values, "left")
+        out[:, :, p], out[:, :, p + 1] = rows[:, p - 1 : p - 1 + k], rows[:, p - 1 + k :]
+        return out.reshape(-1, p + 2)
+
+
 def bin_edges(df: DataFrame, by: list[str], x: list[str], bins: int) -> DataFrame:
     """Upper edges of the bins of each feature in each cell, but the last: its distinct quantiles, by percentile_approx."""
     at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     return (df.groupBy(*by) if by else df).agg(*[F.array_distinct(F.percentile_approx(F.col(c).cast("double"), at, F.lit(10_000))).alias(f"__e{k}") for k, c in enumerate(x)])
 
 
-def boosted_fits(df: DataFrame, by: list[str], x: list[str], y: str, design: Boosting) -> DataFrame:
+def boosted_fits(df: DataFrame, by: list[str], x: list[str], y: str | list[str], design: Boosting, over: tuple[str, list[float]] | None = None) -> DataFrame:
     """``by, model`` (the state of design, as doubles): boosted trees of every cell (ML-3).
 
+    ``over`` names a feature of ``x`` that is no column, with the values that it takes; ``y`` then has a column of labels for each of them. A row stands for
+    so many rows, which exist only in the passes over a block.
+
     Trees start from the labels' log odds, or mean. A cell with one label only (binary) has the constant (hits + 0.5) / (n + 1) and no
     splits. Rows with null or non-finite numbers or a null cell take no part; cells without other rows have no model. Missing quantiles
     (fewer distinct values than bins) leave bins empty.
     """
-    usable = df.where(reduce(lambda a, b: a & b, [F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in [*x, y]]))
+    p, labels = design.features, [y] if isinstance(y, str) else list(y)
+    wide = _Over(design, x.index(over[0]), tuple(map(float, over[1]))) if over else None
+    if len(labels) != (len(wide.values) if wide else 1):
+        raise ValueError("y is one column of labels, or one for each value of over")
+    but, x = wide.place if wide else None, [c for c in x if not over or c != over[0]]
+    if not x:
+        raise ValueError("x has no column")
+    usable = df.where(reduce(lambda a, b: a & b, [F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in [*x, *labels]]))
     edges = bin_edges(usable, by, x, design.bins)
-    n_by, arrow, names = len(by), _arrow(df, by), [*by, "state"]
+    n_by, names = len(by), [*by, "state"]
     size = 3 + design.features * (design.bins - 1) + design.trees * design.tree_size
 
     def start(batches):
@@ -144,16 +180,19 @@ def boosted_fits(df: DataFrame, by: list[str], x: list[str], y: str, design: Boo
             states = []
             for k in range(batch.num_rows):
                 state = np.zeros(size)
-                for f, own in enumerate(design.edges(state)):
-                    got = batch.column(n_by + f)[k].as_py() or []
+                found = [batch.column(n_by + f)[k].as_py() or [] for f in range(len(x))]
+                if wide:
+                    found.insert(but, wide.edges)
+                for own, got in zip(design.edges(state), found):
                     own[:] = np.inf
                     own[: len(got)] = got
                 states.append(state.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_by], pa.array(states, pa.binary())], names)
 
     states = written(edges.mapInArrow(start, _schema(df, by, state="binary")))
-    data = written(blocks(usable, by, [*x, y]))
-    p = design.features
+    q, k = len(x), len(labels)
+    data = written(blocks(usable, by, [*x, *labels], k))
+    long = wide.long if wide else lambda rows, _: rows
 
     def begin(sums, state):
         n, hits = sums
@@ -162,20 +201,20 @@ def boosted_fits(df: DataFrame, by: list[str], x: list[str], y: str, design: Boo
         state[0] = np.log(share / (1 - share)) if design.binary else hits / n
         return state
 
-    begun = written(stepped(data, states, by, lambda rows, state: np.array([len(rows), rows[:, p].sum()]), begin))
+    begun = written(stepped(data, states, by, lambda rows, state: np.array([len(rows) * k, rows[:, q:].sum()]), begin))
     released(states)
     states = begun
-    rows = written(_rewritten(data, states, by, lambda r, s: np.concatenate([design.binned(r[:, :p], s), r[:, p:], np.full((len(r), 1), s[0])], axis=1)))
+    rows = written(_rewritten(data, states, by, lambda r, s: np.concatenate([design.binned(r[:, :q], s, but), r[:, q:], np.full((len(r), k), s[0])], axis=1)))
     released(data)
     for tree in range(design.trees):
         for _ in range(design.depth):
-            later = written(stepped(rows, states, by, design.partial, design.step))
+            later = written(stepped(rows, states, by, lambda r, s: design.partial(long(r, s), s), design.step))
             released(states)
             states = later
 
         def grown(r, s, tree=tree):
             r = r.copy()
-            r[:, p + 1] += design.added(r[:, :p].astype(np.int64), s, tree)
+            r[:, q + k :] += design.added(long(r, s)[:, :p].astype(np.int64), s, tree).reshape(len(r), k)
             return r
 
         if tree + 1 < design.trees:
@@ -207,17 +246,17 @@ def _changed(states: DataFrame, by: list[str], trees: int) -> DataFrame:
 
 
 def _rewritten(data: DataFrame, states: DataFrame, by: list[str], change) -> DataFrame:
-    """Each block as ``change(rows, state)`` makes it."""
+    """The blocks' rows as ``change(rows, state)`` makes them, in blocks."""
     joined = data.join(states, by) if by else data.crossJoin(F.broadcast(states))  # one state
     n_by = len(by)
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                m = batch.column(n_by)[k].as_py()
-                rows = np.frombuffer(batch.column(n_by + 1)[k].as_py(), np.float64).reshape(m, -1)
-                body = np.ascontiguousarray(change(rows, np.frombuffer(batch.column(n_by + 2)[k].as_py(), np.float64)), np.float64)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in range(n_by)], pa.array([m], pa.int32()), pa.array([body.tobytes()], pa.binary())], [*by, "m", "body"])
+            for at, _, rows, state in _joined(batch, n_by):
+                rows, keys = change(rows, state), [batch.column(c).slice(at, 1) for c in range(n_by)]
+                most = block_rows(rows.shape[1])
+                for lo in range(0, len(rows), most):
+                    yield _block(keys, rows[lo : lo + most], [*by, "m", "body"])
 
     return joined.select(*by, "m", "body", "state").mapInArrow(run, _schema(data, by, m="int", body="binary"))
 
@@ -235,7 +274,8 @@ def boosted_score(
     place, values = (x.index(over[0]), [float(v) for v in over[1]]) if over else (None, [])
     x = [c for k, c in enumerate(x) if k != place]
     here = [F.col(c) for c in columns]
-    rows = df.select(*here, *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(x)], F.lit(None).cast("array<double>").alias("__model"), F.lit(1).alias("__kind"), (F.monotonically_increasing_id() % SPREAD).cast("int").alias("__salt"))
+    none = F.array().cast("array<double>")  # not null: with each row, Arrow's writer goes over the nulls at the end of a list column again
+    rows = df.select(*here, *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(x)], none.alias("__model"), F.lit(1).alias("__kind"), (F.monotonically_increasing_id() % SPREAD).cast("int").alias("__salt"))
     empty = [F.lit(None).cast(t).alias(c) if c not in by else F.col(c) for c, t in df.dtypes]
     models = fits.select(*empty, *[F.lit(None).cast("double").alias(f"__x{k}") for k in range(len(x))], F.col("model").alias("__model"), F.lit(0).alias("__kind"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__salt"))
     both = rows.unionByName(models).repartition(*by, "__salt").sortWithinPartitions(*by, "__salt", "__kind")

@@ -101,17 +101,19 @@ def ml3_boosted_binary(spark, sf):
 def ml3_boosted_thresholds(spark, sf):
     """A distribution of the line's place from boosted residuals of its thresholds: ranked probability score by cell."""
     rows = _rows(spark, sf, 3)
-    base = rows.groupBy("cell").agg(F.array(*[F.avg((F.col("place") <= k).cast("double")) for k in range(7)]).alias("base"))
-    rows = rows.join(base, "cell").select("cell", "q", "y", "place", "base")
-    steps = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")
-    long = rows.select("*", steps).withColumn("t", F.col("k") / 6.0).withColumn("residual", (F.col("place") <= F.col("k")).cast("double") - F.get("base", F.col("k")))
+    base = written(rows.groupBy("cell").agg(F.array(*[F.avg((F.col("place") <= k).cast("double")) for k in range(7)]).alias("base")))
+    rows, x, over = rows.select("cell", "q", "y", "place"), ["q", "y", "t"], ("t", [k / 6.0 for k in range(6)])
+    residuals = [((F.col("place") <= k).cast("double") - F.get("base", F.lit(k))).alias(f"residual{k}") for k in range(6)]
     d = trees.Boosting(3, False, trees=2, depth=3, rate=0.5, bins=16, least_rows=20)
-    fitted = trees.boosted_fits(long, ["cell"], ["q", "y", "t"], "residual", d)
-    one = trees.boosted_score(rows, fitted, ["cell"], ["q", "y", "t"], d, over=("t", [k / 6.0 for k in range(6)]))
-    one = one.withColumn("residual", F.concat("prediction", F.array(F.lit(0.0))))
-    pmf = one.select("cell", "place", models.residual_pmf(F.col("residual"), F.col("base")).alias("pmf"))
+    fitted = trees.boosted_fits(rows.join(base, "cell").select("cell", "q", "y", *residuals), ["cell"], x, [f"residual{k}" for k in range(6)], d, over)
+    scored = trees.boosted_score(rows, fitted, ["cell"], x, d, over=over)
+    apart = [F.get("prediction", F.lit(k)).alias(f"p{k}") for k in range(6)]
+    same = scored.groupBy("cell", "place", *apart).agg(F.count("*").alias("n")).join(base, "cell")  # rows in the same leaves have one distribution
+    residual = F.when(F.col("p0").isNotNull(), F.array(*[F.col(f"p{k}") for k in range(6)], F.lit(0.0)))
+    pmf = same.select("cell", "place", "n", models.residual_pmf(residual, F.col("base")).alias("pmf"))
     rps = fn.total(F.transform(fn.cumulative(F.col("pmf")), lambda c, i: F.pow(c - (F.col("place") <= i).cast("double"), F.lit(2.0))))
-    return rounded(pmf.groupBy("cell").agg(F.count("*").alias("n"), F.avg(rps).alias("rps")), 6)
+    mean = F.sum(rps * F.col("n")) / F.sum(F.when(rps.isNotNull(), F.col("n")))
+    return rounded(pmf.groupBy("cell").agg(F.sum("n").alias("n"), mean.alias("rps")), 6)
 
 
 @query()

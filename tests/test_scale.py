@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import cohort, conformal, contract, encode, geometry, trees
+from fieldlens.operators import cohort, conformal, contract, encode, fits, geometry, trees
 from fieldlens.plans import pipelines, queries, queries_products
 from fieldlens.sources import weekly
 
@@ -54,6 +55,44 @@ def test_scores_at_thresholds_are_those_of_the_long_rows(spark):
     assert all(v == (None if None in want[k] else want[k]) for k, v in got.items()) and len({tuple(v) for v in got.values() if v}) > 1
 
 
+@pytest.mark.parametrize(("place", "by"), [(0, ["cell"]), (1, []), (2, ["cell"])])
+def test_trees_over_thresholds_are_those_of_the_long_rows(spark, place, by):
+    """One row with a label for each threshold gives the model that a row for each of them gives."""
+    rng, values = random.Random(7), [k / 3.0 for k in range(4)]
+    rows = [(k, k % 2, rng.random() if k % 50 else None, rng.gauss(0, 1) if k % 70 else float("nan"), rng.randrange(5) if k % 90 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "row int, cell int, q double, v double, place int")
+    d = trees.Boosting(3, False, trees=2, depth=2, rate=0.5, bins=8, least_rows=5)
+    x = ["q", "v"]
+    x.insert(place, "t")
+    label = lambda t: (F.col("place") - 4 * t * F.col("q")) * (1 + t)
+    long = df.withColumn("t", F.explode(F.array(*map(F.lit, values)))).withColumn("y", label(F.col("t")))
+    wide = df.select("cell", "q", "v", *[label(F.lit(t)).alias(f"y{k}") for k, t in enumerate(values)])
+    key = lambda r: r.cell if by else None
+    want = {key(r): r.model for r in trees.boosted_fits(long, by, x, "y", d).collect()}
+    got = {key(r): r.model for r in trees.boosted_fits(wide, by, x, [f"y{k}" for k in range(4)], d, ("t", values)).collect()}
+    assert set(got) == set(want) and all(v == pytest.approx(want[c], abs=1e-9) for c, v in got.items())
+    at = 3 + 3 * 7
+    assert all(len({v[at + k + d.tree_size * j] for j in range(2) for k in range(3)}) > 1 for v in got.values())  # splits by several features
+    with pytest.raises(ValueError, match="one for each"):
+        trees.boosted_fits(wide, ["cell"], x, ["y0", "y1"], d, ("t", values))
+
+
+def test_blocks_stay_small_enough_for_a_batch_of_the_reader(spark):
+    """Spark's reader of Parquet holds 4,096 blocks at once, so a block's bytes are bounded whatever a cell's rows, before and after it's written anew."""
+    df = spark.range(0, 60_000, 1, 3).select((F.col("id") % 2).alias("cell"), F.col("id").cast("double").alias("a"), (F.col("id") * 0.5).alias("b"))
+    states = spark.createDataFrame([(c, bytearray(8)) for c in (0, 1)], "cell long, state binary")
+    data = fits.blocks(df, ["cell"], ["a", "b"])
+    wide = trees._rewritten(data, states, ["cell"], lambda r, _: r[:, [0, 1, 0, 1, 0]])
+    for blocks, width in ((data, 2), (wide, 5)):
+        told = blocks.select("cell", "m", F.length("body").alias("bytes")).collect()
+        assert max(r.bytes for r in told) * 4_096 <= 2**26 and all(r.bytes == 8 * width * r.m for r in told)
+        assert {c: sum(r.m for r in told if r.cell == c) for c in (0, 1)} == {0: 30_000, 1: 30_000}
+        assert len(told) < 700  # and they are filled
+    sums = fits.stepped(wide, states, ["cell"], lambda r, _: np.array([len(r), r[:, 1].sum(), 1.0]), lambda s, _: s)
+    got = {r.cell: list(memoryview(bytes(r.state)).cast("d")) for r in sums.collect()}
+    assert all(v[0] == 30_000 and v[1] == sum(range(c, 60_000, 2)) / 2 and v[2] < 80 for c, v in got.items())  # steps take many blocks at once
+
+
 def test_raster_is_not_dealt_out_by_the_scalers_cells(spark):
     cells = spark.range(0, 2000, 1, 8).select((F.col("id") % 2).alias("half"), (F.col("id") % 7).cast("double").alias("v"), "id")
     scaler = encode.raster_scaler(cells, ["half"], F.col("id") > 10, ["v"], F.countDistinct("id"), (2, 2))
